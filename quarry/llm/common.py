@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +55,17 @@ def small_or_plain(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, which may start elsewhere; once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    to = Path(tempfile.mkdtemp(prefix="quarry-code-")) / "quarry_code.zip"
+    with zipfile.ZipFile(to, "w") as out:
+        for p in sorted((root / "quarry").rglob("*.py")):
+            out.write(p, p.relative_to(root))
+    sc.addPyFile(str(to))
+    sc._quarry_shipped = True

@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, mixing, sharding
+from quarry.llm import chat, exact_dedup, line_dedup, mixing, pii, sharding, token_files
 from quarry.llm.common import ascii_lower, read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(chat.rotate(read(spark, sf_dir, "conversations")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(ascii_lower(F.col("text")), 256)})
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    segments = token_files.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(segments)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "slot", "shard")
 
@@ -22,13 +37,41 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "words_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_chat_formatting": r"""
+WITH t AS (
+  SELECT conv_id, turn, CASE WHEN length(trim(coalesce(role, ''))) > 0 THEN trim(role) ELSE 'unknown' END AS speaker, coalesce(text, '') AS text FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id, speaker AS perspective FROM t
+), s AS (
+  SELECT t.*, p.perspective, CASE WHEN t.speaker = p.perspective THEN '<|im_start|>assistant' || chr(10)
+         ELSE '<|im_start|>user name=' || regexp_replace(t.speaker, '\s+', '_', 'g') || chr(10) END AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), g AS (
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM s
+), o AS (
+  SELECT *, row_number() OVER w AS seq, sum(length(segment)) OVER w - length(segment) AS start
+  FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, perspective, CAST(start // 65536 AS BIGINT) AS part, count(*) AS n_turns, CAST(min(start) AS BIGINT) AS part_start,
+       string_agg(segment, '' ORDER BY seq) AS text,
+       coalesce(string_agg(CASE WHEN speaker = perspective THEN CAST(start + length(head) AS VARCHAR) || ':' || CAST(start + length(head) + length(text) AS VARCHAR) END, ',' ORDER BY seq), '') AS masks
+FROM o GROUP BY conv_id, perspective, start // 65536""",
     "op6_exact_dedup": """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
