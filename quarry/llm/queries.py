@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact_dedup, line_dedup, mixing, pii, sharding, token_files
+from quarry.llm import chat, decontamination, exact_dedup, line_dedup, mixing, pii, quality, sharding, token_files
 from quarry.llm.common import ascii_lower, read
 
 
@@ -13,6 +13,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are labelled good and not toxic."""
+    return read(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(chat.rotate(read(spark, sf_dir, "conversations")))
 
@@ -44,6 +57,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
+    "op3_decontamination": op3_decontamination,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ MAGIC, HEAD, BLOCK_HEAD = b"QPFOR\0\0\1", "<8sIQII", "<IBBH"
 BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 20
-#: Pieces of text whose ids a worker remembers before it starts anew; a bound on its memory.
-CACHE_PIECES = 400_000
+#: Pieces and parts of text whose ids a worker remembers before it starts anew; a bound on its memory.
+CACHE_PIECES = 500_000
 
 
 def pack(ids: np.ndarray, width: int) -> np.ndarray:
@@ -112,77 +113,101 @@ def decode_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return ids, lengths, out.reshape(-1)[:n]
 
 
+class _Numbered(dict):
+    """Numbers its keys from 1 in the order in which they are first looked up; new has those not yet dealt with."""
+
+    def __missing__(self, key: str | tuple[str]) -> int:
+        self[key] = n = len(self) + 1
+        self.new.append(key)
+        return n
+
+
 class PieceTokenizer:
     """Ids as Tokenizer.encode gives them, with a memory of pieces between spaces.
 
     The byte-level pattern takes a space together with what follows, so a text may be cut before any space that
-    doesn't have white space on both sides; a text with such a space is encoded whole.
+    doesn't have white space on both sides; a text with such a space is encoded whole. A new piece is cut by the
+    pattern, and the library's BPE model turns what is new there into ids. Tokenizers of other kinds, and texts with
+    special tokens, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int, cache_pieces: int = CACHE_PIECES):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, cache_pieces
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        pre = made.get("pre_tokenizer") or {}
+        self.special = [x["content"] for x in made.get("added_tokens") or []]
+        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and made.get("truncation") is None and made["model"]["type"] == "BPE"
+        self.small = self.tokenizer.get_vocab_size() < 1 << 16
+        # the published pattern of this pre-tokenizer (a fixed value)
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = iter(range(256, 512))
+        self.bytes = {b: b if b in shown else next(other) for b in range(256)}
         self.clear()
 
     def clear(self) -> None:
-        self.inner: dict[str, int] = {}
-        self.first: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.blank = [], [], []
-        self._add([[self.end_id]], [(False, False)])
-
-    def _add(self, ids: list[list[int]], blank: list[tuple[bool, bool]]) -> int:
-        at = len(self.start)
-        lengths = [len(x) for x in ids]
-        new = np.fromiter((y for x in ids for y in x), np.uint32, sum(lengths))
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(new)] = new
-        self.start += (self.used + np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)).tolist()
-        self.length += lengths
-        self.blank += blank
-        self.used += len(new)
-        return at
-
-    def _learn(self, known: dict[str, int], pieces: list[str], before: str) -> None:
-        for k in range(0, len(pieces), 4096):
-            some = pieces[k : k + 4096]
-            got = self.tokenizer.encode_batch_fast([before + x for x in some], add_special_tokens=False)
-            at = self._add([x.ids for x in got], [(not x or x[0].isspace(), not x or x[-1].isspace()) for x in some])
-            known.update(zip(some, range(at, at + len(some)), strict=True))
+        self.known = _Numbered()
+        self.known.new = []
+        self.parts: dict[str, array] = {}
+        self.flat, self.start, self.length, self.blank = array("I"), array("q"), array("q"), bytearray()
+        self._put([self.end_id], 0)
+
+    def _put(self, ids: list[int], blank: int) -> None:
+        self.start.append(len(self.flat))
+        self.length.append(len(ids))
+        self.flat.extend(ids)
+        self.blank.append(blank)
+
+    def _ids(self, piece: str) -> list[int]:
+        out: list[int] = []
+        for part in self.pattern(piece):
+            known = self.parts.get(part)
+            if known is None:
+                shown = part.encode("utf-8", "replace").decode("latin-1").translate(self.bytes)
+                known = self.parts[part] = array("H" if self.small else "I", [x.id for x in self.tokenizer.model.tokenize(shown)])
+            out += known
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of each."""
-        if len(self.start) > self.most:
+        if len(self.known) + len(self.parts) > self.most:
             self.clear()
-        cut = [t.split(" ") for t in texts]
-        self._learn(self.inner, list({x for c in cut for x in c[1:]}.difference(self.inner)), " ")
-        self._learn(self.first, list({c[0] for c in cut}.difference(self.first)), "")
-        ends = np.cumsum([len(c) + 1 for c in cut])
-        index = np.fromiter((k for c in cut for k in (self.first[c[0]], *map(self.inner.__getitem__, c[1:]), 0)), np.int64, int(ends[-1]) if len(ends) else 0)
-        blank = np.array(self.blank, bool).reshape(-1, 2)[index]
-        before = np.concatenate([[False], blank[:-1, 1]])
-        begins = np.concatenate([[0], ends[:-1]])
-        before[begins] = False  # what precedes a text's first piece
-        after = blank[:, 0]
-        before[ends - 1] = False
+        # a first piece, which has no space before it, is looked up as a tuple; number 0 is the end
+        known, places, ends = self.known.__getitem__, [], []
+        for t in texts:
+            cut = t.split(" ") if self.plain else [""]
+            places.append(known((cut[0],)))
+            places.extend(map(known, cut[1:]))
+            places.append(0)
+            ends.append(len(places))
+        for x in self.known.new:
+            piece, lead = (x[0], "") if isinstance(x, tuple) else (x, " ")
+            self._put(self._ids(lead + piece), (not piece or piece[0].isspace()) + 2 * (not piece or piece[-1].isspace()))
+        self.known.new.clear()
+
+        index, stops = np.array(places, np.int64), np.array(ends, np.int64)
+        begins = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+        blank = np.frombuffer(bytes(self.blank), np.uint8)[index]
+        before = np.concatenate([[0], blank[:-1] & 2]).astype(bool)
+        before[begins] = before[stops - 1] = False
         # a cut within a run of white space, or before white space that ends the text
-        bad = np.flatnonzero(before & after)
-        odd = np.unique(np.searchsorted(ends, bad, side="right"))
-        odd = np.union1d(odd, [k for k, t in enumerate(texts) if not t.isprintable() and any(x in t for x in "\x1c\x1d\x1e\x1f\x85")]).astype(np.int64)
-        start, length = np.array(self.start, np.int64), np.array(self.length, np.int64)
-        keep = np.ones(len(index), bool)
-        if len(odd):
-            at = self._add([self.tokenizer.encode(texts[k], add_special_tokens=False).ids for k in odd.tolist()], [(True, True)] * len(odd))
-            start, length = np.array(self.start, np.int64), np.array(self.length, np.int64)
-            for j, k in enumerate(odd.tolist()):
-                keep[begins[k] : ends[k] - 1] = False
-                index[begins[k]], keep[begins[k]] = at + j, True
-        counts = np.where(keep, length[index], 0)
-        total = np.concatenate([[0], np.cumsum(counts)])
-        take = np.repeat(start[index] - total[:-1], counts) + np.arange(total[-1])
-        return self.flat[take], np.diff(total[np.concatenate([[0], ends])])
+        cut_badly = np.searchsorted(stops, np.flatnonzero(before & (blank & 1).astype(bool)), side="right")
+        odd = [k for k, t in enumerate(texts) if not self.plain or any(x in t for x in self.special) or (not t.isprintable() and any(x in t for x in "\x1c\x1d\x1e\x1f\x85"))]
+        lengths = np.array(self.length, np.int64)[index]
+        starts, flat = np.array(self.start, np.int64)[index], np.array(self.flat, np.uint32)
+        for k in np.union1d(cut_badly, odd).astype(np.int64).tolist():
+            own = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+            lengths[begins[k] : stops[k] - 1] = 0
+            starts[begins[k]], lengths[begins[k]], flat = len(flat), len(own), np.concatenate([flat, own])
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        take = np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])
+        return flat[take], np.diff(total[np.concatenate([[0], stops])])
 
 
 _tokenizers: dict[tuple, PieceTokenizer] = {}
