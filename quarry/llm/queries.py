@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontamination, exact_dedup, line_dedup, mixing, pii, quality, sharding, token_files
+from quarry.llm import chat, decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, sharding, token_files
 from quarry.llm.common import ascii_lower, read
 
 
@@ -30,6 +30,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(chat.rotate(read(spark, sf_dir, "conversations")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(ascii_lower(F.col("text")), 256)})
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
