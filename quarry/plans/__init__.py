@@ -1,0 +1,6 @@
+"""Registered queries: QUERIES by name, and SQL with the DuckDB text of those that SQL can express."""
+
+from quarry.plans import audits, calibration, pixel_metrics
+from quarry.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "audits", "calibration", "pixel_metrics"]
