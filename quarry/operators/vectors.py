@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def bank(vectors: DataFrame, frame: str, order: Column, per_frame: int = 400, most: int = 1_000_000) -> DataFrame:
@@ -28,9 +30,8 @@ def top_cosines(queries: DataFrame, bank: DataFrame, k: int, key: list[str], by:
     blocks = blocks.groupBy(*by, "__b").agg(width)
     lots = queries.select(*key, "embedding").withColumn("__q", F.pmod(F.xxhash64(*key), F.lit(16)).cast("int")).groupBy("__q").agg(F.array_agg(F.struct(*key, "embedding")).alias("qs"))
     pairs = lots.crossJoin(blocks)
-    fields = {f.name: f for f in queries.schema.fields}
-    outer = {f.name: f for f in bank.schema.fields}
-    schema = ", ".join([*(f"{c} {fields[c].dataType.simpleString()}" for c in key), *(f"{c} {outer[c].dataType.simpleString()}" for c in by), "sims array<double>"])
+    schema = T.StructType([*(queries.schema[c] for c in key), *(bank.schema[c] for c in by), T.StructField("sims", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,7 +42,7 @@ def top_cosines(queries: DataFrame, bank: DataFrame, k: int, key: list[str], by:
                     sims = q[a : a + block] @ m.T
                     top = -np.sort(-np.partition(sims, max(0, sims.shape[1] - k), axis=1)[:, -k:], axis=1)
                     out = {c: [x[c] for x in row["qs"][a : a + block]] for c in key} | {c: [row[c]] * len(top) for c in by}
-                    yield pa.RecordBatch.from_pydict(out | {"sims": top.tolist()})
+                    yield pa.RecordBatch.from_pydict(out | {"sims": top.tolist()}, schema=arrow)
 
     found = pairs.mapInArrow(run, schema)
     best = F.slice(F.sort_array(F.flatten(F.collect_list("sims")), asc=False), 1, k)
