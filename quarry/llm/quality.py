@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship_code, table
+from quarry.llm.common import ship_code, small_or_plain, table
 
 ORDER = 5
 PAD, END = "\u0002", "\u0003"
@@ -30,6 +30,8 @@ WORDS_AT_ONCE = 300_000
 KEEP_QUANTILE = 0.995
 #: Of ten trusted documents, so many set the thresholds and aren't counted.
 HELD_OUT_TENTHS = 2
+#: Up to so many trusted ids are broadcast, so that texts aren't shuffled to find them.
+BROADCAST_IDS = 1_000_000
 #: Held-out documents that a language needs for a threshold of its own; else that of all languages holds.
 LEAST_HELD_OUT = 50
 
@@ -39,16 +41,96 @@ def word_grams(word: str) -> list[str]:
     return [s[k : k + ORDER] for k in range(len(word) + 1)]
 
 
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def gram_keys(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The words padded in one string; of all their n-grams, word after word, the place and a 64-bit key; and the number
+    of each word."""
+    s = "".join([PAD * (ORDER - 1) + w + END for w in words])
+    codes = _codes(s)
+    n = max(0, len(codes) - ORDER + 1)
+    keys = codes[:n] * _MIX[0]
+    for k in range(1, ORDER):
+        keys += codes[k : k + n] * _MIX[k]
+    many = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts = np.cumsum(many + ORDER - 1) - (many + ORDER - 1)
+    places = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return s, places, keys[places], many
+
+
+def distinct_grams(words: list[str], weights: list[int] | None = None) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of words and their counts (each word as often as its weight)."""
+    s, places, keys, many = gram_keys(words)
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    n = np.bincount(which, np.repeat(np.array(weights, np.float64), many) if weights else None, len(first))
+    return [s[p : p + ORDER] for p in places[first].tolist()], n.astype(np.int64)
+
+
+class _Numbered(dict):
+    """Numbers words in the order in which they are first looked up; new has those without a score yet."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class WordScores:
+    """Sums of negative log-probabilities by word, from those of n-grams."""
+
+    def __init__(self, grams: list[str], lp: np.ndarray):
+        codes = _codes("".join(grams)).reshape(-1, ORDER)
+        keys = (codes * _MIX[:ORDER]).sum(axis=1, dtype=np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.nll = keys[order], -lp[order].astype(np.float64)
+        # most keys are found by their leading bits, the others by a search
+        self.shift = np.uint64(64 - max(10, int(4 * len(keys)).bit_length()))
+        self.slots = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.slots[(self.keys >> self.shift).astype(np.int64)] = np.arange(len(keys))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = _Numbered()
+        self.known.new = []
+        self.scores, self.sizes = np.zeros(0), np.zeros(0, np.int64)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text and their mean negative log-probability."""
+        if len(self.known) > WORDS_AT_ONCE:
+            self.clear()
+        number, places, ends = self.known.__getitem__, [], []
+        for t in texts:
+            places.extend(map(number, t.split()))
+            ends.append(len(places))
+        if self.known.new:
+            _, _, keys, many = gram_keys(self.known.new)
+            at = self.slots[(keys >> self.shift).astype(np.int64)]
+            missed = np.flatnonzero(self.keys[at] != keys)
+            at[missed] = np.searchsorted(self.keys, keys[missed])
+            own = np.add.reduceat(self.nll[at], np.cumsum(many) - many)
+            self.scores = np.concatenate([self.scores, own])
+            self.sizes = np.concatenate([self.sizes, many])
+            self.known.new = []
+        index, stops = np.array(places, np.int64), np.array([0, *ends], np.int64)
+        if not len(index):
+            return np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
+        total, tokens = (np.diff(np.concatenate([[0], np.cumsum(v[index])])[stops]) for v in (self.scores, self.sizes))
+        return tokens, np.where(tokens > 0, total / np.maximum(tokens, 1), np.nan)
+
+
 def count_grams(docs: DataFrame, text_col: str) -> DataFrame:
     """(gram, n): n-grams of full order over all words of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(words: Counter) -> pa.RecordBatch:
-            grams: Counter = Counter()
-            for word, n in words.items():
-                for g in word_grams(word):
-                    grams[g] += n
-            return pa.RecordBatch.from_pydict({"gram": pa.array(list(grams), pa.string()), "n": pa.array(list(grams.values()), pa.int64())})
+        def flush() -> pa.RecordBatch:
+            grams, n = distinct_grams(list(words), list(words.values()))
+            words.clear()
+            return pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string()), "n": pa.array(n, pa.int64())})
 
         words: Counter = Counter()
         for batch in batches:
@@ -56,9 +138,9 @@ def count_grams(docs: DataFrame, text_col: str) -> DataFrame:
                 if text:
                     words.update(text.split())
                     if len(words) > WORDS_AT_ONCE:
-                        yield flush(words)
-                        words.clear()
-        yield flush(words)
+                        yield flush()
+        if words:
+            yield flush()
 
     ship_code(docs.sparkSession)
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -124,9 +206,9 @@ def score(docs: DataFrame, counts: DataFrame, keys: list[str], text_col: str = "
             seen: dict[int, set[str]] = {}
 
             def flush(b: int) -> pa.RecordBatch:
-                found = {g for w in seen.pop(b) for g in word_grams(w)}
+                found = distinct_grams(list(seen.pop(b)))[0]
                 out = {"block": pa.array([b] * len(found), pa.int32())} if by_block else {}
-                return pa.RecordBatch.from_pydict(out | {"gram": pa.array(list(found), pa.string())})
+                return pa.RecordBatch.from_pydict(out | {"gram": pa.array(found, pa.string())})
 
             for batch in batches:
                 texts = batch.column("t").to_pylist()
@@ -135,7 +217,7 @@ def score(docs: DataFrame, counts: DataFrame, keys: list[str], text_col: str = "
                     own.update(t.split())
                     if len(own) > WORDS_AT_ONCE:
                         yield flush(b)
-            for b in list(seen):
+            for b in [b for b, own in seen.items() if own]:
                 yield flush(b)
 
         return run
@@ -145,32 +227,22 @@ def score(docs: DataFrame, counts: DataFrame, keys: list[str], text_col: str = "
     blocks = rows.repartition(max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
     told = blocks.mapInArrow(grams_of(True), "block int, gram string").join(answers, "gram").select("block", "gram", F.log("p").cast("float").alias("lp"))
 
-    def rate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("gram").to_pylist(), right.column("lp").to_pylist(), strict=True))
-        cache: dict[str, float] = {}
-        tokens, nll = np.zeros(left.num_rows, np.int64), np.zeros(left.num_rows)
-        at = 0
+    def rated(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rate = WordScores(right.column("gram").to_pylist(), right.column("lp").to_numpy()) if right.num_rows else None
+        tokens, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
         for chunk in left.column("t").chunks:
-            for t in chunk.to_pylist():
-                words, total = t.split(), 0.0
-                for w in words:
-                    v = cache.get(w)
-                    if v is None:
-                        v = cache[w] = -sum(map(known.__getitem__, word_grams(w)))
-                        if len(cache) > WORDS_AT_ONCE:
-                            cache = {w: v}
-                    total += v
-                tokens[at] = sum(map(len, words)) + len(words)
-                nll[at] = total / tokens[at] if words else np.nan
-                at += 1
+            for a in range(0, len(chunk), 500):
+                texts = chunk.slice(a, 500).to_pylist()
+                got = rate(texts) if rate else (np.zeros(len(texts), np.int64), np.full(len(texts), np.nan))
+                tokens, nll = [*tokens, got[0]], [*nll, got[1]]
         out = {k: left.column(k) for k in keys}
-        return pa.table(out | {"tokens": tokens, "nll": pa.array(nll, from_pandas=True)})
+        return pa.table(out | {"tokens": np.concatenate(tokens), "nll": pa.array(np.concatenate(nll), from_pandas=True)})
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(rate, f"{kinds}, tokens long, nll double")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(rated, f"{kinds}, tokens long, nll double")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = KEEP_QUANTILE, n_blocks: int | None = None) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = KEEP_QUANTILE, n_blocks: int | None = None, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """A row per row of docs: <id>, lang, tokens, perplexity, threshold, kept.
 
     trusted has the ids (column <id>) of trusted documents: by a hash of the id, HELD_OUT_TENTHS in ten of them set the
@@ -180,8 +252,10 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     words stay. Repeated rows are scored each.
     """
     ids = trusted.select(F.col(id_col).alias("__id")).filter("__id IS NOT NULL").distinct().withColumn("held", F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(10)) < HELD_OUT_TENTHS)
+    ids = table(ids, "trusted")
+    counted = small_or_plain(ids.filter("NOT held").select("__id"), ids.count(), broadcast_ids)
     known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
-    counts = count_grams(known.join(ids.filter("NOT held").select("__id"), "__id", "left_semi"), "t")
+    counts = count_grams(known.join(counted, "__id", "left_semi"), "t")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("t"))
     scored = table(score(rows, counts, ["__id", "__lang"], "t", n_blocks), "scores")
 
