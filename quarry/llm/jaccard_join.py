@@ -33,7 +33,8 @@ WORDS = 5
 PERCENT = 80
 #: Shingles of so large a share of all (one in 2**20) go last in the order; so there are no more than 2**20 of them.
 HOT_SHARE = 20
-STAR_ROUNDS = 2
+#: Pivot members of a region in each round of stars.
+STARS = (1, 4, 4)
 CELL = 256
 BROADCAST_ROWS = 200_000
 
@@ -165,32 +166,33 @@ def _by_token(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token").sortWithinPartitions("token", *order)
 
 
-def star_round(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """members (token, node, n, comp) -> those of regions with several components, with pivot, pivot_n: a member of
-    another component of the region, or null where sizes forbid a link."""
+def star_round(members: DataFrame, turn: int, stars: int, percent: int) -> DataFrame:
+    """members (token, node, n, comp) -> those of regions with several components, with pivots, pivot_ns: some members of
+    the region, or null for those of the same component or of a size that forbids a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _runs(batches, ["token", "node", "n", "comp"]):
-            token, node, n, comp = (r[c] for c in ("token", "node", "n", "comp"))
-            begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            sizes = np.diff(np.append(begins, len(token)))
-            several = np.minimum.reduceat(comp, begins) != np.maximum.reduceat(comp, begins)
-            keep = np.repeat(several, sizes)
+            begins = np.flatnonzero(np.append(True, r["token"][1:] != r["token"][:-1]))
+            several = np.minimum.reduceat(r["comp"], begins) != np.maximum.reduceat(r["comp"], begins)
+            keep = np.repeat(several, np.diff(np.append(begins, len(r["token"]))))
             if not keep.any():
                 continue
-            # the pivot changes from turn to turn, but is the same in all regions that share their members
-            key = _scramble(node.view(np.uint64) + np.uint64(turn) * _MIX[0])
+            token, node, n, comp = (r[c][keep] for c in ("token", "node", "n", "comp"))
+            begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            sizes = np.diff(np.append(begins, len(token)))
             region = np.repeat(np.arange(len(begins)), sizes)
-            order = np.lexsort((key, region))
-            pivot = np.repeat(order[begins], sizes)
-            low, high = np.minimum(n, n[pivot]), np.maximum(n, n[pivot])
-            pair = keep & (comp != comp[pivot]) & (100 * low >= percent * high)
-            none = ~pair[keep]
-            yield pa.RecordBatch.from_pydict({
-                "token": pa.array(token[keep]), "node": pa.array(node[keep]), "n": pa.array(n[keep]), "pivot": pa.array(node[pivot][keep], mask=none), "pivot_n": pa.array(n[pivot][keep], mask=none),
-            })
+            pivots, allowed = np.zeros((len(token), stars), np.int64), np.zeros((len(token), stars), bool)
+            for k in range(stars):
+                # pivots change from turn to turn, but are the same in all regions that share their members
+                key = _scramble(node.view(np.uint64) + np.uint64(turn * stars + k) * _MIX[0])
+                pivots[:, k] = np.repeat(np.lexsort((key, region))[begins], sizes)
+                low, high = np.minimum(n, n[pivots[:, k]]), np.maximum(n, n[pivots[:, k]])
+                allowed[:, k] = (comp != comp[pivots[:, k]]) & (100 * low >= percent * high)
+            ends = pa.array(np.arange(0, len(token) * stars + 1, stars), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[pivots].ravel(), mask=~allowed.ravel())) for x in (node, n)]
+            yield pa.RecordBatch.from_pydict({"token": pa.array(token), "node": pa.array(node), "n": pa.array(n), "pivots": lists[0], "pivot_ns": lists[1]})
 
-    return table(_by_token(members, "node").mapInArrow(run, "token long, node long, n long, pivot long, pivot_n long"), "regions")
+    return table(_by_token(members, "node").mapInArrow(run, "token long, node long, n long, pivots array<long>, pivot_ns array<long>"), "regions")
 
 
 def _cells(sk: np.ndarray, n: np.ndarray, own: np.ndarray, copied: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,19 +256,28 @@ def last_round(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b, na, nb) of different components in the regions left that the bounds allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            # a pair meets in many regions
+            pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in out]), axis=0)
+            out.clear()
+            return pa.RecordBatch.from_pydict({c: pa.array(pairs[:, k]) for k, c in enumerate(("a", "b", "na", "nb"))})
+
+        out: list[tuple] = []
+        size = 0
         for r in _runs(batches, ["token", "node", "n", "comp", "sketch"]):
             token = r["token"]
             begins = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            out: list[tuple] = []
             for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                 if b - a > 1:
                     node, n, comp = r["node"][a:b], r["n"][a:b], r["comp"][a:b]
-                    out += [(node[i], node[j], n[i], n[j]) for i, j in region_pairs(node, n, comp, r["sketch"][a:b].tolist(), percent)]
-                if sum(len(x[0]) for x in out) > 100_000:
-                    yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[k] for x in out])) for k, c in enumerate(("a", "b", "na", "nb"))})
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[k] for x in out])) for k, c in enumerate(("a", "b", "na", "nb"))})
+                    for i, j in region_pairs(node, n, comp, r["sketch"][a:b].tolist(), percent):
+                        out.append((node[i], node[j], n[i], n[j]))
+                        size += len(i)
+                if size > 500_000:
+                    yield flush()
+                    size = 0
+        if out:
+            yield flush()
 
     with_sketch = members.join(nodes.select("node", "sketch"), "node")
     return _by_token(with_sketch, "node").mapInArrow(run, "a long, b long, na long, nb long")
@@ -345,6 +356,17 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
+def extended(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """label (node, comp) after further links (a, b): only the components that they join are contracted."""
+    if label is None:
+        return components(links)
+    side = lambda c, to: label.select(F.col("node").alias(c), F.col("comp").alias(to))
+    mapped = links.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    step = components(mapped.distinct())
+    old = label.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return table(old.unionByName(step.join(label.select("node"), "node", "left_anti")), "labels")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row per row of docs: <id>, n_shingles, component_id.
 
@@ -359,23 +381,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     nodes = table(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     members = sets.select(F.explode("prefix").alias("token"), "node", "n").withColumn("comp", F.col("node"))
 
-    label, tested, edges = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            regions = star_round(members, turn, percent)
-            pairs = regions.filter("pivot IS NOT NULL").select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na"), F.col("pivot_n").alias("nb"))
+    label, tested = None, None
+    for turn in range(len(STARS) + 1):
+        if turn < len(STARS):
+            regions = star_round(members, turn, STARS[turn], percent)
+            pairs = regions.select("node", "n", F.explode(F.arrays_zip("pivots", "pivot_ns")).alias("p")).filter("p.pivots IS NOT NULL")
+            pairs = pairs.select(F.col("node").alias("a"), F.col("p.pivots").alias("b"), F.col("n").alias("na"), F.col("p.pivot_ns").alias("nb"))
             pairs = allowed(pairs.distinct(), nodes, percent)
         else:
             pairs = last_round(members, nodes, percent)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = table(pairs, "candidates")
+            pairs = table(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = verified(pairs, nodes, docs, id_col, text_col, percent, broadcast_rows)
-        edges = links if edges is None else edges.unionByName(links)
-        label = components(edges)
-        if turn < STAR_ROUNDS:
+        label = extended(label, links)
+        if turn < len(STARS):
             members = regions.select("token", "node", "n").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     own = label.withColumnRenamed("node", "__n")
