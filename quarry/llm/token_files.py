@@ -32,7 +32,7 @@ BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 20
 #: Pieces and parts of text whose ids a worker remembers before it starts anew; a bound on its memory.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_200_000
 
 
 def pack(ids: np.ndarray, width: int) -> np.ndarray:
@@ -113,6 +113,9 @@ def decode_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return ids, lengths, out.reshape(-1)[:n]
 
 
+_SIGNS = tuple(".,;:!?")
+
+
 class _Numbered(dict):
     """Numbers its keys from 1 in the order in which they are first looked up; new has those not yet dealt with."""
 
@@ -143,7 +146,7 @@ class PieceTokenizer:
         pre = made.get("pre_tokenizer") or {}
         self.special = [x["content"] for x in made.get("added_tokens") or []]
         self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and made.get("truncation") is None and made["model"]["type"] == "BPE"
-        self.small = self.tokenizer.get_vocab_size() < 1 << 16
+        self.code = "H" if max(self.tokenizer.get_vocab_size(), end_id) < 1 << 16 else "I"
         # the published pattern of this pre-tokenizer (a fixed value)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -155,23 +158,31 @@ class PieceTokenizer:
         self.known = _Numbered()
         self.known.new = []
         self.parts: dict[str, array] = {}
-        self.flat, self.start, self.length, self.blank = array("I"), array("q"), array("q"), bytearray()
+        self.flat, self.start, self.length, self.blank = array(self.code), array("q"), array("q"), bytearray()
         self._put([self.end_id], 0)
 
-    def _put(self, ids: list[int], blank: int) -> None:
+    def _put(self, ids: array | list[int], blank: int) -> None:
         self.start.append(len(self.flat))
         self.length.append(len(ids))
         self.flat.extend(ids)
         self.blank.append(blank)
 
-    def _ids(self, piece: str) -> list[int]:
-        out: list[int] = []
-        for part in self.pattern(piece):
-            known = self.parts.get(part)
-            if known is None:
-                shown = part.encode("utf-8", "replace").decode("latin-1").translate(self.bytes)
-                known = self.parts[part] = array("H" if self.small else "I", [x.id for x in self.tokenizer.model.tokenize(shown)])
-            out += known
+    def _part(self, part: str) -> array:
+        known = self.parts.get(part)
+        if known is None:
+            shown = part.encode("utf-8", "replace").decode("latin-1").translate(self.bytes)
+            known = self.parts[part] = array(self.code, [x.id for x in self.tokenizer.model.tokenize(shown)])
+        return known
+
+    def _ids(self, lead: str, piece: str) -> array:
+        # letters, and letters before one sign, need no pattern
+        if piece.isalpha():
+            return self._part(lead + piece)
+        if piece.endswith(_SIGNS) and piece[:-1].isalpha():
+            return self._part(lead + piece[:-1]) + self._part(piece[-1])
+        out = array(self.code)
+        for part in self.pattern(lead + piece):
+            out += self._part(part)
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,26 +199,27 @@ class PieceTokenizer:
             ends.append(len(places))
         for x in self.known.new:
             piece, lead = (x[0], "") if isinstance(x, tuple) else (x, " ")
-            self._put(self._ids(lead + piece), (not piece or piece[0].isspace()) + 2 * (not piece or piece[-1].isspace()))
+            self._put(self._ids(lead, piece), (not piece or piece[0].isspace()) + 2 * (not piece or piece[-1].isspace()))
         self.known.new.clear()
 
         index, stops = np.array(places, np.int64), np.array(ends, np.int64)
         begins = np.concatenate([[0], stops[:-1]]).astype(np.int64)
-        blank = np.frombuffer(bytes(self.blank), np.uint8)[index]
+        blank = np.frombuffer(self.blank, np.uint8)[index]
         before = np.concatenate([[0], blank[:-1] & 2]).astype(bool)
         before[begins] = before[stops - 1] = False
         # a cut within a run of white space, or before white space that ends the text
         cut_badly = np.searchsorted(stops, np.flatnonzero(before & (blank & 1).astype(bool)), side="right")
         odd = [k for k, t in enumerate(texts) if not self.plain or any(x in t for x in self.special) or (not t.isprintable() and any(x in t for x in "\x1c\x1d\x1e\x1f\x85"))]
-        lengths = np.array(self.length, np.int64)[index]
-        starts, flat = np.array(self.start, np.int64)[index], np.array(self.flat, np.uint32)
+        # views of the arrays; they must be gone before the next text is learnt
+        lengths, starts = np.frombuffer(self.length, np.int64)[index], np.frombuffer(self.start, np.int64)[index]
+        flat = np.frombuffer(self.flat, np.uint16 if self.code == "H" else np.uint32)
         for k in np.union1d(cut_badly, odd).astype(np.int64).tolist():
             own = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
             lengths[begins[k] : stops[k] - 1] = 0
-            starts[begins[k]], lengths[begins[k]], flat = len(flat), len(own), np.concatenate([flat, own])
+            starts[begins[k]], lengths[begins[k]], flat = len(flat), len(own), np.concatenate([flat.astype(np.uint32), own])
         total = np.concatenate([[0], np.cumsum(lengths)])
         take = np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])
-        return flat[take], np.diff(total[np.concatenate([[0], stops])])
+        return flat[take].astype(np.uint32), np.diff(total[np.concatenate([[0], stops])])
 
 
 _tokenizers: dict[tuple, PieceTokenizer] = {}
