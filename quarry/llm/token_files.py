@@ -32,20 +32,26 @@ BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 20
 #: Pieces and parts of text whose ids a worker remembers before it starts anew; a bound on its memory.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 2_000_000
+
+
+def _word(width: int) -> tuple[int, str]:
+    """Bits and type of the words that values of a width go through."""
+    return (16, ">u2") if width <= 16 else (32, ">u4")
 
 
 def pack(ids: np.ndarray, width: int) -> np.ndarray:
     """Rows of u32 values under 2**width as rows of bytes."""
-    bits = np.unpackbits(np.ascontiguousarray(ids, dtype=">u4").view(np.uint8).reshape(*ids.shape, 4), axis=-1)
-    return np.packbits(bits[..., 32 - width :].reshape(len(ids), -1), axis=-1)
+    size, kind = _word(width)
+    bits = np.unpackbits(ids.astype(kind).view(np.uint8), axis=-1).reshape(*ids.shape, size)
+    return np.packbits(bits[..., size - width :].reshape(len(ids), -1), axis=-1)
 
 
 def unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
-    bits = np.unpackbits(packed, axis=-1, count=n * width).reshape(len(packed), n, width)
-    out = np.zeros((len(packed), n, 32), np.uint8)
-    out[..., 32 - width :] = bits
-    return np.packbits(out, axis=-1).view(">u4").reshape(len(packed), n).astype(np.uint32)
+    size, kind = _word(width)
+    out = np.zeros((len(packed), n, size), np.uint8)
+    out[..., size - width :] = np.unpackbits(packed, axis=-1, count=n * width).reshape(len(packed), n, width)
+    return np.packbits(out, axis=-1).view(kind).reshape(len(packed), n).astype(np.uint32)
 
 
 def _width(top: np.ndarray) -> np.ndarray:
