@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -48,6 +49,12 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_or_plain(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
     """df marked for broadcast if its counted rows are within the limit, else df for a shuffled join."""
     return F.broadcast(df) if n_rows <= limit else df

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship_code, small_or_plain, table
+from quarry.llm.common import release, ship_code, small_or_plain, table
 
 ORDER = 5
 PAD, END = "\u0002", "\u0003"
 #: Characters of text in a block, which one task holds at a time.
-BLOCK_CHARS = 40_000_000
+BLOCK_CHARS = 64_000_000
 #: Distinct words that a task remembers before it hands on their n-grams.
 WORDS_AT_ONCE = 300_000
 #: Share of held-out trusted documents that a language's threshold keeps.
@@ -223,6 +223,7 @@ def score(docs: DataFrame, counts: DataFrame, keys: list[str], text_col: str = "
         return run
 
     answers = probabilities(table(rows.select("t").mapInArrow(grams_of(False), "gram string").distinct(), "asked"), grams, contexts, discounts)
+    release(docs.sparkSession)
     # both uses of blocks read all of its columns, so that the texts are shuffled once
     blocks = rows.repartition(max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
     told = blocks.mapInArrow(grams_of(True), "block int, gram string").join(answers, "gram").select("block", "gram", F.log("p").cast("float").alias("lp"))
