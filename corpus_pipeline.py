@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,45 +16,65 @@ from quarry.llm import decontamination, jaccard_join, mixing, quality, sharding
 from quarry.llm.common import read, small_or_plain, table
 from quarry.llm.queries import trusted_ids
 
-#: Up to so many ids are broadcast, at 12 bytes each; with more, the documents are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Up to so many names of rows are broadcast, at 16 bytes each; with more, the documents are shuffled.
+BROADCAST_ROWS = 1_000_000
+ROW = "__row"
 
 
-def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose doc_id is (left_semi) or isn't (left_anti) among ids; null is an id like others."""
-    known = table(ids.select(F.col("doc_id").alias("__id")).distinct(), "ids")
-    return docs.join(small_or_plain(known, known.count(), BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("__id")), how)
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with ROW, a name of each row: its file and its place there. Rows that don't come from files are written first."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(ROW)
+    try:
+        return docs.select("*", place)
+    except AnalysisException:
+        return table(docs, "rows").select("*", place)
+
+
+def _without(docs: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of docs whose ROW isn't in gone (ROW). Rows are named, not documents: ids may be null or occur again."""
+    gone = table(gone.select(F.col(f"{ROW}.file").alias("__f"), F.col(f"{ROW}.at").alias("__a")).distinct(), "gone")
+    gone = small_or_plain(gone, gone.count(), BROADCAST_ROWS)
+    return docs.join(gone, (F.col(f"{ROW}.file") == F.col("__f")) & (F.col(f"{ROW}.at") == F.col("__a")), "left_anti").select(*columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; rows that share an id stay or go together."""
-    rated = quality.classify(docs, trusted_ids(spark, sf_dir))
-    return _among(docs, rated.filter("NOT kept"), "left_anti")
+    """Rows that the quality classifier keeps, each by its own text and language; null and empty texts go, texts are read
+    whole, equal rows stay or go alike, other columns stay as they are, no rows give none."""
+    rows = _named(docs)
+    rated = quality.classify(rows, trusted_ids(spark, sf_dir), carry=(ROW,))
+    return _without(rows, rated.filter("NOT kept"), docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id; texts without words all stay, but
-    of rows that share an id and a text one."""
-    kept = _among(docs, jaccard_join.join(docs).filter("NOT component_id <=> doc_id"), "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """Of each component of near duplicates, the row with the smallest id (none first; of equal ids, the first by file and
+    place); so of equal rows with words one stays. Rows without words, null texts too, all stay. Texts are read whole,
+    other columns stay as they are, no rows give none."""
+    rows = _named(docs)
+    found = jaccard_join.join(rows.withColumn("__id", F.struct("doc_id", ROW)), "__id")
+    return _without(rows, found.filter("component_id <> __id").select(f"__id.{ROW}"), docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return _among(docs, decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark")), "left_anti")
+    """Rows whose text holds no item of the benchmark, each by its own text; null and empty texts hold none. Texts are read
+    whole, other columns stay as they are; no rows give none, and without items all stay."""
+    rows = _named(docs)
+    return _without(rows, decontamination.decontaminate(rows, read(spark, sf_dir, "benchmark"), ROW), docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: as many equal rows as its taken words hold its size."""
-    taken = mixing.mix(docs).filter("size > 0").select(F.col("doc_id").alias("__id"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__n")).dropDuplicates(["__id"])
-    taken = table(taken, "taken")
-    rows = docs.join(small_or_plain(taken, taken.count(), BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("__id"))).filter("__n > 0")
-    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """Every row as often as the mix takes it: as many equal rows as its taken words hold its size. Texts without words,
+    null ones too, add nothing to a mix and go; rows of one id are taken alike, each by its own size. Other columns stay
+    as they are; no rows give none."""
+    rows = _named(docs)
+    taken = mixing.mix(rows, carry=(ROW,)).filter("size > 0").select(F.col(f"{ROW}.file").alias("__f"), F.col(f"{ROW}.at").alias("__a"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__n"))
+    taken = table(taken.filter("__n > 0"), "taken")
+    out = rows.join(small_or_plain(taken, taken.count(), BROADCAST_ROWS), (F.col(f"{ROW}.file") == F.col("__f")) & (F.col(f"{ROW}.at") == F.col("__a")))
+    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its slot and shard."""
+    """Every row with its slot and shard (they replace columns of these names): rows of one id share both, null is an id
+    too. No row is moved or lost; texts aren't looked at; no rows give none."""
     return sharding.place(docs)
 
 
@@ -65,7 +86,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", sharding_stage),
 ]
 
-#: SQL cannot express the first two stages; tests hold them against brute force.
+#: SQL cannot express the first three stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
