@@ -4,8 +4,8 @@ Texts are sequences of lines, lines are numbers. Prefix doubling ranks the suffi
 a rank pairs the ranks of two halves, and is the place of the pair in a global sort, so each level is the suffix array
 to that depth. Only blocks that occur again go on, as a block can't repeat when one of its halves doesn't. Suffixes that
 share their first f lines form a longest-common-prefix interval; its name is (f, rank of the first 2**k lines, rank of
-the last 2**k), with 2**k <= f. In every interval whose common lines reach min_words, the earliest run stays and the
-lines of later ones are deleted. A maximal repeated run is the union of the shortest runs of min_words in it, taken
+the last 2**k), with 2**k <= f. In every interval whose common lines reach min_words, the lines of later runs are deleted,
+but those that they share with the earliest one. A maximal repeated run is the union of the shortest runs of min_words in it, taken
 forward from each of its lines and backward from each, so only these are looked up, and no level past min_words
 lines is needed.
 """
@@ -54,19 +54,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with text cleaned, and three more columns: n_lines, n_removed, words_removed (they replace columns of
     these names).
 
-    A line goes when a run of lines that holds it, of at least min_words words together, also begins at an earlier
-    place; places are ordered by id (none first), then by row, then by line, and a run lies within one text. Lines are
+    A line goes when a run of lines that holds it, of at least min_words words together, also occurs at an earlier
+    place, and the earliest such place doesn't hold the line itself; so of a run that overlaps its own copies (a line
+    repeated over and over) the first min_words words' worth stays. What goes has an equal line that stays at an earlier
+    place. Places are ordered by id (none first), then by row, then by line, and a run lies within one text. Lines are
     compared without white space at their ends; blank lines are passed over: they stay, and a run may go on beyond
     them. Every row stays, also one whose lines all go (its text is then what blank lines it had, or empty). A null
-    text stays null; repeated rows are documents of their own.
+    text stays null and, like an empty one, has one line, a blank one; repeated rows and rows that share an id are
+    documents of their own. Texts are read whole, however long; other columns of docs stay as they are. No rows give none.
     """
     base = table(docs.drop("n_lines", "n_removed", "words_removed").withColumn("__rid", F.monotonically_increasing_id()), "line-docs")
     raw = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    blank = F.trim(F.regexp_replace("line", r"[\x09-\x0D]", " "))
-    lines = base.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.posexplode(raw).alias("raw", "line")).withColumn("line", blank).filter("line <> ''")
     # pos counts the lines that aren't blank, raw all lines
-    lines = lines.select("rid", "id", "raw", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"))
-    lines = table(lines.withColumn("pos", F.row_number().over(Window.partitionBy("rid").orderBy("raw"))), "lines")
+    trimmed = F.transform(raw, lambda line, at: F.struct(at.alias("raw"), F.trim(F.regexp_replace(line, r"[\x09-\x0D]", " ")).alias("line")))
+    lines = base.select(F.col("__rid").alias("rid"), F.posexplode(F.filter(trimmed, lambda x: x["line"] != "")).alias("pos", "x")).select("rid", "pos", "x.raw", "x.line")
+    lines = table(lines.select("rid", "pos", "raw", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")), "lines")
 
     level = _again(lines.select("rid", "pos", "a", "b"), ["a", "b"], "blocks")
     ends = level.select("rid", "pos")
@@ -93,7 +95,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = ["len", "head", "tail"]
     first = named.groupBy(*name).agg(F.min("place").alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = named.join(first, name).filter(F.col("place") > F.col("earliest"))
-    gone = later.select("rid", F.explode(F.sequence("first", "last")).alias("pos")).distinct()
+    begin = F.when(F.col("rid") == F.col("earliest.rid"), F.greatest("first", F.col("earliest.first") + F.col("len"))).otherwise(F.col("first"))
+    gone = later.select("rid", F.explode(F.sequence(begin, "last")).alias("pos")).distinct()
     gone = lines.join(gone, ["rid", "pos"], "left_semi").groupBy("rid").agg(F.collect_set("raw").alias("__gone"), F.sum("words").alias("__words"))
     gone = table(gone.withColumnRenamed("rid", "__rid"), "gone")
 

@@ -48,15 +48,18 @@ def slot_table(spark: SparkSession, shards: int | list[str], slots: int = SLOTS)
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The slot of a key; null has the slot of the empty string."""
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+    """The slot of a key: 60 bits of the MD5 of its string, so that other systems can tell it too; null has the slot of the
+    empty string."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
 def place(docs: DataFrame, key: str = "doc_id", shards: int | list[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """docs with two more columns: slot and shard (they replace columns of these names).
 
-    Every row stays, repeated ones too; rows of one key, and all rows without a key, share a shard. No row is
-    shuffled: the table of fixed size is broadcast.
+    Every row stays, repeated ones too; rows of one key, and all rows without a key, share a shard. Other columns, texts
+    of any length among them, stay as they are and aren't looked at; no rows give none. No row is shuffled: the table of
+    fixed size is broadcast.
     """
     rows = docs.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
     return rows.join(F.broadcast(slot_table(docs.sparkSession, shards, slots)), "slot").select(*rows.columns[:-1], "slot", "shard")

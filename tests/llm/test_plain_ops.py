@@ -161,9 +161,30 @@ def test_token_files_match_the_tokenizer(spark, tmp_path):
 # --- 8 ---
 
 
+def plain_slot(key, slots):
+    return int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:15], 16) % slots
+
+
+def plain_table(shards, slots):
+    """Each round, every shard claims the first free slot of its whole written-out preference order."""
+    prefer = []
+    for k in range(shards):
+        d = hashlib.sha256(f"shard-{k}".encode()).digest()
+        start, step = int.from_bytes(d[:8], "big") % slots, int.from_bytes(d[8:16], "big") % (slots - 1) + 1
+        prefer.append([(start + i * step) % slots for i in range(slots)])
+    owner = {}
+    while len(owner) < slots:
+        for k in range(shards):
+            free = next((x for x in prefer[k] if x not in owner), None)
+            if free is not None:
+                owner[free] = k
+    return [owner[i] for i in range(slots)]
+
+
 def test_sharding(spark):
     table = sharding.fill_table(7, 101)
     counts = collections.Counter(table)
+    assert table == plain_table(7, 101) and sharding.fill_table(2, 2) == plain_table(2, 2)
     assert set(counts) == set(range(7)) and max(counts.values()) - min(counts.values()) <= 1
     less = sharding.fill_table([f"shard-{i}" for i in range(7) if i != 3], 101)
     names = [i for i in range(7) if i != 3]
@@ -174,6 +195,7 @@ def test_sharding(spark):
     rows = some_docs()
     out = sharding.place(docs_of(spark, rows), shards=7, slots=101).collect()
     assert len(out) == len(rows) and all(table[r.slot] == r.shard for r in out)
+    assert all(r.slot == plain_slot(r.doc_id, 101) for r in out)
     assert len({r.shard for r in out if r.doc_id == 62}) == 1
     assert sharding.place(docs_of(spark, [])).count() == 0
 
@@ -198,7 +220,7 @@ def plain_mix(rows, weights=(5, 2, 1)):
 
 
 def test_mixing(spark):
-    rows = [r for r in some_docs(n=400) if len(r[1] or "") < 1000]
+    rows = some_docs(n=400)
     size, total, target = plain_mix(rows)
     for broadcast in (0, 100):
         out = mixing.mix(docs_of(spark, rows), broadcast_sources=broadcast).collect()
@@ -220,29 +242,46 @@ def test_mixing(spark):
 
 
 def plain_line_dedup(rows, min_words):
+    """Every run of at least min_words words, of any length: a line goes if an equal run is found earlier, at a first place
+    that doesn't hold the line."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
     lines = {k: [(at, x.strip(" \t\n\r\x0b\x0c")) for at, x in enumerate((rows[k][1] or "").split("\n"))] for k in order}
     lines = {k: [(at, x) for at, x in own if x] for k, own in lines.items()}
-    seen, gone = set(), collections.defaultdict(set)
+    first, gone = {}, collections.defaultdict(set)
     for k in order:
         own = lines[k]
+        words = [len(x.split()) for _, x in own]
         for a in range(len(own)):
-            words = 0
             for b in range(a, len(own)):
-                words += len(own[b][1].split())
-                if words >= min_words:
-                    run = tuple(x for _, x in own[a : b + 1])
-                    if run in seen:
-                        gone[k].update(at for at, _ in own[a : b + 1])
-                    seen.add(run)
+                if sum(words[a : b + 1]) >= min_words:
+                    where = first.setdefault(tuple(x for _, x in own[a : b + 1]), (k, a, b))
+                    gone[k].update(own[c][0] for c in range(a, b + 1) if where[0] != k or not where[1] <= c <= where[2])
     return {k: "\n".join(x for at, x in enumerate((rows[k][1] or "").split("\n")) if at not in gone[k]) for k in order}, gone
 
 
-@pytest.mark.parametrize("min_words", [1, 6, 11])
+@pytest.mark.parametrize("min_words", [1, 6, 11, 50])
 def test_line_dedup(spark, min_words):
-    rows = [r for r in some_docs(seed=min_words, n=40) if len(r[1] or "") < 1000 and r[0] not in (42,)]
+    rows = some_docs(seed=min_words, n=40)
+    rng = random.Random(min_words)
+    rows += [(100 + k, "\n".join(rng.choice(["a b c", "d e", "f g h i"][: k % 3 + 1]) for _ in range(40)), "s") for k in range(6)]
     want, gone = plain_line_dedup(rows, min_words)
     out = line_dedup.line_dedup(docs_of(spark, rows).coalesce(1), min_words=min_words).collect()
     assert collections.Counter((r.doc_id, r.text or "", r.n_removed) for r in out) == collections.Counter((rows[k][0], want[k], len(gone[k])) for k in want)
     assert any(gone.values())
+    assert {r.doc_id: r.n_lines for r in out}[40] == 1 and {r.doc_id: r.text for r in out}[40] is None
     assert line_dedup.line_dedup(docs_of(spark, [])).count() == 0
+
+
+def test_line_dedup_keeps_a_run_of_what_repeats_in_itself(spark):
+    line = "one two three four five six seven eight nine ten"
+    rows = [(1, "\n".join([line] * 12), "s"), (2, "\n".join([line] * 5), "s"), (3, "\n".join([line] * 4), "s")]
+    out = {r.doc_id: r for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert [out[k].n_removed for k in (1, 2, 3)] == [7, 5, 0] and out[1].words_removed == 70 and out[1].text == "\n".join([line] * 5)
+
+
+def test_line_dedup_leaves_a_copy_of_each_line(spark):
+    """What goes has an equal line that stays at an earlier place."""
+    rows = [r for r in some_docs(seed=9, n=50)]
+    out = line_dedup.line_dedup(docs_of(spark, rows).coalesce(1), min_words=4).collect()
+    left = {x.strip() for r in out for x in (r.text or "").split("\n")}
+    assert {x.strip() for _, t, _ in rows for x in (t or "").split("\n")} - {""} <= left
