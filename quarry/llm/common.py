@@ -60,6 +60,11 @@ def small_or_plain(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= limit else df
 
 
+def nullable(df: DataFrame, name: str) -> Column:
+    """A column whose nested fields may be null, as Python workers return them."""
+    return F.col(name).cast(df.schema[name].dataType.simpleString()).alias(name)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

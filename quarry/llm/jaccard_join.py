@@ -1,19 +1,19 @@
 """Exact Jaccard join of word shingles by recursive regions in the metric space.
 
-Texts with equal shingle sets are one node. Two sets that reach the similarity share a shingle among the first few of
-each in any common order; so every such shingle is the pivot of a region that holds the nodes near it. The order puts
-rare shingles first, so that what many texts share rarely makes a region. Within regions:
-
-* A member is measured against a pivot member; what is near enough is linked, and two members linked to the same
-  pivot need no comparison: they are in one component already.
-* What remains unlinked is measured against further pivots.
-* Regions that still hold several components are split into Voronoi cells around pivots, by a distance that never
-  exceeds the size of the symmetric difference (the Hamming distance of parity sketches); by the triangle inequality a
-  member within a window of a cell's border is copied to that cell; cells split again until they are small or no
-  longer shrink, and each is joined exactly.
-
-Pairs of different components that pass the sizes' and sketches' bounds are compared by their full sets. So no link that
-could join two components is lost, and no group is expanded into all its pairs.
+Texts with equal shingle sets are one node, whose name is a hash. Two sets that reach the similarity share a shingle among
+the first few of each in any common order (rare ones first here), so nodes that share none of those are beyond any
+window. What follows is linear in rows at every step:
+
+* The nodes around one such shingle elect a pivot document, the one with the least name, and all go to the pivot's cell.
+  Neighbouring shingles elect the same pivot, so that a group of copies meets in a few cells and not once a shingle.
+* A cell that outgrows a task is split around its pivot: members linked to the pivot are one component and are never
+  compared with each other; by the triangle inequality only the others within a window of the pivot's ball can link to
+  them, and are copied to the blocks of the ball; the others also meet among themselves, block by block.
+* A task splits its cell into Voronoi cells around further pivots, by a distance that never exceeds the size of the
+  symmetric difference (the Hamming distance of parity sketches); members within a window of a border are copied; cells
+  split again until they are small or no longer shrink. First only members that have a possible partner go on; then
+  these come with their full sets, pairs of different components are compared exactly, and the links that join
+  components are all that a cell returns.
 """
 
 from __future__ import annotations
@@ -26,16 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_table, ship_code, small_or_plain, table
+from quarry.llm.common import drop_table, nullable, ship_code, small_or_plain, table
 
 WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 80
-#: Shingles of so large a share of all (one in 2**20) go last in the order; so there are no more than 2**20 of them.
-HOT_SHARE = 20
-#: Pivot members of a region in each round of stars.
-STARS = (1, 4, 4)
+#: So many shingles at most go last in the order, the more frequent the later: all that occur a power of two times or
+#: more, the least power that the bound allows. Workers hold 16 bytes for each.
+HOT_SHINGLES = 1 << 18
+#: Shingles, over all members, that a cell may have in one task; each member counts MEMBER more.
+CELL_SHINGLES = 8_000_000
+MEMBER = 400
+#: Members of a cell that a task joins without splitting it.
 CELL = 256
+#: Members of a cell that are compared one by one, without arrays.
+FEW = 16
 BROADCAST_ROWS = 200_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -77,30 +82,39 @@ def _folded(x: np.ndarray) -> np.ndarray:
     return np.packbits(bits[..., 0::2] ^ bits[..., 1::2], axis=-1)
 
 
+def _fold_to(x: bytes, size: int) -> bytes:
+    y = np.frombuffer(x, np.uint8)
+    while len(y) > size:
+        y = _folded(y)
+    return y.tobytes()
+
+
 def _near(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) != len(y):
-        x, y = (_folded(x), y) if len(x) > len(y) else (x, _folded(y))
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(a), len(b))
+    a, b = a if len(a) == size else _fold_to(a, size), b if len(b) == size else _fold_to(b, size)
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
 
 
-def _prefix(s: np.ndarray, hot: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles in the order (how often if hot, hash), of which similar sets share one."""
+def _prefix(s: np.ndarray, hot: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in the order (how often if hot, hash), of which similar sets share one: those that aren't hot,
+    and those that are."""
     n = len(s) - -(-percent * len(s) // 100) + 1
     if len(hot):
         at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
         rank = np.where(hot[at] == s, often[at], 0)
         if rank.any():
-            return s[np.argsort(rank, kind="stable")[:n]]
-    return s[:n]
+            order = np.argsort(rank, kind="stable")[:n]
+            cold = np.searchsorted(rank[order], 0, side="right")
+            return s[order[:cold]], s[order[cold:]]
+    return s[:n], s[:0]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def hot_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the shingles that make up over one in 2**HOT_SHARE of all.
+def hot_shingles(docs: DataFrame, text_col: str, most: int = HOT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the most frequent shingles, `most` at most.
 
     Counts cover all texts; a task leaves out what it sees once among thousands of texts, which only moves a
     shingle's place in the order.
@@ -115,13 +129,16 @@ def hot_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
                 size += len(held[-1])
                 if size > 4_000_000 or k == len(texts) - 1:
                     s, n = np.unique(np.concatenate(held), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"s": pa.array(_signed(np.append(s[n > 1], np.uint64(0)))), "n": pa.array(np.append(n[n > 1], 0)), "total": pa.array(np.append(np.zeros((n > 1).sum(), np.int64), size))})
+                    yield pa.RecordBatch.from_pydict({"s": pa.array(_signed(s[n > 1])), "n": pa.array(n[n > 1])})
                     held, size = [], 0
 
-    counts = table(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "s long, n long, total long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "shingle-counts")
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    # no more than 2**HOT_SHARE rows can pass
-    rows = counts.filter(F.col("n") > max(8, total >> HOT_SHARE)).select("s", "n").toPandas()
+    counts = table(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "shingle-counts")
+    power, left = 64, most
+    for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():  # 63 rows at most
+        if r["count"] > left:
+            break
+        power, left = r.power, left - r["count"]
+    rows = counts.filter(F.floor(F.log2("n")) >= power).select("s", "n").toPandas()  # `most` rows at most
     drop_table(counts)
     s, n = rows["s"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(s)
@@ -129,31 +146,36 @@ def hot_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray, often: np.ndarray, percent: int) -> DataFrame:
-    """(id, node, n, sketch, prefix) of every row; node names the shingle set."""
+    """(id, node, n, sketch, prefix, hot) of every row; node names the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column("t").to_pylist()]
             node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-            first = [_signed(_prefix(s, hot, often, percent)) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "node": pa.array(node, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.binary()), "prefix": pa.array(first, pa.list_(pa.int64()))})
+            first = [_prefix(s, hot, often, percent) if len(s) else (s, s) for s in sets]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "node": pa.array(node, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.binary()), "prefix": pa.array([_signed(x) for x, _ in first], pa.list_(pa.int64())), "hot": pa.array([_signed(x) for _, x in first], pa.list_(pa.int64()))})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, node long, n long, sketch binary, prefix array<long>"), "sets")
+    return table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, node long, n long, sketch binary, prefix array<long>, hot array<long>"), "sets")
+
+
+def _cuts(names: np.ndarray) -> list[int]:
+    """Where runs of equal names begin, and the end."""
+    return [*np.flatnonzero(np.append(True, names[1:] != names[:-1])).tolist(), len(names)] if len(names) else [0]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole regions: columns of sorted batches, cut only between tokens. A region that spans batches is held."""
+    """Whole cells: columns of sorted batches, cut only between cells. A cell that spans batches is held."""
     held: list[dict] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-        token = own["token"]
-        if held and held[-1]["token"][-1] == token[0] == token[-1]:
+        cell = own["cell"]
+        if held and held[-1]["cell"][-1] == cell[0] == cell[-1]:
             held.append(own)
             continue
-        cut = int(np.searchsorted(token, token[-1], side="left"))
+        cut = int(np.searchsorted(cell, cell[-1], side="left"))
         held.append({c: v[:cut] for c, v in own.items()})
         if cut or len(held) > 1:
             yield {c: np.concatenate([h[c] for h in held]) for c in names}
@@ -162,42 +184,93 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
         yield {c: np.concatenate([h[c] for h in held]) for c in names}
 
 
-def _by_token(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token").sortWithinPartitions("token", *order)
+def _dealt(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).sortWithinPartitions(by, *order)
+
 
+def first_cells(sets: DataFrame) -> DataFrame:
+    """(cell, node), distinct: the pivots that a node's shingles elect, but itself.
 
-def star_round(members: DataFrame, turn: int, stars: int, percent: int) -> DataFrame:
-    """members (token, node, n, comp) -> those of regions with several components, with pivots, pivot_ns: some members of
-    the region, or null for those of the same component or of a size that forbids a link."""
+    Shingles that aren't hot are dealt out, and pass a task in order, without being held; hot ones, of which there are no
+    more than HOT_SHINGLES, are elected by an aggregate that is broadcast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _runs(batches, ["token", "node", "n", "comp"]):
-            begins = np.flatnonzero(np.append(True, r["token"][1:] != r["token"][:-1]))
-            several = np.minimum.reduceat(r["comp"], begins) != np.maximum.reduceat(r["comp"], begins)
-            keep = np.repeat(several, np.diff(np.append(begins, len(r["token"]))))
-            if not keep.any():
+        last = pivot = None
+        out, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            token, node, n, comp = (r[c][keep] for c in ("token", "node", "n", "comp"))
-            begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            sizes = np.diff(np.append(begins, len(token)))
-            region = np.repeat(np.arange(len(begins)), sizes)
-            pivots, allowed = np.zeros((len(token), stars), np.int64), np.zeros((len(token), stars), bool)
-            for k in range(stars):
-                # pivots change from turn to turn, but are the same in all regions that share their members
-                key = _scramble(node.view(np.uint64) + np.uint64(turn * stars + k) * _MIX[0])
-                pivots[:, k] = np.repeat(np.lexsort((key, region))[begins], sizes)
-                low, high = np.minimum(n, n[pivots[:, k]]), np.maximum(n, n[pivots[:, k]])
-                allowed[:, k] = (comp != comp[pivots[:, k]]) & (100 * low >= percent * high)
-            ends = pa.array(np.arange(0, len(token) * stars + 1, stars), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x[pivots].ravel(), mask=~allowed.ravel())) for x in (node, n)]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(token), "node": pa.array(node), "n": pa.array(n), "pivots": lists[0], "pivot_ns": lists[1]})
-
-    return table(_by_token(members, "node").mapInArrow(run, "token long, node long, n long, pivots array<long>, pivot_ns array<long>"), "regions")
-
-
-def _cells(sk: np.ndarray, n: np.ndarray, own: np.ndarray, copied: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Splits a region (members own, and copied ones from beyond its border) into cells that are joined by themselves."""
-    most = (2 * int(n[own].max(initial=0)) * 5 // 4) // 9  # a link's two sets differ by no more
+            token, node = batch.column("token").to_numpy(), batch.column("node").to_numpy()
+            cuts = np.array(_cuts(token))
+            first = node[cuts[:-1]]
+            if last == token[0]:
+                first[0] = pivot
+            last, pivot = token[-1], first[-1]
+            cell = np.repeat(first, np.diff(cuts))
+            out.append(np.stack([cell, node], axis=1)[cell != node])
+            size += len(out[-1])
+            if size > 500_000:
+                rows, out, size = np.unique(np.concatenate(out), axis=0), [], 0
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(rows[:, 0]), "node": pa.array(rows[:, 1])})
+        if size:
+            rows = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(rows[:, 0]), "node": pa.array(rows[:, 1])})
+
+    cold = _dealt(sets.select(F.explode("prefix").alias("token"), "node"), "token", "node").mapInArrow(run, "cell long, node long")
+    hot = sets.select(F.explode("hot").alias("token"), "node")
+    pivots = hot.groupBy("token").agg(F.min("node").alias("cell"))
+    return table(cold.unionByName(hot.join(F.broadcast(pivots), "token").filter("cell <> node").select("cell", "node")).distinct(), "cells")
+
+
+def split_cells(cells: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, broadcast_rows: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """cells (cell, node, n, sketch, own) with those of more than `most` shingles split, and the links that are known now.
+
+    own: the node, or for members that are linked to their cell's pivot, the pivot.
+    """
+    weight = F.col("n") + MEMBER
+    cells = cells.withColumn("own", F.col("node"))
+    sizes = table(cells.groupBy("cell").agg(F.sum(weight).alias("sum"), F.count("*").alias("m")).filter((F.col("sum") > most) & (F.col("m") > 2)).select("cell"), "large")
+    if sizes.isEmpty():
+        return cells, None
+    own = table(cells.join(sizes, "cell"), "split")
+    rest = cells.join(sizes, "cell", "left_anti")
+    pivots = nodes.join(sizes, F.col("node") == F.col("cell"), "left_semi").select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    rows = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("cell").alias("b")).join(pivots, "b")
+
+    def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """near: a link with the pivot is possible; close: one with a member that is linked to the pivot."""
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            h = np.array([_near(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
+            low, high = np.minimum(na, nb), np.maximum(na, nb)
+            near = (100 * low >= percent * high) & ((100 - percent) * (na + nb) >= (100 + percent) * h)
+            # a member between the two has low * 100 / percent shingles at most
+            close = (100 - percent) * (percent * (na + nb) + 200 * low) >= percent * (100 + percent) * h
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "near": pa.array(near), "close": pa.array(close)})
+
+    rows = table(rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(ball, "a long, b long, near boolean, close boolean"), "balls")
+    links = verified(rows.filter("near AND a <> b").select("a", "b"), nodes, docs, id_col, text_col, percent, broadcast_rows)
+    linked = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("l", F.lit(True))
+    linked = rows.select("a", "b", "close").join(linked, ["a", "b"], "left")
+    linked = linked.select(F.col("b").alias("cell"), F.col("a").alias("node"), "close", (F.coalesce("l", F.lit(False)) | (F.col("a") == F.col("b"))).alias("linked"))
+    own = table(own.join(linked, ["cell", "node"]), "split")
+    many = own.groupBy("cell").agg(*(F.ceil(2 * F.sum(F.when(c, weight).otherwise(0)) / most).cast("int").alias(a) for a, c in (("nl", F.col("linked")), ("nu", ~F.col("linked")))))
+    own = own.join(many, "cell").filter("nu > 0").withColumn("own", F.when(F.col("linked"), F.col("cell")).otherwise(F.col("node")))
+    block = lambda n: F.pmod(F.xxhash64(F.lit(5), "node"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    mine, base = block("nu"), ["cell", "node", "n", "sketch", "own"]
+    key = lambda kind, a, b: F.xxhash64("cell", F.lit(kind), a, b).alias("cell")
+    inner = own.filter("linked").withColumn("i", block("nl")).withColumn("j", F.explode(upto("nu"))).select(key("ball", "i", "j"), *base[1:])
+    outer = own.filter("NOT linked")
+    rim = outer.filter("close").withColumn("j", mine).withColumn("i", F.explode(upto("nl"))).select(key("ball", "i", "j"), *base[1:])
+    outer = outer.withColumn("me", mine).withColumn("k", F.explode(upto("nu"))).select(key("rest", F.least("me", "k").alias("i"), F.greatest("me", "k").alias("j")), *base[1:])
+    return table(rest.select(*base).unionByName(inner).unionByName(rim).unionByName(outer), "cells"), links
+
+
+def _voronoi(sk: np.ndarray, n: np.ndarray, own: np.ndarray, copied: np.ndarray, percent: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Splits a cell (members own, and copied ones from beyond its border) into cells that are joined by themselves."""
+    most = 200 * int(n[own].max(initial=0)) * (100 - percent) // (percent * (100 + percent))  # a link's two sets differ by no more
     if len(own) + len(copied) <= CELL or len(own) < 2 or depth > 6:
         yield own, copied
         return
@@ -216,117 +289,130 @@ def _cells(sk: np.ndarray, n: np.ndarray, own: np.ndarray, copied: np.ndarray, d
         yield own, copied  # the windows hold nearly all: no metric split helps here
         return
     for core, rim in parts:
-        yield from _cells(sk, n, core, rim, depth + 1)
-
-
-def region_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one region, in different components, that sizes and sketches allow to be linked."""
-    least = min(map(len, sketches))
-    # sketches of members of very different sizes are folded to the region's shortest in steps of a size class
+        yield from _voronoi(sk, n, core, rim, percent, depth + 1)
+
+
+def near_pairs(n: np.ndarray, sketches: list[bytes], percent: int, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Members i of a cell with those others that sizes and sketches allow to be linked to i; every such pair of different
+    groups comes at least once. group may change between steps."""
+    if len(n) <= FEW:
+        sizes, kept = n.tolist(), list(sketches)
+        for i in range(len(sizes)):
+            found = []
+            for j in range(i + 1, len(sizes)):
+                x, y = sizes[i], sizes[j]
+                if group[i] != group[j] and 100 * min(x, y) >= percent * max(x, y) and (100 - percent) * (x + y) >= (100 + percent) * _near(kept[i], kept[j]):
+                    found.append(j)
+            if found:
+                yield i, np.array(found)
+        return
     order = np.argsort(n, kind="stable")
     at = 0
     while at < len(order):
-        # the members from at on, up to the largest that may link to one of the first size class
-        top = n[order[at]] * 5 // 4
+        # the members from at on, up to the largest that may link to the first, and then up to the largest that may link to those
+        top = n[order[at]] * 100 // percent
         end = int(np.searchsorted(n[order], top, side="right"))
-        stop = int(np.searchsorted(n[order], top * 5 // 4, side="right"))
-        group = order[at:stop]
-        least = min(len(sketches[k]) for k in group)
-        sk = np.zeros((len(node), least), np.uint8)
-        for k in group.tolist():
-            x = np.frombuffer(sketches[k], np.uint8)
-            while len(x) > least:
-                x = _folded(x)
-            sk[k] = x
-        for core, rim in _cells(sk, n, order[at:end], order[end:stop], 0):
+        stop = int(np.searchsorted(n[order], top * 100 // percent, side="right"))
+        least = min(len(sketches[k]) for k in order[at:stop])
+        sk = np.zeros((len(n), least), np.uint8)
+        for k in order[at:stop].tolist():
+            sk[k] = np.frombuffer(_fold_to(sketches[k], least), np.uint8)
+        for core, rim in _voronoi(sk, n, order[at:end], order[end:stop], percent, 0):
             every = np.concatenate([core, rim])
             for k, i in enumerate(core.tolist()):
                 rest = every[k + 1 :]
                 low, high = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
-                rest = rest[(100 * low >= percent * high) & (comp[rest] != comp[i])]
+                rest = rest[(100 * low >= percent * high) & (group[rest] != group[i])]
                 if len(rest):
                     h = np.bitwise_count(sk[rest] ^ sk[i]).sum(axis=1, dtype=np.int64)
                     rest = rest[(100 - percent) * (n[rest] + n[i]) >= (100 + percent) * h]
                     if len(rest):
-                        yield np.full(len(rest), i), rest
+                        yield i, rest
         at = end
 
 
-def last_round(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b, na, nb) of different components in the regions left that the bounds allow."""
+def partners(cells: DataFrame, percent: int) -> DataFrame:
+    """Those of cells (cell, node, n, sketch, own) that have a possible partner of another own in their cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            # a pair meets in many regions
-            pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in out]), axis=0)
-            out.clear()
-            return pa.RecordBatch.from_pydict({c: pa.array(pairs[:, k]) for k, c in enumerate(("a", "b", "na", "nb"))})
-
-        out: list[tuple] = []
-        size = 0
-        for r in _runs(batches, ["token", "node", "n", "comp", "sketch"]):
-            token = r["token"]
-            begins = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        for r in _runs(batches, ["cell", "node", "n", "sketch", "own"]):
+            has, cuts = np.zeros(len(r["node"]), bool), _cuts(r["cell"])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1:
-                    node, n, comp = r["node"][a:b], r["n"][a:b], r["comp"][a:b]
-                    for i, j in region_pairs(node, n, comp, r["sketch"][a:b].tolist(), percent):
-                        out.append((node[i], node[j], n[i], n[j]))
-                        size += len(i)
-                if size > 500_000:
-                    yield flush()
-                    size = 0
-        if out:
-            yield flush()
-
-    with_sketch = members.join(nodes.select("node", "sketch"), "node")
-    return _by_token(with_sketch, "node").mapInArrow(run, "a long, b long, na long, nb long")
+                    own = np.unique(r["own"][a:b], return_inverse=True)[1]
+                    # members that are known to have a partner are one group, as their pairs tell nothing new
+                    group = own.copy()
+                    for i, rest in near_pairs(r["n"][a:b], r["sketch"][a:b].tolist(), percent, group):
+                        rest = rest[own[rest] != own[i]]
+                        if len(rest):
+                            group[i], group[rest] = -1, -1
+                    has[a:b] = group < 0
+            if has.any():
+                yield pa.RecordBatch.from_pydict({c: pa.array(v[has], pa.binary() if c == "sketch" else pa.int64()) for c, v in r.items()})
 
+    return table(_dealt(cells, "cell", "node").mapInArrow(run, "cell long, node long, n long, sketch binary, own long"), "partners")
 
-def allowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sketches allow the similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            h = np.array([_near(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array((100 - percent) * (na + nb) >= (100 + percent) * h))
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    a, b = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long")
 
+def cell_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): exact links, of which no two join the same components of a cell."""
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, broadcast_rows: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    pairs = table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "id"), "wanted")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _runs(batches, ["cell", "node", "n", "sketch", "own", "s"]):
+            found, cuts = [], _cuts(r["cell"])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                sets, group = [np.frombuffer(x, np.uint64) for x in r["s"][a:b]], np.unique(r["own"][a:b], return_inverse=True)[1]
+                for i, rest in near_pairs(r["n"][a:b], r["sketch"][a:b].tolist(), percent, group):
+                    for j in rest.tolist():
+                        if group[i] != group[j] and _similar(sets[i], sets[j], percent):
+                            group[group == group[j]] = group[i]
+                            found.append((a + i, a + j))
+            if found:
+                at = np.array(found)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(r["node"][at[:, 0]]), "b": pa.array(r["node"][at[:, 1]])})
+
+    return table(_dealt(members.join(full, "node"), "cell", "node").select("cell", "node", "n", "sketch", "own", "s").mapInArrow(run, "a long, b long"), "links")
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
+    """(node, s): the sorted sets of the nodes wanted (node, id)."""
     ids = wanted.select(F.col("id").alias("__id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(small_or_plain(ids, wanted.count(), broadcast_rows), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t) for t in batch.column("t").to_pylist()]
             node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in own]
             yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "s": pa.array([s.tobytes() for s in own], pa.binary())})
 
-    found = table(texts.select("t").mapInArrow(sets, "node long, s binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "full-sets")
+    # an id may have several texts, and a text several rows of one id
+    return table(texts.select("t").mapInArrow(run, "node long, s binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "full-sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, broadcast_rows: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+    pairs = table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "id"), "wanted")
+    full = full_sets(wanted, docs, id_col, text_col, broadcast_rows)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                total = len(x) + len(y)
-                union = len(np.unique(np.concatenate([x, y])))
-                good.append(100 * (total - union) >= percent * union)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    with_a = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = with_a.join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    edges = table(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
-    for done in (pairs, wanted, found):
+            sets = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets], pa.bool_()))
+
+    both = pairs.join(full.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    links = table(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    for done in (pairs, wanted, full):
         drop_table(done)
-    return edges
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -356,49 +442,38 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def extended(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """label (node, comp) after further links (a, b): only the components that they join are contracted."""
-    if label is None:
-        return components(links)
-    side = lambda c, to: label.select(F.col("node").alias(c), F.col("comp").alias(to))
-    mapped = links.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    step = components(mapped.distinct())
-    old = label.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return table(old.unionByName(step.join(label.select("node"), "node", "left_anti")), "labels")
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """A row per row of docs: <id>, n_shingles, component_id.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text's set is that of its shingles of five
     words, or its whole sequence if it has fewer words. Texts link when their sets' Jaccard similarity is `percent`
-    hundredths or more, and a component is what links reach; its id is the smallest id in it. Null texts and
-    texts without words have no shingles and link with nothing. Rows with the same text link; equal ids don't.
+    hundredths (1 to 100) or more, and a component is what links reach; its id is the smallest id in it. Null texts
+    and texts without words have no shingles and link with nothing. Rows with the same text link; equal ids don't: each
+    row of a repeated id goes by its own text. Texts are read whole, however long; a cell with very long ones holds fewer.
+    Other columns of docs, whatever their names, are not looked at. No rows give no rows.
     """
     ship_code(docs.sparkSession)
-    hot, often = hot_shingles(docs, text_col)
-    sets = describe(docs, id_col, text_col, hot, often, percent)
+    docs = docs.select(nullable(docs, id_col).alias("__i"), F.col(text_col).alias("__t"))
+    names = ("__i", "__t")
+    hot, often = hot_shingles(docs, "__t")
+    sets = describe(docs, *names, hot, often, percent)
     nodes = table(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    members = sets.select(F.explode("prefix").alias("token"), "node", "n").withColumn("comp", F.col("node"))
-
-    label, tested = None, None
-    for turn in range(len(STARS) + 1):
-        if turn < len(STARS):
-            regions = star_round(members, turn, STARS[turn], percent)
-            pairs = regions.select("node", "n", F.explode(F.arrays_zip("pivots", "pivot_ns")).alias("p")).filter("p.pivots IS NOT NULL")
-            pairs = pairs.select(F.col("node").alias("a"), F.col("p.pivots").alias("b"), F.col("n").alias("na"), F.col("p.pivot_ns").alias("nb"))
-            pairs = allowed(pairs.distinct(), nodes, percent)
-        else:
-            pairs = last_round(members, nodes, percent)
-        pairs = table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        if tested is not None:
-            pairs = table(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = verified(pairs, nodes, docs, id_col, text_col, percent, broadcast_rows)
-        label = extended(label, links)
-        if turn < len(STARS):
-            members = regions.select("token", "node", "n").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
+    cells = first_cells(sets)
+    whole = cells.unionByName(cells.select("cell", F.col("cell").alias("node")).distinct())
+    dealt = table(whole.join(nodes.select("node", "n", "sketch"), "node").select("cell", "node", "n", "sketch"), "dealt")
+    drop_table(cells)
+    cells, known = split_cells(dealt, nodes, docs, *names, percent, broadcast_rows, cell_shingles)
+    members = partners(cells, percent)
+    for done in (dealt, cells):
+        drop_table(done)
+    wanted = table(members.select("node").distinct().join(nodes.select("node", "id"), "node"), "wanted")
+    full = full_sets(wanted, docs, *names, broadcast_rows)
+    links = cell_links(members, full, percent)
+    for done in (members, wanted, full):
+        drop_table(done)
+
+    label = components(links if known is None else links.unionByName(known))
     own = label.withColumnRenamed("node", "__n")
     named = nodes.select("node", "id").join(own, F.col("node") == F.col("__n"), "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
