@@ -4,7 +4,8 @@ The model's tokens are characters within words, each word padded at its start an
 ORDER tokens. Counts are exact, over all trusted texts: tasks count their own words, the shuffle adds up n-grams, and
 each lower order counts how many different tokens precede (the continuation counts). Probabilities are made by joins of
 sharded count tables, order by order, for just those n-grams that the documents have. Each block of documents asks for
-its distinct n-grams once and gets their log-probabilities back; a document's perplexity is that of its tokens.
+its distinct n-grams once and gets their log-probabilities back; a document's perplexity is that of its tokens. Texts travel
+to their block as compressed batches, and are unpacked one batch at a time.
 Thresholds are quantiles, by language, of trusted documents held out from the counts.
 """
 
@@ -18,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import release, ship_code, small_or_plain, table
+from quarry.llm.common import drop_table, nullable, ship_code, small_or_plain, table
 
 ORDER = 5
 PAD, END = "\u0002", "\u0003"
-#: Characters of text in a block, which one task holds at a time.
-BLOCK_CHARS = 64_000_000
+#: Characters of text in a block, whose distinct n-grams one task holds at a time.
+BLOCK_CHARS = 32_000_000
 #: Distinct words that a task remembers before it hands on their n-grams.
 WORDS_AT_ONCE = 300_000
 #: Share of held-out trusted documents that a language's threshold keeps.
@@ -32,8 +33,11 @@ KEEP_QUANTILE = 0.995
 HELD_OUT_TENTHS = 2
 #: Up to so many trusted ids are broadcast, so that texts aren't shuffled to find them.
 BROADCAST_IDS = 1_000_000
-#: Held-out documents that a language needs for a threshold of its own; else that of all languages holds.
-LEAST_HELD_OUT = 50
+#: Held-out documents at which a language's own quantile counts as much as its median plus what all languages' quantile
+#: is above their medians.
+PRIOR_HELD_OUT = 50
+#: Up to so many languages' thresholds are broadcast.
+BROADCAST_LANGS = 100_000
 
 
 def word_grams(word: str) -> list[str]:
@@ -191,6 +195,36 @@ def probabilities(asked: DataFrame, grams: list[DataFrame], contexts: list[DataF
     return lower
 
 
+def _pack(batch: pa.RecordBatch) -> bytes:
+    import zstandard
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _unpack(payload: bytes) -> pa.Table:
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows (block, ...) as (block, payload): the rows of each batch that share a block are one payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1])) if len(block) else []
+            rest = batch.drop_columns(["block"])
+            for own in np.split(order, cuts[1:]) if len(block) else []:
+                yield pa.RecordBatch.from_pydict({"block": pa.array(block[own[:1]], pa.int32()), "payload": pa.array([_pack(rest.take(pa.array(own)))], pa.binary())})
+
+    return rows.mapInArrow(run, "block int, payload binary")
+
+
 def score(docs: DataFrame, counts: DataFrame, keys: list[str], text_col: str = "text", n_blocks: int | None = None) -> DataFrame:
     """(keys, tokens, nll): the number of tokens of each text and the mean of their negative log-probabilities; nll is
     null for a text without words."""
@@ -201,71 +235,102 @@ def score(docs: DataFrame, counts: DataFrame, keys: list[str], text_col: str = "
     block = F.pmod(F.xxhash64(*keys, F.col(text_col)), F.lit(n_blocks)).cast("int").alias("block")
     rows = docs.select(block, *keys, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
-    def grams_of(by_block: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[int, set[str]] = {}
+    def all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[str] = set()
 
-            def flush(b: int) -> pa.RecordBatch:
-                found = distinct_grams(list(seen.pop(b)))[0]
-                out = {"block": pa.array([b] * len(found), pa.int32())} if by_block else {}
-                return pa.RecordBatch.from_pydict(out | {"gram": pa.array(found, pa.string())})
+        def flush() -> pa.RecordBatch:
+            found = distinct_grams(list(words))[0]
+            words.clear()
+            return pa.RecordBatch.from_pydict({"gram": pa.array(found, pa.string())})
 
-            for batch in batches:
-                texts = batch.column("t").to_pylist()
-                for b, t in zip(batch.column("block").to_pylist() if by_block else [0] * len(texts), texts, strict=True):
-                    own = seen.setdefault(b, set())
-                    own.update(t.split())
-                    if len(own) > WORDS_AT_ONCE:
-                        yield flush(b)
-            for b in [b for b, own in seen.items() if own]:
-                yield flush(b)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                words.update(t.split())
+            if len(words) > WORDS_AT_ONCE:
+                yield flush()
+        if words:
+            yield flush()
+
+    def block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
 
-        return run
+        def flush(b: int) -> pa.RecordBatch:
+            found = distinct_grams(list(seen.pop(b)))[0]
+            return pa.RecordBatch.from_pydict({"block": pa.array([b] * len(found), pa.int32()), "gram": pa.array(found, pa.string())})
 
-    answers = probabilities(table(rows.select("t").mapInArrow(grams_of(False), "gram string").distinct(), "asked"), grams, contexts, discounts)
-    release(docs.sparkSession)
+        for batch in batches:
+            for b, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
+                own = seen.setdefault(b, set())
+                for t in _unpack(payload.as_buffer()).column("t").to_pylist():
+                    own.update(t.split())
+                if len(own) > WORDS_AT_ONCE:
+                    yield flush(b)
+        for b in [b for b, own in seen.items() if own]:
+            yield flush(b)
+
+    asked = table(rows.select("t").mapInArrow(all_grams, "gram string").distinct(), "asked")
+    answers = probabilities(asked, grams, contexts, discounts)
+    for done in (asked, *grams, *contexts):
+        drop_table(done)
     # both uses of blocks read all of its columns, so that the texts are shuffled once
-    blocks = rows.repartition(max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
-    told = blocks.mapInArrow(grams_of(True), "block int, gram string").join(answers, "gram").select("block", "gram", F.log("p").cast("float").alias("lp"))
+    blocks = packed(rows).repartition(max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
+    told = blocks.mapInArrow(block_grams, "block int, gram string").join(answers, "gram").select("block", "gram", F.log("p").cast("float").alias("lp"))
 
     def rated(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rate = WordScores(right.column("gram").to_pylist(), right.column("lp").to_numpy()) if right.num_rows else None
-        tokens, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for chunk in left.column("t").chunks:
-            for a in range(0, len(chunk), 500):
-                texts = chunk.slice(a, 500).to_pylist()
+        out = []
+        for payload in left.column("payload"):
+            own = _unpack(payload.as_buffer())
+            tokens, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for a in range(0, own.num_rows, 500):
+                texts = own.column("t").slice(a, 500).to_pylist()
                 got = rate(texts) if rate else (np.zeros(len(texts), np.int64), np.full(len(texts), np.nan))
                 tokens, nll = [*tokens, got[0]], [*nll, got[1]]
-        out = {k: left.column(k) for k in keys}
-        return pa.table(out | {"tokens": np.concatenate(tokens), "nll": pa.array(np.concatenate(nll), from_pandas=True)})
+            out.append(pa.table({k: own.column(k) for k in keys} | {"tokens": np.concatenate(tokens), "nll": pa.array(np.concatenate(nll), from_pandas=True)}))
+        return pa.concat_tables(out)
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    # every block has texts: a block of answers alone can't come
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(rated, f"{kinds}, tokens long, nll double")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = KEEP_QUANTILE, n_blocks: int | None = None, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """A row per row of docs: <id>, lang, tokens, perplexity, threshold, kept.
+def thresholds(held: DataFrame, quantile: float, prior: int) -> tuple[DataFrame, DataFrame]:
+    """Of held-out documents (__lang, nll): (lang, own), and one row (every) for languages that have none.
+
+    A language's threshold is its own quantile, weighted with its number of documents, and its median plus the quantile of
+    what all documents are above their languages' medians, weighted with prior.
+    """
+    cut = lambda c, q: F.percentile_approx(c, q, 100_000)
+    by_lang = held.groupBy(F.col("__lang").alias("__l")).agg(cut("nll", quantile).alias("top"), cut("nll", 0.5).alias("mid"), F.count("*").alias("m"))
+    by_lang = table(by_lang, "languages")
+    above = held.join(small_or_plain(by_lang, by_lang.count(), BROADCAST_LANGS), F.col("__lang").eqNullSafe(F.col("__l"))).agg(cut(F.col("nll") - F.col("mid"), quantile).alias("above"), cut("nll", quantile).alias("every"))
+    every = table(above, "all-languages")
+    # every is one row
+    own = (F.col("m") * F.col("top") + prior * (F.col("mid") + F.col("above"))) / (F.col("m") + prior)
+    return by_lang.crossJoin(F.broadcast(every)).select("__l", own.alias("own")), every.select("every")
+
+
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = KEEP_QUANTILE, n_blocks: int | None = None, broadcast_ids: int = BROADCAST_IDS, prior: int = PRIOR_HELD_OUT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row per row of docs: <id>, lang, tokens, perplexity, threshold, kept, and the columns named in carry.
 
     trusted has the ids (column <id>) of trusted documents: by a hash of the id, HELD_OUT_TENTHS in ten of them set the
-    thresholds, the others are counted. A document goes if its perplexity is over the given quantile of its language's
-    held-out documents (null is a language too; one with fewer than LEAST_HELD_OUT has the threshold of all). A text
+    thresholds, the others are counted. A document goes if its perplexity is over its language's threshold (see
+    thresholds(); null is a language too; a language without held-out documents has the quantile of all). A text
     without words, or null, has no perplexity and goes. Without trusted documents there is no threshold: all with
-    words stay. Repeated rows are scored each.
+    words stay. Repeated rows are scored each, and rows of one id each by their own text. Texts are read whole, however
+    long. Other columns of docs, whatever their names, are not looked at. No rows give no rows.
     """
     ids = trusted.select(F.col(id_col).alias("__id")).filter("__id IS NOT NULL").distinct().withColumn("held", F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(10)) < HELD_OUT_TENTHS)
     ids = table(ids, "trusted")
     counted = small_or_plain(ids.filter("NOT held").select("__id"), ids.count(), broadcast_ids)
     known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
     counts = count_grams(known.join(counted, "__id", "left_semi"), "t")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("t"))
-    scored = table(score(rows, counts, ["__id", "__lang"], "t", n_blocks), "scores")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("t"), *(nullable(docs, c).alias(f"__c_{c}") for c in carry))
+    scored = table(score(rows, counts, ["__id", "__lang", *(f"__c_{c}" for c in carry)], "t", n_blocks), "scores")
 
     held = scored.join(ids.filter("held").select("__id"), "__id", "left_semi").filter("nll IS NOT NULL")
-    cut = F.percentile_approx("nll", quantile, 100_000)
-    by_lang = held.groupBy(F.col("__lang").alias("__l")).agg(cut.alias("own"), F.count("*").alias("m")).filter(F.col("m") >= LEAST_HELD_OUT)
-    every = held.agg(cut.alias("every"))
-    # one row per language, and one row
-    out = scored.join(F.broadcast(by_lang), F.col("__lang").eqNullSafe(F.col("__l")), "left").crossJoin(F.broadcast(every))
+    by_lang, every = thresholds(held, quantile, prior)
+    out = scored.join(small_or_plain(by_lang, by_lang.count(), BROADCAST_LANGS), F.col("__lang").eqNullSafe(F.col("__l")), "left").crossJoin(F.broadcast(every))
     threshold = F.coalesce("own", "every")
     kept = F.col("nll").isNotNull() & F.coalesce(F.col("nll") <= threshold, F.lit(True))
-    return out.select(F.col("__id").alias(id_col), F.col("__lang").alias("lang"), "tokens", F.exp("nll").alias("perplexity"), F.exp(threshold).alias("threshold"), kept.alias("kept"))
+    return out.select(F.col("__id").alias(id_col), F.col("__lang").alias("lang"), "tokens", F.exp("nll").alias("perplexity"), F.exp(threshold).alias("threshold"), kept.alias("kept"), *(F.col(f"__c_{c}").alias(c) for c in carry))
