@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,3 +70,13 @@ def mixed_order(*parts: tuple[Column, int], modulus: int = 2_147_483_647) -> Col
     for c, weight in parts:
         total = total + c.cast("long") * F.lit(weight).cast("long")
     return total % modulus
+
+
+def gaussian(key: Column) -> Column:
+    """A standard normal value by a hash of the key (Box and Muller's transform of two uniform ones)."""
+
+    def uniform(name: str) -> Column:
+        digest = F.md5(F.concat(key.cast("string"), F.lit(f":{name}")))
+        return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+    return F.sqrt(-2 * F.log(uniform("a"))) * F.cos(2 * math.pi * uniform("b"))

@@ -1,43 +1,60 @@
-"""Frame bootstrap on histograms: pixels are read once, resamples work on (frame, bin) counts."""
+"""Frame bootstrap on histograms: pixels are read once, resamples work on counts by frame and bin."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from quarry.operators import ranking
 
 BINS, DRAWS = 4000, 1000
+#: Draws whose metrics one task works out together.
+DRAWS_AT_ONCE = 50
+PRIME = 2147483647
+
+
+def edges(sample: DataFrame, by: list[str], score: str, bins: int = BINS) -> DataFrame:
+    """by, edges: an array of the distinct quantiles of a sample in `bins` equal steps, the ends moved out by 1e-6."""
+    q = ranking.quantiles(sample, by, score, bins).groupBy(*by).agg(F.array_sort(F.collect_set("q")).alias("q"))
+    moved = F.transform("q", lambda x, i: F.when(i == 0, x - 1e-6).when(i == F.size("q") - 1, x + 1e-6).otherwise(x))
+    return q.select(*by, moved.alias("edges"))
 
 
-def edges(sample: DataFrame, score: str, bins: int = BINS) -> list[float]:
-    """Distinct quantiles of a sample, the ends moved out by 1e-6. Their number is a setting, so they go to the driver."""
-    at = [k / bins for k in range(bins + 1)]
-    got = sample.agg(F.percentile(F.col(score).cast("double"), F.array(*map(F.lit, at)))).first()[0]
-    out = sorted(set(got or []))
-    return [out[0] - 1e-6, *out[1:-1], out[-1] + 1e-6] if len(out) > 1 else out
+def bin_of(value: Column, cuts: Column) -> Column:
+    """The bin of an ascending array of edges that holds a value between the first and the last; bins are closed below, the
+    last also above. A binary search, written as a fold over as many steps as the array's size needs."""
 
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.element_at(cuts, mid + 1) <= value
+        return F.when(s["hi"] - s["lo"] <= 1, s).otherwise(F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi")))
 
-def histogram(df: DataFrame, by: list[str], cuts: list[float], score: str = "score") -> DataFrame:
-    """by, bin, n_id, n_ood. Bins are closed below, the last also above; scores outside are dropped."""
-    e = F.array(*(F.lit(c) for c in cuts))
-    inside = df.filter((F.col("gt") != 255) & F.col(score).between(cuts[0], cuts[-1]))
-    # a binary search, written as a fold over as many steps as the array's size needs
-    steps = F.sequence(F.lit(0), F.lit(max(1, (len(cuts) - 1).bit_length())))
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts) - 1).alias("hi")), lambda s, _: _halve(s, e, F.col(score)))
-    binned = inside.withColumn("bin", found["lo"])
-    return binned.groupBy(*by, "bin").agg(F.sum(F.when(F.col("gt") == 0, 1).otherwise(0)).alias("n_id"), F.sum(F.when(F.col("gt") == 1, 1).otherwise(0)).alias("n_ood"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts).cast("double"))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (F.size(cuts) - 1).alias("hi")), halve)["lo"]
 
 
-def _halve(s, e, value):
-    mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    up = (F.element_at(e, mid + 1) <= value) & (s["hi"] - s["lo"] > 1)
-    return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up | (s["hi"] - s["lo"] <= 1), s["hi"]).otherwise(mid).alias("hi"))
+def histogram(df: DataFrame, by: list[str], cuts: DataFrame, on: list[str], score: str = "score") -> DataFrame:
+    """by, bin, n_id, n_ood. cuts: (on, edges), a row per group of on, whose arrays have as many elements as a setting says;
+    scores outside are dropped."""
+    rows = df.filter(F.col("gt") != 255).groupBy(*dict.fromkeys([*by, *on]), F.col(score).cast("double").alias("__s")).agg(*(F.count_if(F.col("gt") == k).alias(a) for k, a in ((0, "n_id"), (1, "n_ood"))))
+    rows = rows.join(F.broadcast(cuts), on) if on else rows.crossJoin(F.broadcast(cuts))
+    inside = rows.filter((F.size("edges") > 1) & F.col("__s").between(F.element_at("edges", 1), F.element_at("edges", -1)))
+    return inside.withColumn("bin", bin_of(F.col("__s"), F.col("edges"))).groupBy(*by, "bin").agg(F.sum("n_id").alias("n_id"), F.sum("n_ood").alias("n_ood"))
 
 
 def resamples(spark: SparkSession, frames: DataFrame, draws: int = DRAWS) -> DataFrame:
-    """boot, frame_id, w: how often each draw takes each frame, by an arithmetic sequence of ranks."""
-    one = Window.partitionBy(F.lit(0))
+    """boot, frame_id, w: how often each draw takes each frame, by squares modulo a prime, which other engines can compute
+    too."""
+    one = Window.partitionBy(F.lit(0))  # a row per frame
     ranked = frames.select("frame_id").distinct().withColumn("rank", F.row_number().over(one.orderBy("frame_id")) - 1).withColumn("of", F.count("*").over(one))
-    taken = ranked.crossJoin(F.broadcast(spark.range(draws).select(F.col("id").alias("boot")))).select("boot", ((F.col("boot") * 7919 + F.col("rank") * 104729 + 17) % F.col("of")).alias("rank"))
+    taken = ranked.crossJoin(F.broadcast(spark.range(draws).select(F.col("id").alias("boot"))))
+    place = (F.col("boot") * 1000003 + F.col("rank") * 7919 + 17) % PRIME * 48271 % PRIME
+    taken = taken.select("boot", (place * place % PRIME % F.col("of")).alias("rank"))
     weights = taken.groupBy("boot", "rank").agg(F.count("*").alias("w"))
     return weights.join(ranked.select("rank", "frame_id"), "rank").select("boot", "frame_id", "w")
 
@@ -57,13 +74,76 @@ def hist_metrics(hist: DataFrame, by: list[str], digits: int | None = 6) -> Data
     return rows.groupBy(*by).agg(shown(ap).alias("ap"), shown(auroc).alias("auroc"), shown(fpr95).alias("fpr95"))
 
 
-def draws_metrics(hist: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
-    """Metrics of every draw: weights are broadcast if small, counts are multiplied, pixels aren't."""
-    weighted = hist.join(weights, "frame_id").groupBy(*by, "boot", "bin").agg(F.sum(F.col("n_id") * F.col("w")).alias("n_id"), F.sum(F.col("n_ood") * F.col("w")).alias("n_ood"))
-    return hist_metrics(weighted, [*by, "boot"], None)
+def _curves(n: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
+    """ap, auroc and fpr95 of a draw in every row, from its counts by ascending bin; NaN where a draw has but one class."""
+    p, n = p[:, ::-1], n[:, ::-1]
+    tp, fp, pos, neg = p.cumsum(axis=1), n.cumsum(axis=1), p.sum(axis=1, keepdims=True), n.sum(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        tpr, fpr = tp / pos, fp / neg
+        ap = (p / pos * tp / np.maximum(tp + fp, 1.0)).sum(axis=1)
+        auroc = (np.diff(fpr, axis=1) * (tpr[:, 1:] + tpr[:, :-1]) / 2).sum(axis=1)
+        fpr95 = np.where(tpr >= 0.95, fpr, np.inf).min(axis=1)
+    bad = (pos * neg)[:, 0] == 0
+    return {k: np.where(bad, np.nan, v) for k, v in (("ap", ap), ("auroc", auroc), ("fpr95", fpr95))}
+
+
+def draws_metrics(hist: DataFrame, weights: DataFrame, by: str, bins: int = BINS, draws: int = DRAWS) -> DataFrame:
+    """by, boot, ap, auroc, fpr95 of every draw, null where it has but one class; all `bins` bins count, also empty ones.
+
+    hist (by, frame_id, bin, n_id, n_ood), weights (boot, frame_id, w). A task multiplies the matrix of its frames' counts
+    by that of their weights, which takes draws times bins numbers of memory, whatever the number of frames; the products
+    are added up for some draws at a time.
+    """
+    cells = hist.groupBy(by, "frame_id").agg(F.collect_list(F.struct("bin", "n_id", "n_ood")).alias("h"))
+    taken = weights.groupBy("frame_id").agg(F.collect_list(F.struct("boot", "w")).alias("w"))
+    rows = cells.join(taken, "frame_id").select(by, "h.bin", "h.n_id", "h.n_ood", F.col("w.boot").alias("boot"), F.col("w.w").alias("w"))
+    kind, pa_kind = hist.schema[by].dataType.simpleString(), to_arrow_type(hist.schema[by].dataType)
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each element, and the elements."""
+        sizes = np.diff(column.offsets.to_numpy())
+        return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy()
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, total in sums.items():
+                for a in range(0, draws, DRAWS_AT_ONCE):
+                    own = total[a : a + DRAWS_AT_ONCE]
+                    if own.any():
+                        yield pa.RecordBatch.from_pydict({by: pa.array([key], pa_kind), "part": pa.array([a // DRAWS_AT_ONCE], pa.int32()), "product": pa.array([own.astype("<i8").tobytes()], pa.binary())})
+            sums.clear()
+
+        for batch in batches:
+            names = batch.column(by).to_pylist()
+            for key in dict.fromkeys(names):
+                if key not in sums and len(sums) == 4:
+                    yield from out()
+                total = sums.setdefault(key, np.zeros((draws, 2 * bins)))
+                mine = batch.filter(pa.array([x == key for x in names]))
+                for a in range(0, mine.num_rows, 500):
+                    some = mine.slice(a, 500)
+                    counts, taken = np.zeros((some.num_rows, 2 * bins)), np.zeros((draws, some.num_rows))
+                    at, place = flat(some.column("bin"))
+                    counts[at, place] = flat(some.column("n_id"))[1]
+                    counts[at, bins + place] = flat(some.column("n_ood"))[1]
+                    at, boot = flat(some.column("boot"))
+                    taken[boot, at] = flat(some.column("w"))[1]
+                    total += taken @ counts
+        yield from out()
+
+    def measured(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2 * bins).astype(np.float64) for x in table.column("product"))
+        first = key[1].as_py() * DRAWS_AT_ONCE
+        found = _curves(total[:, :bins], total[:, bins:])
+        return pa.table({by: pa.array([key[0].as_py()] * len(total), table.schema.field(by).type), "boot": np.arange(first, first + len(total))} | {k: pa.array(v, from_pandas=True) for k, v in found.items()})
+
+    products = rows.mapInArrow(multiply, f"`{by}` {kind}, part int, product binary")
+    return products.groupBy(by, "part").applyInArrow(measured, f"`{by}` {kind}, boot long, ap double, auroc double, fpr95 double")
 
 
 def interval(draws: DataFrame, by: list[str], value: str, digits: int = 6) -> DataFrame:
-    """by, mean, lo, hi: the mean and the 2.5 and 97.5 percentiles; nulls are left out."""
+    """by, mean, lo, hi: the mean and the 2.5 and 97.5 percentiles; nulls are left out. A row per draw comes in."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
     return draws.groupBy(*by).agg(F.round(F.avg(value), digits).alias("mean"), F.round(q[0], digits).alias("lo"), F.round(q[1], digits).alias("hi"))

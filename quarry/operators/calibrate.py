@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import ranking
+
 ALPHA, CAP, LEAST = 0.05, 200, 100
 INF = float("inf")
 
 
-def zstats(df: DataFrame, score: str) -> DataFrame:
-    """One row: mean and population standard deviation."""
-    return df.agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+def zstats(df: DataFrame, scores: list[str]) -> DataFrame:
+    """One row: of each score m_<score> and s_<score>, its mean and population standard deviation."""
+    return df.agg(*(f(s).alias(f"{a}_{s}") for s in scores for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))))
 
 
 def conformal(df: DataFrame, by: list[str], score: str = "score", alpha: float = ALPHA) -> DataFrame:
     """by, n, tau: the k-th smallest score, k = ceil((n + 1)(1 - alpha)); infinite where k is over n.
 
-    Counts by distinct score carry the ranks, so equal scores cost one row.
+    Counts by distinct score carry the ranks, so equal scores cost one row; see ranking.running for how they are added up.
     """
     counted = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.count("*").alias("m"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counted.withColumn("upto", F.sum("m").over(group.orderBy("s"))).withColumn("n", F.sum("m").over(group))
-    k = F.ceil((F.col("n") + 1) * F.lit(1 - alpha))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("s"))), F.lit(INF)).alias("tau"))
+    k = F.ceil((F.col("m_all") + 1) * F.lit(1 - alpha))
+    return ranking.running(counted, by, "s", ["m"]).groupBy(*by).agg(F.max("m_all").alias("n"), F.coalesce(F.min(F.when(F.col("m_upto") >= k, F.col("s"))), F.lit(INF)).alias("tau"))
 
 
 def capped_sample(df: DataFrame, frame: str, cls: str, order: list[Column], cap: int = CAP) -> DataFrame:
@@ -36,7 +36,8 @@ def class_thresholds(sample: DataFrame, calibration: DataFrame, cls: str, score:
     """cls, n, tau, is_fallback for the classes of the sample: their own conformal quantile, or with fewer than `least`
     rows that of the whole, uncapped calibration set."""
     if percentile:
-        at = lambda by, d: d.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(F.col(score).cast("double"), F.lit(1 - alpha)).alias("tau"))
+        tau = lambda by, d: ranking.quantiles(d, by, score, [1 - alpha]).select(*by, F.col("q").alias("tau"))
+        at = lambda by, d: tau(by, d).join(d.groupBy(*by).agg(F.count("*").alias("n")), by) if by else tau(by, d)
     else:
         at = lambda by, d: conformal(d, by, score, alpha)
     own, every = at([cls], sample), at([], calibration).select(F.col("tau").alias("tau_all"))

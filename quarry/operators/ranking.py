@@ -1,7 +1,8 @@
-"""Ranking metrics over tie-grouped precision-recall points.
+"""Ranking metrics over tie-grouped precision-recall points, and exact quantiles, from running totals by value.
 
-Rows are summed by distinct score first. The running sums then work in two levels: the scores are cut into ranges, sums
-of whole ranges are carried from range to range, and each range is summed by itself, so no task sorts all scores.
+Rows are counted by distinct value first. The running totals then work in two levels: each group's range of values is cut
+into BUCKETS equal parts, the totals of whole parts are carried from part to part, and each part is summed by itself; so no
+task sorts all values of a group, and nothing is run while the plan is built.
 """
 
 from __future__ import annotations
@@ -9,31 +10,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Rows per group that one task holds while totals are carried.
+BUCKETS = 1 << 14
 ROUND = 6
 
 
-def points(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, ranges: int = RANGES) -> DataFrame:
+def _joined(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    return a.join(b, by) if by else a.crossJoin(F.broadcast(b))  # without groups, b is one row
+
+
+def running(counted: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """counted (by, value, sums; a row per group and value, no nulls) with <sum>_upto, over rows of the group with no larger
+    value, and <sum>_all, over all of the group."""
+    ends = counted.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), *(F.sum(c).alias(f"{c}_all") for c in sums))
+    v, lo, hi = F.col(value), F.col("__lo"), F.col("__hi")
+    part = F.when(v <= lo, 0).when(v >= hi, buckets - 1).otherwise(F.least(F.floor((v - lo) / (hi - lo) * buckets), F.lit(buckets - 1)))
+    rows = _joined(counted, ends, by).withColumn("__part", part.cast("int")).drop("__lo", "__hi")
+    own = Window.partitionBy(*by, "__part").orderBy(value)
+    # partitionBy of a constant would be dropped with the groups: one task adds up the parts, BUCKETS rows at most
+    parts = rows.groupBy(*by, "__part").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
+    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__part")
+    carried = parts.select(*by, "__part", *((F.sum(f"__{c}").over(before) - F.col(f"__{c}")).alias(f"__{c}_before") for c in sums))
+    rows = rows.join(carried, [*by, "__part"])
+    return rows.select(*counted.columns, *((F.sum(c).over(own) + F.col(f"__{c}_before")).alias(f"{c}_upto") for c in sums), *(f"{c}_all" for c in sums))
+
+
+def points(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None) -> DataFrame:
     """by, score, p, n (out and in distribution at the score), tp, fp (at and above it), pos, neg (in all); rows whose gt
     is neither 0 nor 1 don't count."""
     w = F.col(weight) if weight else F.lit(1)
     counted = df.filter(F.col(gt).isin(0, 1)).groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.when(F.col(gt) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(gt) == 0, w).otherwise(0)).alias("n"))
-    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), [k / ranges for k in range(1, ranges)], 1000)).first()[0] if ranges > 1 else None
-    edges = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else None
-    counted = counted.withColumn("range", F.size(F.filter(edges, lambda e: e <= F.col("score"))) if cuts else F.lit(0))
-    own = Window.partitionBy(*by, "range").orderBy(F.col("score").desc())
-    local = counted.withColumn("tp_in", F.sum("p").over(own)).withColumn("fp_in", F.sum("n").over(own))
-    sums = counted.groupBy(*by, "range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = group.orderBy(F.col("range").desc())
-    carried = sums.select(*by, "range", (F.sum("rp").over(down) - F.col("rp")).alias("tp0"), (F.sum("rn").over(down) - F.col("rn")).alias("fp0"), F.sum("rp").over(group).alias("pos"), F.sum("rn").over(group).alias("neg"))
-    out = local.join(carried, [*by, "range"])
-    return out.select(*by, "score", "p", "n", (F.col("tp_in") + F.col("tp0")).alias("tp"), (F.col("fp_in") + F.col("fp0")).alias("fp"), "pos", "neg")
-
-
-def metrics(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, ranges: int = RANGES, digits: int | None = ROUND) -> DataFrame:
+    down = lambda c: F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)
+    return running(counted, by, "score", ["p", "n"]).select(*by, "score", "p", "n", down("p").alias("tp"), down("n").alias("fp"), F.col("p_all").alias("pos"), F.col("n_all").alias("neg"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: list[float] | int) -> DataFrame:
+    """by, k, q: the exact quantiles at[k], linear between neighbours; at: a list, or a number of equal steps from 0 to 1.
+    Nulls don't count."""
+    counted = df.select(*by, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("m"))
+    rows = running(counted, by, "v", ["m"]).withColumn("last", F.col("m_all") - 1)
+    first, end = F.col("m_upto") - F.col("m"), F.col("m_upto") - 1  # ranks of the value's rows, from 0
+    if isinstance(at, int):
+        # the steps whose places can be among these ranks, and one more at either side
+        lo, hi = ((F.floor((first - 1) * at / F.greatest("last", F.lit(1))) - 1), (F.ceil((end + 1) * at / F.greatest("last", F.lit(1))) + 1))
+        ks = F.sequence(F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, F.lit(at)).cast("int"))
+        ks, share = F.when(F.col("last") > 0, ks).otherwise(F.sequence(F.lit(0), F.lit(at))), lambda k: k / F.lit(float(at))
+    else:
+        ks, share = F.sequence(F.lit(0), F.lit(len(at) - 1)), lambda k: F.element_at(F.array(*(F.lit(float(x)) for x in at)), k + 1)
+    place = lambda k: F.col("last") * share(k)
+    inside = lambda x: (x >= first) & (x <= end)
+    near = F.filter(ks, lambda k: inside(F.floor(place(k))) | inside(F.ceil(place(k))))
+    rows = rows.withColumn("k", F.explode(near)).withColumn("place", place(F.col("k")))
+    below, above = F.when(inside(F.floor("place")), F.col("v")), F.when(inside(F.ceil("place")), F.col("v"))
+    found = rows.groupBy(*by, "k", "place").agg(F.max(below).alias("a"), F.max(above).alias("b"))
+    # equal neighbours give their value, also infinite ones
+    q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place")))
+    return found.select(*by, "k", q.alias("q"))
+
+
+def metrics(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, digits: int | None = ROUND) -> DataFrame:
     """by, ap, auroc, fpr95, n_pos. The three are null where a group has but one class; n_pos stays."""
-    pts = points(df, by, score, gt, weight, ranges)
+    pts = points(df, by, score, gt, weight)
     pos, neg = F.nullif(F.col("pos").cast("double"), F.lit(0.0)), F.nullif(F.col("neg").cast("double"), F.lit(0.0))
     ap = F.sum(F.col("p") / pos * F.col("tp") / (F.col("tp") + F.col("fp")))
     auroc = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / F.max(pos * neg)
@@ -46,7 +83,7 @@ def metrics(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt",
 
 def tau_tpr95(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", share: float = 0.05) -> DataFrame:
     """by, tau: the score that 95 % of the out-of-distribution rows reach (linear between neighbours)."""
-    return df.filter(F.col(gt) == 1).groupBy(*by).agg(F.percentile(F.col(score).cast("double"), F.lit(share)).alias("tau"))
+    return quantiles(df.filter(F.col(gt) == 1), by, score, [share]).select(*by, F.col("q").alias("tau"))
 
 
 def by_tier(df: DataFrame) -> DataFrame:

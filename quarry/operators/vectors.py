@@ -12,37 +12,72 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Bytes of vectors in a block.
+BLOCK_BYTES = 1 << 20
+
+
 def bank(vectors: DataFrame, frame: str, order: Column, per_frame: int = 400, most: int = 1_000_000) -> DataFrame:
-    """A memory bank: per_frame vectors of each frame in a pseudo-random order, early frames first, `most` in all."""
+    """A memory bank: per_frame vectors of each frame in a pseudo-random order, early frames first, `most` in all. Where the
+    bank ends is told from the frames' counts; no vectors are sorted across frames."""
     at = F.row_number().over(Window.partitionBy(frame).orderBy(order))
-    return vectors.withColumn("at", at).filter(F.col("at") <= per_frame).orderBy(frame, "at").limit(most).drop("at")
+    kept = vectors.withColumn("at", at).filter(F.col("at") <= per_frame)
+    counts = kept.groupBy(F.col(frame).alias("__f")).agg(F.count("*").alias("__n"))
+    # a row per frame
+    counts = counts.select("__f", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__f")) - F.col("__n")).alias("__before"))
+    return kept.join(counts, F.col(frame).eqNullSafe(F.col("__f"))).filter(F.col("__before") + F.col("at") <= most).drop("at", "__f", "__before")
+
+
+def write_bank(vectors: DataFrame, path: str) -> None:
+    """Keeps a bank, so that later runs needn't build it; spark.read.parquet reads it."""
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of an array column, as a view of its values."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """rows in blocks: one binary value for every BLOCK_BYTES of vectors. Rows aren't moved for that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = max(1, len(batch.column("embedding").flatten()) // max(1, batch.num_rows))
+            step = max(1, BLOCK_BYTES // (8 * width))
+            for a in range(0, batch.num_rows, step):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(a, step))
+                yield pa.RecordBatch.from_pydict({name: pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return rows.mapInArrow(run, f"{name} binary")
 
 
-def top_cosines(queries: DataFrame, bank: DataFrame, k: int, key: list[str], by: list[str] | None = None, block: int = 4096) -> DataFrame:
+def top_cosines(queries: DataFrame, bank: DataFrame, k: int, key: list[str], by: list[str] | None = None) -> DataFrame:
     """key, by, sims (the k largest cosines with the bank's vectors, descending) for unit vectors `embedding`.
 
-    Bank vectors are grouped into blocks, each block meets the queries' batches as a matrix product, and only the k best
-    of a block go on; a bank of any size is streamed. by: columns of the bank that keep banks apart.
+    Queries and bank are packed into blocks of bounded size, as many as the data takes; each pair of blocks is one matrix
+    product, and only the k best of a block go on. by: columns of the bank that keep banks apart.
     """
     by = by or []
-    width = F.array_agg("embedding").alias("rows")
-    blocks = bank.withColumn("__b", F.pmod(F.xxhash64("embedding"), F.lit(64)).cast("int"))
-    blocks = blocks.groupBy(*by, "__b").agg(width)
-    lots = queries.select(*key, "embedding").withColumn("__q", F.pmod(F.xxhash64(*key), F.lit(16)).cast("int")).groupBy("__q").agg(F.array_agg(F.struct(*key, "embedding")).alias("qs"))
-    pairs = lots.crossJoin(blocks)
+    pairs = _packed(queries.select(*key, "embedding"), "q").crossJoin(_packed(bank.select(*by, "embedding"), "b"))
     schema = T.StructType([*(queries.schema[c] for c in key), *(bank.schema[c] for c in by), T.StructField("sims", T.ArrayType(T.DoubleType()))])
     arrow = to_arrow_schema(schema)
+    load = lambda x: pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                m = np.array(row["rows"], np.float64)
-                q = np.array([x["embedding"] for x in row["qs"]], np.float64)
-                for a in range(0, len(q), block):
-                    sims = q[a : a + block] @ m.T
-                    top = -np.sort(-np.partition(sims, max(0, sims.shape[1] - k), axis=1)[:, -k:], axis=1)
-                    out = {c: [x[c] for x in row["qs"][a : a + block]] for c in key} | {c: [row[c]] * len(top) for c in by}
-                    yield pa.RecordBatch.from_pydict(out | {"sims": top.tolist()}, schema=arrow)
+            for left, right in zip(batch.column("q"), batch.column("b"), strict=True):
+                q, m = load(left), load(right)
+                of = [tuple(x.values()) for x in m.select(by).to_pylist()] if by else [()] * m.num_rows
+                sims = _matrix(q.column("embedding")).astype(np.float64) @ _matrix(m.column("embedding")).astype(np.float64).T
+                for group in dict.fromkeys(of):
+                    own = sims[:, [x == group for x in of]] if by else sims
+                    top = -np.sort(-np.partition(own, max(0, own.shape[1] - k), axis=1)[:, -k:], axis=1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, top.shape[1], dtype=np.int32)), pa.array(top.ravel()))
+                    columns = [*(q.column(c) for c in key), *(pa.array([x] * len(top), arrow.field(c).type) for c, x in zip(by, group, strict=True)), lists.cast(arrow.field("sims").type)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     found = pairs.mapInArrow(run, schema)
     best = F.slice(F.sort_array(F.flatten(F.collect_list("sims")), asc=False), 1, k)
@@ -84,7 +119,7 @@ def mahalanobis(queries: DataFrame, means: DataFrame, cov: DataFrame, key: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column("embedding").to_pylist(), np.float64)
+                x = _matrix(batch.column("embedding")).astype(np.float64)
                 diff = x[:, None, :] - m[None]
                 score = np.einsum("qcd,de,qce->qc", diff, inverse, diff).min(axis=1)
                 yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in key} | {"score": score})

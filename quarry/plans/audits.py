@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import ontology, splits
+from quarry.operators import ontology, ranking, splits
 from quarry.plans.base import COMPETITOR, ONTO, PIXELS, RESOLVED, query
 from quarry.sources import fixtures
 from quarry.sources.fixtures import read
@@ -99,22 +99,27 @@ def site_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_frame.groupBy("site").agg(F.count("*").alias("frames"), F.sum("ood").alias("ood_frames"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("c")))), ",").alias("ood_classes"))
 
 
-@query("plan_split", f"""WITH {PIXELS}, per_frame AS (SELECT split, frame_id, max(CASE WHEN gt = 1 THEN 1 ELSE 0 END) AS ood, count(DISTINCT CASE WHEN gt = 1 AND tier = 'T1' THEN 1 END) AS t1, count(DISTINCT CASE WHEN gt = 1 AND tier = 'T2' THEN 1 END) AS t2 FROM pixels GROUP BY ALL),
+#: Frames with anomalies that the test split needs, and frames without any that each split needs.
+LEAST_OOD, LEAST_PURE = 100, 30
+
+
+@query("plan_split", f"""WITH {PIXELS}, per_frame AS (SELECT split, frame_id, max(CASE WHEN gt = 1 THEN 1 ELSE 0 END) AS ood, count(DISTINCT CASE WHEN gt = 1 AND tier = 'T1' THEN 1 END) AS t1, count(DISTINCT CASE WHEN gt = 1 AND tier = 'T2' THEN 1 END) AS t2, count(DISTINCT CASE WHEN gt = 1 AND tier = 'T3' THEN 1 END) AS t3 FROM pixels GROUP BY ALL),
 n_cls AS (SELECT split, count(DISTINCT name) AS n_classes FROM pixels WHERE gt = 1 GROUP BY split),
-s AS (SELECT split, count(*) AS frames, CAST(sum(ood) AS BIGINT) AS ood_frames, max(t1) AS t1, max(t2) AS t2 FROM per_frame GROUP BY split)
+s AS (SELECT split, count(*) AS frames, CAST(sum(ood) AS BIGINT) AS ood_frames, max(t1) AS t1, max(t2) AS t2, max(t3) AS t3 FROM per_frame GROUP BY split)
 SELECT split, frames, round(100.0 * frames / sum(frames) OVER (), 6) AS pct, ood_frames, frames - ood_frames AS pure_frames, n_classes, t1 = 1 AS has_t1, t2 = 1 AS has_t2,
-       ood_frames >= 10 AND t1 = 1 AND t2 = 1 AS passes FROM s JOIN n_cls USING (split)""")
+       t1 = 1 AND t2 = 1 AND t3 = 1 AS all_tiers, split <> 'test' OR ood_frames >= {LEAST_OOD} AS enough_ood, frames - ood_frames >= {LEAST_PURE} AS enough_pure FROM s JOIN n_cls USING (split)""")
 def plan_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = fixtures.pixels(spark, sf_dir)
     out = px.filter("gt = 1")
     by_frame = px.groupBy("split", "frame_id").agg(F.max((F.col("gt") == 1).cast("int")).alias("ood"))
-    tiers = out.groupBy("split").agg(F.count_distinct("name").alias("n_classes"), F.bool_or(F.col("tier") == "T1").alias("has_t1"), F.bool_or(F.col("tier") == "T2").alias("has_t2"))
+    tiers = out.groupBy("split").agg(F.count_distinct("name").alias("n_classes"), F.bool_or(F.col("tier") == "T1").alias("has_t1"), F.bool_or(F.col("tier") == "T2").alias("has_t2"), F.bool_or(F.col("tier") == "T3").alias("has_t3"))
     s = by_frame.groupBy("split").agg(F.count("*").alias("frames"), F.sum("ood").alias("ood_frames"))
     total = s.agg(F.sum("frames").alias("total"))
     s = s.join(tiers, "split").crossJoin(F.broadcast(total))
     return s.select(
         "split", "frames", F.round(100.0 * F.col("frames") / F.col("total"), 6).alias("pct"), "ood_frames", (F.col("frames") - F.col("ood_frames")).alias("pure_frames"), "n_classes", "has_t1", "has_t2",
-        ((F.col("ood_frames") >= 10) & F.col("has_t1") & F.col("has_t2")).alias("passes"),
+        (F.col("has_t1") & F.col("has_t2") & F.col("has_t3")).alias("all_tiers"), ((F.col("split") != "test") | (F.col("ood_frames") >= LEAST_OOD)).alias("enough_ood"),
+        (F.col("frames") - F.col("ood_frames") >= LEAST_PURE).alias("enough_pure"),
     )
 
 
@@ -132,11 +137,11 @@ def leakage_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AUDIT = f"""{PIXELS}, by_class AS (SELECT split, site, frame_id, label_key, gt, count(*) AS n FROM pixels GROUP BY ALL),
 audit AS (SELECT split, site, frame_id, CAST(sum(n) AS BIGINT) AS n, round(CAST(coalesce(sum(n) FILTER (gt = 255), 0) AS DOUBLE) / sum(n), 6) AS ignore_frac, round(CAST(coalesce(sum(n) FILTER (gt = 1), 0) AS DOUBLE) / sum(n), 6) AS ood_frac,
-  coalesce(max(n) FILTER (gt = 1) >= 30, false) AS is_anomaly, coalesce(sum(n) FILTER (gt = 1), 0) = 0 AS is_pure FROM by_class GROUP BY split, site, frame_id)"""
+  coalesce(max(n) FILTER (gt = 1) >= 10, false) AS is_anomaly, coalesce(sum(n) FILTER (gt = 1), 0) = 0 AS is_pure FROM by_class GROUP BY split, site, frame_id)"""
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.audit_frames(fixtures.pixels(spark, sf_dir), 30)
+    return splits.audit_frames(fixtures.pixels(spark, sf_dir))
 
 
 @query("audit_frames", f"WITH {_AUDIT} SELECT * FROM audit")
@@ -144,17 +149,17 @@ def audit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(spark, sf_dir)
 
 
-@query("audit_scenes", f"""WITH {_AUDIT}, c AS (SELECT site, label_key, count(*) AS f FROM by_class WHERE gt = 1 AND n >= 30 GROUP BY site, label_key)
+@query("audit_scenes", f"""WITH {_AUDIT}, c AS (SELECT site, label_key, count(*) AS f FROM by_class WHERE gt = 1 AND n >= 10 GROUP BY site, label_key)
 SELECT a.site, a.frames, a.ood_frames, c.label_key, c.f AS class_frames FROM (SELECT site, count(*) AS frames, count(*) FILTER (is_anomaly) AS ood_frames FROM audit GROUP BY site) a JOIN c USING (site)""")
 def audit_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_class = fixtures.pixels(spark, sf_dir).filter("gt = 1").groupBy("site", "frame_id", "label_key").count().filter("count >= 30").groupBy("site", "label_key").agg(F.count("*").alias("class_frames"))
+    per_class = fixtures.pixels(spark, sf_dir).filter("gt = 1").groupBy("site", "frame_id", "label_key").count().filter("count >= 10").groupBy("site", "label_key").agg(F.count("*").alias("class_frames"))
     scenes = audited(spark, sf_dir).groupBy("site").agg(F.count("*").alias("frames"), F.count_if("is_anomaly").alias("ood_frames"))
     return scenes.join(per_class, "site").select("site", "frames", "ood_frames", "label_key", "class_frames")
 
 
-@query("audit_tiers", f"WITH {PIXELS}, c AS (SELECT split, frame_id, tier, label_key, count(*) AS n FROM pixels WHERE gt = 1 GROUP BY ALL) SELECT split, tier, count(DISTINCT frame_id) AS frames FROM c WHERE n >= 30 GROUP BY split, tier")
+@query("audit_tiers", f"WITH {PIXELS}, c AS (SELECT split, frame_id, tier, label_key, count(*) AS n FROM pixels WHERE gt = 1 GROUP BY ALL) SELECT split, tier, count(DISTINCT frame_id) AS frames FROM c WHERE n >= 10 GROUP BY split, tier")
 def audit_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fixtures.pixels(spark, sf_dir).filter("gt = 1").groupBy("split", "frame_id", "tier", "label_key").count().filter("count >= 30")
+    c = fixtures.pixels(spark, sf_dir).filter("gt = 1").groupBy("split", "frame_id", "tier", "label_key").count().filter("count >= 10")
     return c.groupBy("split", "tier").agg(F.count_distinct("frame_id").alias("frames"))
 
 
@@ -162,8 +167,8 @@ def audit_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT split, CAST(round(q * 100) AS INTEGER) AS pct, round(v, 4) AS ood_frac FROM q""")
 def audit_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = [0.5, 0.75, 0.9, 0.95, 0.99]
-    q = audited(spark, sf_dir).groupBy("split").agg(F.percentile("ood_frac", F.array(*map(F.lit, at))).alias("q"))
-    return q.select("split", F.posexplode("q").alias("k", "v")).select("split", F.element_at(F.array(*(F.lit(round(100 * a)) for a in at)), F.col("k") + 1).alias("pct"), F.round("v", 4).alias("ood_frac"))
+    q = ranking.quantiles(audited(spark, sf_dir), ["split"], "ood_frac", at)
+    return q.select("split", F.element_at(F.array(*(F.lit(round(100 * a)) for a in at)), F.col("k") + 1).alias("pct"), F.round("q", 4).alias("ood_frac"))
 
 
 @query("ab_split", "SELECT s_suppkey AS frame_id, s_nationkey AS scene, CASE WHEN row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) % 2 = 1 THEN 'A' ELSE 'B' END AS half FROM supplier")

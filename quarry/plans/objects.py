@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import components
+from quarry.operators import components, ranking
 from quarry.plans.base import GRID, query
 from quarry.sources import fixtures
 
@@ -13,10 +13,13 @@ BY = ["frame_id", "k"]
 
 
 def _label_sql(src: str, name: str) -> str:
-    """CTEs that end in `name` (frame_id, k, y, x, comp); src has frame_id, k, y, x."""
-    return f"""{name}_e AS (SELECT a.frame_id, a.k, a.y * 1000000 + a.x AS a, b.y * 1000000 + b.x AS b FROM {src} a JOIN {src} b ON a.frame_id = b.frame_id AND a.k = b.k AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
-{name}_r AS (SELECT frame_id, k, y * 1000000 + x AS p, y * 1000000 + x AS root FROM {src} UNION SELECT r.frame_id, r.k, e.b, r.root FROM {name}_r r JOIN {name}_e e ON r.frame_id = e.frame_id AND r.k = e.k AND r.p = e.a),
-{name} AS (SELECT frame_id, k, p // 1000000 AS y, p % 1000000 AS x, min(root) AS comp FROM {name}_r GROUP BY frame_id, k, p)"""
+    """CTEs that end in `name` (frame_id, k, y, x, comp); src has frame_id, k, y, x. Runs of pixels in a row are joined."""
+    return f"""{name}_i AS (SELECT frame_id, k, y, x, x - row_number() OVER (PARTITION BY frame_id, k, y ORDER BY x) AS g FROM {src}),
+{name}_u AS (SELECT frame_id, k, y, g, min(x) AS x0, max(x) AS x1, y * 1000000 + min(x) AS id FROM {name}_i GROUP BY frame_id, k, y, g),
+{name}_e AS (SELECT a.frame_id, a.k, a.id AS a, b.id AS b FROM {name}_u a JOIN {name}_u b ON a.frame_id = b.frame_id AND a.k = b.k AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+{name}_r AS (SELECT frame_id, k, id AS p, id AS root FROM {name}_u UNION SELECT r.frame_id, r.k, e.b, r.root FROM {name}_r r JOIN {name}_e e ON r.frame_id = e.frame_id AND r.k = e.k AND r.p = e.a),
+{name}_c AS (SELECT frame_id, k, p, min(root) AS comp FROM {name}_r GROUP BY frame_id, k, p),
+{name} AS (SELECT i.frame_id, i.k, i.y, i.x, c.comp FROM {name}_i i JOIN {name}_u u ON i.frame_id = u.frame_id AND i.k = u.k AND i.y = u.y AND i.g = u.g JOIN {name}_c c ON c.frame_id = u.frame_id AND c.k = u.k AND c.p = u.id)"""
 
 
 _MASK = GRID + """, thr AS (SELECT * FROM (VALUES (0, {a}e0), (1, {b}e0)) t(k, thr)),
@@ -74,32 +77,42 @@ def component_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantile_thresholds(grid: DataFrame, at: list[float]) -> DataFrame:
     """k, thr: distinct quantiles of the out-of-distribution scores, ascending."""
-    one = grid.filter("gt = 1").agg(F.percentile("score", F.array(*map(F.lit, at))).alias("q"))
-    return one.select(F.posexplode(F.array_sort(F.array_distinct("q"))).alias("k", "thr"))
+    return ranking.quantiles(grid.filter("gt = 1"), [], "score", at).agg(F.array_sort(F.collect_set("q")).alias("q")).select(F.posexplode("q").alias("k", "thr"))
 
 
-@query("component_bestthr")
+def _quantiles_of(where: str, at: str) -> str:
+    return f"""{GRID}, part AS (SELECT * FROM gridded WHERE {where}), thr AS (SELECT CAST(row_number() OVER (ORDER BY q) - 1 AS INT) AS k, q AS thr FROM (SELECT DISTINCT unnest(quantile_cont(score, {at})) AS q FROM part WHERE gt = 1)),
+pm AS (SELECT frame_id, k, y, x FROM part, thr WHERE gt <> 255 AND score >= thr), gm AS (SELECT frame_id, 0 AS k, y, x FROM part WHERE gt = 1)"""
+
+
+BEST_AT, STAR_AT = [q / 100 for q in range(40, 97, 8)], [(5 + 65 * k / 8) / 100 for k in range(9)]
+_BEST = _OVERLAP_OF.format(mask=_quantiles_of("frame_id % 2 = 0", str(BEST_AT)))
+_STAR = _OVERLAP_OF.format(mask=_quantiles_of("frame_id % 2 = 1", str(STAR_AT)))
+
+
+@query("component_bestthr", f"WITH RECURSIVE {_BEST} SELECT round(thr, 6) AS thr, f1 FROM f JOIN thr USING (k) ORDER BY f1 DESC, thr.thr LIMIT 1")
 def component_bestthr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validation frames' best of the candidate thresholds, and its F1."""
     g = fixtures.grid(spark, sf_dir).filter("frame_id % 2 = 0")
-    thr = quantile_thresholds(g, [q / 100 for q in range(40, 97, 8)])
+    thr = quantile_thresholds(g, BEST_AT)
     f = components.f1(*components.overlap(*labelled(spark, sf_dir, thr, g), BY, "frame_id"), ["k"])
     return f.join(thr, "k").orderBy(F.desc("f1"), "thr").limit(1).select(F.round("thr", 6).alias("thr"), "f1")
 
 
-@query("f1_star")
+@query("f1_star", f"WITH RECURSIVE {_STAR} SELECT round(avg(f1), 6) AS f1_star, count(*) AS thresholds FROM f")
 def f1_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean F1 over nine thresholds at quantiles of the test frames' out-of-distribution scores."""
     g = fixtures.grid(spark, sf_dir).filter("frame_id % 2 = 1")
-    thr = quantile_thresholds(g, [(5 + 65 * k / 8) / 100 for k in range(9)])
+    thr = quantile_thresholds(g, STAR_AT)
     f = components.f1(*components.overlap(*labelled(spark, sf_dir, thr, g), BY, "frame_id"), ["k"])
     return f.agg(F.round(F.avg("f1"), 6).alias("f1_star"), F.count("*").alias("thresholds"))
 
 
-@query("component_medstd", f"WITH RECURSIVE {_OVERLAP_OF.format(mask=_MEDSTD).replace('>= 10', '>= 3')} SELECT round(thr, 6) AS thr, f1 FROM f, thr")
+@query("component_medstd", f"WITH RECURSIVE {_OVERLAP_OF.format(mask=_MEDSTD)} SELECT round(thr, 6) AS thr, f1 FROM f, thr")
 def component_medstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 at the median plus a standard deviation of all scores."""
     g = fixtures.grid(spark, sf_dir)
-    thr = g.agg(F.lit(0).alias("k"), (F.percentile("score", F.lit(0.5)) + F.stddev_pop("score")).alias("thr"))
-    f = components.f1(*components.overlap(*labelled(spark, sf_dir, thr, g), BY, "frame_id", 3), ["k"])
+    mid = ranking.quantiles(g, [], "score", [0.5]).select("q")
+    thr = g.agg(F.stddev_pop("score").alias("std")).crossJoin(mid).select(F.lit(0).alias("k"), (F.col("q") + F.col("std")).alias("thr"))
+    f = components.f1(*components.overlap(*labelled(spark, sf_dir, thr, g), BY, "frame_id"), ["k"])
     return f.crossJoin(thr.drop("k")).select(F.round("thr", 6).alias("thr"), "f1")

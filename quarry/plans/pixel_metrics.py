@@ -170,9 +170,7 @@ BETAS = [0.0, 0.25, 0.5, 1.0]
 def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixels with za, zb: scores standardised by the validation set's in-distribution rows."""
     px = fixtures.pixels(spark, sf_dir)
-    base = px.filter("split = 'val' AND gt = 0")
-    a, b = (calibrate.zstats(base, s).select(F.col("mean").alias(f"m_{s}"), F.col("std").alias(f"s_{s}")) for s in ("score_a", "score_b"))
-    px = px.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b))
+    px = px.crossJoin(F.broadcast(calibrate.zstats(px.filter("split = 'val' AND gt = 0"), ["score_a", "score_b"])))
     return px.withColumn("za", z(F.col("score_a"), F.col("m_score_a"), F.col("s_score_a"))).withColumn("zb", z(F.col("score_b"), F.col("m_score_b"), F.col("s_score_b")))
 
 
@@ -224,12 +222,15 @@ _FINAL = f"""{_FUSED}, t AS (SELECT 'fused_' || CAST(beta AS DECIMAL(4, 2)) AS m
 
 @query("method_final", f"WITH {_FINAL} SELECT method, ap, auroc, fpr95, round(ap - base_ap, 6) AS delta_base, round(ap - single_ap, 6) AS delta_single FROM m, base, single")
 def method_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fused(spark, sf_dir).filter("split = 'test'").select(F.concat(F.lit("fused_"), F.col("beta").cast("decimal(4,2)").cast("string")).alias("method"), "gt", "score")
-    single = fixtures.pixels(spark, sf_dir).filter("split = 'test'").select(F.lit("only_b").alias("method"), "gt", F.col("score_b").alias("score"))
-    m = ranking.metrics(f.unionByName(single), ["method"])
-    base = m.filter("method = 'fused_0.00'").select(F.col("ap").alias("base_ap"))
-    best = m.filter("method IN ('fused_0.00', 'only_b')").agg(F.max("ap").alias("single_ap"))
-    return m.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(best)).select("method", "ap", "auroc", "fpr95", F.round(F.col("ap") - F.col("base_ap"), 6).alias("delta_base"), F.round(F.col("ap") - F.col("single_ap"), 6).alias("delta_single"))
+    # the single score is one more row of each pixel, so that pixels are read once
+    each = [F.struct(F.lit(f"fused_{b:.2f}").alias("method"), F.round(F.col("za") + b * F.col("zb"), 9).alias("score")) for b in BETAS]
+    each.append(F.struct(F.lit("only_b").alias("method"), F.col("score_b").cast("double").alias("score")))
+    rows = standardised(spark, sf_dir).filter("split = 'test'").select("gt", F.explode(F.array(*each)).alias("m")).select("gt", "m.*")
+    # a row per method
+    m = ranking.metrics(rows, ["method"])
+    every = Window.partitionBy(F.lit(0))
+    best = lambda *of: F.max(F.when(F.col("method").isin(*of), F.col("ap"))).over(every)
+    return m.withColumn("base_ap", best("fused_0.00")).withColumn("single_ap", best("fused_0.00", "only_b")).select("method", "ap", "auroc", "fpr95", F.round(F.col("ap") - F.col("base_ap"), 6).alias("delta_base"), F.round(F.col("ap") - F.col("single_ap"), 6).alias("delta_single"))
 
 
 _SEEDS = f"{_TEST}, s AS (SELECT method, CAST(l_partkey % 3 AS INTEGER) AS seed, gt, score FROM test), {points_sql('s', 'method, seed')}, m AS ({metrics_sql('method, seed', digits=None)})"

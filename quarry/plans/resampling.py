@@ -10,7 +10,9 @@ from quarry.plans.base import METHODS, metrics_sql, order_sql, points_sql, query
 from quarry.plans.pixel_metrics import test_methods
 from quarry.sources import fixtures
 
-BINS, DRAWS = 64, 50
+BINS, DRAWS = bootstrap.BINS, bootstrap.DRAWS
+#: Every draw of the exact bootstrap adds up all distinct scores anew.
+EXACT_DRAWS = 100
 SAMPLE_ORDER = 0  # the 1-in-10 sample is by pseudo-random order instead of by position
 
 _EDGES = f"""{METHODS}, t AS (SELECT * FROM methods WHERE split = 'test' AND gt <> 255),
@@ -21,21 +23,22 @@ _HIST = f"""{_EDGES}, bins AS (SELECT a.method, a.bin, a.e AS lo, b.e AS hi, b.b
 hist AS (SELECT t.method, frame_id, CAST(bin AS INTEGER) AS bin, count(*) FILTER (gt = 0) AS n_id, count(*) FILTER (gt = 1) AS n_ood FROM t JOIN bins ON t.method = bins.method AND score >= lo AND (score < hi OR (last AND score <= hi)) GROUP BY ALL)"""
 
 
-def cuts(rows: DataFrame, method: str) -> list[float]:
-    return bootstrap.edges(rows.filter((F.col("method") == method) & (fixtures.order_hash(SAMPLE_ORDER) % 10 == 0)), "score", BINS)
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return test_methods(spark, sf_dir).filter("gt <> 255")
+
+
+def cuts(rows: DataFrame, bins: int = BINS) -> DataFrame:
+    return bootstrap.edges(rows.filter(fixtures.order_hash(SAMPLE_ORDER) % 10 == 0), ["method"], "score", bins)
 
 
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = test_methods(spark, sf_dir).filter("gt <> 255")
-    a, b = (bootstrap.histogram(rows.filter(F.col("method") == m), ["method", "frame_id"], cuts(rows, m)) for m in ("score_a", "score_b"))
-    return a.unionByName(b)
+    rows = scored(spark, sf_dir)
+    return bootstrap.histogram(rows, ["method", "frame_id"], cuts(rows), ["method"])
 
 
 @query("hist_edges", f"WITH {_EDGES} SELECT method, CAST(bin AS INTEGER) AS bin, round(e, 5) AS edge FROM edges")
 def hist_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = test_methods(spark, sf_dir).filter("gt <> 255")
-    out = [(m, k, round(e, 5)) for m in ("score_a", "score_b") for k, e in enumerate(cuts(rows, m))]
-    return spark.createDataFrame(out, "method string, bin int, edge double")
+    return cuts(scored(spark, sf_dir)).select("method", F.posexplode("edges").alias("bin", "e")).select("method", "bin", F.round("e", 5).alias("edge"))
 
 
 @query("score_hist", f"WITH {_HIST} SELECT * FROM hist")
@@ -57,9 +60,11 @@ def hist_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WEIGHTS = f"""fr AS (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS rank, count(*) OVER () AS of FROM (SELECT DISTINCT frame_id FROM t)),
-wt AS (SELECT boot, (boot * 7919 + rank * 104729 + 17) % of AS rank, count(*) AS w FROM fr, (SELECT unnest(generate_series(0, {DRAWS - 1})) AS boot) GROUP BY ALL),
+wp AS (SELECT boot, of, (boot * 1000003 + rank * 7919 + 17) % {bootstrap.PRIME} * 48271 % {bootstrap.PRIME} AS place FROM fr, (SELECT unnest(generate_series(0, {DRAWS - 1})) AS boot)),
+wt AS (SELECT boot, place * place % {bootstrap.PRIME} % of AS rank, count(*) AS w FROM wp GROUP BY ALL),
 weights AS (SELECT boot, frame_id, w FROM wt JOIN fr USING (rank))"""
-_DRAWS = f"""{_HIST}, {_WEIGHTS}, drawn AS (SELECT method, boot, bin, sum(n_id * w) AS n_id, sum(n_ood * w) AS n_ood FROM hist JOIN weights USING (frame_id) GROUP BY ALL),
+_DRAWS = f"""{_HIST}, {_WEIGHTS}, sums AS (SELECT method, boot, bin, sum(n_id * w) AS n_id, sum(n_ood * w) AS n_ood FROM hist JOIN weights USING (frame_id) GROUP BY ALL),
+drawn AS (SELECT b.method, x.boot, b.bin, coalesce(n_id, 0) AS n_id, coalesce(n_ood, 0) AS n_ood FROM bins b CROSS JOIN (SELECT unnest(generate_series(0, {DRAWS - 1})) AS boot) x LEFT JOIN sums ON sums.method = b.method AND sums.boot = x.boot AND sums.bin = b.bin),
 {_hist_metrics_sql('drawn', 'method, boot', 'd', None)}"""
 
 
@@ -69,7 +74,7 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.draws_metrics(histograms(spark, sf_dir), weights(spark, sf_dir), ["method"])
+    return bootstrap.draws_metrics(histograms(spark, sf_dir), weights(spark, sf_dir), "method")
 
 
 def _interval(value: str, src: str = "d") -> str:
@@ -94,13 +99,15 @@ def paired_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.round(F.avg("delta"), 6).alias("mean"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"), ((lo > 0) | (hi < 0)).alias("significant"))
 
 
-_EXACT = f"""{METHODS}, t AS (SELECT * FROM methods WHERE split = 'test' AND gt <> 255 AND method = 'score_b'), {_WEIGHTS},
-wx AS (SELECT boot, score, gt, w FROM t JOIN weights USING (frame_id) WHERE boot < 20), {points_sql('wx', 'boot', weight='w')}, m AS ({metrics_sql('boot', digits=None)})"""
+_EXACT = f"""{METHODS}, t AS (SELECT * FROM methods WHERE split = 'test' AND gt <> 255), {_WEIGHTS},
+wx AS (SELECT method, boot, score, gt, w FROM t JOIN weights USING (frame_id) WHERE boot < {EXACT_DRAWS}), {points_sql('wx', 'method, boot', weight='w')}, m AS ({metrics_sql('method, boot', digits=None)})"""
 
 
-@query("bootstrap_ap_exact", f"WITH {_EXACT} SELECT {_interval('ap')} FROM m")
+@query("bootstrap_ap_exact", f"WITH {_EXACT} SELECT method, {_interval('ap')} FROM m GROUP BY method")
 def bootstrap_ap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights multiply the counts of (frame, score), so pixels aren't repeated."""
-    rows = test_methods(spark, sf_dir).filter("gt <> 255 AND method = 'score_b'").groupBy("frame_id", "score", "gt").agg(F.count("*").alias("c"))
-    rows = rows.join(weights(spark, sf_dir).filter("boot < 20"), "frame_id").withColumn("cw", F.col("c") * F.col("w"))
-    return bootstrap.interval(ranking.metrics(rows, ["boot"], weight="cw", digits=None), [], "ap")
+    rows = scored(spark, sf_dir)
+    taken = bootstrap.resamples(spark, rows, EXACT_DRAWS)
+    rows = rows.groupBy("method", "frame_id", "score", "gt").agg(F.count("*").alias("c"))
+    rows = rows.join(taken, "frame_id").withColumn("cw", F.col("c") * F.col("w"))
+    return bootstrap.interval(ranking.metrics(rows, ["method", "boot"], weight="cw", digits=None), ["method"], "ap")

@@ -30,7 +30,7 @@ def score_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.features(spark, sf_dir).select("vec_id", F.round(scores.energy(F.col("logits")), 6).alias("score"))
 
 
-LEAST = 15
+LEAST = 100
 _SML = f"""{FEATURES}, pc AS (SELECT *, CAST(list_position(logits, {_TOP}) - 1 AS INTEGER) AS cls, {_TOP} AS top FROM features),
 g AS (SELECT avg(top) AS gm, sqrt(greatest(var_pop(top), 1e-6)) AS gs FROM pc WHERE gt = 0),
 s AS (SELECT cls, count(*) AS n, avg(top) AS m, stddev_pop(top) AS sd FROM pc WHERE gt = 0 GROUP BY cls),
@@ -122,7 +122,7 @@ SELECT round(med_veg, 6) AS med_veg, round(med_ood, 6) AS med_ood, round((SELECT
 def veg_featdist(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.top_cosines(query_vectors(spark, sf_dir), memory_bank(spark, sf_dir), 1, ["vec_id", "gt"])
     d = found.select("gt", F.round(1 - F.element_at("sims", 1), 9).alias("score"))
-    med = d.agg(F.percentile(F.when(F.col("gt") == 0, F.col("score")), F.lit(0.5)).alias("med_veg"), F.percentile(F.when(F.col("gt") == 1, F.col("score")), F.lit(0.5)).alias("med_ood"))
+    med = ranking.quantiles(d, ["gt"], "score", [0.5]).agg(*(F.max(F.when(F.col("gt") == k, F.col("q"))).alias(a) for k, a in ((0, "med_veg"), (1, "med_ood"))))
     over = d.filter("gt = 0").crossJoin(F.broadcast(med)).agg(F.round(F.avg((F.col("score") > F.col("med_ood")).cast("double")), 6).alias("overlap"))
     m = ranking.metrics(d, []).select("auroc")
     return med.select(F.round("med_veg", 6).alias("med_veg"), F.round("med_ood", 6).alias("med_ood")).crossJoin(over).crossJoin(m)
@@ -142,15 +142,13 @@ def leakage_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.metrics(found.select("bank", "gt", F.round(1 - F.element_at("sims", 1), 9).alias("score")), ["bank"])
 
 
-DIMS = 6
-_MAHA = f"""{FEATURES}, v AS (SELECT vec_id, label, unnest(generate_series(0, {DIMS - 1})) AS i, CAST(unnest(embedding[1:{DIMS}]) AS DOUBLE) AS x FROM features WHERE NOT is_query AND gt = 0),
+_MAHA = f"""{FEATURES}, v AS (SELECT vec_id, label, unnest(generate_series(0, len(embedding) - 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM features WHERE NOT is_query AND gt = 0),
 mu AS (SELECT label, i, count(*) AS n, avg(x) AS m FROM v GROUP BY label, i), tot AS (SELECT count(*) AS total FROM features WHERE NOT is_query AND gt = 0),
 s2 AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM v a JOIN v b USING (vec_id) GROUP BY a.i, b.i), bt AS (SELECT a.i, b.i AS j, sum(a.n * a.m * b.m) AS b FROM mu a JOIN mu b USING (label) GROUP BY a.i, b.i)"""
 
 
 def fit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    f = fixtures.features(spark, sf_dir).filter("NOT is_query AND gt = 0").withColumn("embedding", F.slice("embedding", 1, DIMS))
-    return vectors.class_moments(f, "label")
+    return vectors.class_moments(fixtures.features(spark, sf_dir).filter("NOT is_query AND gt = 0"), "label")
 
 
 @query("maha_fit", f"WITH {_MAHA} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round((s - b) / total, 8) AS cov FROM s2 JOIN bt USING (i, j), tot")
@@ -158,11 +156,20 @@ def maha_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit(spark, sf_dir)[1].select("i", "j", F.round("cov", 8).alias("cov"))
 
 
-@query("maha_score")
+# the inverse by Gauss and Jordan's elimination, a column in each step
+_INVERSE = f"""WITH RECURSIVE {_MAHA}, cov AS (SELECT i, j, (s - b) / total AS c FROM s2 JOIN bt USING (i, j), tot), dim AS (SELECT max(i) + 1 AS d, 1e-6 * avg(c) FILTER (i = j) AS ridge FROM cov),
+line AS (SELECT i, list(c + CASE WHEN i = j THEN ridge ELSE 0 END ORDER BY j) || list(CASE WHEN i = j THEN 1e0 ELSE 0e0 END ORDER BY j) AS r FROM cov, dim GROUP BY i),
+gj AS (SELECT 0 AS k, list(r ORDER BY i) AS m FROM line UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / r[k + 1]) ELSE list_transform(r, lambda x, j: x - r[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END) FROM gj, dim WHERE k < d),
+inv AS (SELECT list_transform(m, lambda r: r[d + 1:]) AS a FROM gj, dim WHERE k = d), mean AS (SELECT label, list(m ORDER BY i) AS m FROM mu GROUP BY label),
+dif AS (SELECT vec_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) - m[i]) AS d FROM features, mean WHERE is_query)
+SELECT vec_id, round(min(list_sum(list_transform(d, lambda x, i: x * list_dot_product(d, a[i])))), 6) AS score FROM dif, inv GROUP BY vec_id"""
+
+
+@query("maha_score", _INVERSE)
 def maha_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     means, cov = fit(spark, sf_dir)
-    q = query_vectors(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, DIMS))
-    return vectors.mahalanobis(q, means, cov, ["vec_id"]).select("vec_id", F.round("score", 6).alias("score"))
+    return vectors.mahalanobis(query_vectors(spark, sf_dir), means, cov, ["vec_id"]).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("pure_patches", f"WITH {GRID} SELECT frame_id, y // 4 AS gy, CAST(x // 4 AS INTEGER) AS gx, max(CASE WHEN gt = 0 THEN 0 ELSE 1 END) = 0 AS pure FROM gridded GROUP BY ALL")
@@ -203,15 +210,20 @@ def score_nongreen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", (scores.nongreen(r.cast("double"), g.cast("double"), b.cast("double")) + 0.0).alias("score"))
 
 
-@query("score_random")
+def _uniform_sql(name: str) -> str:
+    return f"(CAST('0x' || substr(md5(p_partkey || ':{name}'), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0"
+
+
+@query("score_random", f"SELECT p_partkey, round(sqrt(-2 * ln({_uniform_sql('a')})) * cos(2 * pi() * {_uniform_sql('b')}), 6) AS score FROM part")
 def score_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", F.randn(seed=3).alias("score"))
+    """Normally distributed, by a hash of the key, so that reruns and other engines get the same."""
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(scores.gaussian(F.col("p_partkey")), 6).alias("score"))
 
 
-@query("upsample_nearest", f"WITH {GRID}, t AS (SELECT unnest(generate_series(0, 49)) AS yy), u AS (SELECT unnest(generate_series(0, 99)) AS xx) SELECT frame_id, CAST(yy AS INTEGER) AS yy, CAST(xx AS INTEGER) AS xx, round(score, 6) AS score FROM t, u, gridded WHERE y = yy * 20 // 50 AND x = xx * 64 // 100 AND frame_id < 3")
+@query("upsample_nearest", f"WITH {GRID}, t AS (SELECT unnest(generate_series(0, 49)) AS yy), u AS (SELECT unnest(generate_series(0, 99)) AS xx) SELECT frame_id, CAST(yy AS INTEGER) AS yy, CAST(xx AS INTEGER) AS xx, round(score, 6) AS score FROM t, u, gridded WHERE y = yy * 20 // 50 AND x = xx * 64 // 100")
 def upsample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rasters of 20 by 64 stretched to 50 by 100; each place takes the pixel that it falls on."""
-    small = fixtures.grid(spark, sf_dir).filter("frame_id < 3").select("frame_id", "y", "x", F.round("score", 6).alias("score"))
+    small = fixtures.grid(spark, sf_dir).select("frame_id", "y", "x", F.round("score", 6).alias("score"))
     at = spark.range(50).select(F.col("id").cast("int").alias("yy")).crossJoin(spark.range(100).select(F.col("id").cast("int").alias("xx")))
     at = at.withColumn("y", F.floor(F.col("yy") * 20 / 50).cast("int")).withColumn("x", F.floor(F.col("xx") * 64 / 100).cast("int"))
     return small.join(F.broadcast(at), ["y", "x"]).select("frame_id", "yy", "xx", "score")
@@ -223,10 +235,9 @@ def _axis(source: int, target: int, name: str) -> str:
 {name} AS (SELECT t, s, sum(w) AS w FROM (SELECT t, lo AS s, 1 - least(p - lo, 1e0) AS w FROM {name}_l UNION ALL SELECT t, least(lo + 1, {source - 1}), least(p - lo, 1e0) FROM {name}_l) GROUP BY t, s)"""
 
 
-@query("upsample_bilinear", f"WITH {GRID}, {_axis(20, 30, 'ay')}, {_axis(64, 96, 'ax')} SELECT frame_id, ay.t AS yy, ax.t AS xx, round(sum(score * ay.w * ax.w), 6) + 0e0 AS score FROM gridded JOIN ay ON y = ay.s JOIN ax ON x = ax.s WHERE frame_id < 2 GROUP BY ALL")
+@query("upsample_bilinear", f"WITH {GRID}, {_axis(20, 30, 'ay')}, {_axis(64, 96, 'ax')} SELECT frame_id, ay.t AS yy, ax.t AS xx, round(sum(score * ay.w * ax.w), 6) + 0e0 AS score FROM gridded JOIN ay ON y = ay.s JOIN ax ON x = ax.s GROUP BY ALL")
 def upsample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = fixtures.grid(spark, sf_dir).filter("frame_id < 2")
-    out = rasters.bilinear(small, ["frame_id"], (20, 64), (30, 96))
+    out = rasters.bilinear(fixtures.grid(spark, sf_dir), ["frame_id"], (20, 64), (30, 96))
     return out.select("frame_id", "yy", "xx", (F.round("score", 6) + 0.0).alias("score"))
 
 

@@ -86,12 +86,20 @@ def split_json(spark: SparkSession, path: str) -> DataFrame:
 
 def label_rasters(spark: SparkSession, root: str) -> DataFrame:
     """path, y, x, label_key of label images; of colour images the first (red) channel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                # the decoder's bytes are row by row, blue first
+                channels = r["nChannels"]
+                plane = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], channels)[:, :, 2 if channels >= 3 else 0]
+                for top in range(0, len(plane), 1024):  # some rows of a large image at a time
+                    some = plane[top : top + 1024]
+                    y, x = np.indices(some.shape, np.int32)
+                    yield pa.RecordBatch.from_pydict({"path": pa.DictionaryArray.from_arrays(np.zeros(some.size, np.int32), [r["origin"]]).cast(pa.string()), "y": (y + top).ravel().astype(np.int32), "x": x.ravel(), "label_key": some.ravel().astype(np.int32)})
+
     image = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*")
-    # the decoder's bytes are row by row, blue first
-    raw = image.select(F.col("origin").alias("path"), "width", "nChannels", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("k"), "data")
-    at = F.col("k") * F.col("nChannels") + F.when(F.col("nChannels") >= 3, 2).otherwise(0) + 1
-    value = F.conv(F.hex(F.substring("data", at, F.lit(1))), 16, 10).cast("int")
-    return raw.select("path", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).cast("int").alias("x"), value.alias("label_key"))
+    return image.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, y int, x int, label_key int")
 
 
 def score_archive(spark: SparkSession, path: str, method: str) -> DataFrame:

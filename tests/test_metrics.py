@@ -34,16 +34,43 @@ def plain_metrics(own):
     return ap, auroc / p / n, fpr95
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 64])
+@pytest.mark.parametrize("buckets", [1, 2, 64])
 @pytest.mark.parametrize("distinct", [False, True])
-def test_ranking(spark, ranges, distinct):
-    rows = rows_of(ranges, distinct=distinct)
+def test_ranking(spark, buckets, distinct, monkeypatch):
+    monkeypatch.setattr(ranking.running, "__defaults__", (buckets,))
+    rows = rows_of(buckets, distinct=distinct)
     df = spark.createDataFrame(rows, "m string, gt int, score double")
-    for r in ranking.metrics(df, ["m"], ranges=ranges, digits=None).collect():
+    for r in ranking.metrics(df, ["m"], digits=None).collect():
         want = plain_metrics([(g, s) for m, g, s in rows if m == r.m])
         assert (r.ap, r.auroc, r.fpr95) == pytest.approx(want)
 
 
+def test_quantiles(spark):
+    rng = random.Random(6)
+    rows = [(g, rng.choice([rng.random() * 10**k for k in range(6)] + [3.0, 3.0])) for g, n in (("a", 1), ("b", 2), ("c", 700)) for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("c", None)], "g string, v double")
+    at = [0.0, 0.05, 1 / 3, 0.5, 0.95, 1.0]
+    own = {g: np.array([v for h, v in rows if h == g]) for g in "abc"}
+    got = {(r.g, r.k): r.q for r in ranking.quantiles(df, ["g"], "v", at).collect()}
+    assert len(got) == 18 and all(q == pytest.approx(np.quantile(own[g], at[k])) for (g, k), q in got.items())
+    even = {(r.g, r.k): r.q for r in ranking.quantiles(df, ["g"], "v", 40).collect()}
+    assert len(even) == 3 * 41 and all(q == pytest.approx(np.quantile(own[g], k / 40)) for (g, k), q in even.items())
+    assert [r.q for r in ranking.quantiles(df, [], "v", [0.5]).collect()] == pytest.approx([np.quantile(np.concatenate(list(own.values())), 0.5)])
+
+
+def test_no_task_sorts_all_values(spark):
+    """The only single partition is that of the parts' totals; nothing runs while plans are built."""
+    df = spark.range(1000).selectExpr("double(id) AS score", "int(id % 2) AS gt")
+    plan = calibrate.conformal(df, [])._jdf.queryExecution().executedPlan().toString()
+    alone = [x for x in plan.split("\n") if "Exchange SinglePartition" in x]
+    assert len(alone) <= 4
+    sc = spark.sparkContext
+    sc.setJobGroup("planning", "planning")
+    ranking.metrics(df, []), calibrate.conformal(df, []), bootstrap.edges(df, [], "score", 10)
+    sc.setJobGroup("other", "other")
+    assert not sc.statusTracker().getJobIdsForGroup("planning")
+
+
 def test_one_class_is_null(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("b", 0, 0.5)], "m string, gt int, score double")
     got = {r.m: r for r in ranking.metrics(df, ["m"]).collect()}
@@ -107,17 +134,37 @@ def test_all_fallback_is_global(spark):
 
 def test_histogram_edges_and_bootstrap(spark):
     df = spark.createDataFrame([(f, g, s) for f, g, s in [(1, 0, 0.0), (1, 1, 1.0), (1, 0, 2.0), (2, 1, 3.0), (2, 0, 3.5), (2, 1, -1.0), (2, 255, 1.0)]], "frame_id int, gt int, score double")
-    h = {(r.bin): (r.n_id, r.n_ood) for r in bootstrap.histogram(df, [], [0.0, 1.0, 2.0, 3.0]).collect()}
+    cuts = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0],)], "edges array<double>")
+    h = {(r.bin): (r.n_id, r.n_ood) for r in bootstrap.histogram(df, [], cuts, []).collect()}
     assert h == {0: (1, 0), 1: (0, 1), 2: (1, 1)}
     w = bootstrap.resamples(spark, df, 5).groupBy("boot").agg(F.sum("w").alias("w")).collect()
     assert [r.w for r in w] == [2] * 5
+    many = bootstrap.resamples(spark, spark.range(40).withColumnRenamed("id", "frame_id"), 200).collect()
+    assert len({r.w for r in many}) > 3 and 0.55 < len(many) / 8000 < 0.72  # about 1 - 1/e of the frames are in a draw
+
+
+def test_draws_of_histograms(spark):
+    """The products of matrices against histograms of frames drawn one by one."""
+    rng = np.random.default_rng(7)
+    hist = [(m, f, b, int(rng.integers(0, 4)), int(rng.integers(0, 3))) for m in "ab" for f in range(9) for b in range(6) if rng.random() < 0.7]
+    weights = [(d, f, int(w)) for d in range(120) for f, w in enumerate(rng.multinomial(9, [1 / 9] * 9)) if w]
+    got = bootstrap.draws_metrics(spark.createDataFrame(hist, "m string, frame_id int, bin int, n_id int, n_ood int"), spark.createDataFrame(weights, "boot int, frame_id int, w int"), "m", 6, 120).collect()
+    assert len(got) == 240
+    for r in got:
+        n, p = np.zeros(6), np.zeros(6)
+        for m, f, b, i, o in hist:
+            w = sum(x for d, g, x in weights if d == r.boot and g == f) if m == r.m else 0
+            n[b], p[b] = n[b] + w * i, p[b] + w * o
+        tp, fp = p[::-1].cumsum(), n[::-1].cumsum()
+        tpr, fpr = tp / p.sum(), fp / n.sum()
+        assert r.ap == pytest.approx(sum(np.diff(tpr, prepend=0) * tp / np.maximum(tp + fp, 1))) and r.auroc == pytest.approx(np.trapezoid(tpr, fpr)) and r.fpr95 == pytest.approx(fpr[np.searchsorted(tpr, 0.95 - 1e-12)])
 
 
 def test_histogram_is_near_exact(spark):
     rows = [(k % 7, int(k % 3 == 0), float((k * 7919) % 1009)) for k in range(4000)]
     df = spark.createDataFrame(rows, "frame_id int, gt int, score double")
     exact = ranking.metrics(df, [], digits=None).first()
-    near = bootstrap.hist_metrics(bootstrap.histogram(df, ["frame_id"], bootstrap.edges(df, "score", 500)), [], None).first()
+    near = bootstrap.hist_metrics(bootstrap.histogram(df, ["frame_id"], bootstrap.edges(df, [], "score", 500), []), [], None).first()
     assert abs(exact.ap - near.ap) < 0.01 and abs(exact.auroc - near.auroc) < 0.01 and abs(exact.fpr95 - near.fpr95) < 0.02
 
 
@@ -159,6 +206,17 @@ def test_knn_and_mahalanobis(spark):
         assert r.score == pytest.approx(want)
 
 
+def test_bank_and_first_neighbour(spark):
+    """A bank ends within a frame; the mean of one neighbour is the nearest one."""
+    v = spark.range(30).selectExpr("id % 3 AS frame", "id", "array(double(id), 1.0D) AS embedding")
+    got = sorted((r.frame, r.id) for r in vectors.bank(v, "frame", F.col("id"), 4, 6).collect())
+    assert got == [(0, 0), (0, 3), (0, 6), (0, 9), (1, 1), (1, 4)]
+    unit = v.withColumn("embedding", scores.l2norm(F.col("embedding")))
+    found = vectors.top_cosines(unit.filter("id < 7"), unit.filter("id >= 7").withColumn("half", F.col("id") % 2), 3, ["id"], ["half"])
+    for r in vectors.knn_scores(found, [1, 3]).join(found, ["id", "half"]).collect():
+        assert r.cdnp_1 == pytest.approx(1 - r.sims[0]) and r.cdnp_1 <= r.cdnp_3 and len(r.sims) == 3
+
+
 def test_logit_scores(spark):
     v = [1.0, 3.0, 2.0]
     df = spark.createDataFrame([(v,)], "v array<double>")
