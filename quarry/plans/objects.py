@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import components, ranking
-from quarry.plans.base import GRID, query
+from quarry.operators.evaluate import evaluate, median_and_deviation
+from quarry.plans.base import GRID, metrics_sql, points_sql, query
 from quarry.sources import fixtures
 
 BY = ["frame_id", "k"]
@@ -108,11 +109,25 @@ def f1_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.round(F.avg("f1"), 6).alias("f1_star"), F.count("*").alias("thresholds"))
 
 
+def _first(n: int, step: int) -> str:
+    return f"base AS (SELECT frame_id, y // {step} AS y, x // {step} AS x, score, gt FROM gridded WHERE y % {step} = 0 AND x % {step} = 0 AND frame_id IN (SELECT DISTINCT frame_id FROM gridded ORDER BY frame_id LIMIT {n}))"
+
+
+_EVAL = f"""{GRID}, {_first(30, 2)}, thr AS (SELECT 0 AS k, median(score) + stddev_pop(score) AS thr FROM base),
+pm AS (SELECT frame_id, k, y, x FROM base, thr WHERE gt <> 255 AND score >= thr), gm AS (SELECT frame_id, 0 AS k, y, x FROM base WHERE gt = 1)"""
+
+
+@query("evaluate", f"""WITH RECURSIVE {_OVERLAP_OF.format(mask=_EVAL)}, {points_sql('base', '')}, m AS ({metrics_sql('')})
+SELECT (SELECT count(DISTINCT frame_id) FROM base) AS n_frames, ap, auroc, fpr95, n_pos, round(thr, 6) AS thr, coalesce((SELECT f1 FROM f), 0e0) AS component_f1 FROM m, thr""")
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first thirty frames at half the resolution, end to end."""
+    return evaluate(fixtures.grid(spark, sf_dir), limit=30, downsample=2, do_component=True)
+
+
 @query("component_medstd", f"WITH RECURSIVE {_OVERLAP_OF.format(mask=_MEDSTD)} SELECT round(thr, 6) AS thr, f1 FROM f, thr")
 def component_medstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 at the median plus a standard deviation of all scores."""
     g = fixtures.grid(spark, sf_dir)
-    mid = ranking.quantiles(g, [], "score", [0.5]).select("q")
-    thr = g.agg(F.stddev_pop("score").alias("std")).crossJoin(mid).select(F.lit(0).alias("k"), (F.col("q") + F.col("std")).alias("thr"))
+    thr = median_and_deviation(g)
     f = components.f1(*components.overlap(*labelled(spark, sf_dir, thr, g), BY, "frame_id"), ["k"])
     return f.crossJoin(thr.drop("k")).select(F.round("thr", 6).alias("thr"), "f1")

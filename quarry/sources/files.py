@@ -14,21 +14,21 @@ from pyspark.sql import functions as F
 ONTOLOGY = "dataset string, label_key int, name string, role string, default_role string, catch_all boolean"
 
 
-def _listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def _listing(spark: SparkSession, root: str, pattern: str, scene_at: int) -> DataFrame:
     # length only: the file's content isn't read
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select("path", F.element_at(F.split("path", "/"), -2).alias("scene"), F.element_at(F.split("path", "/"), -1).alias("file"))
+    return files.select("path", F.element_at(F.split("path", "/"), scene_at).alias("scene"), F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
-def paired_frames(spark: SparkSession, images: str, labels: str, image_glob: str = "*.png", label_glob: str = "*.png", image_key: Callable[[Column], Column] | None = None, label_key: Callable[[Column], Column] | None = None) -> DataFrame:
+def paired_frames(spark: SparkSession, images: str, labels: str, image_glob: str = "*.png", label_glob: str = "*.png", image_key: Callable[[Column], Column] | None = None, label_key: Callable[[Column], Column] | None = None, scene_at: int = -2) -> DataFrame:
     """scene, base, image_path, label_path of frames whose image and label both exist, by scene and file name.
 
     image_key and label_key turn a file's name into the name that both share; without them the name up to its last
-    underscore or its ending.
+    underscore or its ending. scene_at: which part of a path, counted from its end, is the scene.
     """
     plain = lambda c: F.regexp_replace(c, r"(_[A-Za-z0-9]+)?\.[A-Za-z0-9]+$", "")
-    i = _listing(spark, images, image_glob).select("scene", (image_key or plain)(F.col("file")).alias("base"), F.col("path").alias("image_path"))
-    k = _listing(spark, labels, label_glob).select("scene", (label_key or plain)(F.col("file")).alias("base"), F.col("path").alias("label_path"))
+    i = _listing(spark, images, image_glob, scene_at).select("scene", (image_key or plain)(F.col("file")).alias("base"), F.col("path").alias("image_path"))
+    k = _listing(spark, labels, label_glob, scene_at).select("scene", (label_key or plain)(F.col("file")).alias("base"), F.col("path").alias("label_path"))
     return i.join(k, ["scene", "base"])
 
 
@@ -164,15 +164,54 @@ def read_document(spark: SparkSession, path: str) -> list[dict]:
     return [json.loads(r.value) for r in spark.read.text(path).collect()]
 
 
-#: Table factories by dataset name.
-DATASETS: dict[str, Callable[..., DataFrame]] = {}
+def competitor_yaml(spark: SparkSession, path: str, dataset: str) -> list[str]:
+    """The names that an ontology file's competitor split of a dataset counts as out of distribution."""
+    import yaml
+
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    return list(yaml.safe_load(text)[dataset].get("competitor_split", {}).get("ood", []))
+
+
+def _ends_with(tail: str) -> Callable[[Column], Column]:
+    return lambda c: F.regexp_replace(c, tail.replace(".", r"\.") + "$", "")
+
+
+def _dataset(section: str, competitor: bool = False, manifest: bool = False, **layout: object) -> Callable[..., tuple[DataFrame, DataFrame]]:
+    """A factory (spark, ontology file, images=, labels= or manifest=, keys=) -> (frames with image_path and label_path,
+    resolved classes) of a dataset."""
+
+    def make(spark: SparkSession, onto: str, images: str = "", labels: str = "", manifest_path: str = "", keys: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+        from quarry.operators import ontology
+
+        classes = ontology_yaml(spark, onto, section, keys)
+        resolved = ontology.resolve_competitor(classes, competitor_yaml(spark, onto, section)) if competitor else ontology.resolve(classes)
+        return csv_manifest(spark, manifest_path) if manifest else paired_frames(spark, images, labels, **layout), resolved
+
+    return make
+
+
+_GOOSE = {"image_glob": "*_windshield_vis.png", "label_glob": "*_labelids.png", "image_key": _ends_with("_windshield_vis.png"), "label_key": _ends_with("_labelids.png")}
+_RELLIS = {"image_glob": "*.jpg", "image_key": _ends_with(".jpg"), "label_key": _ends_with(".png"), "scene_at": -3}
+_RUGD = {"image_key": _ends_with(".png"), "label_key": _ends_with(".png")}
+#: Factories by dataset name; names, ontology sections and endings of files are fixed values. The versions of one dataset
+#: differ in the split manifest that their frames are joined with.
+DATASETS: dict[str, Callable[..., object]] = {
+    "goose": _dataset("GOOSE", **_GOOSE),
+    "goose_v2": _dataset("GOOSE", **_GOOSE),
+    "goose_v3": _dataset("GOOSE", **_GOOSE),
+    "wildscenes": _dataset("WildScenes", manifest=True),
+    "rellis": _dataset("RELLIS-3D", **_RELLIS),
+    "rugd": _dataset("RUGD", **_RUGD),
+    "rellis_comp": _dataset("RELLIS-3D", competitor=True, **_RELLIS),
+    "rugd_comp": _dataset("RUGD", competitor=True, **_RUGD),
+}
 
 
-def register_dataset(name: str, factory: Callable[..., DataFrame]) -> None:
+def register_dataset(name: str, factory: Callable[..., object]) -> None:
     DATASETS[name] = factory
 
 
-def dataset(name: str, *args: object, **more: object) -> DataFrame:
+def dataset(name: str, *args: object, **more: object) -> object:
     if name not in DATASETS:
         raise KeyError(f"no dataset {name}; there are {sorted(DATASETS)}")
     return DATASETS[name](*args, **more)

@@ -58,6 +58,34 @@ def test_images_and_archives(spark, tmp_path):
     assert got == {(0, 0, 0, 1, 0.5), (0, 0, 1, 2, 1.0), (1, 0, 0, 3, 2.0), (1, 0, 1, 4, 3.0)}
 
 
+def test_named_datasets(spark, tmp_path):
+    """Each name finds its pairs and its classes; the competitor track has the ontology file's own list."""
+    assert set(files.DATASETS) >= {"goose", "goose_v2", "goose_v3", "wildscenes", "rellis", "rugd", "rellis_comp", "rugd_comp"}
+    part = "  competitor_split: {ood: [vehicle]}\n  classes_by_index:\n    0: {name: void, role: ignore}\n    1: {name: vehicle, role: ood_tier1}\n    2: {name: pole, role: ood_tier2}\n    3: {name: dirt, role: id_terrain}\n"
+    onto = tmp_path / "o.yaml"
+    onto.write_text(f"RUGD:\n{part}RELLIS-3D:\n{part}WildScenes:\n{part}GOOSE:\n  dirt: {{role: id_terrain}}\n")
+    for path in ("rugd/img/s1/a.png", "rugd/ann/s1/a.png", "goose/img/s1/b_windshield_vis.png", "goose/lab/s1/b_labelids.png", "rellis/img/0/cam/c.png"):
+        png(tmp_path / path, [[1]])
+    (tmp_path / "rellis/x/0/cam").mkdir(parents=True)
+    (tmp_path / "rellis/x/0/cam/c.jpg").write_bytes(b"x")
+    (tmp_path / "m.csv").write_text("1,image/a.png,l/a.png\n")
+    at = lambda *p: str(tmp_path.joinpath(*p))
+    for name, more, scene in (("rugd", {"images": at("rugd/img"), "labels": at("rugd/ann")}, "s1"), ("goose", {"images": at("goose/img"), "labels": at("goose/lab"), "keys": {"dirt": 4}}, "s1"), ("rellis", {"images": at("rellis/x"), "labels": at("rellis/img")}, "0")):
+        frames, classes = files.dataset(name, spark, str(onto), **more)
+        assert [r.scene for r in frames.collect()] == [scene] and classes.filter("gt = 0").count() == 1
+    assert files.dataset("wildscenes", spark, str(onto), manifest_path=at("m.csv"))[0].count() == 1
+    gt = {r["name"]: r.gt for r in files.dataset("rugd_comp", spark, str(onto), images=at("rugd/img"), labels=at("rugd/ann"))[1].collect()}
+    assert gt == {"void": 255, "vehicle": 1, "pole": 0, "dirt": 0}
+
+
+def test_large_label_image(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 255, (1500, 700))
+    png(tmp_path / "l" / "a.png", a.tolist())
+    got = files.label_rasters(spark, str(tmp_path / "l"))
+    assert got.count() == a.size and got.agg(F.sum(F.col("label_key") * (F.col("y") + 1) * (F.col("x") + 2))).first()[0] == int((a * np.add.outer(np.zeros(1500, np.int64), np.arange(700) + 2) * (np.arange(1500) + 1)[:, None]).sum())
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("d", "test", "a", 1, 0.5), ("d", "val", "a", 2, 0.7)], "dataset string, split string, method string, frame_id int, score double")
     files.write_scores(rows, str(tmp_path / "s"))

@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import registry
 from quarry.functions import scores
 from quarry.operators import bootstrap, calibrate, components, ontology, ranking, splits, vectors
+from quarry.operators.evaluate import evaluate
 
 
 def rows_of(seed=1, n=800, distinct=False):
@@ -94,6 +96,20 @@ def test_synthetic_frames(spark):
     assert components.f1(*components.overlap(gt, pred, ["frame_id"], "frame_id"), []).first().f1 == pytest.approx(1)
 
 
+def test_evaluation_from_end_to_end(spark):
+    """One call gives what the pieces give, on the first frames, at a stride."""
+    rng = np.random.default_rng(3)
+    rows = [(f, y, x, int(4 <= y < 14 and 4 <= x < 14), float(rng.normal() + 2 * (4 <= y < 14 and 4 <= x < 14))) for f in range(4) for y in range(20) for x in range(20)]
+    g = spark.createDataFrame(rows, "frame_id int, y int, x int, gt int, v double").cache()
+    registry.score("as_is", "v")
+    r = evaluate(g, "as_is", limit=3, downsample=1, do_component=True, n_boot=40).first()
+    own = [(q, s) for f, _, _, q, s in rows if f < 3]
+    assert r.n_frames == 3 and (r.ap, r.auroc, r.fpr95) == pytest.approx(plain_metrics(own), abs=1e-6)
+    assert r.thr == pytest.approx(np.median([s for _, s in own]) + np.std([s for _, s in own]), abs=1e-5)
+    assert 0 < r.component_f1 <= 1 and r.ap_lo < r.ap_mean < r.ap_hi and abs(r.ap_mean - r.ap) < 0.1
+    assert evaluate(g, "as_is", downsample=4).first().n_pos == 4 * sum(4 <= k < 14 for k in range(0, 20, 4)) ** 2
+
+
 def test_components_match_flood_fill(spark):
     rng = random.Random(4)
     cells = {(f, y, x) for f in range(4) for y in range(14) for x in range(17) if rng.random() < 0.55}
