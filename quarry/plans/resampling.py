@@ -59,6 +59,20 @@ def hist_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.hist_metrics(histograms(spark, sf_dir), ["method"])
 
 
+#: How far the histogram's figures may be from the exact ones.
+TOLERANCE = {"ap": 0.01, "auroc": 0.01, "fpr95": 0.02}
+
+
+@query("hist_check", f"""WITH {_HIST}, {_hist_metrics_sql('hist', 'method', 'h', None)}, {points_sql('t', 'method')}, e AS ({metrics_sql('method', digits=None)})
+SELECT method, abs(e.ap - h.ap) < {TOLERANCE['ap']} AND abs(e.auroc - h.auroc) < {TOLERANCE['auroc']} AND abs(e.fpr95 - h.fpr95) < {TOLERANCE['fpr95']} AS agrees FROM e JOIN h USING (method)""")
+def hist_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the point estimates of the histograms agree with the exact metrics."""
+    exact = ranking.metrics(scored(spark, sf_dir), ["method"], digits=None)
+    near = bootstrap.hist_metrics(histograms(spark, sf_dir), ["method"], None).select("method", *(F.col(c).alias(f"h_{c}") for c in TOLERANCE))
+    close = [F.abs(F.col(c) - F.col(f"h_{c}")) < t for c, t in TOLERANCE.items()]
+    return exact.join(near, "method").select("method", (close[0] & close[1] & close[2]).alias("agrees"))
+
+
 _WEIGHTS = f"""fr AS (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS rank, count(*) OVER () AS of FROM (SELECT DISTINCT frame_id FROM t)),
 wp AS (SELECT boot, of, (boot * 1000003 + rank * 7919 + 17) % {bootstrap.PRIME} * 48271 % {bootstrap.PRIME} AS place FROM fr, (SELECT unnest(generate_series(0, {DRAWS - 1})) AS boot)),
 wt AS (SELECT boot, place * place % {bootstrap.PRIME} % of AS rank, count(*) AS w FROM wp GROUP BY ALL),
