@@ -117,6 +117,24 @@ _EVAL = f"""{GRID}, {_first(30, 2)}, thr AS (SELECT 0 AS k, median(score) + stdd
 pm AS (SELECT frame_id, k, y, x FROM base, thr WHERE gt <> 255 AND score >= thr), gm AS (SELECT frame_id, 0 AS k, y, x FROM base WHERE gt = 1)"""
 
 
+_METHODS = f"""{GRID}, part AS (SELECT frame_id, y, x, gt, m.m AS m, CASE m.m WHEN 0 THEN score WHEN 1 THEN -score ELSE abs(score) END AS score FROM gridded, (VALUES (0), (1), (2)) m(m) WHERE frame_id % 2 = 1),
+thr AS (SELECT CAST(100 * m + row_number() OVER (PARTITION BY m ORDER BY q) - 1 AS INT) AS k, m, q AS thr FROM (SELECT DISTINCT m, unnest(quantile_cont(score, {STAR_AT})) AS q FROM part WHERE gt = 1 GROUP BY m)),
+pm AS (SELECT frame_id, k, y, x FROM part JOIN thr USING (m) WHERE gt <> 255 AND score >= thr), gm AS (SELECT frame_id, 0 AS k, y, x FROM part WHERE gt = 1 AND m = 0)"""
+
+
+@query("f1_star_methods", f"WITH RECURSIVE {_OVERLAP_OF.format(mask=_METHODS)} SELECT CASE k // 100 WHEN 0 THEN 'plain' WHEN 1 THEN 'reversed' ELSE 'size' END AS method, round(avg(f1), 6) AS f1_star, count(*) AS thresholds FROM f GROUP BY k // 100")
+def f1_star_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f1_star of several methods at the grid's own resolution, each with its own thresholds; methods are rows."""
+    each = [F.struct(F.lit(n).alias("method"), s.alias("score")) for n, s in (("plain", F.col("score")), ("reversed", -F.col("score")), ("size", F.abs("score")))]
+    g = fixtures.grid(spark, sf_dir).filter("frame_id % 2 = 1").select("frame_id", "y", "x", "gt", F.explode(F.array(*each)).alias("m")).select("frame_id", "y", "x", "gt", "m.*")
+    thr = ranking.quantiles(g.filter("gt = 1"), ["method"], "score", STAR_AT).groupBy("method").agg(F.array_sort(F.collect_set("q")).alias("q")).select("method", F.posexplode("q").alias("k", "thr"))
+    by = ["method", *BY]
+    pred = components.label(g.filter("gt <> 255").join(F.broadcast(thr), "method").filter("score >= thr"), by)
+    gt = components.label(g.filter("gt = 1 AND method = 'plain'"), ["frame_id"])
+    f = components.f1(*components.overlap(gt, pred, by, "frame_id"), ["method", "k"])
+    return f.groupBy("method").agg(F.round(F.avg("f1"), 6).alias("f1_star"), F.count("*").alias("thresholds"))
+
+
 @query("evaluate", f"""WITH RECURSIVE {_OVERLAP_OF.format(mask=_EVAL)}, {points_sql('base', '')}, m AS ({metrics_sql('')})
 SELECT (SELECT count(DISTINCT frame_id) FROM base) AS n_frames, ap, auroc, fpr95, n_pos, round(thr, 6) AS thr, coalesce((SELECT f1 FROM f), 0e0) AS component_f1 FROM m, thr""")
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:

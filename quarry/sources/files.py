@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,11 +136,10 @@ def stored_metric(docs: DataFrame, column: str, *paths: str) -> Column:
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of the paths that exist, in any file system that Spark reaches: optional sources are left out."""
-    sc = spark.sparkContext
     out = []
     for p in paths:
-        path = sc._jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
+        with contextlib.suppress(AnalysisException):
+            spark.read.format("binaryFile").load(p)  # looks the path up, reads nothing
             out.append(p)
     return out
 
