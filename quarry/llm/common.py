@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,17 +52,47 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_or_plain(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
     """df marked for broadcast if its counted rows are within the limit, else df for a shuffled join."""
     return F.broadcast(df) if n_rows <= limit else df
 
 
+def small_by_bytes(df: DataFrame, size: Column, limit: int) -> DataFrame:
+    """df marked for broadcast if the sizes of its rows, which `size` tells, add up to no more than the limit, else df for a
+    shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else df
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the system; without it, a worker keeps the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that trims its worker when it is done."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 3_000) -> Iterator[None]:
+    """What runs meanwhile hands texts to Python in batches of so many rows: a batch of the default size takes tens of
+    megabytes in the JVM and some times that in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def nullable(df: DataFrame, name: str) -> Column:
     """A column whose nested fields may be null, as Python workers return them."""
     return F.col(name).cast(df.schema[name].dataType.simpleString()).alias(name)
