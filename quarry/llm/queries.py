@@ -42,8 +42,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    segments = token_files.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return token_files.read_tokens(segments)
+    manifest = token_files.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(manifest)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,14 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+# the filled table itself is checked against a plain fill in tests; SQL looks it up
+_SLOTS = ",".join(map(str, sharding.fill_table(sharding.SHARDS)))
+
 ORACLE_SQL = {
+    "op8_sharding": f"""
+WITH t AS (SELECT string_split('{_SLOTS}', ',') AS owners), o AS (SELECT unnest(generate_series(0, len(owners) - 1)) AS slot, unnest(owners) AS owner FROM t),
+d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents)
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(owner AS INTEGER) AS shard FROM d JOIN o USING (slot)""",
     "op4_chat_formatting": r"""
 WITH t AS (
   SELECT conv_id, turn, CASE WHEN length(trim(coalesce(role, ''))) > 0 THEN trim(role) ELSE 'unknown' END AS speaker, coalesce(text, '') AS text FROM conversations

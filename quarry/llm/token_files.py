@@ -9,30 +9,37 @@ Layout, little-endian: magic 8s | docs u32 | tokens u64 | block length u32 | blo
 id present u8[docs] | ids per document u32[docs] | block starts u64[blocks + 1] | blocks; a block is
 minimum u32 | width u8 | pad u8 | exceptions u16 | packed bits | exception places u16[] | exception high bits u32[].
 
-Segments are rows of a table that Spark writes and reads, so a lost task leaves no half file and any store that Spark
-reaches will do; export_segments() puts them out as single files.
+A segment is one file, <pid>-<seg>.pfor, that its task writes under another name and then renames, so a lost task leaves
+no half file and a repeated one writes the same. A manifest, a table that Spark writes, names the files that count. They
+are read back through Spark.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship_code, table
+from quarry.llm.common import shared_dir, ship_code, small_batches, table, tidy
 
 MAGIC, HEAD, BLOCK_HEAD = b"QPFOR\0\0\1", "<8sIQII", "<IBBH"
 BLOCK = 1024
 PERCENTILE = 90
-SEGMENT_TOKENS = 1 << 20
-#: Pieces and parts of text whose ids a worker remembers before it starts anew; a bound on its memory.
-CACHE_PIECES = 2_000_000
+SEGMENT_TOKENS = 1 << 21
+#: Pieces of text whose ids a worker remembers before it starts anew, and twenty times the parts of odd pieces; a bound on
+#: its memory.
+CACHE_PIECES = 600_000
+#: Characters of text that are encoded together.
+CHARS_AT_ONCE = 3_000_000
 
 
 def _word(width: int) -> tuple[int, str]:
@@ -119,59 +126,48 @@ def decode_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return ids, lengths, out.reshape(-1)[:n]
 
 
-_SIGNS = tuple(".,;:!?")
-
-
-class _Numbered(dict):
-    """Numbers its keys from 1 in the order in which they are first looked up; new has those not yet dealt with."""
-
-    def __missing__(self, key: str | tuple[str]) -> int:
-        self[key] = n = len(self) + 1
-        self.new.append(key)
-        return n
+#: What a text is also cut before, with the character that marks it.
+_MARKS = (("\n\n", "\x03"), ("\n", "\x02"), (",", "\x04"), (".", "\x05"))
+_MARKED = {mark: cut for cut, mark in _MARKS}
+_FIRST = "\x06"  # marks a text's first piece, which has no space before it
+_OWN = "[\x02-\x06\x1c-\x1f\u0085]"  # marks, and separators that one library counts as white space and the other doesn't
+#: Of a piece: it begins, it ends with white space (or is empty), it ends with a letter or a digit, it begins with a sign.
+_BLANK_HEAD, _BLANK_TAIL, _WORD_TAIL, _SIGN_HEAD = 1, 2, 4, 8
 
 
 class PieceTokenizer:
-    """Ids as Tokenizer.encode gives them, with a memory of pieces between spaces.
+    """Ids as Tokenizer.encode gives them, with a memory of pieces.
 
     The byte-level pattern takes a space together with what follows, so a text may be cut before any space that
-    doesn't have white space on both sides; a text with such a space is encoded whole. A new piece is cut by the
-    pattern, and the library's BPE model turns what is new there into ids. Tokenizers of other kinds, and texts with
+    doesn't have white space on both sides; and so before a line's end after anything but white space, and before a comma
+    or a full stop after a letter or a digit. Texts with other commas and the like are cut at spaces only, and texts with
+    a space that forbids it are encoded whole. The distinct pieces of many texts are looked up together in an array of
+    those known, so that only new ones become Python objects. A new piece is cut by the pattern, and the library's BPE model turns that into ids. Tokenizers of other kinds, and texts with
     special tokens, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int, cache_pieces: int = CACHE_PIECES):
-        import json
-
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, cache_pieces
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        pre = made.get("pre_tokenizer") or {}
-        self.special = [x["content"] for x in made.get("added_tokens") or []]
-        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and made.get("truncation") is None and made["model"]["type"] == "BPE"
+        pre, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None and self.tokenizer.truncation is None and type(model).__name__ == "BPE"
         self.code = "H" if max(self.tokenizer.get_vocab_size(), end_id) < 1 << 16 else "I"
         # the published pattern of this pre-tokenizer (a fixed value)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         other = iter(range(256, 512))
         self.bytes = {b: b if b in shown else next(other) for b in range(256)}
+        self.space = chr(self.bytes[32])
         self.clear()
 
     def clear(self) -> None:
-        self.known = _Numbered()
-        self.known.new = []
+        self.known = pa.array([], pa.string())
         self.parts: dict[str, array] = {}
-        self.flat, self.start, self.length, self.blank = array(self.code), array("q"), array("q"), bytearray()
-        self._put([self.end_id], 0)
-
-    def _put(self, ids: array | list[int], blank: int) -> None:
-        self.start.append(len(self.flat))
-        self.length.append(len(ids))
-        self.flat.extend(ids)
-        self.blank.append(blank)
+        # number 0 is the end, others are one more than the place in known
+        self.flat, self.start, self.length, self.kind = array(self.code, [self.end_id]), array("i", [0]), array("i", [1]), bytearray(1)
 
     def _part(self, part: str) -> array:
         known = self.parts.get(part)
@@ -180,137 +176,191 @@ class PieceTokenizer:
             known = self.parts[part] = array(self.code, [x.id for x in self.tokenizer.model.tokenize(shown)])
         return known
 
-    def _ids(self, lead: str, piece: str) -> array:
-        # letters, and letters before one sign, need no pattern
-        if piece.isalpha():
-            return self._part(lead + piece)
-        if piece.endswith(_SIGNS) and piece[:-1].isalpha():
-            return self._part(lead + piece[:-1]) + self._part(piece[-1])
-        out = array(self.code)
-        for part in self.pattern(lead + piece):
-            out += self._part(part)
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id, and the number of each."""
-        if len(self.known) + len(self.parts) > self.most:
+    def _learn(self, new: pa.Array) -> None:
+        """Adds new pieces."""
+        flat, space, tokenize, lengths, kinds = self.flat, self.space, self.tokenizer.model.tokenize, [], bytearray()
+        for piece in new.to_pylist():
+            lead = " "
+            if piece[:1] == _FIRST:
+                piece, lead = piece[1:], ""
+            if piece.isalpha():  # one part; ASCII letters are shown as they are
+                shown = piece if piece.isascii() else piece.encode("utf-8", "replace").decode("latin-1").translate(self.bytes)
+                ids = [t.id for t in tokenize(space + shown if lead else shown)]
+                kinds.append(_WORD_TAIL)
+            else:
+                head = piece[:1]
+                if lead and head in _MARKED:
+                    piece, lead = _MARKED[head] + piece[1:], ""  # a first piece never begins with a mark
+                ids = array(self.code)
+                for part in self.pattern(lead + piece):
+                    ids += self._part(part)
+                tail = _BLANK_TAIL if not piece or piece[-1].isspace() else _WORD_TAIL if piece[-1].isalpha() or piece[-1].isdecimal() else 0
+                kinds.append((_BLANK_HEAD if not piece or piece[0].isspace() else 0) + tail + (_SIGN_HEAD if head in ("\x04", "\x05") else 0))
+            lengths.append(len(ids))
+            flat.extend(ids)
+        if lengths:
+            sizes = np.array(lengths, np.int32)
+            self.start.frombytes((len(flat) - sizes.sum() + np.cumsum(sizes) - sizes).astype(np.int32).tobytes())
+            self.length.frombytes(sizes.tobytes())
+            self.kind += kinds
+            self.known = pa.concat_arrays([self.known, new])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings, without nulls), each with the end id, and the number of each."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.known) > self.most or len(self.flat) > 1 << 29:
             self.clear()
-        # a first piece, which has no space before it, is looked up as a tuple; number 0 is the end
-        known, places, ends = self.known.__getitem__, [], []
-        for t in texts:
-            cut = t.split(" ") if self.plain else [""]
-            places.append(known((cut[0],)))
-            places.extend(map(known, cut[1:]))
-            places.append(0)
-            ends.append(len(places))
-        for x in self.known.new:
-            piece, lead = (x[0], "") if isinstance(x, tuple) else (x, " ")
-            self._put(self._ids(lead, piece), (not piece or piece[0].isspace()) + 2 * (not piece or piece[-1].isspace()))
-        self.known.new.clear()
-
-        index, stops = np.array(places, np.int64), np.array(ends, np.int64)
-        begins = np.concatenate([[0], stops[:-1]]).astype(np.int64)
-        blank = np.frombuffer(self.blank, np.uint8)[index]
-        before = np.concatenate([[0], blank[:-1] & 2]).astype(bool)
-        before[begins] = before[stops - 1] = False
-        # a cut within a run of white space, or before white space that ends the text
-        cut_badly = np.searchsorted(stops, np.flatnonzero(before & (blank & 1).astype(bool)), side="right")
-        odd = [k for k, t in enumerate(texts) if not self.plain or any(x in t for x in self.special) or (not t.isprintable() and any(x in t for x in "\x1c\x1d\x1e\x1f\x85"))]
-        # views of the arrays; they must be gone before the next text is learnt
-        lengths, starts = np.frombuffer(self.length, np.int64)[index], np.frombuffer(self.start, np.int64)[index]
+        if len(self.parts) > self.most // 20:
+            self.parts.clear()
+        return self._cut(texts, True) if self.plain else self._whole(texts)
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, self.end_id], np.uint32) for t in texts.to_pylist()]
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _cut(self, texts: pa.Array, at_marks: bool) -> tuple[np.ndarray, np.ndarray]:
+        n, marked = len(texts), texts
+        odd = pc.match_substring_regex(texts, _OWN).to_numpy(zero_copy_only=False)
+        for special in self.special:
+            odd = odd | pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        for cut, mark in _MARKS if at_marks else ():
+            marked = pc.replace_substring(marked, cut, f" {mark}")
+        cut = pc.split_pattern(pc.binary_join_element_wise(_FIRST, marked, ""), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        offsets, pieces = offsets - offsets[0], cut.flatten().cast(pa.string()).dictionary_encode()
+        found = pc.index_in(pieces.dictionary, value_set=self.known)
+        number, new = found.fill_null(0).to_numpy() + np.int32(1), found.is_null()
+        number[new.to_numpy(zero_copy_only=False)] = len(self.known) + 1 + np.arange(found.null_count)
+        self._learn(pieces.dictionary.filter(new))
+        index = number[pieces.indices.to_numpy()]
+        # an end after each text's pieces
+        with_ends = np.zeros(len(index) + n, np.int32)
+        with_ends[np.arange(len(index)) + np.repeat(np.arange(n), np.diff(offsets))] = index
+        index, stops = with_ends, offsets[1:] + np.arange(1, n + 1)
+        begins = np.concatenate([[0], stops[:-1]])
+
+        kind = np.frombuffer(self.kind, np.uint8)[index]
+        before = np.concatenate([kind[:1] & 0, kind[:-1]])
+        # a cut within a run of white space, or before white space that ends the text; a sign after what isn't a word
+        bad = ((before & _BLANK_TAIL) > 0) & ((kind & _BLANK_HEAD) > 0) | ((kind & _SIGN_HEAD) > 0) & ((before & _WORD_TAIL) == 0)
+        bad[begins] = bad[stops - 1] = False
+        odd[np.searchsorted(stops, np.flatnonzero(bad), side="right")] = True
+        odd = np.flatnonzero(odd)
+        own, sizes = (np.zeros(0, np.uint32), np.zeros(0, np.int64)) if not len(odd) else self._cut(texts.take(pa.array(odd)), False) if at_marks else self._whole(texts.take(pa.array(odd)))
+        # views of the arrays; they must be gone before the next piece is learnt
+        lengths, starts = np.frombuffer(self.length, np.int32)[index], np.frombuffer(self.start, np.int32)[index]
         flat = np.frombuffer(self.flat, np.uint16 if self.code == "H" else np.uint32)
-        for k in np.union1d(cut_badly, odd).astype(np.int64).tolist():
-            own = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
-            lengths[begins[k] : stops[k] - 1] = 0
-            starts[begins[k]], lengths[begins[k]], flat = len(flat), len(own), np.concatenate([flat.astype(np.uint32), own])
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        take = np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])
-        return flat[take].astype(np.uint32), np.diff(total[np.concatenate([[0], stops])])
+        for k, size, upto in zip(odd.tolist(), sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+            lengths[begins[k] : stops[k]] = 0
+            starts[begins[k]], lengths[begins[k]] = len(flat) + upto - size, size
+        total = np.zeros(len(lengths) + 1, np.int32)
+        np.cumsum(lengths, out=total[1:])
+        take = np.repeat(starts - total[:-1], lengths)
+        take += np.arange(total[-1], dtype=np.int32)
+        flat = np.concatenate([flat.astype(np.uint32), own]) if len(own) else flat
+        return flat[take].astype(np.uint32), np.diff(total[np.concatenate([[0], stops])]).astype(np.int64)
 
 
 _tokenizers: dict[tuple, PieceTokenizer] = {}
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """Encodes docs into segments in ascending order of id (none first; equal ids by text) and writes them.
+def _put(folder: str, name: str, data: bytes, attempt: str) -> None:
+    """Writes a file in a shared folder, complete or not at all."""
+    if "://" in folder and not folder.startswith("file://"):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        with store.open_output_stream(f"{base}/{name}.{attempt}") as out:
+            out.write(data)
+        store.move(f"{base}/{name}.{attempt}", f"{base}/{name}")
+        return
+    base = folder.removeprefix("file://")
+    os.makedirs(base, exist_ok=True)
+    with open(f"{base}/{name}.{attempt}", "wb") as out:
+        out.write(data)
+    os.replace(f"{base}/{name}.{attempt}", f"{base}/{name}")
+
 
-    Returns the table of segments: pid, seg, start (ids before the segment in its pid), n_docs, n_tokens, payload.
-    Null texts count as empty and get the end id alone. path: a vocabulary file of the tokenizers library that
-    every executor has.
+def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, segment_tokens: int = SEGMENT_TOKENS, folder: str | None = None) -> DataFrame:
+    """Encodes docs into segment files in ascending order of id (none first; equal ids by text).
+
+    Returns the manifest: pid, seg, path (of the file), start (ids before the segment in its pid), n_docs, n_tokens. Files
+    go to folder, by default a new one in the shared folder; it may be a path that all executors share or an address
+    that pyarrow can write to. Null texts count as empty and get the end id alone; repeated rows are documents of their
+    own; texts are encoded whole, however long; other columns of docs are not looked at. No rows give no files. path: a
+    vocabulary file of the tokenizers library that every executor has.
     """
     ship_code(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folder = (folder or f"{shared_dir(docs.sparkSession)}/segments-{uuid.uuid4().hex}").rstrip("/")
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
-    rows = rows.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         if (path, end_id) not in _tokenizers:
             _tokenizers[path, end_id] = PieceTokenizer(path, end_id)
-        known, pid = _tokenizers[path, end_id], TaskContext.get().partitionId()
+        known, pid, attempt = _tokenizers[path, end_id], TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         seg, start, held, size = 0, 0, [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal seg, start, held, size
             ids, lengths = np.concatenate([x[2] for x in held]), np.concatenate([x[1] for x in held])
-            doc_ids = [y for x in held for y in x[0]]
-            out = pd.DataFrame({"pid": [pid], "seg": [seg], "start": [start], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)], "payload": [encode_segment(doc_ids, lengths, ids)]})
+            doc_ids, name = [y for x in held for y in x[0]], f"{pid:05d}-{seg:05d}.pfor"
+            _put(folder, name, encode_segment(doc_ids, lengths, ids), f"{attempt}.tmp")
+            out = pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "seg": pa.array([seg], pa.int32()), "path": [f"{folder}/{name}"], "start": [start], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]})
             seg, start, held, size = seg + 1, start + len(ids), [], 0
             return out
 
         for batch in batches:
-            ids = [x if k else None for x, k in zip(batch["id"].tolist(), batch["known"].tolist(), strict=True)]
-            texts = batch["text"].tolist()
+            ids, texts = batch.column("id").to_pylist(), batch.column("text")
+            # rows that together have CHARS_AT_ONCE bytes, or a longer text alone
+            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
             a = 0
             while a < len(texts):
-                b, chars = a, 0
-                while b < len(texts) and b - a < 1000 and (b == a or chars + len(texts[b]) <= 2_000_000):
-                    chars, b = chars + len(texts[b]), b + 1
-                tokens, lengths = known.encode(texts[a:b])
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHARS_AT_ONCE, side="right")))
+                tokens, lengths = known.encode(texts.slice(a, b - a))
                 held, size, a = [*held, (ids[a:b], lengths, tokens)], size + len(tokens), b
                 if size >= segment_tokens:
                     yield flush()
         if held:
             yield flush()
 
-    made = rows.mapInPandas(run, "pid int, seg int, start long, n_docs long, n_tokens long, payload binary")
-    return table(made, "tokens")
+    with small_batches(docs.sparkSession):
+        return table(rows.mapInArrow(tidy(run), "pid int, seg int, path string, start long, n_docs long, n_tokens long"), "manifest")
 
 
-def read_tokens(segments: DataFrame, with_ids: bool = False) -> DataFrame:
-    """From the segments, a row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32
+def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
+    """From the files of a manifest, a row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32
     and, if asked for, ids."""
-    ship_code(segments.sparkSession)
+    spark = manifest.sparkSession
+    ship_code(spark)
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    first = manifest.select("path").first()
+    if first is None:
+        return spark.createDataFrame([], schema)
     # one row per partition of the writer, whose number is a setting
-    totals = segments.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
+    totals = manifest.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
     bases = totals.select("pid", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("pid")) - F.col("n")).alias("base"))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    named = manifest.join(F.broadcast(bases), "pid").select(name, (F.col("base") + F.col("start")).alias("first"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(first[0].rpartition("/")[0]).select(name, "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, start, payload in zip(batch["base"], batch["start"], batch["payload"], strict=True):
-                doc_ids, lengths, ids = decode_segment(payload)
+            for first, content in zip(batch.column("first").to_pylist(), batch.column("content"), strict=True):
+                doc_ids, lengths, ids = decode_segment(content.as_buffer())
                 ends = np.cumsum(lengths, dtype=np.int64)
-                raw = ids.astype("<u4")
-                parts = [raw[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                out = pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": base + start + ends - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": [zlib.crc32(x.tobytes()) for x in parts]})
+                raw = ids.astype("<u4", copy=False)
+                crcs = [zlib.crc32(raw[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                out = {"doc_id": pa.array(doc_ids, pa.int64()), "start": first + ends - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": pa.array(crcs, pa.int64())}
                 if with_ids:
-                    out["ids"] = [x.astype(np.int32) for x in parts]
-                yield out
-
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return segments.join(F.broadcast(bases), "pid").select("base", "start", "payload").mapInPandas(run, schema)
-
-
-def export_segments(segments: DataFrame, folder: str) -> list[str]:
-    """Writes each segment as one file <pid>-<seg>.pfor to a local folder, one at a time; returns the names in order."""
-    import os
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(raw.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(out)
 
-    os.makedirs(folder, exist_ok=True)
-    names = []
-    for row in segments.orderBy("pid", "seg").toLocalIterator():
-        names.append(f"{row.pid:05d}-{row.seg:05d}.pfor")
-        with open(f"{folder}/{names[-1]}", "wb") as out:
-            out.write(row.payload)
-    return names
+    # files are few megabytes each, and each is read by one task
+    return files.join(F.broadcast(named), "name").select("first", "content").mapInArrow(tidy(run), schema)
