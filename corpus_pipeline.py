@@ -65,11 +65,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every row as often as the mix takes it: as many equal rows as its taken words hold its size. Texts without words,
     null ones too, add nothing to a mix and go; rows of one id are taken alike, each by its own size. Other columns stay
     as they are; no rows give none."""
-    rows = _named(docs)
-    taken = mixing.mix(rows, carry=(ROW,)).filter("size > 0").select(F.col(f"{ROW}.file").alias("__f"), F.col(f"{ROW}.at").alias("__a"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__n"))
-    taken = table(taken.filter("__n > 0"), "taken")
-    out = rows.join(small_or_plain(taken, taken.count(), BROADCAST_ROWS), (F.col(f"{ROW}.file") == F.col("__f")) & (F.col(f"{ROW}.at") == F.col("__a")))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    return mixing.take(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
