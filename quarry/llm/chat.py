@@ -50,7 +50,8 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     perspective), pid, at.
 
     A turn without a speaker is spoken by "unknown"; a null text is empty; turns without a dialogue's id form one
-    dialogue. Repeated rows are turns of their own.
+    dialogue. Repeated rows are turns of their own, and those of equal turn and speaker follow by text. Texts are kept
+    whole, however long; other columns of turns, whatever their names, are not looked at. No rows give none.
     """
     rows = ordered(turns, conv_col, turn_col, role_col, text_col)
     numbered = running(rows, ["conv_id"], F.lit(1)).withColumnRenamed("before", "seq")

@@ -21,7 +21,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z; null is the empty text. keep_id is the largest id
     among equal texts (null only if all are null). Of rows that share text and the largest id one is kept.
-    full_hash (SHA-256, binary) is null where length or prefix already tell a row from all others.
+    full_hash (SHA-256, binary) is null where length or prefix already tell a row from all others. Texts are compared whole,
+    however long; other columns of docs, whatever their names, are not looked at. No rows give none.
     carry: expressions over docs to return for every row; equal rows must have equal values.
     """
     carry = carry or {}

@@ -63,21 +63,43 @@ def thresholds(sizes: DataFrame, wanted: DataFrame, broadcast_sources: int = BRO
         state = table(step.select("sid", "rest", path.alias("path"), F.when(F.col("open"), F.col("e.run") - F.col("e.words")).otherwise(F.col("below")).alias("below"), (F.col("done") | ~F.col("open")).alias("done")), "mix-state")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, repeat: float = 2.0, broadcast_sources: int = BROADCAST_SOURCES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: <id>, source, size, source_size, target, taken, and the columns named in carry.
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The words and the hash of every row, written once."""
+    return table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")), "mix-sizes")
+
+
+def plan(sizes: DataFrame, weights: tuple[float, ...], share: float, repeat: float, broadcast_sources: int) -> DataFrame:
+    """A row per source of sizes (source, size, h): source, source_size, target, whole (copies of every document) and cut (a
+    document whose hash is under it is taken once more), for a join by source; broadcast if counted sources allow."""
+    made = table(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat), "mix-targets")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    made = made.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    n = made.count()
+    keyed = sizes.join(small_or_plain(made.select("sid", F.col("source").alias("__s")), n, broadcast_sources), F.col("source").eqNullSafe(F.col("__s"))).select("size", "h", "sid")
+    final = made.join(thresholds(keyed, made, broadcast_sources), "sid").select(F.col("source").alias("__source"), "source_size", "target", "whole", "cut")
+    return small_or_plain(table(final, "mix-plan"), n, broadcast_sources)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, repeat: float = 2.0, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """One row per row of docs: <id>, source, size, source_size, target, taken.
 
     size counts words (null text: 0); taken is the words that the mix takes of the document, its whole copies
     and, under the source's threshold, one more. Repeated ids are taken or left together. An empty table gives
     an empty result; a source without words has target 0. Texts are counted whole, however long; null is a source and
     an id like others; other columns of docs, whatever their names, are not looked at.
     """
-    sizes = table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"), *(F.col(c).alias(f"__c_{c}") for c in carry)), "mix-sizes")
-    plan = table(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat), "mix-targets")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    n = plan.count()
-    keyed = sizes.join(small_or_plain(plan.select("sid", "source"), n, broadcast_sources), sizes["source"].eqNullSafe(plan["source"])).select("id", sizes["source"], "size", "h", "sid", *(f"__c_{c}" for c in carry))
-    cuts = thresholds(keyed, plan, broadcast_sources)
-    final = table(plan.drop("source").join(cuts, "sid"), "mix-plan")
+    sizes = _sizes(docs, id_col, text_col, source_col)
+    rows = sizes.join(plan(sizes, weights, share, repeat, broadcast_sources), F.col("source").eqNullSafe(F.col("__source")))
     taken = F.col("size") * (F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0))
-    return keyed.join(small_or_plain(final, n, broadcast_sources), "sid").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), *(F.col(f"__c_{c}").alias(c) for c in carry))
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, repeat: float = 2.0, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it; those without words go. Only the sources' plan is joined, so no
+    row is shuffled. Nulls, ties and empty tables: as in mix()."""
+    made = plan(_sizes(docs, id_col, text_col, source_col), weights, share, repeat, broadcast_sources)
+    columns = docs.columns
+    rows = docs.withColumn("__h", id_hash(F.col(id_col))).join(made, F.col(source_col).eqNullSafe(F.col("__source")))
+    copies = (F.col("whole") + F.when(F.col("__h") < F.col("cut"), 1).otherwise(0)).cast("int")
+    rows = rows.filter(F.col(text_col).rlike(WORD)).select(*(docs[c] for c in columns), copies.alias("__n")).filter("__n > 0")
+    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
