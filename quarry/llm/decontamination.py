@@ -12,14 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_or_plain, table
+from quarry.llm.common import small_by_bytes, table
 
+#: Words of a window; an item with fewer has windows of the largest power of two of words that it has.
 WINDOW = 8
-#: The window of items that are too short for WINDOW words; still shorter items say too little to be looked for.
-SHORT_WINDOW = 4
+#: Items with fewer words aren't looked for, as they say too little: clean texts hold them too. 1 looks for all.
+LEAST_WORDS = 4
 #: Share of an item's windows that a text must have.
 COVERAGE = 0.5
-BROADCAST_ROWS = 500_000
+#: Up to so many bytes of items are broadcast, once to look windows up and once to compare words; more are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 #: Units of measure (fixed values).
 UNITS = (
@@ -56,41 +58,52 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(t, "(?<![^ ])" + _any_of([u.replace("/", "") for u in UNITS.split()]) + "(?![^ ])", _UNIT)
 
 
-def _windows(rows: DataFrame, words: str, window: int, keep: list[str]) -> DataFrame:
-    """(keep, place, h): a hash for every window of so many words. Windows double, so that a word is hashed once."""
-    out = rows.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+def _windows(rows: DataFrame, words: str, sizes: list[int], keep: list[str]) -> DataFrame:
+    """(keep, window, place, h): a hash for every window of so many words, for all sizes (powers of two) in one pass. Windows
+    double, so that a word is hashed once."""
+    out = rows.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("h1"))
     size = 1
-    while size < window:
-        n = F.greatest(F.size("h") - size, F.lit(0))
-        out = out.select(*keep, F.slice("h", 1, n).alias("a"), F.slice("h", F.lit(size + 1), n).alias("b"))
-        out = out.select(*keep, F.zip_with("a", "b", lambda x, y: F.xxhash64(x, y)).alias("h"))
+    while size < max(sizes):
+        done = [f"h{s}" for s in sizes if s <= size]
+        n = F.greatest(F.size(f"h{size}") - size, F.lit(0))
+        out = out.select(*keep, *done, F.slice(f"h{size}", 1, n).alias("a"), F.slice(f"h{size}", F.lit(size + 1), n).alias("b"))
         size *= 2
+        out = out.select(*keep, *done, F.zip_with("a", "b", lambda x, y: F.xxhash64(x, y)).alias(f"h{size}"))
     # outer: else the optimizer filters by the size of h first, with a copy of h for each time that it is used above
-    return out.select(*keep, F.posexplode_outer("h").alias("place", "h")).filter("h IS NOT NULL")
+    if len(sizes) == 1:
+        return out.select(*keep, F.lit(size).alias("window"), F.posexplode_outer(f"h{size}").alias("place", "h")).filter("h IS NOT NULL")
 
+    def named(size: int) -> Column:
+        return F.transform(f"h{size}", lambda h, at: F.struct(F.lit(size).alias("window"), at.alias("place"), h.alias("h")))
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    each = [named(size) for size in sizes]
+    return out.select(*keep, F.explode_outer(F.concat(*each)).alias("w")).select(*keep, "w.window", "w.place", "w.h").filter("h IS NOT NULL")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, least_words: int = LEAST_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row for each text and item that it holds: <id>, item_id, windows (of the item, found in the text),
     item_windows, slots (placeholders in the stretch found), changed (those with another filler), kind ("exact" where
     none is changed, else "reparameterised").
 
     A text holds an item if, on diagonals whose fillers map one to one, it has the share `coverage` of the item's
-    windows, of 8 template words (4 for items of 4 to 7 words). Items of fewer than 4 words, null or empty ones are not
-    looked for; a null or empty text holds none. Texts that share an id are looked at one by one and reported if any
-    holds the item; repeated rows and items count once.
+    windows, of 8 template words (or 4, 2, 1 for items that are shorter than the next). Items of fewer than least_words
+    words, null or empty ones are not looked for; a null or empty text holds none, and no rows give none. Texts that
+    share an id are looked at one by one and reported if any holds the item; repeated rows and items count once. Texts
+    are read whole, however long; other columns of docs and benchmark, whatever their names, are not looked at.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.split(canonical(F.col(item_text_col)), " ").alias("words"), F.split(flat(F.col(item_text_col)), " ").alias("raw")).dropDuplicates(["item", "raw"])
-    items = items.withColumn("ifp", F.xxhash64("raw")).filter(F.size("words") >= SHORT_WINDOW)
-    items = table(items.withColumn("window", F.when(F.size("words") >= WINDOW, WINDOW).otherwise(SHORT_WINDOW)), "items")
+    items = items.withColumn("ifp", F.xxhash64("raw")).filter((F.size("words") >= least_words) & (F.col("raw") != F.array(F.lit(""))))
+    powers = F.filter(F.array(*(F.lit(1 << k) for k in range(WINDOW.bit_length()))), lambda n: n <= F.size("words"))
+    items = table(items.withColumn("window", F.array_max(powers)), "items")
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = keyed.select("id", F.xxhash64("text").alias("fp"), F.split(canonical(F.col("text")), " ").alias("words"))
 
-    hits = None
-    for window in [r[0] for r in items.select("window").distinct().collect()]:
-        known = table(_windows(items.filter(F.col("window") == window), "words", window, ["item", "ifp"]).withColumnRenamed("place", "at"), "item-windows")
-        here = _windows(texts, "words", window, ["id", "fp"]).join(small_or_plain(known, known.count(), broadcast_rows), "h")
-        here = here.select("id", "fp", "item", "ifp", (F.col("place") - F.col("at")).alias("delta"), "at", F.lit(window).alias("window"))
-        hits = here if hits is None else hits.unionByName(here)
+    hits, sizes = None, sorted(r[0] for r in items.select("window").distinct().collect())
+    if sizes:
+        known = _windows(items.withColumnRenamed("window", "of"), "words", sizes, ["item", "ifp", "of"])
+        known = table(known.filter("window = of").select("item", "ifp", "window", F.col("place").alias("at"), "h"), "item-windows")
+        known = small_by_bytes(known, 48 + F.octet_length(F.coalesce(F.col("item").cast("string"), F.lit(""))), broadcast_bytes)
+        hits = _windows(texts, "words", sizes, ["id", "fp"]).join(known, ["window", "h"]).select("id", "fp", "item", "ifp", (F.col("place") - F.col("at")).alias("delta"), "at", "window")
     schema = "item_id {}, windows long, item_windows int, slots long, changed long, kind string".format(benchmark.schema[item_col].dataType.simpleString())
     if hits is None:
         return docs.sparkSession.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {schema}")
@@ -100,12 +113,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     whole = items.select(F.col("item").alias("i"), F.col("ifp").alias("ifp2"), F.col("words").alias("iwords"), F.col("raw").alias("iraw"), (F.size("words") - F.col("window") + 1).alias("item_windows"))
     pair = ["id", "fp", "item", "ifp"]
     found = lines.groupBy(*pair).agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n"))
-    n_items = whole.count()
-    sized = found.join(small_or_plain(whole, n_items, broadcast_rows), (F.col("item").eqNullSafe(F.col("i"))) & (F.col("ifp") == F.col("ifp2")))
+    whole = small_by_bytes(whole, 64 + F.octet_length(F.coalesce(F.col("i").cast("string"), F.lit(""))) + F.octet_length(F.array_join("iwords", " ")) + F.octet_length(F.array_join("iraw", " ")) + 16 * F.size("iwords"), broadcast_bytes)
+    sized = found.join(whole, (F.col("item").eqNullSafe(F.col("i"))) & (F.col("ifp") == F.col("ifp2")))
     wanted = table(sized.filter(F.col("n") >= coverage * F.col("item_windows")).select(*pair, "item_windows", "iwords", "iraw"), "suspects")
 
     own = wanted.select(F.col("id").alias("id2"), F.col("fp").alias("fp2")).distinct()
-    full = keyed.withColumn("fp", F.xxhash64("text")).join(small_or_plain(own, wanted.count(), broadcast_rows), F.col("id").eqNullSafe(F.col("id2")) & (F.col("fp") == F.col("fp2")), "left_semi")
+    full = keyed.withColumn("fp", F.xxhash64("text")).join(small_by_bytes(own, 32 + F.octet_length(F.coalesce(F.col("id2").cast("string"), F.lit(""))), broadcast_bytes), F.col("id").eqNullSafe(F.col("id2")) & (F.col("fp") == F.col("fp2")), "left_semi")
     full = full.select(F.col("id").alias("id2"), F.col("fp").alias("fp2"), F.split(flat(F.col("text")), " ").alias("traw"), F.split(canonical(F.col("text")), " ").alias("twords"))
     full = full.dropDuplicates(["id2", "fp2"])
 

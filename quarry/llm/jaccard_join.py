@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_table, nullable, ship_code, small_or_plain, table
+from quarry.llm.common import drop_table, nullable, ship_code, small_batches, small_or_plain, table, tidy
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -127,12 +127,12 @@ def hot_shingles(docs: DataFrame, text_col: str, most: int = HOT_SHINGLES) -> tu
             for k, t in enumerate(texts):
                 held.append(shingles(t))
                 size += len(held[-1])
-                if size > 4_000_000 or k == len(texts) - 1:
+                if size > 2_000_000 or k == len(texts) - 1:
                     s, n = np.unique(np.concatenate(held), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"s": pa.array(_signed(s[n > 1])), "n": pa.array(n[n > 1])})
                     held, size = [], 0
 
-    counts = table(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "shingle-counts")
+    counts = table(docs.select(F.col(text_col).alias("t")).mapInArrow(tidy(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "shingle-counts")
     power, left = 64, most
     for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():  # 63 rows at most
         if r["count"] > left:
@@ -156,7 +156,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray, often
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "node": pa.array(node, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.binary()), "prefix": pa.array([_signed(x) for x, _ in first], pa.list_(pa.int64())), "hot": pa.array([_signed(x) for _, x in first], pa.list_(pa.int64()))})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, node long, n long, sketch binary, prefix array<long>, hot array<long>"), "sets")
+    return table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"id {kind}, node long, n long, sketch binary, prefix array<long>, hot array<long>"), "sets")
 
 
 def _cuts(names: np.ndarray) -> list[int]:
@@ -217,7 +217,7 @@ def first_cells(sets: DataFrame) -> DataFrame:
             rows = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(rows[:, 0]), "node": pa.array(rows[:, 1])})
 
-    cold = _dealt(sets.select(F.explode("prefix").alias("token"), "node"), "token", "node").mapInArrow(run, "cell long, node long")
+    cold = _dealt(sets.select(F.explode("prefix").alias("token"), "node"), "token", "node").mapInArrow(tidy(run), "cell long, node long")
     hot = sets.select(F.explode("hot").alias("token"), "node")
     pivots = hot.groupBy("token").agg(F.min("node").alias("cell"))
     return table(cold.unionByName(hot.join(F.broadcast(pivots), "token").filter("cell <> node").select("cell", "node")).distinct(), "cells")
@@ -249,7 +249,7 @@ def split_cells(cells: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str
             close = (100 - percent) * (percent * (na + nb) + 200 * low) >= percent * (100 + percent) * h
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "near": pa.array(near), "close": pa.array(close)})
 
-    rows = table(rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(ball, "a long, b long, near boolean, close boolean"), "balls")
+    rows = table(rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(ball), "a long, b long, near boolean, close boolean"), "balls")
     links = verified(rows.filter("near AND a <> b").select("a", "b"), nodes, docs, id_col, text_col, percent, broadcast_rows)
     linked = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("l", F.lit(True))
     linked = rows.select("a", "b", "close").join(linked, ["a", "b"], "left")
@@ -350,7 +350,7 @@ def partners(cells: DataFrame, percent: int) -> DataFrame:
             if has.any():
                 yield pa.RecordBatch.from_pydict({c: pa.array(v[has], pa.binary() if c == "sketch" else pa.int64()) for c, v in r.items()})
 
-    return table(_dealt(cells, "cell", "node").mapInArrow(run, "cell long, node long, n long, sketch binary, own long"), "partners")
+    return table(_dealt(cells, "cell", "node").mapInArrow(tidy(run), "cell long, node long, n long, sketch binary, own long"), "partners")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -379,7 +379,7 @@ def cell_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 at = np.array(found)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(r["node"][at[:, 0]]), "b": pa.array(r["node"][at[:, 1]])})
 
-    return table(_dealt(members.join(full, "node"), "cell", "node").select("cell", "node", "n", "sketch", "own", "s").mapInArrow(run, "a long, b long"), "links")
+    return table(_dealt(members.join(full, "node"), "cell", "node").select("cell", "node", "n", "sketch", "own", "s").mapInArrow(tidy(run), "a long, b long"), "links")
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
@@ -394,7 +394,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, br
             yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "s": pa.array([s.tobytes() for s in own], pa.binary())})
 
     # an id may have several texts, and a text several rows of one id
-    return table(texts.select("t").mapInArrow(run, "node long, s binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "full-sets")
+    return table(texts.select("t").mapInArrow(tidy(run), "node long, s binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "full-sets")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, broadcast_rows: int) -> DataFrame:
@@ -409,7 +409,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
             yield batch.select(["a", "b"]).filter(pa.array([_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets], pa.bool_()))
 
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    links = table(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    links = table(both.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long"), "links")
     for done in (pairs, wanted, full):
         drop_table(done)
     return links
@@ -453,27 +453,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     Other columns of docs, whatever their names, are not looked at. No rows give no rows.
     """
     ship_code(docs.sparkSession)
-    docs = docs.select(nullable(docs, id_col).alias("__i"), F.col(text_col).alias("__t"))
-    names = ("__i", "__t")
-    hot, often = hot_shingles(docs, "__t")
-    sets = describe(docs, *names, hot, often, percent)
-    nodes = table(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-
-    cells = first_cells(sets)
-    whole = cells.unionByName(cells.select("cell", F.col("cell").alias("node")).distinct())
-    dealt = table(whole.join(nodes.select("node", "n", "sketch"), "node").select("cell", "node", "n", "sketch"), "dealt")
-    drop_table(cells)
-    cells, known = split_cells(dealt, nodes, docs, *names, percent, broadcast_rows, cell_shingles)
-    members = partners(cells, percent)
-    for done in (dealt, cells):
-        drop_table(done)
-    wanted = table(members.select("node").distinct().join(nodes.select("node", "id"), "node"), "wanted")
-    full = full_sets(wanted, docs, *names, broadcast_rows)
-    links = cell_links(members, full, percent)
-    for done in (members, wanted, full):
-        drop_table(done)
-
-    label = components(links if known is None else links.unionByName(known))
+    with small_batches(docs.sparkSession):
+        docs = docs.select(nullable(docs, id_col).alias("__i"), F.col(text_col).alias("__t"))
+        names = ("__i", "__t")
+        hot, often = hot_shingles(docs, "__t")
+        sets = describe(docs, *names, hot, often, percent)
+        nodes = table(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+
+        cells = first_cells(sets)
+        whole = cells.unionByName(cells.select("cell", F.col("cell").alias("node")).distinct())
+        dealt = table(whole.join(nodes.select("node", "n", "sketch"), "node").select("cell", "node", "n", "sketch"), "dealt")
+        drop_table(cells)
+        cells, known = split_cells(dealt, nodes, docs, *names, percent, broadcast_rows, cell_shingles)
+        members = partners(cells, percent)
+        for done in (dealt, cells):
+            drop_table(done)
+        wanted = table(members.select("node").distinct().join(nodes.select("node", "id"), "node"), "wanted")
+        full = full_sets(wanted, docs, *names, broadcast_rows)
+        links = cell_links(members, full, percent)
+        for done in (members, wanted, full):
+            drop_table(done)
+
+        label = components(links if known is None else links.unionByName(known))
     own = label.withColumnRenamed("node", "__n")
     named = nodes.select("node", "id").join(own, F.col("node") == F.col("__n"), "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))

@@ -1,8 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney model trained on trusted text.
 
-The model's tokens are characters within words, each word padded at its start and closed by an end sign, in n-grams of
-ORDER tokens. Counts are exact, over all trusted texts: tasks count their own words, the shuffle adds up n-grams, and
-each lower order counts how many different tokens precede (the continuation counts). Probabilities are made by joins of
+The model's tokens are characters, in n-grams of ORDER tokens: a text is the sequence of its words with single spaces
+between them, padded at its start and closed by an end sign, so that contexts reach across words. Counts are exact, over
+all trusted texts: tasks count their own n-grams, the shuffle adds them up, and each lower order counts how many
+different tokens precede (the continuation counts). Probabilities are made by joins of
 sharded count tables, order by order, for just those n-grams that the documents have. Each block of documents asks for
 its distinct n-grams once and gets their log-probabilities back; a document's perplexity is that of its tokens. Texts travel
 to their block as compressed batches, and are unpacked one batch at a time.
@@ -11,7 +12,6 @@ Thresholds are quantiles, by language, of trusted documents held out from the co
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_table, nullable, ship_code, small_or_plain, table
+from quarry.llm.common import drop_table, nullable, ship_code, small_batches, small_or_plain, table, tidy, trim
 
 ORDER = 5
 PAD, END = "\u0002", "\u0003"
 #: Characters of text in a block, whose distinct n-grams one task holds at a time.
 BLOCK_CHARS = 32_000_000
-#: Distinct words that a task remembers before it hands on their n-grams.
-WORDS_AT_ONCE = 300_000
+#: Characters that are worked on together, and distinct n-grams that a task holds before it hands them on.
+STEP_CHARS, GRAMS_AT_ONCE = 1_000_000, 2_000_000
 #: Share of held-out trusted documents that a language's threshold keeps.
 KEEP_QUANTILE = 0.995
 #: Of ten trusted documents, so many set the thresholds and aren't counted.
@@ -40,114 +40,146 @@ PRIOR_HELD_OUT = 50
 BROADCAST_LANGS = 100_000
 
 
-def word_grams(word: str) -> list[str]:
-    s = PAD * (ORDER - 1) + word + END
-    return [s[k : k + ORDER] for k in range(len(word) + 1)]
+def padded(text: str) -> str:
+    """The sequence of a text's tokens; empty without words."""
+    words = " ".join(text.split())
+    return PAD * (ORDER - 1) + words + END if words else ""
 
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+def text_grams(text: str) -> list[str]:
+    s = padded(text)
+    return [s[k : k + ORDER] for k in range(len(s) - ORDER + 1)]
 
 
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def gram_keys(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """The words padded in one string; of all their n-grams, word after word, the place and a 64-bit key; and the number
-    of each word."""
-    s = "".join([PAD * (ORDER - 1) + w + END for w in words])
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def steps(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """The sequences of texts in lots of bounded size, with the number of the text that each belongs to; longer ones come in
+    pieces that overlap by what an n-gram needs."""
+    lot, whose, size = [], [], 0
+    for k, t in enumerate(texts):
+        s = padded(t)
+        for a in range(0, len(s) - ORDER + 1, STEP_CHARS):
+            lot.append(s[a : a + STEP_CHARS + ORDER - 1])
+            whose.append(k)
+            size += len(lot[-1])
+            if size >= STEP_CHARS:
+                yield lot, whose
+                lot, whose, size = [], [], 0
+    if lot:
+        yield lot, whose
+
+
+def gram_keys(lot: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The sequences as one string; of all their n-grams, one sequence after the other, the place and a 64-bit key; and the
+    number of each sequence."""
+    s = "".join(lot)
     codes = _codes(s)
-    n = max(0, len(codes) - ORDER + 1)
+    n = len(codes) - ORDER + 1
     keys = codes[:n] * _MIX[0]
     for k in range(1, ORDER):
         keys += codes[k : k + n] * _MIX[k]
-    many = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(many + ORDER - 1) - (many + ORDER - 1)
-    places = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    # leading bits, by which keys are looked up, depend on all tokens
+    keys ^= keys >> np.uint64(29)
+    keys *= np.uint64(0xBF58476D1CE4E5B9)
+    many = np.fromiter(map(len, lot), np.int64, len(lot)) - ORDER + 1
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum(many + ORDER - 1)
+    for k in range(1, ORDER):
+        inside[ends - k] = False
+    places = np.flatnonzero(inside)
     return s, places, keys[places], many
 
 
-def distinct_grams(words: list[str], weights: list[int] | None = None) -> tuple[list[str], np.ndarray]:
-    """The distinct n-grams of words and their counts (each word as often as its weight)."""
-    s, places, keys, many = gram_keys(words)
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    n = np.bincount(which, np.repeat(np.array(weights, np.float64), many) if weights else None, len(first))
-    return [s[p : p + ORDER] for p in places[first].tolist()], n.astype(np.int64)
+class Grams:
+    """Distinct n-grams with their counts, of texts that are added bit by bit."""
+
+    BITS = 21
 
+    def __init__(self) -> None:
+        # most n-grams are found by their leading bits; number 0 is none
+        self.table, self.shift = np.zeros(1 << self.BITS, np.int32), np.uint64(64 - self.BITS)
+        self.keys, self.counts, self.grams = np.zeros(1, np.uint64), np.zeros(1, np.int64), [""]
+        self.order = np.zeros(1, np.int64)
 
-class _Numbered(dict):
-    """Numbers words in the order in which they are first looked up; new has those without a score yet."""
+    def add(self, texts: list[str]) -> None:
+        for lot, _ in steps(texts):
+            s, places, keys, _ = gram_keys(lot)
+            at = self.table[(keys >> self.shift).astype(np.int64)]
+            hit = (self.keys[at] == keys) & (at > 0)
+            self.counts += np.bincount(at[hit], minlength=len(self.counts))
+            if hit.all():
+                continue
+            places, (keys, first, n) = places[~hit], np.unique(keys[~hit], return_index=True, return_counts=True)
+            place = np.searchsorted(self.keys, keys, sorter=self.order)
+            place = self.order[np.minimum(place, len(self.order) - 1)]
+            old = (self.keys[place] == keys) & (place > 0)
+            self.counts[place[old]] += n[old]
+            if not old.all():
+                new, known = ~old, len(self.grams)
+                self.grams += [s[p : p + ORDER] for p in places[first[new]].tolist()]
+                self.keys, self.counts = np.concatenate([self.keys, keys[new]]), np.concatenate([self.counts, n[new]])
+                self.table[(keys[new] >> self.shift).astype(np.int64)] = known + np.arange(new.sum())
+                self.order = np.argsort(self.keys)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+    def __len__(self) -> int:
+        return len(self.grams) - 1
 
+    def columns(self) -> tuple[pa.Array, pa.Array]:
+        return pa.array(self.grams[1:], pa.string()), pa.array(self.counts[1:], pa.int64())
 
-class WordScores:
-    """Sums of negative log-probabilities by word, from those of n-grams."""
+
+class GramScores:
+    """Mean negative log-probabilities of texts, from those of n-grams."""
 
     def __init__(self, grams: list[str], lp: np.ndarray):
-        codes = _codes("".join(grams)).reshape(-1, ORDER)
-        keys = (codes * _MIX[:ORDER]).sum(axis=1, dtype=np.uint64)
+        keys = np.concatenate([gram_keys(grams[a : a + STEP_CHARS // ORDER])[2] for a in range(0, len(grams), STEP_CHARS // ORDER)])
         order = np.argsort(keys)
         self.keys, self.nll = keys[order], -lp[order].astype(np.float64)
         # most keys are found by their leading bits, the others by a search
         self.shift = np.uint64(64 - max(10, int(4 * len(keys)).bit_length()))
         self.slots = np.zeros(1 << int(64 - self.shift), np.int32)
         self.slots[(self.keys >> self.shift).astype(np.int64)] = np.arange(len(keys))
-        self.clear()
-
-    def clear(self) -> None:
-        self.known = _Numbered()
-        self.known.new = []
-        self.scores, self.sizes = np.zeros(0), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each text and their mean negative log-probability."""
-        if len(self.known) > WORDS_AT_ONCE:
-            self.clear()
-        number, places, ends = self.known.__getitem__, [], []
-        for t in texts:
-            places.extend(map(number, t.split()))
-            ends.append(len(places))
-        if self.known.new:
-            _, _, keys, many = gram_keys(self.known.new)
+        tokens, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for lot, whose in steps(texts):
+            _, _, keys, many = gram_keys(lot)
             at = self.slots[(keys >> self.shift).astype(np.int64)]
             missed = np.flatnonzero(self.keys[at] != keys)
             at[missed] = np.searchsorted(self.keys, keys[missed])
-            own = np.add.reduceat(self.nll[at], np.cumsum(many) - many)
-            self.scores = np.concatenate([self.scores, own])
-            self.sizes = np.concatenate([self.sizes, many])
-            self.known.new = []
-        index, stops = np.array(places, np.int64), np.array([0, *ends], np.int64)
-        if not len(index):
-            return np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
-        total, tokens = (np.diff(np.concatenate([[0], np.cumsum(v[index])])[stops]) for v in (self.scores, self.sizes))
+            tokens += np.bincount(whose, many, len(texts)).astype(np.int64)
+            total += np.bincount(whose, np.add.reduceat(self.nll[at], np.cumsum(many) - many), len(texts))
         return tokens, np.where(tokens > 0, total / np.maximum(tokens, 1), np.nan)
 
 
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Grams]:
+    """The n-grams of the first column's texts, in lots of bounded size."""
+    found = Grams()
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            found.add([t for t in batch.column(0).slice(a, 500).to_pylist() if t])
+            if len(found) > GRAMS_AT_ONCE:
+                yield found
+                found = Grams()
+    yield found
+
+
 def count_grams(docs: DataFrame, text_col: str) -> DataFrame:
-    """(gram, n): n-grams of full order over all words of docs."""
+    """(gram, n): n-grams of full order over all of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            grams, n = distinct_grams(list(words), list(words.values()))
-            words.clear()
-            return pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string()), "n": pa.array(n, pa.int64())})
-
-        words: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    words.update(text.split())
-                    if len(words) > WORDS_AT_ONCE:
-                        yield flush()
-        if words:
-            yield flush()
+        for found in _grams_of(batches):
+            yield pa.RecordBatch.from_arrays([*found.columns()], ["gram", "n"])
 
     ship_code(docs.sparkSession)
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(tidy(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def model_tables(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[list[float]]]:
@@ -222,7 +254,7 @@ def packed(rows: DataFrame) -> DataFrame:
             for own in np.split(order, cuts[1:]) if len(block) else []:
                 yield pa.RecordBatch.from_pydict({"block": pa.array(block[own[:1]], pa.int32()), "payload": pa.array([_pack(rest.take(pa.array(own)))], pa.binary())})
 
-    return rows.mapInArrow(run, "block int, payload binary")
+    return rows.mapInArrow(tidy(run), "block int, payload binary")
 
 
 def score(docs: DataFrame, counts: DataFrame, keys: list[str], text_col: str = "text", n_blocks: int | None = None) -> DataFrame:
@@ -236,48 +268,38 @@ def score(docs: DataFrame, counts: DataFrame, keys: list[str], text_col: str = "
     rows = docs.select(block, *keys, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: set[str] = set()
-
-        def flush() -> pa.RecordBatch:
-            found = distinct_grams(list(words))[0]
-            words.clear()
-            return pa.RecordBatch.from_pydict({"gram": pa.array(found, pa.string())})
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words.update(t.split())
-            if len(words) > WORDS_AT_ONCE:
-                yield flush()
-        if words:
-            yield flush()
+        for found in _grams_of(batches):
+            yield pa.RecordBatch.from_arrays([found.columns()[0]], ["gram"])
 
     def block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        # a partition has few blocks, each of them whole, and their rows come mixed
+        of: dict[int, Grams] = {}
 
-        def flush(b: int) -> pa.RecordBatch:
-            found = distinct_grams(list(seen.pop(b)))[0]
-            return pa.RecordBatch.from_pydict({"block": pa.array([b] * len(found), pa.int32()), "gram": pa.array(found, pa.string())})
+        def out(b: int) -> pa.RecordBatch:
+            grams = of.pop(b).columns()[0]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), b, np.int32)), grams], ["block", "gram"])
 
         for batch in batches:
             for b, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                own = seen.setdefault(b, set())
-                for t in _unpack(payload.as_buffer()).column("t").to_pylist():
-                    own.update(t.split())
-                if len(own) > WORDS_AT_ONCE:
-                    yield flush(b)
-        for b in [b for b, own in seen.items() if own]:
-            yield flush(b)
-
-    asked = table(rows.select("t").mapInArrow(all_grams, "gram string").distinct(), "asked")
+                found = of.setdefault(b, Grams())
+                texts = _unpack(payload.as_buffer()).column("t")
+                for a in range(0, len(texts), 500):
+                    found.add(texts.slice(a, 500).to_pylist())
+                if sum(map(len, of.values())) > GRAMS_AT_ONCE:
+                    yield out(max(of, key=lambda k: len(of[k])))
+        for b in list(of):
+            yield out(b)
+
+    asked = table(rows.select("t").mapInArrow(tidy(all_grams), "gram string").distinct(), "asked")
     answers = probabilities(asked, grams, contexts, discounts)
     for done in (asked, *grams, *contexts):
         drop_table(done)
     # both uses of blocks read all of its columns, so that the texts are shuffled once
     blocks = packed(rows).repartition(max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
-    told = blocks.mapInArrow(block_grams, "block int, gram string").join(answers, "gram").select("block", "gram", F.log("p").cast("float").alias("lp"))
+    told = blocks.mapInArrow(tidy(block_grams), "block int, gram string").join(answers, "gram").select("block", "gram", F.log("p").cast("float").alias("lp"))
 
     def rated(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rate = WordScores(right.column("gram").to_pylist(), right.column("lp").to_numpy()) if right.num_rows else None
+        rate = GramScores(right.column("gram").to_pylist(), right.column("lp").to_numpy()) if right.num_rows else None
         out = []
         for payload in left.column("payload"):
             own = _unpack(payload.as_buffer())
@@ -287,6 +309,7 @@ def score(docs: DataFrame, counts: DataFrame, keys: list[str], text_col: str = "
                 got = rate(texts) if rate else (np.zeros(len(texts), np.int64), np.full(len(texts), np.nan))
                 tokens, nll = [*tokens, got[0]], [*nll, got[1]]
             out.append(pa.table({k: own.column(k) for k in keys} | {"tokens": np.concatenate(tokens), "nll": pa.array(np.concatenate(nll), from_pandas=True)}))
+        trim()
         return pa.concat_tables(out)
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
@@ -326,7 +349,8 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
     counts = count_grams(known.join(counted, "__id", "left_semi"), "t")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("t"), *(nullable(docs, c).alias(f"__c_{c}") for c in carry))
-    scored = table(score(rows, counts, ["__id", "__lang", *(f"__c_{c}" for c in carry)], "t", n_blocks), "scores")
+    with small_batches(docs.sparkSession):
+        scored = table(score(rows, counts, ["__id", "__lang", *(f"__c_{c}" for c in carry)], "t", n_blocks), "scores")
 
     held = scored.join(ids.filter("held").select("__id"), "__id", "left_semi").filter("nll IS NOT NULL")
     by_lang, every = thresholds(held, quantile, prior)

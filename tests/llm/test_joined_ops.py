@@ -31,7 +31,7 @@ def sentence(rng, n):
 def plain_kn(texts, order=quality.ORDER):
     """Interpolated modified Kneser-Ney by the textbook, in dictionaries."""
     counts = [None] * (order + 1)
-    counts[order] = collections.Counter(g for t in texts for w in t.split() for g in quality.word_grams(w))
+    counts[order] = collections.Counter(g for t in texts for g in quality.text_grams(t))
     for n in range(order - 1, 0, -1):
         counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
     disc, ctx = [None] * (order + 1), [None] * (order + 1)
@@ -57,6 +57,25 @@ def plain_kn(texts, order=quality.ORDER):
     return p
 
 
+def test_grams_of_long_texts_and_collisions(monkeypatch):
+    """Pieces of long texts overlap by what n-grams need, and n-grams that share leading bits are told apart."""
+    rng = random.Random(8)
+    texts = [sentence(rng, n) for n in (1, 40, 900, 3)] + ["", "a", " \n "]
+    want = collections.Counter(g for t in texts for g in quality.text_grams(t))
+    for chars, bits in ((1_000_000, 21), (100, 21), (64, 3)):
+        monkeypatch.setattr(quality, "STEP_CHARS", chars)
+        monkeypatch.setattr(quality.Grams, "BITS", bits)
+        found = quality.Grams()
+        found.add(texts)
+        found.add(texts[:2])
+        assert dict(zip(*(c.to_pylist() for c in found.columns()), strict=True)) == want + collections.Counter(g for t in texts[:2] for g in quality.text_grams(t))
+        rate = quality.GramScores(list(want), np.array([-1.0 - k for k in range(len(want))]))
+        index = {g: 1.0 + k for k, g in enumerate(want)}
+        tokens, nll = rate(texts)
+        assert tokens.tolist() == [len(quality.text_grams(t)) for t in texts]
+        assert nll[:4] == pytest.approx([np.mean([index[g] for g in quality.text_grams(t)]) for t in texts[:4]]) and np.isnan(nll[4])
+
+
 def test_perplexity_is_that_of_the_textbook(spark):
     rng = random.Random(1)
     train = [sentence(rng, 60) for _ in range(20)]
@@ -64,9 +83,9 @@ def test_perplexity_is_that_of_the_textbook(spark):
     counts = quality.count_grams(docs_of(spark, [(k, t, "en") for k, t in enumerate(train)]), "text")
     got = {r.doc_id: r for r in quality.score(docs_of(spark, [(k, t, "en") for k, t in enumerate(other)]), counts, ["doc_id"], n_blocks=3).collect()}
     p = plain_kn(train)
-    assert abs(sum(p("tari" + c) for c in {g[-1] for t in train for w in t.split() for g in quality.word_grams(w)}) - 1) < 0.05
+    assert abs(sum(p("tari" + c) for c in {g[-1] for t in train for g in quality.text_grams(t)}) - 1) < 0.05
     for k, t in enumerate(other):
-        grams = [g for w in (t or "").split() for g in quality.word_grams(w)]
+        grams = quality.text_grams(t or "")
         assert got[k].tokens == len(grams)
         if grams:
             assert got[k].nll == pytest.approx(-sum(math.log(p(g)) for g in grams) / len(grams), rel=1e-5)
@@ -192,10 +211,12 @@ def test_decontamination(spark):
         (7, None, "en"), (8, "", "en"), (9, "x " * 30_000 + ITEMS[1][1], "en"), (2, "clean text of the same id", "en"), (None, f"{pad} red fox jumps high", "en"), (4, rows_4 := f"{pad} nothing", "en"),
     ]
     bench = spark.createDataFrame([(i, t, "x", 1) for i, t in ITEMS], "item_id long, text string, kind string, windows int")
-    for broadcast in (0, 1000):
-        got = {(r.doc_id, r.item_id): r for r in decontamination.decontaminate(docs_of(spark, rows), bench, broadcast_rows=broadcast).collect()}
+    for broadcast in (0, 1 << 20):
+        got = {(r.doc_id, r.item_id): r for r in decontamination.decontaminate(docs_of(spark, rows), bench, broadcast_bytes=broadcast).collect()}
         assert set(got) == {(1, 1), (2, 1), (4, 2), (5, 3), (9, 2), (None, 3)}, set(got)
         assert got[1, 1].kind == "exact" and got[2, 1].kind == "reparameterised" and got[4, 2].kind == "exact"
+    every = {(r.doc_id, r.item_id) for r in decontamination.decontaminate(docs_of(spark, rows), bench, least_words=1).collect()}
+    assert every == {(1, 1), (2, 1), (4, 2), (5, 3), (9, 2), (None, 3), (6, 4)}
     assert decontamination.decontaminate(docs_of(spark, []), bench).count() == 0
     assert decontamination.decontaminate(docs_of(spark, rows), bench.limit(0)).count() == 0
 
