@@ -93,14 +93,37 @@ def knn_scores(found: DataFrame, ks: list[int]) -> DataFrame:
 
 
 def class_moments(vectors: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(label, i, n, mean) and (i, j, cov): class means and the pooled covariance, from sums that partial aggregation
-    makes on the map side."""
-    v = vectors.select(F.col(label).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    means = v.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
-    outer = F.flatten(F.transform("v", lambda x, i: F.transform("v", lambda y, j: F.struct(i.alias("i"), j.alias("j"), (x * y).alias("xy")))))
-    second = v.select(F.explode(outer).alias("o")).select("o.*").groupBy("i", "j").agg(F.sum("xy").alias("sxy"), F.count("*").alias("total"))
+    """(label, i, n, mean) and (i, j, cov): class means and the pooled covariance. A task adds up its vectors' products as
+    matrices and hands on as many rows as the matrix has places, whatever the number of vectors."""
+    schema = T.StructType([T.StructField("label", vectors.schema[label].dataType), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("x", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        second, total = 0.0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, own = _matrix(batch.column("embedding")).astype(np.float64), batch.column("label").to_pylist()
+            second, total = second + v.T @ v, total + len(v)
+            for name in dict.fromkeys(own):
+                mine = v[[x == name for x in own]]
+                n, before = sums.get(name, (0, 0.0))
+                sums[name] = n + len(mine), before + mine.sum(axis=0)
+        if not total:
+            return
+        d = len(second)
+        i, j = np.indices((d, d), np.int32)
+        # rows without j are sums of a class, the others products of all
+        for name, (n, value) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * d, arrow.field("label").type), pa.array(np.arange(d, dtype=np.int32)), pa.nulls(d, pa.int32()), pa.array([n] * d, pa.int64()), pa.array(value)], schema=arrow)
+        yield pa.RecordBatch.from_arrays([pa.nulls(d * d, arrow.field("label").type), pa.array(i.ravel()), pa.array(j.ravel()), pa.array([total] * (d * d), pa.int64()), pa.array(second.ravel())], schema=arrow)
+
+    parts = vectors.select(F.col(label).alias("label"), "embedding").mapInArrow(run, schema)
+    means = parts.filter("j IS NULL").groupBy("label", "i").agg(F.sum("n").alias("n"), (F.sum("x") / F.sum("n")).alias("mean"))
+    second = parts.filter("j IS NOT NULL").groupBy("i", "j").agg(F.sum("x").alias("sxy"), F.sum("n").alias("total"))
     a, b = means.select("label", "i", "n", F.col("mean").alias("mi")), means.select("label", F.col("i").alias("j"), F.col("mean").alias("mj"))
-    between = a.join(b, "label").groupBy("i", "j").agg(F.sum(F.col("n") * F.col("mi") * F.col("mj")).alias("b"))
+    between = a.join(b, a["label"].eqNullSafe(b["label"])).groupBy("i", "j").agg(F.sum(F.col("n") * F.col("mi") * F.col("mj")).alias("b"))
     return means, second.join(between, ["i", "j"]).select("i", "j", ((F.col("sxy") - F.col("b")) / F.col("total")).alias("cov"))
 
 
