@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_table, nullable, ship_code, small_batches, small_or_plain, table, tidy
+from quarry.llm.common import MIX, drop_table, nullable, ship_code, small_batches, small_or_plain, table, tidy
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -43,9 +43,6 @@ CELL = 256
 FEW = 16
 BROADCAST_ROWS = 200_000
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -62,11 +59,11 @@ def shingles(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     if len(h) < WORDS:
-        return _scramble((h * _MIX[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
+        return _scramble((h * MIX[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
     n = len(h) - WORDS + 1
-    s = h[:n] * _MIX[0]
+    s = h[:n] * MIX[0]
     for k in range(1, WORDS):
-        s = s + h[k : k + n] * _MIX[k]
+        s = s + h[k : k + n] * MIX[k]
     return np.unique(_scramble(s))
 
 

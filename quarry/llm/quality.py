@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_table, nullable, ship_code, small_batches, small_or_plain, table, tidy, trim
+from quarry.llm.common import MIX, drop_table, nullable, ship_code, small_batches, small_or_plain, table, tidy, trim
 
 ORDER = 5
 PAD, END = "\u0002", "\u0003"
@@ -51,9 +51,6 @@ def text_grams(text: str) -> list[str]:
     return [s[k : k + ORDER] for k in range(len(s) - ORDER + 1)]
 
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
 def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -81,9 +78,9 @@ def gram_keys(lot: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     s = "".join(lot)
     codes = _codes(s)
     n = len(codes) - ORDER + 1
-    keys = codes[:n] * _MIX[0]
+    keys = codes[:n] * MIX[0]
     for k in range(1, ORDER):
-        keys += codes[k : k + n] * _MIX[k]
+        keys += codes[k : k + n] * MIX[k]
     # leading bits, by which keys are looked up, depend on all tokens
     keys ^= keys >> np.uint64(29)
     keys *= np.uint64(0xBF58476D1CE4E5B9)
