@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows per group that one task holds while totals are carried.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 ROUND = 6
 
 
@@ -35,13 +35,13 @@ def running(counted: DataFrame, by: list[str], value: str, sums: list[str], buck
     return rows.select(*counted.columns, *((F.sum(c).over(own) + F.col(f"__{c}_before")).alias(f"{c}_upto") for c in sums), *(f"{c}_all" for c in sums))
 
 
-def points(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None) -> DataFrame:
+def points(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """by, score, p, n (out and in distribution at the score), tp, fp (at and above it), pos, neg (in all); rows whose gt
     is neither 0 nor 1 don't count."""
     w = F.col(weight) if weight else F.lit(1)
     counted = df.filter(F.col(gt).isin(0, 1)).groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.when(F.col(gt) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(gt) == 0, w).otherwise(0)).alias("n"))
     down = lambda c: F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)
-    return running(counted, by, "score", ["p", "n"]).select(*by, "score", "p", "n", down("p").alias("tp"), down("n").alias("fp"), F.col("p_all").alias("pos"), F.col("n_all").alias("neg"))
+    return running(counted, by, "score", ["p", "n"], buckets).select(*by, "score", "p", "n", down("p").alias("tp"), down("n").alias("fp"), F.col("p_all").alias("pos"), F.col("n_all").alias("neg"))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, at: list[float] | int) -> DataFrame:
@@ -68,9 +68,9 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: list[float] | int) -
     return found.select(*by, "k", q.alias("q"))
 
 
-def metrics(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, digits: int | None = ROUND) -> DataFrame:
+def metrics(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, digits: int | None = ROUND, buckets: int = BUCKETS) -> DataFrame:
     """by, ap, auroc, fpr95, n_pos. The three are null where a group has but one class; n_pos stays."""
-    pts = points(df, by, score, gt, weight)
+    pts = points(df, by, score, gt, weight, buckets)
     pos, neg = F.nullif(F.col("pos").cast("double"), F.lit(0.0)), F.nullif(F.col("neg").cast("double"), F.lit(0.0))
     ap = F.sum(F.col("p") / pos * F.col("tp") / (F.col("tp") + F.col("fp")))
     auroc = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / F.max(pos * neg)

@@ -38,11 +38,10 @@ def plain_metrics(own):
 
 @pytest.mark.parametrize("buckets", [1, 2, 64])
 @pytest.mark.parametrize("distinct", [False, True])
-def test_ranking(spark, buckets, distinct, monkeypatch):
-    monkeypatch.setattr(ranking.running, "__defaults__", (buckets,))
+def test_ranking(spark, buckets, distinct):
     rows = rows_of(buckets, distinct=distinct)
     df = spark.createDataFrame(rows, "m string, gt int, score double")
-    for r in ranking.metrics(df, ["m"], digits=None).collect():
+    for r in ranking.metrics(df, ["m"], digits=None, buckets=buckets).collect():
         want = plain_metrics([(g, s) for m, g, s in rows if m == r.m])
         assert (r.ap, r.auroc, r.fpr95) == pytest.approx(want)
 
