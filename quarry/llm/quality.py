@@ -24,7 +24,7 @@ from quarry.llm.common import MIX, drop_table, nullable, ship_code, small_batche
 ORDER = 5
 PAD, END = "\u0002", "\u0003"
 #: Characters of text in a block, whose distinct n-grams one task holds at a time.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 48_000_000
 #: Characters that are worked on together, and distinct n-grams that a task holds before it hands them on.
 STEP_CHARS, GRAMS_AT_ONCE = 1_000_000, 2_000_000
 #: Share of held-out trusted documents that a language's threshold keeps.
