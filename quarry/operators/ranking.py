@@ -28,11 +28,12 @@ def running(counted: DataFrame, by: list[str], value: str, sums: list[str], buck
     rows = _joined(counted, ends, by).withColumn("__part", part.cast("int")).drop("__lo", "__hi")
     own = Window.partitionBy(*by, "__part").orderBy(value)
     # partitionBy of a constant would be dropped with the groups: one task adds up the parts, BUCKETS rows at most
-    parts = rows.groupBy(*by, "__part").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
+    # it also hands on the totals: so both uses of rows need all of its columns, and its input is worked out once
+    parts = rows.groupBy(*by, "__part").agg(*(F.sum(c).alias(f"__{c}") for c in sums), *(F.max(f"{c}_all").alias(f"__{c}_all") for c in sums))
     before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__part")
-    carried = parts.select(*by, "__part", *((F.sum(f"__{c}").over(before) - F.col(f"__{c}")).alias(f"__{c}_before") for c in sums))
+    carried = parts.select(*by, "__part", *((F.sum(f"__{c}").over(before) - F.col(f"__{c}")).alias(f"__{c}_before") for c in sums), *(f"__{c}_all" for c in sums))
     rows = rows.join(carried, [*by, "__part"])
-    return rows.select(*counted.columns, *((F.sum(c).over(own) + F.col(f"__{c}_before")).alias(f"{c}_upto") for c in sums), *(f"{c}_all" for c in sums))
+    return rows.select(*counted.columns, *((F.sum(c).over(own) + F.col(f"__{c}_before")).alias(f"{c}_upto") for c in sums), *(F.greatest(f"{c}_all", f"__{c}_all").alias(f"{c}_all") for c in sums))
 
 
 def points(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
