@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import MIX, drop_table, nullable, ship_code, small_batches, small_or_plain, table, tidy
+from quarry.llm.linking import components
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -412,33 +413,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     return links
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of edges (a, b), by contraction: each node joins its least neighbour in an order that
-    changes from step to step, until no edge is left."""
-    label, turn = None, 0
-    edges = table(edges.filter("a <> b"), "edges")
-    while not edges.isEmpty():
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("o"), F.col(c).alias("v"))  # noqa: B023, E731
-        step = both.groupBy("a").agg(F.least(F.min(order("b")), F.first(order("a")))["v"].alias("to"))
-        step = table(step, "step")
-        # a chain of least neighbours is followed twice more
-        hop = step.select(F.col("a").alias("to"), F.col("to").alias("next"))
-        step2 = step.join(hop, "to").select("a", F.col("next").alias("to"))
-        step2 = table(step2.join(hop, "to").select("a", F.col("next").alias("to")), "step")
-        if label is None:
-            label = step2.select(F.col("a").alias("node"), F.col("to").alias("comp"))
-        else:
-            label = table(label.join(step2.select(F.col("a").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
-        side = step2.select(F.col("a"), F.col("to").alias("x"))
-        edges = edges.join(side, "a").select("b", "x").join(step2.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = table(edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        turn += 1
-    if label is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return label
-
-
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """A row per row of docs: <id>, n_shingles, component_id.
 

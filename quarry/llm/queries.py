@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, sharding, token_files
+from quarry.llm import chat, decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, sharding, simhash, spelling, token_files, vector_codes
 from quarry.llm.common import ascii_lower, read
 
 
@@ -59,6 +59,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "words_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(read(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -70,12 +82,66 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_simhash": op11_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_spelling": op13_spelling,
 }
 
 # the filled table itself is checked against a plain fill in tests; SQL looks it up
 _SLOTS = ",".join(map(str, sharding.fill_table(sharding.SHARDS)))
 
+
+def _codes_sql() -> str:
+    """Rounds as a chain of WITH terms: a (assignment) by the codebooks c, then the codebooks of the next round."""
+    nearest = "SELECT rid, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (SELECT rid, p.part, entry, list_sum(list_transform(list_zip(pv, cv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{k} c ON p.part = c.part) GROUP BY ALL"
+    book = "SELECT c.part, c.entry, CASE WHEN s.cv IS NULL THEN c.cv ELSE s.cv END AS cv FROM c{j} c LEFT JOIN (SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS cv FROM (SELECT p.part, entry, i, sum(pv[i]) AS total, count(*) AS n FROM a{j} a JOIN p ON a.rid = p.rid AND a.part = p.part, unnest(range(1, len(pv) + 1)) AS u(i) GROUP BY ALL) GROUP BY ALL) s ON c.part = s.part AND c.entry = s.entry"
+    steps = "".join(f", a{k} AS MATERIALIZED ({nearest.format(k=k)}), c{k + 1} AS MATERIALIZED ({book.format(j=k)})" for k in range(vector_codes.ROUNDS))
+    last = vector_codes.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT rid, part, q[part * (len(q) // 16) + 1 : (part + 1) * (len(q) // 16)] AS pv FROM v, unnest(range(16)) AS u(part)
+), c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, pv AS cv FROM p WHERE rid <= 64){steps}, a AS MATERIALIZED ({nearest.format(k=last)}), e AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a JOIN v USING (rid) GROUP BY rid, vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, i)) FROM (SELECT part, entry, unnest(cv) AS x, unnest(range(len(cv))) AS i FROM c{last})) AS codebooks_sha256
+FROM e"""
+
+
+# words hold no ASCII but a-z, so that each of the 64 code points above can stand for itself as another byte
+_LETTERS, _BYTES = "".join(map(chr, range(0xC0, 0x100))), "".join(map(chr, range(33, 97))).replace("'", "''")
+
 ORACLE_SQL = {
+    "op12_vector_codes": _codes_sql(),
+    "op13_spelling": rf"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]{{6,}}')) AS run FROM documents
+), r AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM d GROUP BY ALL
+), crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), x AS (
+  SELECT run, n, hex(encode(id || ':' || run)) AS bytes FROM r
+), h AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(len(bytes) // 2), lambda i: CAST('0x' || substr(bytes, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM x, crc
+), w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{_LETTERS}', '{_BYTES}') AS bytes
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), near AS (
+  SELECT a.word, b.word AS form, b.n FROM w a JOIN w b ON abs(length(a.bytes) - length(b.bytes)) <= 1 AND a.word <> b.word WHERE levenshtein(a.bytes, b.bytes) = 1
+), f AS MATERIALIZED (
+  SELECT w.word, w.n, count(o.form) AS n_near, first(o.form ORDER BY o.n DESC, o.form) AS form, max(o.n) AS form_n FROM w LEFT JOIN near o ON w.word = o.word GROUP BY w.word, w.n
+), g AS MATERIALIZED (
+  SELECT word, n, n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM f
+), root AS (
+  SELECT word, word AS here, 0 AS steps FROM g UNION ALL SELECT root.word, g.form, steps + 1 FROM root JOIN g ON root.here = g.word WHERE g.form IS NOT NULL
+)
+SELECT g.word, g.form, (SELECT arg_max(here, steps) FROM root WHERE root.word = g.word) AS root, g.n, g.n_near, g.form_n FROM g""",
     "op8_sharding": f"""
 WITH t AS (SELECT string_split('{_SLOTS}', ',') AS owners), o AS (SELECT unnest(generate_series(0, len(owners) - 1)) AS slot, unnest(owners) AS owner FROM t),
 d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents)
