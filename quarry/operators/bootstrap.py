@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ BINS, DRAWS = 4000, 1000
 #: Draws whose metrics one task works out together.
 DRAWS_AT_ONCE = 50
 PRIME = 2147483647
+#: Where a uniform number below PRIME begins to stand for one, two, ... takes: sums of exp(-1) / k!.
+POISSON = np.array([int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(11)], np.int64)
+#: Parts that the scores of an exact bootstrap are cut into, and rows of a part that are worked out together.
+PARTS, ROWS_AT_ONCE = 64, 2048
 
 
 def edges(sample: DataFrame, by: list[str], score: str, bins: int = BINS) -> DataFrame:
@@ -27,15 +32,8 @@ def edges(sample: DataFrame, by: list[str], score: str, bins: int = BINS) -> Dat
 
 def bin_of(value: Column, cuts: Column) -> Column:
     """The bin of an ascending array of edges that holds a value between the first and the last; bins are closed below, the
-    last also above. A binary search, written as a fold over as many steps as the array's size needs."""
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        up = F.element_at(cuts, mid + 1) <= value
-        return F.when(s["hi"] - s["lo"] <= 1, s).otherwise(F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi")))
-
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts).cast("double"))).cast("int"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (F.size(cuts) - 1).alias("hi")), halve)["lo"]
+    last also above."""
+    return F.least(ranking.place_in(value, cuts), F.size(cuts) - 2)
 
 
 def histogram(df: DataFrame, by: list[str], cuts: DataFrame, on: list[str], score: str = "score") -> DataFrame:
@@ -47,16 +45,30 @@ def histogram(df: DataFrame, by: list[str], cuts: DataFrame, on: list[str], scor
     return inside.withColumn("bin", bin_of(F.col("__s"), F.col("edges"))).groupBy(*by, "bin").agg(F.sum("n_id").alias("n_id"), F.sum("n_ood").alias("n_ood"))
 
 
+def frame_number(frame: Column, kind: str) -> Column:
+    """The whole number that a frame's weights come from: itself, or a hash of a name."""
+    return frame.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(frame)
+
+
+def draw_weights(frames: np.ndarray, draws: int) -> np.ndarray:
+    """(draws, frames): how often each draw takes each frame, Poisson numbers of mean 1 made from the draw's and the frame's
+    numbers alone. So tasks make the weights that they need, and none are shuffled; other engines can make them too, by
+    squares modulo a prime."""
+    frame, boot = (frames.astype(np.int64) % PRIME)[None, :], np.arange(draws, dtype=np.int64)[:, None]
+    x = (boot * 1000003 + frame * 7919 + 17) % PRIME * 48271 % PRIME
+    x = (x * x + boot * 69621 + frame) % PRIME
+    return np.searchsorted(POISSON, x * x % PRIME, side="right")
+
+
 def resamples(spark: SparkSession, frames: DataFrame, draws: int = DRAWS) -> DataFrame:
-    """boot, frame_id, w: how often each draw takes each frame, by squares modulo a prime, which other engines can compute
-    too."""
-    one = Window.partitionBy(F.lit(0))  # a row per frame
-    ranked = frames.select("frame_id").distinct().withColumn("rank", F.row_number().over(one.orderBy("frame_id")) - 1).withColumn("of", F.count("*").over(one))
-    taken = ranked.crossJoin(F.broadcast(spark.range(draws).select(F.col("id").alias("boot"))))
-    place = (F.col("boot") * 1000003 + F.col("rank") * 7919 + 17) % PRIME * 48271 % PRIME
-    taken = taken.select("boot", (place * place % PRIME % F.col("of")).alias("rank"))
-    weights = taken.groupBy("boot", "rank").agg(F.count("*").alias("w"))
-    return weights.join(ranked.select("rank", "frame_id"), "rank").select("boot", "frame_id", "w")
+    """boot, frame_id, w: draw_weights as a table, without zeros; a row per frame and draw."""
+    kind = frames.schema["frame_id"].dataType.simpleString()
+    rows = frames.select("frame_id").distinct().withColumn("f", F.pmod(frame_number(F.col("frame_id"), kind), F.lit(PRIME)))
+    rows = rows.crossJoin(F.broadcast(spark.range(draws).select(F.col("id").alias("boot"))))
+    x = (F.col("boot") * 1000003 + F.col("f") * 7919 + 17) % PRIME * 48271 % PRIME
+    rows = rows.withColumn("x", x).withColumn("x", (F.col("x") * F.col("x") + F.col("boot") * 69621 + F.col("f")) % PRIME).withColumn("x", F.col("x") * F.col("x") % PRIME)
+    w = sum((F.when(F.col("x") >= int(t), 1).otherwise(0) for t in POISSON), F.lit(0))
+    return rows.select("boot", "frame_id", w.alias("w")).filter("w > 0")
 
 
 def hist_metrics(hist: DataFrame, by: list[str], digits: int | None = 6) -> DataFrame:
@@ -87,16 +99,15 @@ def _curves(n: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
     return {k: np.where(bad, np.nan, v) for k, v in (("ap", ap), ("auroc", auroc), ("fpr95", fpr95))}
 
 
-def draws_metrics(hist: DataFrame, weights: DataFrame, by: str, bins: int = BINS, draws: int = DRAWS) -> DataFrame:
-    """by, boot, ap, auroc, fpr95 of every draw, null where it has but one class; all `bins` bins count, also empty ones.
+def draw_sums(hist: DataFrame, by: str, bins: int = BINS, draws: int = DRAWS) -> DataFrame:
+    """by, part, product: for DRAWS_AT_ONCE draws in a row, the counts by bin (n_id, then n_ood) that they sum up to, partly
+    added up.
 
-    hist (by, frame_id, bin, n_id, n_ood), weights (boot, frame_id, w). A task multiplies the matrix of its frames' counts
-    by that of their weights, which takes draws times bins numbers of memory, whatever the number of frames; the products
-    are added up for some draws at a time.
+    hist (by, frame_id, bin, n_id, n_ood). A task multiplies the matrix of its frames' weights by that of their counts, which
+    takes draws times bins numbers of memory, whatever the number of frames.
     """
-    cells = hist.groupBy(by, "frame_id").agg(F.collect_list(F.struct("bin", "n_id", "n_ood")).alias("h"))
-    taken = weights.groupBy("frame_id").agg(F.collect_list(F.struct("boot", "w")).alias("w"))
-    rows = cells.join(taken, "frame_id").select(by, "h.bin", "h.n_id", "h.n_ood", F.col("w.boot").alias("boot"), F.col("w.w").alias("w"))
+    frame = frame_number(F.col("frame_id"), hist.schema["frame_id"].dataType.simpleString())
+    rows = hist.groupBy(by, frame.alias("f")).agg(F.collect_list(F.struct("bin", "n_id", "n_ood")).alias("h")).select(by, "f", "h.bin", "h.n_id", "h.n_ood")
     kind, pa_kind = hist.schema[by].dataType.simpleString(), to_arrow_type(hist.schema[by].dataType)
 
     def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +122,7 @@ def draws_metrics(hist: DataFrame, weights: DataFrame, by: str, bins: int = BINS
             for key, total in sums.items():
                 for a in range(0, draws, DRAWS_AT_ONCE):
                     own = total[a : a + DRAWS_AT_ONCE]
-                    if own.any():
-                        yield pa.RecordBatch.from_pydict({by: pa.array([key], pa_kind), "part": pa.array([a // DRAWS_AT_ONCE], pa.int32()), "product": pa.array([own.astype("<i8").tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({by: pa.array([key], pa_kind), "part": pa.array([a // DRAWS_AT_ONCE], pa.int32()), "product": pa.array([own.astype("<i8").tobytes()], pa.binary())})
             sums.clear()
 
         for batch in batches:
@@ -124,23 +134,89 @@ def draws_metrics(hist: DataFrame, weights: DataFrame, by: str, bins: int = BINS
                 mine = batch.filter(pa.array([x == key for x in names]))
                 for a in range(0, mine.num_rows, 500):
                     some = mine.slice(a, 500)
-                    counts, taken = np.zeros((some.num_rows, 2 * bins)), np.zeros((draws, some.num_rows))
+                    counts = np.zeros((some.num_rows, 2 * bins))
                     at, place = flat(some.column("bin"))
                     counts[at, place] = flat(some.column("n_id"))[1]
                     counts[at, bins + place] = flat(some.column("n_ood"))[1]
-                    at, boot = flat(some.column("boot"))
-                    taken[boot, at] = flat(some.column("w"))[1]
-                    total += taken @ counts
+                    total += draw_weights(some.column("f").to_numpy(), draws) @ counts
         yield from out()
 
+    return rows.mapInArrow(multiply, f"`{by}` {kind}, part int, product binary")
+
+
+def _added(products: pa.ChunkedArray, bins: int) -> np.ndarray:
+    """(draws, 2 * bins) of what tasks have summed up."""
+    return sum(np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2 * bins).astype(np.float64) for x in products)
+
+
+def draws_metrics(hist: DataFrame, by: str, bins: int = BINS, draws: int = DRAWS) -> DataFrame:
+    """by, boot, ap, auroc, fpr95 of every draw, null where it has but one class; all `bins` bins count, also empty ones."""
+    kind = hist.schema[by].dataType.simpleString()
+
     def measured(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2 * bins).astype(np.float64) for x in table.column("product"))
+        total = _added(table.column("product"), bins)
         first = key[1].as_py() * DRAWS_AT_ONCE
         found = _curves(total[:, :bins], total[:, bins:])
         return pa.table({by: pa.array([key[0].as_py()] * len(total), table.schema.field(by).type), "boot": np.arange(first, first + len(total))} | {k: pa.array(v, from_pandas=True) for k, v in found.items()})
 
-    products = rows.mapInArrow(multiply, f"`{by}` {kind}, part int, product binary")
-    return products.groupBy(by, "part").applyInArrow(measured, f"`{by}` {kind}, boot long, ap double, auroc double, fpr95 double")
+    return draw_sums(hist, by, bins, draws).groupBy(by, "part").applyInArrow(measured, f"`{by}` {kind}, boot long, ap double, auroc double, fpr95 double")
+
+
+def exact_draws(df: DataFrame, by: str, score: str = "score", draws: int = DRAWS, parts: int = PARTS) -> DataFrame:
+    """by, boot, ap, auroc, fpr95 of every draw of whole frames, by all distinct scores; null where a draw has but one class.
+
+    Scores are cut into parts at exact quantiles. What every draw sums up to in the parts above comes from the parts' counts
+    by frame, as for histograms; then each part goes down its own scores once, for all draws together, some rows at a time.
+    df: by, frame_id, score, gt.
+    """
+    frame = frame_number(F.col("frame_id"), df.schema["frame_id"].dataType.simpleString())
+    rows = df.filter(F.col("gt").isin(0, 1)).groupBy(by, frame.alias("frame_id"), F.col(score).cast("double").alias("s")).agg(*(F.count_if(F.col("gt") == k).alias(a) for k, a in ((0, "n_id"), (1, "n_ood"))))
+    cuts = ranking.quantiles(rows, [by], "s", parts).filter(F.col("k") < parts).groupBy(by).agg(F.array_sort(F.collect_set("q")).alias("cuts"))
+    rows = rows.join(cuts, by).withColumn("bin", ranking.place_in(F.col("s"), F.col("cuts"))).drop("cuts")
+    kind, pa_kind = df.schema[by].dataType.simpleString(), to_arrow_type(df.schema[by].dataType)
+
+    def above(key: tuple, table: pa.Table) -> pa.Table:
+        """What some draws sum up to above each part, and in all."""
+        total = _added(table.column("product"), parts)
+        up = [x[:, ::-1].cumsum(axis=1)[:, ::-1] for x in (total[:, :parts], total[:, parts:])]
+        held = np.stack([up[0] - total[:, :parts], up[1] - total[:, parts:], np.broadcast_to(up[0][:, :1], up[0].shape), np.broadcast_to(up[1][:, :1], up[1].shape)], axis=1)
+        return pa.table({by: pa.array([key[0].as_py()] * parts, pa_kind), "bin": np.arange(parts, dtype=np.int32), "part": np.full(parts, key[1].as_py(), np.int32), "held": pa.array([held[:, :, k].astype("<f8").tobytes() for k in range(parts)], pa.binary())})
+
+    sums = rows.groupBy(by, "frame_id", "bin").agg(F.sum("n_id").alias("n_id"), F.sum("n_ood").alias("n_ood"))
+    held = draw_sums(sums, by, parts, draws).groupBy(by, "part").applyInArrow(above, f"`{by}` {kind}, bin int, part int, held binary")
+
+    def down(key: tuple, own: pa.Table, before: pa.Table) -> pa.Table:
+        own, before = own.sort_by([("s", "descending")]), before.sort_by("part")
+        fp, tp, neg, pos = np.concatenate([np.frombuffer(x.as_buffer(), "<f8").reshape(-1, 4) for x in before.column("held")]).T if len(before) else np.zeros((4, draws))
+        score, frames = own.column("s").to_numpy(), own.column("frame_id").to_numpy()
+        counts = [own.column(c).to_numpy().astype(np.float64) for c in ("n_id", "n_ood")]
+        ap, pairs, fpr95, left = np.zeros(draws), np.zeros(draws), np.full(draws, np.inf), None
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for at in range(0, len(score), ROWS_AT_ONCE):
+                upto = min(at + ROWS_AT_ONCE, len(score))
+                names, index = np.unique(frames[at:upto], return_inverse=True)
+                weights = draw_weights(names, draws).T.astype(np.float64)[index]  # (rows, draws)
+                starts = np.flatnonzero(np.append(True, score[at + 1 : upto] != score[at : upto - 1]))
+                n, p = (np.add.reduceat(weights * c[at:upto, None], starts, axis=0) for c in counts)
+                if left and score[at] == score[at - 1]:  # a score whose rows began before
+                    n[0], p[0] = n[0] + left[0], p[0] + left[1]
+                left = None
+                if upto < len(score) and score[upto] == score[upto - 1]:
+                    left, n, p = (n[-1], p[-1]), n[:-1], p[:-1]
+                    if not len(n):
+                        continue
+                f, t = n.cumsum(axis=0) + fp, p.cumsum(axis=0) + tp
+                ap += np.nan_to_num(p * t / (f + t)).sum(axis=0)
+                pairs += (n * (t - p / 2)).sum(axis=0)
+                fpr95 = np.minimum(fpr95, np.where(t / pos >= 0.95, f / neg, np.inf).min(axis=0))
+                fp, tp = f[-1], t[-1]
+            ap, auroc = ap / pos, pairs / (pos * neg)
+        bad = pos * neg == 0
+        columns = {k: pa.array(np.where(bad, np.nan, v), from_pandas=True) for k, v in (("ap", ap), ("auroc", auroc), ("fpr95", fpr95))}
+        return pa.table({by: pa.array([key[0].as_py()] * draws, pa_kind), "boot": np.arange(draws)} | columns)
+
+    pieces = rows.groupBy(by, "bin").cogroup(held.groupBy(by, "bin")).applyInArrow(down, f"`{by}` {kind}, boot long, ap double, auroc double, fpr95 double")
+    return pieces.groupBy(by, "boot").agg(F.sum("ap").alias("ap"), F.sum("auroc").alias("auroc"), F.min("fpr95").alias("fpr95"))
 
 
 def interval(draws: DataFrame, by: list[str], value: str, digits: int = 6) -> DataFrame:

@@ -21,9 +21,9 @@ def conformal(df: DataFrame, by: list[str], score: str = "score", alpha: float =
 
     Counts by distinct score carry the ranks, so equal scores cost one row; see ranking.running for how they are added up.
     """
-    counted = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.count("*").alias("m"))
-    k = F.ceil((F.col("m_all") + 1) * F.lit(1 - alpha))
-    return ranking.running(counted, by, "s", ["m"]).groupBy(*by).agg(F.max("m_all").alias("n"), F.coalesce(F.min(F.when(F.col("m_upto") >= k, F.col("s"))), F.lit(INF)).alias("tau"))
+    counted = df.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.count("*").alias("__m"))
+    k = F.ceil((F.col("__m_all") + 1) * F.lit(1 - alpha))
+    return ranking.running(counted, by, "__s", ["__m"]).groupBy(*by).agg(F.max("__m_all").alias("n"), F.coalesce(F.min(F.when(F.col("__m_upto") >= k, F.col("__s"))), F.lit(INF)).alias("tau"))
 
 
 def capped_sample(df: DataFrame, frame: str, cls: str, order: list[Column], cap: int = CAP) -> DataFrame:

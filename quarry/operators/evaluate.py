@@ -47,8 +47,7 @@ def evaluate(frames: DataFrame, method: str | None = None, columns: tuple[str, .
         f1 = components.f1(*components.overlap(gt, components.label(pred, ["frame_id", "k"]), ["frame_id", "k"], "frame_id"), ["k"], digits=digits)
         out = out.crossJoin(thr.join(f1, "k", "left").select(F.round("thr", digits).alias("thr"), F.coalesce("f1", F.lit(0.0)).alias("component_f1")))
     if n_boot:
-        weights = bootstrap.resamples(rows.sparkSession, rows, n_boot)
-        counted = rows.groupBy("frame_id", "score", "gt").agg(F.count("*").alias("c")).join(weights, "frame_id").withColumn("cw", F.col("c") * F.col("w"))
-        ci = bootstrap.interval(ranking.metrics(counted, ["boot"], weight="cw", digits=None), [], "ap", digits)
+        drawn = bootstrap.exact_draws(rows.withColumn("__k", F.lit(0)), "__k", draws=n_boot)
+        ci = bootstrap.interval(drawn, [], "ap", digits)
         out = out.crossJoin(ci.select(*(F.col(c).alias(f"ap_{c}") for c in ("mean", "lo", "hi"))))
     return out

@@ -1,17 +1,24 @@
 """Ranking metrics over tie-grouped precision-recall points, and exact quantiles, from running totals by value.
 
-Rows are counted by distinct value first. The running totals then work in two levels: each group's range of values is cut
-into BUCKETS equal parts, the totals of whole parts are carried from part to part, and each part is summed by itself; so no
-task sorts all values of a group, and nothing is run while the plan is built.
+Rows are counted by distinct value first. The running totals then work in two levels: a quantile sketch cuts each group's
+distinct values into parts of nearly equal numbers of rows, whatever their distribution; the totals of whole parts are carried
+from part to part, and each part is summed by itself. So no task sorts all values of a group, and nothing is run while the
+plan is built.
+
+A sketch depends on the order in which tasks' sketches are merged. Results don't: the parts' lower ends and the totals before
+them are one row, made in one go, and a value finds its part by the ends of the very row that tells it the totals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows per group that one task holds while totals are carried.
+#: Parts of a large group: rows that one task holds while totals are carried.
 BUCKETS = 1 << 12
+#: Distinct values that a part has about, before a group is cut into more parts.
+LEAST = 1 << 12
 ROUND = 6
 
 
@@ -19,38 +26,70 @@ def _joined(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return a.join(b, by) if by else a.crossJoin(F.broadcast(b))  # without groups, b is one row
 
 
-def running(counted: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
+def place_in(value: Column, cuts: Column) -> Column:
+    """The place, from 0, of the last of some ascending cuts that isn't over the value; 0 below all. A binary search, written as
+    a fold over as many steps as the array's size needs."""
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.element_at(cuts, mid + 1) <= value
+        return F.when(s["hi"] - s["lo"] <= 1, s).otherwise(F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts).cast("double"))).cast("int"))
+    return F.when(F.size(cuts) == 1, 0).otherwise(F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve)["lo"])
+
+
+def cuts_of(counted: DataFrame, by: list[str], value: str, buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
+    """by, __cuts: ascending values that cut a group's rows into parts of n / buckets rows, or of `least` where that is more. Parts
+    are off by half of n / buckets at most, the sketch's error."""
+    finite = F.when(F.isnan(value), float("inf")).otherwise(F.col(value))
+    sketch = F.percentile_approx(finite, F.lit(np.arange(buckets) / buckets), 4 * buckets)
+    step = F.greatest(F.lit(1), F.ceil(buckets / F.ceil(F.count("*") / F.lit(float(least))))).cast("int")
+    rows = counted.groupBy(*by).agg(sketch.alias("__q"), step.alias("__step"))
+    return rows.select(*by, F.array_distinct(F.filter("__q", lambda _, i: i % F.col("__step") == 0)).alias("__cuts"))
+
+
+def carried(counted: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
+    """by, __lower, __<sum>_before, <sum>_all: arrays of the parts' lower ends and what is summed before each, and totals."""
+    rows = _joined(counted, cuts_of(counted, by, value, buckets, least), by)
+    lower = F.element_at("__cuts", place_in(F.col(value), F.col("__cuts")) + 1)
+    parts = rows.select(*by, lower.alias("__at"), *sums).groupBy(*by, "__at").agg(*(F.sum(c).alias(c) for c in sums))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a group's parts, no more than buckets
+    before = [(F.sum(c).over(group.orderBy("__at")) - F.col(c)).alias(f"b_{c}") for c in sums]
+    parts = parts.select(*by, "__at", *before, *(F.sum(c).over(group).alias(f"a_{c}") for c in sums))
+    rows = parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__at", *(f"b_{c}" for c in sums)))).alias("__p"), *(F.max(f"a_{c}").alias(f"{c}_all") for c in sums))
+    return rows.select(*by, F.col("__p.__at").alias("__lower"), *(F.col(f"__p.b_{c}").alias(f"__{c}_before") for c in sums), *(f"{c}_all" for c in sums))
+
+
+def in_parts(counted: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
+    """counted with __part, the part of its group that a row is in, __<sum>_before and <sum>_all."""
+    rows = _joined(counted, carried(counted, by, value, sums, buckets, least), by).withColumn("__part", place_in(F.col(value), F.col("__lower")))
+    return rows.select(*counted.columns, "__part", *(F.element_at(f"__{c}_before", F.col("__part") + 1).alias(f"__{c}_before") for c in sums), *(f"{c}_all" for c in sums))
+
+
+def running(counted: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
     """counted (by, value, sums; a row per group and value, no nulls) with <sum>_upto, over rows of the group with no larger
     value, and <sum>_all, over all of the group."""
-    ends = counted.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), *(F.sum(c).alias(f"{c}_all") for c in sums))
-    v, lo, hi = F.col(value), F.col("__lo"), F.col("__hi")
-    part = F.when(v <= lo, 0).when(v >= hi, buckets - 1).otherwise(F.least(F.floor((v - lo) / (hi - lo) * buckets), F.lit(buckets - 1)))
-    rows = _joined(counted, ends, by).withColumn("__part", part.cast("int")).drop("__lo", "__hi")
     own = Window.partitionBy(*by, "__part").orderBy(value)
-    # partitionBy of a constant would be dropped with the groups: one task adds up the parts, BUCKETS rows at most
-    # it also hands on the totals: so both uses of rows need all of its columns, and its input is worked out once
-    parts = rows.groupBy(*by, "__part").agg(*(F.sum(c).alias(f"__{c}") for c in sums), *(F.max(f"{c}_all").alias(f"__{c}_all") for c in sums))
-    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__part")
-    carried = parts.select(*by, "__part", *((F.sum(f"__{c}").over(before) - F.col(f"__{c}")).alias(f"__{c}_before") for c in sums), *(f"__{c}_all" for c in sums))
-    rows = rows.join(carried, [*by, "__part"])
-    return rows.select(*counted.columns, *((F.sum(c).over(own) + F.col(f"__{c}_before")).alias(f"{c}_upto") for c in sums), *(F.greatest(f"{c}_all", f"__{c}_all").alias(f"{c}_all") for c in sums))
+    rows = in_parts(counted, by, value, sums, buckets, least)
+    return rows.select(*counted.columns, *((F.sum(c).over(own) + F.col(f"__{c}_before")).alias(f"{c}_upto") for c in sums), *(f"{c}_all" for c in sums))
 
 
-def points(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def points(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
     """by, score, p, n (out and in distribution at the score), tp, fp (at and above it), pos, neg (in all); rows whose gt
     is neither 0 nor 1 don't count."""
     w = F.col(weight) if weight else F.lit(1)
     counted = df.filter(F.col(gt).isin(0, 1)).groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.when(F.col(gt) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(gt) == 0, w).otherwise(0)).alias("n"))
     down = lambda c: F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)
-    return running(counted, by, "score", ["p", "n"], buckets).select(*by, "score", "p", "n", down("p").alias("tp"), down("n").alias("fp"), F.col("p_all").alias("pos"), F.col("n_all").alias("neg"))
+    return running(counted, by, "score", ["p", "n"], buckets, least).select(*by, "score", "p", "n", down("p").alias("tp"), down("n").alias("fp"), F.col("p_all").alias("pos"), F.col("n_all").alias("neg"))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, at: list[float] | int) -> DataFrame:
     """by, k, q: the exact quantiles at[k], linear between neighbours; at: a list, or a number of equal steps from 0 to 1.
     Nulls don't count."""
-    counted = df.select(*by, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("m"))
-    rows = running(counted, by, "v", ["m"]).withColumn("last", F.col("m_all") - 1)
-    first, end = F.col("m_upto") - F.col("m"), F.col("m_upto") - 1  # ranks of the value's rows, from 0
+    counted = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count("*").alias("__m"))
+    rows = running(counted, by, "__v", ["__m"]).withColumn("last", F.col("__m_all") - 1)
+    first, end = F.col("__m_upto") - F.col("__m"), F.col("__m_upto") - 1  # ranks of the value's rows, from 0
     if isinstance(at, int):
         # the steps whose places can be among these ranks, and one more at either side
         lo, hi = ((F.floor((first - 1) * at / F.greatest("last", F.lit(1))) - 1), (F.ceil((end + 1) * at / F.greatest("last", F.lit(1))) + 1))
@@ -62,16 +101,16 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: list[float] | int) -
     inside = lambda x: (x >= first) & (x <= end)
     near = F.filter(ks, lambda k: inside(F.floor(place(k))) | inside(F.ceil(place(k))))
     rows = rows.withColumn("k", F.explode(near)).withColumn("place", place(F.col("k")))
-    below, above = F.when(inside(F.floor("place")), F.col("v")), F.when(inside(F.ceil("place")), F.col("v"))
+    below, above = F.when(inside(F.floor("place")), F.col("__v")), F.when(inside(F.ceil("place")), F.col("__v"))
     found = rows.groupBy(*by, "k", "place").agg(F.max(below).alias("a"), F.max(above).alias("b"))
     # equal neighbours give their value, also infinite ones
     q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place")))
     return found.select(*by, "k", q.alias("q"))
 
 
-def metrics(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, digits: int | None = ROUND, buckets: int = BUCKETS) -> DataFrame:
+def metrics(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, digits: int | None = ROUND, buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
     """by, ap, auroc, fpr95, n_pos. The three are null where a group has but one class; n_pos stays."""
-    pts = points(df, by, score, gt, weight, buckets)
+    pts = points(df, by, score, gt, weight, buckets, least)
     pos, neg = F.nullif(F.col("pos").cast("double"), F.lit(0.0)), F.nullif(F.col("neg").cast("double"), F.lit(0.0))
     ap = F.sum(F.col("p") / pos * F.col("tp") / (F.col("tp") + F.col("fp")))
     auroc = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / F.max(pos * neg)

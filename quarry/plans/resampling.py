@@ -11,8 +11,6 @@ from quarry.plans.pixel_metrics import test_methods
 from quarry.sources import fixtures
 
 BINS, DRAWS = bootstrap.BINS, bootstrap.DRAWS
-#: Every draw of the exact bootstrap adds up all distinct scores anew.
-EXACT_DRAWS = 100
 SAMPLE_ORDER = 0  # the 1-in-10 sample is by pseudo-random order instead of by position
 
 _EDGES = f"""{METHODS}, t AS (SELECT * FROM methods WHERE split = 'test' AND gt <> 255),
@@ -73,22 +71,19 @@ def hist_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(near, "method").select("method", (close[0] & close[1] & close[2]).alias("agrees"))
 
 
-_WEIGHTS = f"""fr AS (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS rank, count(*) OVER () AS of FROM (SELECT DISTINCT frame_id FROM t)),
-wp AS (SELECT boot, of, (boot * 1000003 + rank * 7919 + 17) % {bootstrap.PRIME} * 48271 % {bootstrap.PRIME} AS place FROM fr, (SELECT unnest(generate_series(0, {DRAWS - 1})) AS boot)),
-wt AS (SELECT boot, place * place % {bootstrap.PRIME} % of AS rank, count(*) AS w FROM wp GROUP BY ALL),
-weights AS (SELECT boot, frame_id, w FROM wt JOIN fr USING (rank))"""
+_P, _TAKES = bootstrap.PRIME, " + ".join(f"CAST(x >= {t} AS INTEGER)" for t in bootstrap.POISSON)
+_WEIGHTS = f"""wf AS (SELECT DISTINCT frame_id, frame_id % {_P} AS f FROM t),
+wx AS (SELECT boot, frame_id, f, (boot * 1000003 + f * 7919 + 17) % {_P} * 48271 % {_P} AS x FROM wf, (SELECT unnest(generate_series(0, {DRAWS - 1})) AS boot)),
+wy AS (SELECT boot, frame_id, (x * x + boot * 69621 + f) % {_P} AS x FROM wx),
+wz AS (SELECT boot, frame_id, x * x % {_P} AS x FROM wy),
+weights AS MATERIALIZED (SELECT boot, frame_id, {_TAKES} AS w FROM wz WHERE x >= {bootstrap.POISSON[0]})"""
 _DRAWS = f"""{_HIST}, {_WEIGHTS}, sums AS (SELECT method, boot, bin, sum(n_id * w) AS n_id, sum(n_ood * w) AS n_ood FROM hist JOIN weights USING (frame_id) GROUP BY ALL),
 drawn AS (SELECT b.method, x.boot, b.bin, coalesce(n_id, 0) AS n_id, coalesce(n_ood, 0) AS n_ood FROM bins b CROSS JOIN (SELECT unnest(generate_series(0, {DRAWS - 1})) AS boot) x LEFT JOIN sums ON sums.method = b.method AND sums.boot = x.boot AND sums.bin = b.bin),
 {_hist_metrics_sql('drawn', 'method, boot', 'd', None)}"""
 
 
-def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = fixtures.pixels(spark, sf_dir).filter("split = 'test' AND gt <> 255")
-    return bootstrap.resamples(spark, frames, DRAWS)
-
-
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.draws_metrics(histograms(spark, sf_dir), weights(spark, sf_dir), "method")
+    return bootstrap.draws_metrics(histograms(spark, sf_dir), "method")
 
 
 def _interval(value: str, src: str = "d") -> str:
@@ -114,15 +109,11 @@ def paired_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EXACT = f"""{METHODS}, t AS (SELECT * FROM methods WHERE split = 'test' AND gt <> 255), {_WEIGHTS},
-wx AS (SELECT method, boot, score, gt, w FROM t JOIN weights USING (frame_id) WHERE boot < {EXACT_DRAWS}), {points_sql('wx', 'method, boot', weight='w')}, m AS ({metrics_sql('method, boot', digits=None)})"""
+own AS (SELECT method, frame_id, score, gt, count(*) AS c FROM t GROUP BY ALL),
+drawn AS (SELECT method, boot, score, gt, c * w AS cw FROM own JOIN weights USING (frame_id)), {points_sql('drawn', 'method, boot', weight='cw')}, m AS ({metrics_sql('method, boot', digits=None)})"""
 
 
 @query("bootstrap_ap_exact", f"WITH {_EXACT} SELECT method, {_interval('ap')} FROM m GROUP BY method")
 def bootstrap_ap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights multiply the counts of (frame, score), so pixels aren't repeated."""
-    rows = scored(spark, sf_dir)
-    taken = bootstrap.resamples(spark, rows, EXACT_DRAWS)
-    rows = rows.groupBy("method", "frame_id", "score", "gt").agg(F.count("*").alias("c"))
-    rows = rows.join(taken, "frame_id").withColumn("cw", F.col("c") * F.col("w"))
-    # there are as many groups as draws, so each needs fewer parts
-    return bootstrap.interval(ranking.metrics(rows, ["method", "boot"], weight="cw", digits=None, buckets=64), ["method"], "ap")
+    """All distinct scores, all draws in one pass over them."""
+    return bootstrap.interval(bootstrap.exact_draws(scored(spark, sf_dir), "method"), ["method"], "ap")

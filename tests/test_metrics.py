@@ -36,12 +36,12 @@ def plain_metrics(own):
     return ap, auroc / p / n, fpr95
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 64])
+@pytest.mark.parametrize(("buckets", "least"), [(1, 1), (4, 3), (64, 1), (ranking.BUCKETS, ranking.LEAST)])
 @pytest.mark.parametrize("distinct", [False, True])
-def test_ranking(spark, buckets, distinct):
+def test_ranking(spark, buckets, least, distinct):
     rows = rows_of(buckets, distinct=distinct)
     df = spark.createDataFrame(rows, "m string, gt int, score double")
-    for r in ranking.metrics(df, ["m"], digits=None, buckets=buckets).collect():
+    for r in ranking.metrics(df, ["m"], digits=None, buckets=buckets, least=least).collect():
         want = plain_metrics([(g, s) for m, g, s in rows if m == r.m])
         assert (r.ap, r.auroc, r.fpr95) == pytest.approx(want)
 
@@ -59,6 +59,27 @@ def test_quantiles(spark):
     assert [r.q for r in ranking.quantiles(df, [], "v", [0.5]).collect()] == pytest.approx([np.quantile(np.concatenate(list(own.values())), 0.5)])
 
 
+def test_parts_hold_as_many_values_whatever_the_scale(spark):
+    """With an outlier, infinite scores and log-normal ones, no part holds over twice its share of the distinct values."""
+    n = 200_000
+    uniform = spark.range(n).select(F.lit("outlier").alias("g"), F.when(F.col("id") == 7, 1e9).otherwise(F.col("id") * 0.618033988749895 % 1).alias("v"))
+    infinite = spark.range(n).select(F.lit("inf").alias("g"), F.when(F.col("id") == 7, float("inf")).when(F.col("id") == 8, float("-inf")).when(F.col("id") == 9, float("nan")).otherwise(F.col("id") * 0.618033988749895 % 1))
+    skewed = spark.range(n).select(F.lit("log").alias("g"), F.exp(3 * F.randn(5)))
+    few = spark.range(10).select(F.lit("few").alias("g"), F.col("id").cast("double"))
+    counted = uniform.union(infinite).union(skewed).union(few).groupBy("g", "v").agg(F.lit(1).alias("m"))
+    sizes = {}
+    for r in ranking.in_parts(counted, ["g"], "v", ["m"], least=1).groupBy("g", "__part").count().collect():
+        sizes.setdefault(r.g, []).append(r["count"])
+    assert sum(map(sum, sizes.values())) == counted.count()
+    assert all(max(sizes[g]) <= 2 * n / ranking.BUCKETS for g in ("outlier", "inf", "log")), {g: max(x) for g, x in sizes.items()}
+    usual = ranking.in_parts(counted, ["g"], "v", ["m"]).groupBy("g", "__part").count()
+    assert usual.filter("g = 'few'").count() == 1 and usual.agg(F.max("count")).first()[0] <= 2 * ranking.LEAST
+    ranks = ranking.running(counted, ["g"], "v", ["m"]).filter("g <> 'few'")
+    assert ranks.groupBy("g").agg(F.count_distinct("m_upto").alias("d"), F.max("m_upto").alias("hi"), F.max("m_all").alias("all"), F.count("*").alias("n")).filter("d <> n OR hi <> n OR all <> n").isEmpty()
+    wrong = ranks.withColumn("down", F.lead("v").over(__import__("pyspark").sql.Window.partitionBy("g").orderBy("m_upto"))).filter("down <= v")
+    assert wrong.isEmpty()
+
+
 def test_no_task_sorts_all_values(spark):
     """The only single partition is that of the parts' totals; nothing runs while plans are built."""
     df = spark.range(1000).selectExpr("double(id) AS score", "int(id % 2) AS gt")
@@ -152,24 +173,57 @@ def test_histogram_edges_and_bootstrap(spark):
     cuts = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0],)], "edges array<double>")
     h = {(r.bin): (r.n_id, r.n_ood) for r in bootstrap.histogram(df, [], cuts, []).collect()}
     assert h == {0: (1, 0), 1: (0, 1), 2: (1, 1)}
-    w = bootstrap.resamples(spark, df, 5).groupBy("boot").agg(F.sum("w").alias("w")).collect()
-    assert [r.w for r in w] == [2] * 5
     many = bootstrap.resamples(spark, spark.range(40).withColumnRenamed("id", "frame_id"), 200).collect()
-    assert len({r.w for r in many}) > 3 and 0.55 < len(many) / 8000 < 0.72  # about 1 - 1/e of the frames are in a draw
+    weights = bootstrap.draw_weights(np.arange(40), 200)
+    assert {(r.boot, r.frame_id): r.w for r in many} == {(b, f): w for b, row in enumerate(weights.tolist()) for f, w in enumerate(row) if w}
+
+
+def test_weights_are_like_independent_poisson_numbers():
+    """Mean and variance one, frames and draws uncorrelated, so that resampled means vary as they should."""
+    w = bootstrap.draw_weights(np.arange(500) * 3, 1000).astype(float)
+    share = [(w == k).mean() for k in range(4)]
+    assert share == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(4)], abs=0.005)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    assert w.mean(axis=1).std() == pytest.approx(500**-0.5, rel=0.1) and w.mean(axis=0).std() == pytest.approx(1000**-0.5, rel=0.15)
+    between = np.corrcoef(w.T[:100]) - np.eye(100)
+    assert np.abs(between).max() < 0.2 and between.mean() == pytest.approx(0, abs=0.002)
+    other = bootstrap.draw_weights(np.array([10**18 + 7, -5]), 1000)
+    assert abs(other.mean() - 1) < 0.1
+
+
+def test_exact_draws_equal_metrics_of_weighted_rows(spark, monkeypatch):
+    """One pass for all draws gives what each draw's own metrics are, with ties over many frames and a frame of one class."""
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), f, float(rng.choice([rng.randint(0, 5), 3, 100 * rng.random(), math.inf])), rng.choice([0, 0, 1, 255])) for f in range(30) for _ in range(40)]
+    rows += [("one", 1, float(k), 0) for k in range(5)]
+    df = spark.createDataFrame(rows, "m string, frame_id int, score double, gt int")
+    weights = bootstrap.draw_weights(np.arange(30), 60)
+    for at_once, parts in ((7, 5), (2048, 64)):
+        monkeypatch.setattr(bootstrap, "ROWS_AT_ONCE", at_once)
+        got = {(r.m, r.boot): r for r in bootstrap.exact_draws(df, "m", draws=60, parts=parts).collect()}
+        assert len(got) == 180 and all(got["one", k].ap is None and got["one", k].auroc is None for k in range(60))
+        for m in "ab":
+            for k in range(0, 60, 7):
+                own = [(g, s) for x, f, s, g in rows if x == m for _ in range(int(weights[k, f]))]
+                assert (got[m, k].ap, got[m, k].auroc, got[m, k].fpr95) == pytest.approx(plain_metrics(own)), (m, k)
+    assert "Range (" not in bootstrap.exact_draws(df, "m")._jdf.queryExecution().optimizedPlan().toString(), "weights are made in tasks"
 
 
 def test_draws_of_histograms(spark):
     """The products of matrices against histograms of frames drawn one by one."""
     rng = np.random.default_rng(7)
     hist = [(m, f, b, int(rng.integers(0, 4)), int(rng.integers(0, 3))) for m in "ab" for f in range(9) for b in range(6) if rng.random() < 0.7]
-    weights = [(d, f, int(w)) for d in range(120) for f, w in enumerate(rng.multinomial(9, [1 / 9] * 9)) if w]
-    got = bootstrap.draws_metrics(spark.createDataFrame(hist, "m string, frame_id int, bin int, n_id int, n_ood int"), spark.createDataFrame(weights, "boot int, frame_id int, w int"), "m", 6, 120).collect()
+    weights = [(d, f, int(w)) for d, row in enumerate(bootstrap.draw_weights(np.arange(9), 120)) for f, w in enumerate(row) if w]
+    got = bootstrap.draws_metrics(spark.createDataFrame(hist, "m string, frame_id int, bin int, n_id int, n_ood int"), "m", 6, 120).collect()
     assert len(got) == 240
     for r in got:
         n, p = np.zeros(6), np.zeros(6)
         for m, f, b, i, o in hist:
             w = sum(x for d, g, x in weights if d == r.boot and g == f) if m == r.m else 0
             n[b], p[b] = n[b] + w * i, p[b] + w * o
+        if not p.sum() or not n.sum():
+            assert r.ap is None
+            continue
         tp, fp = p[::-1].cumsum(), n[::-1].cumsum()
         tpr, fpr = tp / p.sum(), fp / n.sum()
         assert r.ap == pytest.approx(sum(np.diff(tpr, prepend=0) * tp / np.maximum(tp + fp, 1))) and r.auroc == pytest.approx(np.trapezoid(tpr, fpr)) and r.fpr95 == pytest.approx(fpr[np.searchsorted(tpr, 0.95 - 1e-12)])
