@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import WORD, drop_table, table
+from quarry.operators.ranking import place_in
 
 MIN_WORDS = 50
 
@@ -29,7 +30,9 @@ def _in_order(keys: DataFrame, cols: list[str], name: str) -> DataFrame:
 def _again(rows: DataFrame, cols: list[str], name: str) -> DataFrame:
     """(rid, pos, rank) of the rows whose cols occur more than once."""
     ranks = _in_order(rows.groupBy(*cols).count().filter("count > 1").drop("count"), cols, f"{name}-ranks")
-    return table(rows.join(ranks, cols).select("rid", "pos", "rank"), name)
+    out = table(rows.join(ranks, cols).select("rid", "pos", "rank"), name)
+    drop_table(ranks)
+    return out
 
 
 def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -71,9 +74,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = table(lines.select("rid", "pos", "raw", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")), "lines")
 
     level = _again(lines.select("rid", "pos", "a", "b"), ["a", "b"], "blocks")
+    written = [lines, level]
     ends = level.select("rid", "pos")
     runs = shortest_runs(lines, min_words).join(ends.withColumnRenamed("pos", "first"), ["rid", "first"], "left_semi")
     runs = table(runs.join(ends.withColumnRenamed("pos", "last"), ["rid", "last"], "left_semi").withColumn("len", F.col("last") - F.col("first") + 1), "runs")
+    written.append(runs)
     longest = runs.agg(F.max("len")).first()[0] or 0
 
     named, k = None, 0
@@ -87,24 +92,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if 1 << k <= longest:
             half = level.select("rid", (F.col("pos") - (1 << (k - 1))).alias("pos"), F.col("rank").alias("second"))
             level = _again(level.withColumnRenamed("rank", "head").join(half, ["rid", "pos"]), ["head", "second"], "blocks")
+            written.append(level)
     if named is None:
+        for done in written:
+            drop_table(done)
         return base.select(*base.columns[:-1], F.size(raw).alias("n_lines"), F.lit(0).alias("n_removed"), F.lit(0).cast("long").alias("words_removed"))
 
     ids = base.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"))
     named = table(named.join(ids, "rid").withColumn("place", F.struct("id", "rid", "first")), "intervals")
+    written.append(named)
     name = ["len", "head", "tail"]
     first = named.groupBy(*name).agg(F.min("place").alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = named.join(first, name).filter(F.col("place") > F.col("earliest"))
     begin = F.when(F.col("rid") == F.col("earliest.rid"), F.greatest("first", F.col("earliest.first") + F.col("len"))).otherwise(F.col("first"))
     gone = later.select("rid", F.explode(F.sequence(begin, "last")).alias("pos")).distinct()
-    gone = lines.join(gone, ["rid", "pos"], "left_semi").groupBy("rid").agg(F.collect_set("raw").alias("__gone"), F.sum("words").alias("__words"))
+    gone = lines.join(gone, ["rid", "pos"], "left_semi").groupBy("rid").agg(F.sort_array(F.collect_set("raw")).alias("__gone"), F.sum("words").alias("__words"))
     gone = table(gone.withColumnRenamed("rid", "__rid"), "gone")
+    for done in written:
+        drop_table(done)
 
-    kept = F.filter(raw, lambda line, at: ~F.array_contains("__gone", at))
+    # a binary search for each line: a text may have as many lines as it likes
+    kept = F.filter(raw, lambda line, at: F.element_at("__gone", place_in(at, F.col("__gone")) + 1) != at)
     cut = F.col("__gone").isNotNull()
     out = base.join(gone, "__rid", "left").select(
         *(F.when(cut, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in base.columns[:-1]),
         F.size(raw).alias("n_lines"), F.when(cut, F.size("__gone")).otherwise(0).alias("n_removed"), F.coalesce("__words", F.lit(0)).alias("words_removed"),
     )
-    drop_table(runs)
     return out

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import collections
+import contextlib
 import hashlib
+import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -153,6 +156,17 @@ def test_exact_dedup(spark, broadcast):
 # --- 7 ---
 
 
+def test_exact_dedup_shuffles_no_texts(spark):
+    rows = docs_of(spark, [(k, "some text " * (k % 3), "s") for k in range(20)])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    with contextlib.redirect_stdout(io.StringIO()) as told:
+        exact_dedup.exact_dedup(rows, broadcast_keys=0).explain("formatted")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = [x for part in told.getvalue().split("\n(")[1:] for x in part.split("\n")[1:2] if part.split("\n")[0].split(") ")[-1].strip().startswith("Exchange")]
+    assert moved and not [x for x in moved if re.search(r"\btext#", x)], moved
+
+
 def test_segments_round_trip():
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 2**32), (1024, 1), (5000, 300), (3000, 2**32), (2500, 50_000)):
@@ -313,6 +327,17 @@ def test_line_dedup_keeps_a_run_of_what_repeats_in_itself(spark):
     assert [out[k].n_removed for k in (1, 2, 3)] == [7, 5, 0] and out[1].words_removed == 70 and out[1].text == "\n".join([line] * 5)
 
 
+def test_line_dedup_is_linear_in_a_texts_lines(spark):
+    """Two texts of 20,000 lines, of which the second has every hundredth line to itself."""
+    a = [f"line {k} of the first text" for k in range(20_000)]
+    b = [f"own {k}" if k % 100 == 0 else x for k, x in enumerate(a)]
+    began = time.time()
+    out = {r.doc_id: r for r in line_dedup.line_dedup(docs_of(spark, [(1, "\n".join(a), "s"), (2, "\n".join(b), "s")])).collect()}
+    assert out[1].n_removed == 0 and out[1].text == "\n".join(a)
+    assert out[2].n_removed == 19_800 and out[2].text == "\n".join(f"own {k}" for k in range(0, 20_000, 100)) and out[2].words_removed == 6 * 19_800
+    assert time.time() - began < 60
+
+
 def test_line_dedup_leaves_a_copy_of_each_line(spark):
     """What goes has an equal line that stays at an earlier place."""
     rows = [r for r in some_docs(seed=9, n=50)]
