@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import ascii_lower, small_or_plain, table
 
 PREFIX_CHARS = 256
-#: Up to so many (length, prefix hash) pairs, at 16 bytes each, are broadcast; more are joined by a shuffle.
+#: Up to so many (length, prefix hash) pairs, at 16 bytes each, are broadcast. More are joined by a shuffle of hashes: so as not
+#: to shuffle texts, all are hashed in full before it, as nearly all would be behind it.
 BROADCAST_KEYS = 500_000
 
 
@@ -34,10 +35,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = table(rows.select("__len", "__prefix"), "dedup-keys")
     lengths = narrow.groupBy("__len").count().filter("count > 1").select("__len")
     again = table(narrow.join(lengths, "__len", "left_semi").groupBy("__len", "__prefix").count().filter("count > 1").select("__len", "__prefix", F.lit(True).alias("__again")), "dedup-again")
-    marked = rows.join(small_or_plain(again, again.count(), broadcast_keys), ["__len", "__prefix"], "left")
+    n_keys, full_hash = again.count(), F.unhex(F.sha2(norm, 256))
+    if n_keys > broadcast_keys:
+        rows = rows.withColumn("__full", full_hash).drop(text_col)
+        full_hash = F.col("__full")
+    marked = rows.join(small_or_plain(again, n_keys, broadcast_keys), ["__len", "__prefix"], "left")
 
     alone = marked.filter("__again IS NULL").select("__id", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(None).cast("binary").alias("full_hash"), *extra)
-    full = marked.filter("__again").select("__id", F.unhex(F.sha2(norm, 256)).alias("full_hash"), *extra)
+    full = marked.filter("__again").select("__id", full_hash.alias("full_hash"), *extra)
     full = table(full.groupBy("full_hash", "__id", *extra).agg(F.count("*").alias("__n")), "dedup-full")
     groups = full.groupBy("full_hash").agg(F.max("__id").alias("keep_id"), F.sum("__n").alias("group_size"))
     copies = full.join(groups, "full_hash").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))

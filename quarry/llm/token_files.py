@@ -282,6 +282,18 @@ def _put(folder: str, name: str, data: bytes, attempt: str) -> None:
     os.replace(f"{base}/{name}.{attempt}", f"{base}/{name}")
 
 
+def _get(path: str) -> pa.Buffer:
+    """A file that _put has written."""
+    if "://" in path and not path.startswith("file://"):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(base) as own:
+            return pa.py_buffer(own.read())
+    with open(path.removeprefix("file://"), "rb") as own:
+        return pa.py_buffer(own.read())
+
+
 def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, segment_tokens: int = SEGMENT_TOKENS, folder: str | None = None) -> DataFrame:
     """Encodes docs into segment files in ascending order of id (none first; equal ids by text).
 
@@ -340,20 +352,17 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     spark = manifest.sparkSession
     ship_code(spark)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    first = manifest.select("path").first()
-    if first is None:
-        return spark.createDataFrame([], schema)
     # one row per partition of the writer, whose number is a setting
     totals = manifest.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
     bases = totals.select("pid", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("pid")) - F.col("n")).alias("base"))
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    named = manifest.join(F.broadcast(bases), "pid").select(name, (F.col("base") + F.col("start")).alias("first"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(first[0].rpartition("/")[0]).select(name, "content")
+    # the manifest's rows are dealt out, and tasks open their files: no folder is listed, and no contents are shuffled
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = manifest.join(F.broadcast(bases), "pid").select("path", (F.col("base") + F.col("start")).alias("first")).repartition(n, "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, content in zip(batch.column("first").to_pylist(), batch.column("content"), strict=True):
-                doc_ids, lengths, ids = decode_segment(content.as_buffer())
+            for first, path in zip(batch.column("first").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                doc_ids, lengths, ids = decode_segment(_get(path))
                 ends = np.cumsum(lengths, dtype=np.int64)
                 raw = ids.astype("<u4", copy=False)
                 crcs = [zlib.crc32(raw[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
@@ -362,5 +371,4 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(raw.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    # files are few megabytes each, and each is read by one task
-    return files.join(F.broadcast(named), "name").select("first", "content").mapInArrow(tidy(run), schema)
+    return named.mapInArrow(tidy(run), schema)  # files are few megabytes each
