@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAUS = [0.25 + 0.05 * i for i in range(11)]
 LEAST_PIXELS = 10
+#: Rows and columns of a tile.
+TILE = 512
+#: A component's name is its least pixel's row times this, plus the column.
+NAME = 1_000_000
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of n numbered things that each can reach over links a[k] - b[k]."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
 
-def label(mask: DataFrame, by: list[str]) -> DataFrame:
-    """mask (by, y, x) -> by, y, x, comp: 4-connected components, named by their least pixel. A group is a frame (at a
-    threshold), which one task holds."""
+def tile_labels(mask: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
+    """mask (by, y, x) -> by, y, x, comp: 4-connected components of each tile by itself, named by their least pixel."""
     kinds = ", ".join(f"{c} {mask.schema[c].dataType.simpleString()}" for c in [*by, "y", "x"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -23,18 +42,58 @@ def label(mask: DataFrame, by: list[str]) -> DataFrame:
         place[y - y.min(), x - x.min()] = np.arange(len(y))
         a = np.tile(np.arange(len(y)), 2)
         b = np.concatenate([place[y - y.min() + 1, x - x.min()], place[y - y.min(), x - x.min() + 1]])
-        a, b = a[b >= 0], b[b >= 0]
-        root = np.arange(len(y))
-        while True:
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
-            low = low[low]
-            if (low == root).all():
-                return pdf.assign(comp=y[root] * 1_000_000 + x[root])[[*by, "y", "x", "comp"]]
-            root = low
-
-    return mask.select(*by, "y", "x").groupBy(*by).applyInPandas(run, f"{kinds}, comp long")
+        root = _roots(len(y), a[b >= 0], b[b >= 0])
+        return pdf.assign(comp=y[root] * NAME + x[root])[[*by, "y", "x", "comp"]]
+
+    cell = [F.floor(F.col(c) / tile).alias(f"__t{c}") for c in ("y", "x")]
+    return mask.select(*by, "y", "x").groupBy(*by, *cell).applyInPandas(run, f"{kinds}, comp long")
+
+
+def _same(by: list[str]) -> Column:
+    """Whether the columns of a group are those of another side, which are named with two underscores."""
+    return reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+
+
+def seams(labelled: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
+    """by, a, b: components of neighbouring tiles that touch, each pair once."""
+    links, named = [], [F.col(c).alias(f"__{c}") for c in by]
+    for c, other in (("y", "x"), ("x", "y")):
+        last = labelled.filter(F.pmod(F.col(c), F.lit(tile)) == tile - 1).select(*by, (F.col(c) + 1).alias("c"), F.col(other).alias("o"), F.col("comp").alias("a"))
+        first = labelled.filter(F.pmod(F.col(c), F.lit(tile)) == 0).select(*named, F.col(c).alias("__c"), F.col(other).alias("__o"), F.col("comp").alias("b"))
+        links.append(last.join(first, _same(by) & (F.col("c") == F.col("__c")) & (F.col("o") == F.col("__o"))).select(*by, "a", "b"))
+    return links[0].unionByName(links[1]).distinct()
+
+
+def joined_names(links: DataFrame, by: list[str]) -> DataFrame:
+    """by, comp, root of the components of tiles that seams (by, a, b) join. One task holds the links of a group: components along
+    the borders of its tiles, not its pixels."""
+    kinds = ", ".join(f"{c} {links.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, place = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+        place = place.reshape(-1, 2)
+        root = _roots(len(names), place[:, 0], place[:, 1])
+        return pd.DataFrame({c: pdf[c].iloc[0] for c in by} | {"comp": names, "root": names[root]})[[*by, "comp", "root"]]
+
+    return links.groupBy(*by).applyInPandas(run, f"{kinds}, comp long, root long")
+
+
+def label(mask: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
+    """mask (by, y, x) -> by, y, x, comp: 4-connected components, named by their least pixel.
+
+    A group is a frame (at a threshold). Tiles are labelled by themselves, components that touch across a seam are joined by
+    their names, and pixels get the joined names: so no task holds a frame. Frames within one tile have no seams, and are
+    labelled once.
+    """
+    mask = mask.select(*by, "y", "x")
+    own = [F.col(c).alias(f"__{c}") for c in by]
+    ends = [f(F.floor(F.col(c) / tile)).alias(f"__{n}{c}") for c in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max))]
+    large = mask.groupBy(*own).agg(*ends).filter("__loy < __hiy OR __lox < __hix").drop("__loy", "__hiy", "__lox", "__hix")
+    names = joined_names(seams(tile_labels(mask.join(large, _same(by), "left_semi"), by, tile), by, tile), by)
+    names = names.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("comp").alias("__comp"), "root")
+    labelled = tile_labels(mask, by, tile)
+    out = labelled.join(names, _same(by) & (F.col("comp") == F.col("__comp")), "left")
+    return out.select(*by, "y", "x", F.coalesce("root", "comp").alias("comp"))
 
 
 def sized(labelled: DataFrame, by: list[str], least: int = LEAST_PIXELS) -> DataFrame:

@@ -87,6 +87,9 @@ def rba_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BANK = "bank AS (SELECT vec_id, label, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 7919) % 65537, vec_id) AS nth FROM features WHERE NOT is_query AND gt = 0) WHERE nth <= 30 ORDER BY label, nth LIMIT 200)"
 
 
+BANK_BYTES = 1 << 20  # of the 200 vectors at most
+
+
 def memory_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixtures.features(spark, sf_dir).filter("NOT is_query AND gt = 0").withColumn("o", F.struct((F.col("vec_id") * 7919 % 65537).alias("h"), "vec_id"))
     return vectors.bank(f, "label", F.col("o"), 30, 200).select("vec_id", "label", "embedding")
@@ -106,13 +109,13 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_score", f"WITH {_SIMS} SELECT vec_id, round(1 - max(s), 6) AS score FROM sims GROUP BY vec_id")
 def knn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vectors.top_cosines(query_vectors(spark, sf_dir), memory_bank(spark, sf_dir), 1, ["vec_id"])
+    found = vectors.top_cosines(query_vectors(spark, sf_dir), memory_bank(spark, sf_dir), 1, ["vec_id"], bank_bytes=BANK_BYTES)
     return found.select("vec_id", F.round(1 - F.element_at("sims", 1), 6).alias("score"))
 
 
 @query("cdnp_score", f"WITH {_SIMS} SELECT vec_id, round(1 - avg(s) FILTER (r <= 1), 6) AS cdnp_1, round(1 - avg(s) FILTER (r <= 5), 6) AS cdnp_5, round(1 - avg(s) FILTER (r <= 15), 6) AS cdnp_15 FROM rk GROUP BY vec_id")
 def cdnp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vectors.knn_scores(vectors.top_cosines(query_vectors(spark, sf_dir), memory_bank(spark, sf_dir), 15, ["vec_id"]), [1, 5, 15])
+    found = vectors.knn_scores(vectors.top_cosines(query_vectors(spark, sf_dir), memory_bank(spark, sf_dir), 15, ["vec_id"], bank_bytes=BANK_BYTES), [1, 5, 15])
     return found.select("vec_id", *(F.round(f"cdnp_{k}", 6).alias(f"cdnp_{k}") for k in (1, 5, 15)))
 
 
@@ -120,7 +123,7 @@ def cdnp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 {points_sql('d', '', score='round(dist, 9)')}, m AS ({metrics_sql('')})
 SELECT round(med_veg, 6) AS med_veg, round(med_ood, 6) AS med_ood, round((SELECT avg(CASE WHEN dist > med_ood THEN 1e0 ELSE 0e0 END) FROM d WHERE gt = 0), 6) AS overlap, auroc FROM md, m""")
 def veg_featdist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vectors.top_cosines(query_vectors(spark, sf_dir), memory_bank(spark, sf_dir), 1, ["vec_id", "gt"])
+    found = vectors.top_cosines(query_vectors(spark, sf_dir), memory_bank(spark, sf_dir), 1, ["vec_id", "gt"], bank_bytes=BANK_BYTES)
     d = found.select("gt", F.round(1 - F.element_at("sims", 1), 9).alias("score"))
     med = ranking.quantiles(d, ["gt"], "score", [0.5]).agg(*(F.max(F.when(F.col("gt") == k, F.col("q"))).alias(a) for k, a in ((0, "med_veg"), (1, "med_ood"))))
     over = d.filter("gt = 0").crossJoin(F.broadcast(med)).agg(F.round(F.avg((F.col("score") > F.col("med_ood")).cast("double")), 6).alias("overlap"))

@@ -147,6 +147,44 @@ def test_components_match_flood_fill(spark):
     assert all(comp[p] == (seen[p][1] - 3) * 1_000_000 + seen[p][2] + 2 for p in cells)
 
 
+@pytest.mark.parametrize("tile", [3, 5, 512])
+def test_components_across_tiles_are_those_of_whole_frames(spark, tile):
+    """Rasters cut anywhere: spirals that cross many seams, random ones, and frames in one tile. No task gets a frame."""
+    rng = np.random.default_rng(tile)
+    spiral = np.zeros((23, 23), int)
+    y, x, dy, dx = 0, 0, 0, 1
+    for _ in range(23 * 12):
+        spiral[y, x] = 1
+        ahead = [(y + dy * k, x + dx * k) for k in (1, 2)]
+        if not all(0 <= a < 23 and 0 <= b < 23 for a, b in ahead[:1]) or (0 <= ahead[1][0] < 23 and 0 <= ahead[1][1] < 23 and spiral[ahead[1]]):
+            dy, dx = dx, -dy
+        y, x = y + dy, x + dx
+        if not (0 <= y < 23 and 0 <= x < 23) or spiral[y, x]:
+            break
+    frames = {"spiral": spiral, "dense": rng.random((31, 17)) < 0.62, "thin": rng.random((9, 40)) < 0.5, "small": np.ones((2, 2)), "full": np.ones((11, 13)), None: rng.random((7, 7)) < 0.6}
+    cells = [(f, k, int(y) - 4, int(x) - 6) for f, m in frames.items() for k in (0, 1) for y, x in zip(*np.nonzero(m), strict=True) if k == 0 or (y + x) % 7]
+    rows = spark.createDataFrame(cells, "f string, k int, y int, x int")
+    want = {(r.f, r.k, r.y, r.x): r.comp for r in components.label(rows, ["f", "k"], 10_000_000).collect()}
+    got = {(r.f, r.k, r.y, r.x): r.comp for r in components.label(rows, ["f", "k"], tile).collect()}
+    # cut frames begin below zero, so tiles of any size have a seam there; flood fill tells the truth
+    todo, comps = set(want), {}
+    while todo:
+        first = min(todo, key=lambda c: (str(c[0]), c[1], c[2], c[3]))
+        reach, stack = set(), [first]
+        while stack:
+            f, k, y, x = p = stack.pop()
+            if p in todo:
+                todo.discard(p)
+                reach.add(p)
+                stack += [(f, k, y + 1, x), (f, k, y - 1, x), (f, k, y, x + 1), (f, k, y, x - 1)]
+        comps |= {p: first[2] * components.NAME + first[3] for p in reach}
+    assert got == comps and want == comps
+    sizes = []
+    held = components.tile_labels(rows, ["f", "k"], tile).groupBy("f", "k", F.floor(F.col("y") / tile), F.floor(F.col("x") / tile)).count().collect()
+    sizes += [r["count"] for r in held]
+    assert max(sizes) <= tile * tile
+
+
 def test_conformal(spark):
     rng = random.Random(2)
     rows = [(c, float(rng.randint(0, 30))) for c, n in (("a", 100), ("b", 5), ("c", 19), ("d", 20)) for _ in range(n)]
@@ -275,6 +313,28 @@ def test_knn_and_mahalanobis(spark):
         assert r.score == pytest.approx(want)
 
 
+def test_neighbours_skip_cells_and_large_banks_go_in_parts(spark):
+    """Clustered data: far cells aren't looked at, and the result is that of all pairs."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    v = np.repeat(centres, 100, axis=0) + 0.05 * rng.normal(size=(1200, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, "ab"[k % 2], v[k].tolist()) for k in rng.permutation(1200).tolist()], "id long, half string, embedding array<double>")
+    q, b = df.filter("id % 10 = 0").drop("half"), df.filter("id % 10 <> 0")
+    ids, halves = np.arange(1200), np.array(list("ab" * 600))
+    for limit in (1 << 30, 30_000):
+        seen, skipped = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        got = {(r.id, r.half): r.sims for r in vectors.top_cosines(q, b, 3, ["id"], ["half"], limit=limit, seen=seen, skipped=skipped).collect()}
+        assert len(got) == 240
+        for (i, half), sims in got.items():
+            assert sims == pytest.approx(np.sort(v[(ids % 10 != 0) & (halves == half)] @ v[i])[::-1][:3])
+        share = 0.5 if limit > 1 << 20 else 0.25  # each part of a bank begins without anything to compare with
+        assert skipped.value > share * seen.value > 0, (skipped.value, seen.value)
+    few = vectors.top_cosines(q, b.limit(2), 3, ["id"], bank_bytes=1000).collect()
+    assert len(few) == 120 and all(len(r.sims) == 2 for r in few)
+    assert vectors.top_cosines(q.limit(0), b, 3, ["id"]).count() == 0
+
+
 def test_bank_and_first_neighbour(spark):
     """A bank ends within a frame; the mean of one neighbour is the nearest one."""
     v = spark.range(30).selectExpr("id % 3 AS frame", "id", "array(double(id), 1.0D) AS embedding")
