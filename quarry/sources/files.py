@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import io
 import json
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import archive
+
 ONTOLOGY = "dataset string, label_key int, name string, role string, default_role string, catch_all boolean"
 
 
@@ -105,21 +106,9 @@ def label_rasters(spark: SparkSession, root: str) -> DataFrame:
 
 
 def score_archive(spark: SparkSession, path: str, method: str) -> DataFrame:
-    """frame_id, y, x, label_key, score from compressed array archives with arrays `keys` and `method` of [frame, y, x];
-    arrays of different shapes raise."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content").to_pylist():
-                with np.load(io.BytesIO(content)) as z:
-                    keys, s = z["keys"], z[method]
-                if keys.shape != s.shape:
-                    raise ValueError(f"keys {keys.shape} and {method} {s.shape} differ in shape")
-                for f in range(len(s)):
-                    y, x = np.indices(s[f].shape, np.int32)
-                    yield pa.RecordBatch.from_pydict({"frame_id": np.full(s[f].size, f, np.int64), "y": y.ravel(), "x": x.ravel(), "label_key": keys[f].ravel().astype(np.int32), "score": s[f].ravel().astype(np.float32)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "frame_id long, y int, x int, label_key int, score float")
+    """frame_id, y, x, label_key, score from compressed array archives with arrays `keys` and `method` of [frame, y, x], by ranges
+    of frames; arrays of different shapes raise."""
+    return archive.read_archive(spark, path, method)
 
 
 def instances(spark: SparkSession, path: str, least_area: float = 3000.0) -> DataFrame:

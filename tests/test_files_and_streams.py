@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import registry
-from quarry.operators import bootstrap, ranking
-from quarry.sources import files
-from quarry.streaming import deploy
+from quarry.operators import bootstrap, calibrate, ranking, vectors
+from quarry.sources import archive, files
+from quarry.streaming import deploy, fitting
 
 
 def png(path, rows, colour=False):
@@ -58,6 +58,44 @@ def test_images_and_archives(spark, tmp_path):
     assert got == {(0, 0, 0, 1, 0.5), (0, 0, 1, 2, 1.0), (1, 0, 0, 3, 2.0), (1, 0, 1, 4, 3.0)}
 
 
+def test_archives_are_read_by_ranges_of_frames(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    keys, scores = rng.integers(0, 255, (100, 6, 9)).astype(np.uint8), rng.random((100, 6, 9)).astype(np.float16)
+    np.savez_compressed(tmp_path / "a.npz", keys=keys, rba=scores, other=scores[:50])
+    got = archive.read_archive(spark, str(tmp_path / "a.npz"), "rba", task_bytes=10 * 6 * 9 * 2)
+    assert got.rdd.getNumPartitions() == 10
+    rows = got.select("frame_id", "y", "x", "label_key", "score", F.spark_partition_id().alias("p")).collect()
+    assert len(rows) == keys.size and len({r.p for r in rows}) == 10
+    assert all(r.label_key == keys[r.frame_id, r.y, r.x] and r.score == scores[r.frame_id, r.y, r.x] for r in rows)
+    for method, what in (("other", "one shape"), ("none", "no array none")):
+        with pytest.raises(Exception, match=what):
+            archive.read_archive(spark, str(tmp_path / "a.npz"), method).count()
+    np.savez(tmp_path / "plain.npz", keys=keys[:0], rba=scores[:0])
+    assert archive.read_archive(spark, str(tmp_path / "plain.npz"), "rba").count() == 0
+    with pytest.raises(Exception, match="no archive"):
+        archive.read_archive(spark, str(tmp_path / "nothing.npz"), "rba").count()
+
+
+def test_written_archives_are_read_back_and_failed_jobs_leave_nothing(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    shapes = {7: (3, 4), 11: (3, 4), 900: (2, 2), 12: (3, 4), 13: (5, 1)}
+    rows = [(f, y, x, int(rng.integers(0, 255)), float(np.float16(rng.random()))) for f, (h, w) in shapes.items() for y in range(h) for x in range(w)]
+    df = spark.createDataFrame(rows, "frame_id long, y int, x int, label_key int, score float").repartition(5)
+    out = tmp_path / "out"
+    archive.write_archive(df, str(out), "rba", frames=2)
+    assert {p.suffix for p in out.iterdir()} == {".npz"} and len(list(out.iterdir())) >= 4
+    assert sorted(map(tuple, archive.read_archive(spark, str(out), "rba").collect())) == sorted(rows)
+    archive.write_archive(df.filter("frame_id = 7"), str(out), "rba")  # replaces
+    assert sorted(map(tuple, archive.read_archive(spark, str(out), "rba").collect())) == sorted(r for r in rows if r[0] == 7)
+    archive.write_archive(df.filter("frame_id = 11"), str(out), "rba", mode="append")
+    assert archive.read_archive(spark, str(out), "rba").select("frame_id").distinct().count() == 2
+    before = sorted(p.name for p in out.iterdir())
+    for bad, what in ((df.filter("NOT (frame_id = 13 AND y = 2)"), "whole raster"), (df.withColumn("label_key", F.col("label_key") + 300), "beyond a byte")):
+        with pytest.raises(Exception, match=what):
+            archive.write_archive(bad, str(out), "rba")
+        assert sorted(p.name for p in out.iterdir()) == before, "a failed job leaves nothing and replaces nothing"
+
+
 def test_named_datasets(spark, tmp_path):
     """Each name finds its pairs and its classes; the competitor track has the ontology file's own list."""
     assert set(files.DATASETS) >= {"goose", "goose_v2", "goose_v3", "wildscenes", "rellis", "rugd", "rellis_comp", "rugd_comp"}
@@ -128,3 +166,62 @@ def test_stream_matches_batch(spark, tmp_path):
     batch = events.select("ts", F.floor(F.hour("ts") / 4.0).cast("int").alias("predclass"), F.col("value").alias("score"))
     want = deploy.flag_stream(batch, thr, 90.0).filter("flag").count()
     assert spark.table("flags").filter("flag").count() == want and spark.table("flags").count() == events.count()
+
+
+def test_moments_of_a_stream_equal_those_of_a_batch_after_each_start(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    at = lambda *p: str(tmp_path.joinpath(*p))
+    schema = "id long, label string, embedding array<double>"
+    spark.conf.set(*fitting.STATE_STORE)
+    for start in range(3):
+        for part in range(2):
+            rows = [(k, rng.choice(["a", "b", None, "late"][: 3 + (start > 0)]), rng.normal(size=4).tolist()) for k in range(40)]
+            spark.createDataFrame(rows, schema).coalesce(2).write.mode("append").parquet(at("in"))
+        vectors_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(at("in"))
+        query = fitting.follow_moments(vectors_in, "label", at("sums"), at("cp"))  # goes on from its checkpoint
+        query.awaitTermination(120)
+        assert query.exception() is None
+        means, cov = fitting.current_moments(spark, at("sums"), "label")
+        want_means, want_cov = vectors.class_moments(spark.read.parquet(at("in")), "label")
+        key = lambda r: tuple(map(str, r[:2]))
+        for got, want in ((means, want_means.select("label", "i", "n", "mean")), (cov, want_cov)):
+            a, b = sorted(map(tuple, got.collect()), key=key), sorted(map(tuple, want.collect()), key=key)
+            assert [x[:2] for x in a] == [x[:2] for x in b] and [x[-1] for x in a] == pytest.approx([x[-1] for x in b])
+        assert {r.n for r in means.filter("label = 'a'").collect()} == {spark.read.parquet(at("in")).filter("label = 'a'").count()}
+    spark.conf.unset(fitting.STATE_STORE[0])
+
+
+def test_thresholds_follow_a_stream_and_replays_flag_alike(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    at = lambda *p: str(tmp_path.joinpath(*p))
+    schema = "id long, predclass string, gt int, score double"
+    every = []
+    (tmp_path / "in").mkdir()
+    live = fitting.LiveThresholds(at("live"), "predclass", lambda: F.col("gt") == 0, width=0.001, least=50)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at("in"))
+    for start in range(2):
+        for part in range(2):
+            own = [(1000 * (2 * start + part) + k, rng.choice(["road", "grass", "rare"], p=[0.6, 0.38, 0.02]).item(), int(rng.random() < 0.1), float(rng.random())) for k in range(400)]
+            every.append(own)
+            spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(at("in"))
+        query = live.follow(stream, at("cp"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+    flags = live.flags(spark)
+    assert flags.count() == 1600 and {r.version for r in flags.select("version").distinct().collect()} == {-1, 0, 1, 2}
+    assert not flags.filter("version = -1 AND flag").count()
+    # thresholds of a version are the conformal quantiles of all batches up to it, within a bin's width
+    seen = [r for own in every[:3] for r in own if r[2] == 0]
+    want = {r.predclass: r for r in calibrate.conformal(spark.createDataFrame(seen, schema), ["predclass"]).collect()}
+    whole = calibrate.conformal(spark.createDataFrame(seen, schema), []).first().tau
+    taus = {r.predclass: r.tau for r in flags.filter("version = 2").select("predclass", "tau").distinct().collect()}
+    for c, tau in taus.items():
+        exact = want[c].tau if want[c].n >= 50 else whole
+        assert exact <= tau <= exact + 0.001 + 1e-9, c
+    assert want["rare"].n < 50 and taus["rare"] == pytest.approx(whole, abs=0.0011)
+    # a batch that is run again, as after a lost driver, writes the same flags and the same version
+    old = sorted(map(tuple, flags.collect()))
+    hist = sorted(map(tuple, spark.read.parquet(at("live", "histograms", "version=3")).collect()))
+    live(spark.createDataFrame(every[3], schema), 3)
+    assert sorted(map(tuple, live.flags(spark).collect())) == old
+    assert sorted(map(tuple, spark.read.parquet(at("live", "histograms", "version=3")).collect())) == hist
