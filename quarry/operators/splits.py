@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def site_of(scene: Column, sites: list[str]) -> Column:
-    """The site whose name the scene holds; of several the first with "?MULTI"; of none "AMBIGUOUS:" and the scene."""
+    """The site whose name the scene holds; of several the first with "?MULTI"; of none "AMBIGUOUS:" and
+    the scene without its date, which is what comes before the first underscore."""
     hits = F.filter(F.array(*map(F.lit, sites)), lambda s: F.contains(scene, s))
-    return F.when(F.size(hits) == 1, F.element_at(hits, 1)).when(F.size(hits) > 1, F.concat(F.element_at(hits, 1), F.lit("?MULTI"))).otherwise(F.concat(F.lit("AMBIGUOUS:"), scene))
+    return F.when(F.size(hits) == 1, F.element_at(hits, 1)).when(F.size(hits) > 1, F.concat(F.element_at(hits, 1), F.lit("?MULTI"))).otherwise(F.concat(F.lit("AMBIGUOUS:"), F.regexp_replace(scene, "^[^_]*_", "")))
 
 
 def split_frames(frames: DataFrame, splits: DataFrame, scene: str = "scene") -> DataFrame:

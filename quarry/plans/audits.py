@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import ontology, ranking, splits
-from quarry.plans.base import COMPETITOR, ONTO, PIXELS, RESOLVED, query
+from quarry.plans.base import ONTO, PIXELS, query, resolved_sql
 from quarry.sources import fixtures
 from quarry.sources.fixtures import read
 
@@ -14,14 +14,28 @@ RESOLVED_COLUMNS = ["label_key", "name", "eff_role", "tier", "is_border", "train
 _COLS = ", ".join(RESOLVED_COLUMNS)
 
 
-@query("ontology_resolve", f"WITH {RESOLVED} SELECT {_COLS} FROM resolved")
+# an ontology of several datasets as a table: a class for each type and size of part
+_ROLES = ["ignore", "id_terrain", "id_vegetation", "borderline", "ood_tier1", "ood_tier2", "ood_tier3", "id_water"]
+_OOD_NAMES = ["Brand#1", "Brand#3", "Brand#12", "Brand#20"]
+_TABLE = f"""own AS (SELECT p_type AS dataset, p_size AS label_key, min(p_brand) AS name, min(p_partkey) AS k FROM part GROUP BY p_type, p_size),
+onto AS (SELECT dataset, label_key, name, {_ROLES}[k % 8 + 1] AS role, CASE WHEN k % 8 = 3 AND k % 16 = 3 THEN 'id_vegetation' END AS default_role, k % 16 = 8 AS catch_all FROM own)"""
+
+
+def class_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ontology that is read from a table: dataset, label_key, name, role, default_role, catch_all."""
+    own = read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("dataset"), F.col("p_size").alias("label_key")).agg(F.min("p_brand").alias("name"), F.min("p_partkey").alias("k"))
+    role = F.element_at(F.array(*map(F.lit, _ROLES)), (F.col("k") % 8 + 1).cast("int"))
+    return own.select("dataset", "label_key", "name", role.alias("role"), F.when(F.col("k") % 16 == 3, "id_vegetation").alias("default_role"), (F.col("k") % 16 == 8).alias("catch_all"))
+
+
+@query("ontology_resolve", f"WITH {_TABLE}, {resolved_sql('resolved', 'dataset')} SELECT dataset, {_COLS} FROM resolved")
 def ontology_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.resolve(ontology.classes(spark)).select(*RESOLVED_COLUMNS)
+    return ontology.resolve(class_table(spark, sf_dir)).select("dataset", *RESOLVED_COLUMNS)
 
 
-@query("ontology_competitor", f"WITH {COMPETITOR} SELECT {_COLS} FROM competitor")
+@query("ontology_competitor", f"WITH {_TABLE}, {resolved_sql('competitor', 'dataset', _OOD_NAMES)} SELECT dataset, {_COLS} FROM competitor")
 def ontology_competitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.resolve_competitor(ontology.classes(spark), ontology.RUGD_COMPETITOR).select(*RESOLVED_COLUMNS)
+    return ontology.resolve_competitor(class_table(spark, sf_dir), _OOD_NAMES).select("dataset", *RESOLVED_COLUMNS)
 
 
 @query("ontology_validate", f"""WITH {ONTO}, native AS (SELECT DISTINCT p_size AS label_key FROM part)
@@ -82,7 +96,7 @@ _SITES = "['EU', 'AF', 'ASIA', 'EAST', 'MIDDLE']"
 
 
 @query("site_of", f"""WITH {_FRAMES}, h AS (SELECT frame_id, scene, list_filter({_SITES}, lambda s: contains(scene, s)) AS hits FROM frames)
-SELECT frame_id, CASE WHEN len(hits) = 1 THEN hits[1] WHEN len(hits) > 1 THEN hits[1] || '?MULTI' ELSE 'AMBIGUOUS:' || scene END AS site FROM h""")
+SELECT frame_id, CASE WHEN len(hits) = 1 THEN hits[1] WHEN len(hits) > 1 THEN hits[1] || '?MULTI' ELSE 'AMBIGUOUS:' || regexp_replace(scene, '^[^_]*_', '') END AS site FROM h""")
 def site_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("frame_id", splits.site_of(F.col("scene"), ["EU", "AF", "ASIA", "EAST", "MIDDLE"]).alias("site"))
 

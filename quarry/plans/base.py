@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators.ontology import RUGD, RUGD_COMPETITOR
+from quarry.operators.ontology import RUGD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,15 +30,21 @@ def _value(x: object) -> str:
 
 ONTO = "onto AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_value, r[1:])) + ")" for r in RUGD) + ") AS t(label_key, name, role, default_role, catch_all))"
 _PLAIN = "CASE WHEN role = 'borderline' THEN coalesce(default_role, 'id_terrain') ELSE role END"
-_RES = """{name}_role AS (SELECT label_key, name, role, {role} AS eff_role, role = 'borderline' AS is_border FROM onto),
+
+
+def resolved_sql(name: str, dataset: str = "", ood: list[str] | None = None) -> str:
+    """CTEs that end in `name`, the resolved classes of onto, of each dataset by itself; with ood by the competitor's rules."""
+    d, by = (f"{dataset}, ", f"{dataset}, gt") if dataset else ("", "gt")
+    role = _PLAIN
+    if ood is not None:
+        role = "CASE WHEN name IN (" + ", ".join(map(_value, ood)) + f") THEN 'ood_tier1' WHEN role = 'ignore' OR catch_all THEN 'ignore' WHEN starts_with({_PLAIN}, 'ood') THEN 'id_terrain' ELSE {_PLAIN} END"
+    return f"""{name}_role AS (SELECT {d}label_key, name, role, {role} AS eff_role, role = 'borderline' AS is_border FROM onto),
 {name}_gt AS (SELECT *, CASE WHEN eff_role IN ('ood_tier1', 'ood_tier2', 'ood_tier3') THEN 'T' || eff_role[9:9] ELSE '' END AS tier,
   CASE WHEN starts_with(eff_role, 'ood_') THEN 1 WHEN starts_with(eff_role, 'id_') THEN 0 ELSE 255 END AS gt FROM {name}_role),
-{name} AS (SELECT *, CASE WHEN gt = 0 THEN CAST(row_number() OVER (PARTITION BY gt ORDER BY label_key) - 1 AS INTEGER) ELSE 255 END AS train_id FROM {name}_gt)"""
-RESOLVED = ONTO + ",\n" + _RES.format(name="resolved", role=_PLAIN)
-COMPETITOR = ONTO + ",\n" + _RES.format(
-    name="competitor",
-    role="CASE WHEN name IN (" + ", ".join(map(_value, RUGD_COMPETITOR)) + f") THEN 'ood_tier1' WHEN role = 'ignore' OR catch_all THEN 'ignore' WHEN starts_with({_PLAIN}, 'ood') THEN 'id_terrain' ELSE {_PLAIN} END",
-)
+{name} AS (SELECT *, CASE WHEN gt = 0 THEN CAST(row_number() OVER (PARTITION BY {by} ORDER BY label_key) - 1 AS INTEGER) ELSE 255 END AS train_id FROM {name}_gt)"""
+
+
+RESOLVED = ONTO + ",\n" + resolved_sql("resolved")
 PIXELS = RESOLVED + """,
 pixels AS (
   SELECT l_suppkey AS frame_id, s_nationkey AS site, CASE WHEN s_nationkey % 5 = 3 THEN 'val' WHEN s_nationkey % 5 = 4 THEN 'test' ELSE 'train' END AS split,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,11 +36,22 @@ def paired_frames(spark: SparkSession, images: str, labels: str, image_glob: str
     return i.join(k, ["scene", "base"])
 
 
-def csv_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """ts, image_path, label_path of a split list without a header; rows of fewer fields or without an image are left
-    out."""
+def csv_manifest(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """ts, image_path, label_path of a split list without a header, by image and label path; rows of fewer fields, blank paths or
+    without an image are left out, and paths lose the white space around them. With root, the folder that paths begin from, only
+    frames whose two files exist there and aren't empty stay, and paths are whole."""
     rows = spark.read.schema("ts string, image_path string, label_path string").option("mode", "PERMISSIVE").csv(path)
-    return rows.filter(F.col("label_path").isNotNull() & F.col("image_path").contains("image"))
+    rows = rows.filter(F.col("label_path").isNotNull() & F.col("image_path").contains("image"))
+    rows = rows.select("ts", *(F.trim(F.regexp_replace(c, r"[\x09-\x0D]", " ")).alias(c) for c in ("image_path", "label_path"))).filter("image_path <> '' AND label_path <> ''")
+    if root is not None:
+        root = root.rstrip("/")
+        base = re.sub("^[a-z0-9+.-]+:(//[^/]*)?", "", root)
+        # what is behind the folder's name in a listed path; a listing has no contents
+        there = _listing(spark, root, "*", -1).select(F.expr(f"substring(path, instr(path, {json.dumps(base + '/')}) + {len(base) + 1})").alias("file"))
+        for c in ("image_path", "label_path"):
+            rows = rows.join(there.select(F.col("file").alias(c)), c, "left_semi")
+        rows = rows.select("ts", *(F.concat(F.lit(f"{root}/"), c).alias(c) for c in ("image_path", "label_path")))
+    return rows.orderBy("image_path", "label_path")
 
 
 def list_file(spark: SparkSession, path: str) -> DataFrame:
@@ -167,15 +179,15 @@ def _ends_with(tail: str) -> Callable[[Column], Column]:
 
 
 def _dataset(section: str, competitor: bool = False, manifest: bool = False, **layout: object) -> Callable[..., tuple[DataFrame, DataFrame]]:
-    """A factory (spark, ontology file, images=, labels= or manifest=, keys=) -> (frames with image_path and label_path,
+    """A factory (spark, ontology file, images=, labels= or manifest_path=, root=, keys=) -> (frames with image_path and label_path,
     resolved classes) of a dataset."""
 
-    def make(spark: SparkSession, onto: str, images: str = "", labels: str = "", manifest_path: str = "", keys: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    def make(spark: SparkSession, onto: str, images: str = "", labels: str = "", manifest_path: str = "", root: str | None = None, keys: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
         from quarry.operators import ontology
 
         classes = ontology_yaml(spark, onto, section, keys)
         resolved = ontology.resolve_competitor(classes, competitor_yaml(spark, onto, section)) if competitor else ontology.resolve(classes)
-        return csv_manifest(spark, manifest_path) if manifest else paired_frames(spark, images, labels, **layout), resolved
+        return csv_manifest(spark, manifest_path, root) if manifest else paired_frames(spark, images, labels, **layout), resolved
 
     return make
 

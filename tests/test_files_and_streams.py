@@ -27,6 +27,13 @@ def png(path, rows, colour=False):
 def test_text_sources(spark, tmp_path):
     (tmp_path / "m.csv").write_text("1,image/a.png,l/a.png\n\nbad\n2,other/b.png,l/b.png\n")
     assert [r.image_path for r in files.csv_manifest(spark, str(tmp_path / "m.csv")).collect()] == ["image/a.png"]
+    (tmp_path / "data/image").mkdir(parents=True)
+    for name in ("image/b.png", "image/a.png", "lab a.png", "lab b.png", "image/c.png", "other.png"):
+        (tmp_path / "data" / name).write_bytes(b"x")
+    (tmp_path / "n.csv").write_text("1, image/b.png ,lab b.png\n2,image/a.png,\tlab a.png\n3,image/c.png,lab c.png\n4,image/d.png,lab a.png\n5,  ,lab a.png\n6,other.png,lab a.png\n7,image/a.png,   \n8,image/a.png\n")
+    for root in (str(tmp_path / "data"), f"file://{tmp_path}/data/"):
+        found = [tuple(r) for r in files.csv_manifest(spark, str(tmp_path / "n.csv"), root).collect()]
+        assert found == [(ts, f"{root.rstrip('/')}/image/{k}.png", f"{root.rstrip('/')}/lab {k}.png") for ts, k in (("2", "a"), ("1", "b"))]
     (tmp_path / "x.lst").write_text("a.jpg  a.png\nlonely\n\n b.jpg\tb.png x\n")
     assert [tuple(r) for r in files.list_file(spark, str(tmp_path / "x.lst")).collect()] == [("a.jpg", "a.png"), ("b.jpg", "b.png")]
     (tmp_path / "c.txt").write_text("0 void 0 0 0\n7 picnic table top 1 2 3\n1 2 3\n")

@@ -288,10 +288,10 @@ def test_roles(spark):
 
 
 def test_sites(spark):
-    df = spark.createDataFrame([("a_b_c_x",), ("q",), ("a_c",)], "scene string")
+    df = spark.createDataFrame([("a_b_c_x",), ("q",), ("a_c",), ("2022-09-21_town_hall",)], "scene string")
     got = [r[0] for r in df.select(splits.site_of(F.col("scene"), ["b_", "c_"])).collect()]
-    assert got == ["b_?MULTI", "AMBIGUOUS:q", "AMBIGUOUS:a_c"]
-    assert [r[0] for r in df.select(splits.location(F.col("scene"))).collect()] == ["x", "", ""]
+    assert got == ["b_?MULTI", "AMBIGUOUS:q", "AMBIGUOUS:c", "AMBIGUOUS:town_hall"]
+    assert [r[0] for r in df.select(splits.location(F.col("scene"))).collect()] == ["x", "", "", ""]
 
 
 def test_knn_and_mahalanobis(spark):
