@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -84,20 +85,53 @@ def base_spans(text: str) -> list[Span]:
 _GENERATORS = {
     "phone_local": re.compile(r"(?<![0-9+(])\(?[0-9]{1,12}\)?(?:[ ./-]{1,2}[0-9]{1,12})++(?![0-9])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?![A-Za-z0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+"),
 }
+#: Numbers that a cue before them gives away, by kind: the number, and the cue with what may stand between.
+_CUED_NUMBERS = {
+    "phone_local": (re.compile(r"(?<![0-9+])[0-9]{7,15}(?![0-9])"), re.compile(r"\b(?:call|phone|tel|telephone|telefon|fon|mobile|cell|handy|fax|dial|ring|text|sms|appel|llamar?)\b[^0-9\n]{0,12}$", re.I)),
+    "national_id": (re.compile(r"(?<![0-9])(?:[0-9]{9}|[0-9]{3} [0-9]{2} [0-9]{4})(?![0-9])"), re.compile(r"\b(?:ssn|social security|insurance|citizen|national)\b[^0-9\n]{0,16}$", re.I)),
+}
+#: A secret that a cue before it gives away: after a sign any, without one a long word.
+_SECRET_CUE = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|credentials?)\b[\"']?(?:\s?(?:is|[:=]|=>|:=)\s?[\"']?([^\s\"'<>,;]{5,}+)|\s[\"']?([^\s\"'<>,;]{16,}+))", re.I)
+_SECRET_WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
+#: A signed token goes as a whole, not by its parts.
+_JWT = re.compile(r"\beyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){1,2}")
 #: Digits of a telephone number.
 _PHONE_DIGITS = range(7, 16)
+_SEVEN_DIGITS, _GROUPED_ID = re.compile("[0-9]{7}"), re.compile("[0-9]{3} [0-9]{2} [0-9]{4}")
 _DOT = re.compile("dot", re.I)
 # a local part has 64 characters at most, a label 63
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\s?(?:\(at\)|\[at\]|\bat\b)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\bdot\b)\s?[A-Za-z0-9-]{1,63}){1,10}", re.I)
 
 
+def _cued(text: str) -> Iterator[Span]:
+    if _DIGIT.search(text) and (_SEVEN_DIGITS.search(text) or _GROUPED_ID.search(text)):
+        for kind, (number, cue) in _CUED_NUMBERS.items():
+            for m in number.finditer(text):
+                if cue.search(text[max(0, m.start() - 32) : m.start()]):
+                    yield kind, *m.span()
+    small = text.lower()
+    if any(w in small for w in _SECRET_WORDS):
+        for m in _SECRET_CUE.finditer(text):
+            start, end = m.span(1 if m[1] is not None else 2)
+            while end > start and text[end - 1] in ".)]}":  # the sentence's, not the secret's
+                end -= 1
+            if end > start:
+                yield "secret", start, end
+
+
 def candidates(text: str) -> list[Span]:
     """Proposed spans of the added kinds; they may overlap one another."""
     out = [(kind, *m.span()) for kind, p in _GENERATORS.items() for m in p.finditer(text)] if _DIGIT.search(text) else []
     out = [s for s in out if s[0] != "phone_local" or len(_NOT_DIGIT.sub("", text[s[1] : s[2]])) in _PHONE_DIGITS]
+    if whole := [("secret", *m.span()) for m in _JWT.finditer(text)] if "eyJ" in text else []:
+        starts = [s[1] for s in whole]
+        inside = lambda s: (k := bisect_right(starts, s[1])) and s[2] <= whole[k - 1][2]
+        out = [s for s in out if not inside(s)] + whole
+    seen = set(out)
+    out += [s for s in dict.fromkeys(_cued(text)) if s not in seen]
     if _DOT.search(text):
         out += [("email_spelled", *m.span()) for m in _SPELLED.finditer(text)]
     return out
@@ -117,6 +151,7 @@ _TOP = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "
 #: Beginnings that issuers give their keys (fixed values).
 _ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_", "pk_", "sk-", "eyJ", "AIza", "ya29", "SG")
 _CLASS_CHANGE = re.compile(r"(?<=[a-z])[A-Z0-9]|(?<=[0-9])[A-Za-z]|(?<=[A-Z])[0-9]")
+_ASSIGNED = re.compile(r"(?:pass\w*|pwd|secret|token|key|credentials?)[\"']?\s?(?:is|[:=]|=>|:=)\s?[\"']?$", re.I)
 _LETTERS = re.compile(r"[A-Za-z]+")
 _CUES = [re.compile(r"\b(?:" + words.replace(" ", "|") + r")", re.I) for words in CUES]
 
@@ -137,6 +172,7 @@ def features(text: str, span: Span) -> list[float]:
         own.count("-"), own.count(" "), own.count("."), own.count("/"), float("(" in own), float(-(counts * np.log2(counts)).sum()), len(set(digits)),
         float(luhn(digits)) if digits else 0.0, iban, float(own.upper() == own), float(own.lower() == own), float(bool(re.fullmatch(r"[0-9a-f]+", own))),
         len(_CLASS_CHANGE.findall(own)) / len(own), sum(c.isupper() for c in own), own.count("_"), max(map(len, _LETTERS.findall(own)), default=0), float(own.startswith(_ISSUED)), sum(c in "aeiouAEIOU" for c in own) / max(1, letters), max(map(len, groups), default=0), float(own.startswith(("0", "(0"))),
+        sum(not c.isalnum() for c in own), float(bool(_ASSIGNED.search(before))), float(own.isalpha()), float(own.isdigit()), own.count("."),
         *(float(bool(c.search(before))) for c in _CUES), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before.rstrip()[-1:] in ":=\"'"), float(before[-1:] in "$€£#"), float(after[:1] == "%"), float(own.lower().endswith(_TOP)),
     ]
 
@@ -144,7 +180,7 @@ def features(text: str, span: Span) -> list[float]:
 # --- the labelled rows that the trees learn from -------------------------------------------------------------------
 
 #: Rows made for training and calibration: the documented bound of the fitted sample.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 16_000
 
 
 def _digits(rng: np.random.Generator, n: int) -> str:
@@ -175,6 +211,14 @@ def labelled_rows(n: int = TRAIN_ROWS, seed: int = 7) -> Iterator[tuple[str, Spa
     def chars(alphabet: str, n: int) -> str:
         return "".join(alphabet[x] for x in rng.integers(0, len(alphabet), n))
 
+    def said() -> str:
+        """A word that can be pronounced, as those of identifiers, paths and passphrases."""
+        return "".join(chars("bcdfglmnprstv", 1) + chars("aeiou", 1) + pick("", "", "n", "r", "s", "l") for _ in range(rng.integers(1, 4)))
+
+    def password() -> str:
+        leet = said().capitalize().translate(str.maketrans({"a": pick("4", "@"), "e": "3", "i": "1", "o": "0"}))
+        return pick(said() + _digits(rng, int(rng.integers(1, 5))) + chars("!?#$%&*", 1), leet + said() + chars("!&*-_", 1) + _digits(rng, 1), chars(mixed + "!#$%&*?", int(rng.integers(8, 15))) + _digits(rng, 1), said().capitalize() + _digits(rng, 4), leet + chars("!#&", 1) + said() + _digits(rng, 2))
+
     upper, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     area = lambda: f"0{_digits(rng, int(rng.integers(2, 5)))}"
     good = [
@@ -183,13 +227,15 @@ def labelled_rows(n: int = TRAIN_ROWS, seed: int = 7) -> Iterator[tuple[str, Spa
         lambda: (pick("iban ", "account ", "bank transfer to ", ""), _iban(rng)),
         lambda: (pick('token = "', "api_key: ", "password=", "secret ", "Bearer "), pick(rng.bytes(20).hex(), rng.bytes(16).hex(), "sk_" + rng.bytes(12).hex(), _filler(rng, 4).replace(" ", "")[:14] + _digits(rng, 6))),
         lambda: (pick('key = "', "use ", "", "token "), pick(pick("AKIA", "ASIA") + chars(upper, 15) + _digits(rng, 1), pick("ghp_", "gho_", "glpat-", "xoxb-") + chars(mixed, 36), "eyJ" + chars(mixed + "-_", int(rng.integers(40, 400))), "AIza" + chars(mixed, 35), chars(mixed + "+/", 40), chars(mixed, 32))),
+        lambda: (pick("password=", "password: ", "pwd: ", "passwd = ", "my password is ", 'password: "', "Password: ", "token=", "secret: ", "credentials: ", "passcode is "), password()),
+        lambda: (pick("secret ", "password ", "passphrase ", "passphrase: ", "secret = "), "".join(said() for _ in range(9))[: int(rng.integers(20, 40))].ljust(20, "x")),
+        lambda: (pick("call ", "phone ", "phone: ", "tel: ", "tel ", "mobile ", "fax ", "dial ", "ring me on ", "text me at ", "phone number: "), pick(_digits(rng, int(rng.integers(7, 12))), f"0{_digits(rng, int(rng.integers(8, 11)))}")),
+        lambda: (pick("ssn ", "ssn: ", "SSN is ", "social security number ", "social security no. ", "national insurance ", "citizen number "), pick(_digits(rng, 9), _digits(rng, 9), f"{_digits(rng, 3)} {_digits(rng, 2)} {_digits(rng, 4)}")),
+        lambda: (pick("Bearer ", "token ", "jwt ", "", "Authorization: "), ".".join(["eyJ" + chars(mixed + "-_", int(rng.integers(15, 60))), "eyJ" + chars(mixed + "-_", int(rng.integers(20, 200))), chars(mixed + "-_", 43)])),
+        lambda: (pick("iban ", "account ", "konto ", "", "transfer to "), _iban(rng).lower()),
         lambda: (pick("mail ", "contact ", "write to ", ""), f"{word()} {pick('at', '(at)', '[at]', '(AT)', '[At]')} {word()} {pick('dot', '(dot)', '[dot]', '(DoT)', 'DOT')} {pick('com', 'org', 'de', 'net')}"),
     ]
 
-    def said() -> str:
-        """A word that can be pronounced, as those of identifiers and paths."""
-        return "".join(chars("bcdfglmnprstv", 1) + chars("aeiou", 1) + pick("", "", "n", "r", "s", "l") for _ in range(rng.integers(1, 4)))
-
     def identifier() -> str:
         words, number = [said() for _ in range(rng.integers(3, 6))], _digits(rng, int(rng.integers(1, 4)))
         return pick("".join(w.capitalize() for w in words), "_".join(words), "-".join(words), "/".join(words), "-".join(words).upper(), words[0] + "".join(w.capitalize() for w in words[1:])) + pick("", "_", "-") + number
@@ -202,7 +248,12 @@ def labelled_rows(n: int = TRAIN_ROWS, seed: int = 7) -> Iterator[tuple[str, Spa
         lambda: (pick("serial ", "order ", "ISBN "), f"{_digits(rng, 3)}-{_digits(rng, 2)}-{_digits(rng, 4)}" if rng.random() < 0.3 else f"978-{_digits(rng, 1)}-{_digits(rng, 4)}-{_digits(rng, 4)}"),
         lambda: (pick("part ", "model ", ""), f"{chr(65 + rng.integers(26))}{chr(65 + rng.integers(26))}{_digits(rng, 2)} {_digits(rng, 4)} {_digits(rng, 4)}"),
         lambda: (pick("commit ", "sha sum ", "figure ", "page "), pick(rng.bytes(20).hex(), word() + "_" + word() + "_" + _digits(rng, 2) + word() + word(), _digits(rng, 18))),
-        lambda: (pick("see ", "file ", "", "class "), pick(identifier(), identifier(), identifier(), identifier(), _digits(rng, int(rng.integers(16, 24))))),
+        *[lambda: (pick("see ", "file ", "", "class "), pick(identifier(), identifier(), identifier(), identifier(), _digits(rng, int(rng.integers(16, 24)))))] * 3,
+        lambda: (pick("password ", "password: ", "token: ", "secret = ", "api key: ", "password is ", "token = ", "credentials: ", "the secret is "), pick(said() + said(), word() + said(), "required", "invalid", "expired", "missing", identifier() if rng.random() < 0.3 else said() + "ing")),
+        lambda: (pick("order ", "invoice ", "serial ", "page ", "total ", "item ", "case ", ""), _digits(rng, int(rng.integers(7, 12)))),
+        lambda: (pick("", "of ", "no. ", "to "), _digits(rng, int(rng.integers(16, 20)))),
+        lambda: (pick("call on 20", "fax of 20", "call from 20"), f"{_digits(rng, 2)}{rng.integers(10, 13)}{rng.integers(10, 29)}"),
+        lambda: (pick("see ", "", "in ", "of "), f"{chars('abcdefghij', 2)}{_digits(rng, 2)} {chars('abcdefghijklmnop', 4)} {chars('abcdefghijklmnop', 4)} {chars('abcdefghijklmnop', 4)}"),
         lambda: (pick("look ", "we meet ", ""), f"{word()} at {word()} dot {word()}"),
     ]
     while n > 0:
@@ -329,8 +380,6 @@ class Selector:
             if not more:
                 out.append(base)
                 continue
-            from bisect import bisect_right, insort
-
             taken, kept = sorted((s, e) for _, s, e in base), []
             most = max((e - s for s, e in taken), default=0)
             for _, span in sorted(more, key=lambda x: (-x[0], x[1][1], -x[1][2], x[1][0])):
