@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,9 +29,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a folder made once."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session on one machine gets a
+    folder made once; any other raises, as its executors wouldn't see one another's files."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.shared.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.shared.dir", path)
     return path
