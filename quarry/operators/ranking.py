@@ -1,31 +1,24 @@
 """Ranking metrics over tie-grouped precision-recall points, and exact quantiles, from running totals by value.
 
-Rows are counted by distinct value first. The running totals then work in two levels: a quantile sketch cuts each group's
-distinct values into parts of nearly equal numbers of rows, whatever their distribution; the totals of whole parts are carried
-from part to part, and each part is summed by itself. So no task sorts all values of a group, and nothing is run while the
-plan is built.
-
-A sketch depends on the order in which tasks' sketches are merged. Results don't: the parts' lower ends and the totals before
-them are one row, made in one go, and a value finds its part by the ends of the very row that tells it the totals.
+Rows are counted by distinct value first. The running totals then work in levels: a group's values are cut into octaves
+(values of one sign within a factor of two), each octave into parts of equal width between its own least and largest value,
+as many as its number of values takes. Totals are carried from octave to octave, from part to part, and each part is summed by
+itself. So outliers, infinite values and scales of any kind don't crowd a part, no task sorts all values of a group, and
+nothing is run while the plan is built. Parts follow from the values alone, so that a task that is run again finds the same.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of a large group: rows that one task holds while totals are carried.
-BUCKETS = 1 << 12
-#: Distinct values that a part has about, before a group is cut into more parts.
-LEAST = 1 << 12
+#: Parts of an octave at most: rows that one task holds while totals are carried.
+BUCKETS = 1 << 16
+#: Distinct values that a part has on average, before an octave is cut into more parts.
+LEAST = 1 << 10
 ROUND = 6
 
 
-def _joined(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    return a.join(b, by) if by else a.crossJoin(F.broadcast(b))  # without groups, b is one row
-
-
 def place_in(value: Column, cuts: Column) -> Column:
     """The place, from 0, of the last of some ascending cuts that isn't over the value; 0 below all. A binary search, written as
     a fold over as many steps as the array's size needs."""
@@ -39,40 +32,37 @@ def place_in(value: Column, cuts: Column) -> Column:
     return F.when(F.size(cuts) == 1, 0).otherwise(F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve)["lo"])
 
 
-def cuts_of(counted: DataFrame, by: list[str], value: str, buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
-    """by, __cuts: ascending values that cut a group's rows into parts of n / buckets rows, or of `least` where that is more. Parts
-    are off by half of n / buckets at most, the sketch's error."""
-    finite = F.when(F.isnan(value), float("inf")).otherwise(F.col(value))
-    sketch = F.percentile_approx(finite, F.lit(np.arange(buckets) / buckets), 4 * buckets)
-    step = F.greatest(F.lit(1), F.ceil(buckets / F.ceil(F.count("*") / F.lit(float(least))))).cast("int")
-    rows = counted.groupBy(*by).agg(sketch.alias("__q"), step.alias("__step"))
-    return rows.select(*by, F.array_distinct(F.filter("__q", lambda _, i: i % F.col("__step") == 0)).alias("__cuts"))
-
-
-def carried(counted: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
-    """by, __lower, __<sum>_before, <sum>_all: arrays of the parts' lower ends and what is summed before each, and totals."""
-    rows = _joined(counted, cuts_of(counted, by, value, buckets, least), by)
-    lower = F.element_at("__cuts", place_in(F.col(value), F.col("__cuts")) + 1)
-    parts = rows.select(*by, lower.alias("__at"), *sums).groupBy(*by, "__at").agg(*(F.sum(c).alias(c) for c in sums))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a group's parts, no more than buckets
-    before = [(F.sum(c).over(group.orderBy("__at")) - F.col(c)).alias(f"b_{c}") for c in sums]
-    parts = parts.select(*by, "__at", *before, *(F.sum(c).over(group).alias(f"a_{c}") for c in sums))
-    rows = parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__at", *(f"b_{c}" for c in sums)))).alias("__p"), *(F.max(f"a_{c}").alias(f"{c}_all") for c in sums))
-    return rows.select(*by, F.col("__p.__at").alias("__lower"), *(F.col(f"__p.b_{c}").alias(f"__{c}_before") for c in sums), *(f"{c}_all" for c in sums))
+def octave(value: Column) -> Column:
+    """A number that doesn't fall as the value grows: its sign times its magnitude's power of two, moved above zero."""
+    power = F.least(F.floor(F.log2(F.abs(value))), F.lit(1024)) + 1100  # subnormal numbers have -1074
+    return F.when(F.isnan(value), 9999).when(value == 0, 0).otherwise(F.signum(value) * power).cast("int")
 
 
 def in_parts(counted: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
-    """counted with __part, the part of its group that a row is in, __<sum>_before and <sum>_all."""
-    rows = _joined(counted, carried(counted, by, value, sums, buckets, least), by).withColumn("__part", place_in(F.col(value), F.col("__lower")))
-    return rows.select(*counted.columns, "__part", *(F.element_at(f"__{c}_before", F.col("__part") + 1).alias(f"__{c}_before") for c in sums), *(f"{c}_all" for c in sums))
+    """counted with __octave and __part, where in its group a row is, and of each sum __<sum>_before, over the octaves before,
+    and <sum>_all, over the group."""
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row per octave
+    rows = counted.withColumn("__octave", octave(F.col(value)))
+    ends = rows.groupBy(*by, "__octave").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count("*").alias("__rows"), *(F.sum(c).alias(f"__{c}") for c in sums))
+    many = F.least(F.lit(buckets), F.ceil(F.col("__rows") / float(least)))
+    totals = [x for c in sums for x in ((F.sum(f"__{c}").over(group.orderBy("__octave")) - F.col(f"__{c}")).alias(f"__{c}_before"), F.sum(f"__{c}").over(group).alias(f"{c}_all"))]
+    rows = rows.join(ends.select(*by, "__octave", "__lo", "__hi", many.alias("__many"), *totals), [*by, "__octave"])
+    v, lo, hi = F.col(value), F.col("__lo"), F.col("__hi")
+    part = F.when((F.col("__many") == 1) | (v <= lo), 0).when(v >= hi, F.col("__many") - 1).otherwise(F.least(F.floor((v - lo) / (hi - lo) * F.col("__many")), F.col("__many") - 1))
+    return rows.select(*counted.columns, "__octave", part.cast("int").alias("__part"), *(x for c in sums for x in (f"__{c}_before", f"{c}_all")))
 
 
 def running(counted: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
     """counted (by, value, sums; a row per group and value, no nulls) with <sum>_upto, over rows of the group with no larger
     value, and <sum>_all, over all of the group."""
-    own = Window.partitionBy(*by, "__part").orderBy(value)
+    key = [*by, "__octave", "__part"]
     rows = in_parts(counted, by, value, sums, buckets, least)
-    return rows.select(*counted.columns, *((F.sum(c).over(own) + F.col(f"__{c}_before")).alias(f"{c}_upto") for c in sums), *(f"{c}_all" for c in sums))
+    # it also hands on the totals: so both uses of rows need all of its columns, and its input is worked out once
+    parts = rows.groupBy(*key).agg(*(F.sum(c).alias(f"__{c}") for c in sums), *(F.max(f"__{c}_before").alias(f"__b_{c}") for c in sums), *(F.max(f"{c}_all").alias(f"__a_{c}") for c in sums))
+    before = Window.partitionBy(*by, "__octave").orderBy("__part")
+    carried = parts.select(*key, *((F.sum(f"__{c}").over(before) - F.col(f"__{c}") + F.col(f"__b_{c}")).alias(f"__c_{c}") for c in sums), *(f"__a_{c}" for c in sums))
+    own = Window.partitionBy(*key).orderBy(value)
+    return rows.join(carried, key).select(*counted.columns, *((F.sum(c).over(own) + F.col(f"__c_{c}")).alias(f"{c}_upto") for c in sums), *(F.greatest(f"{c}_all", f"__a_{c}").alias(f"{c}_all") for c in sums))
 
 
 def points(df: DataFrame, by: list[str], score: str = "score", gt: str = "gt", weight: str | None = None, buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:

@@ -65,15 +65,16 @@ def test_parts_hold_as_many_values_whatever_the_scale(spark):
     uniform = spark.range(n).select(F.lit("outlier").alias("g"), F.when(F.col("id") == 7, 1e9).otherwise(F.col("id") * 0.618033988749895 % 1).alias("v"))
     infinite = spark.range(n).select(F.lit("inf").alias("g"), F.when(F.col("id") == 7, float("inf")).when(F.col("id") == 8, float("-inf")).when(F.col("id") == 9, float("nan")).otherwise(F.col("id") * 0.618033988749895 % 1))
     skewed = spark.range(n).select(F.lit("log").alias("g"), F.exp(3 * F.randn(5)))
+    far = spark.range(n).select(F.lit("far").alias("g"), F.when(F.col("id") == 7, -1e9).when(F.col("id") == 8, 0.0).otherwise(1e6 + F.col("id") * 0.618033988749895 % 1))
     few = spark.range(10).select(F.lit("few").alias("g"), F.col("id").cast("double"))
-    counted = uniform.union(infinite).union(skewed).union(few).groupBy("g", "v").agg(F.lit(1).alias("m"))
+    counted = uniform.union(infinite).union(skewed).union(far).union(few).groupBy("g", "v").agg(F.lit(1).alias("m"))
     sizes = {}
-    for r in ranking.in_parts(counted, ["g"], "v", ["m"], least=1).groupBy("g", "__part").count().collect():
+    for r in ranking.in_parts(counted, ["g"], "v", ["m"], least=24).groupBy("g", "__octave", "__part").count().collect():
         sizes.setdefault(r.g, []).append(r["count"])
     assert sum(map(sum, sizes.values())) == counted.count()
-    assert all(max(sizes[g]) <= 2 * n / ranking.BUCKETS for g in ("outlier", "inf", "log")), {g: max(x) for g, x in sizes.items()}
-    usual = ranking.in_parts(counted, ["g"], "v", ["m"]).groupBy("g", "__part").count()
-    assert usual.filter("g = 'few'").count() == 1 and usual.agg(F.max("count")).first()[0] <= 2 * ranking.LEAST
+    assert all(max(sizes[g]) <= 2 * n / 4096 for g in ("outlier", "inf", "log", "far")), {g: max(x) for g, x in sizes.items()}
+    usual = ranking.in_parts(counted, ["g"], "v", ["m"]).groupBy("g", "__octave", "__part").count()
+    assert usual.agg(F.max("count")).first()[0] <= 2 * ranking.LEAST
     ranks = ranking.running(counted, ["g"], "v", ["m"]).filter("g <> 'few'")
     assert ranks.groupBy("g").agg(F.count_distinct("m_upto").alias("d"), F.max("m_upto").alias("hi"), F.max("m_all").alias("all"), F.count("*").alias("n")).filter("d <> n OR hi <> n OR all <> n").isEmpty()
     wrong = ranks.withColumn("down", F.lead("v").over(__import__("pyspark").sql.Window.partitionBy("g").orderBy("m_upto"))).filter("down <= v")
