@@ -78,20 +78,19 @@ def joined_names(links: DataFrame, by: list[str]) -> DataFrame:
     return links.groupBy(*by).applyInPandas(run, f"{kinds}, comp long, root long")
 
 
-def label(mask: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
+def label(mask: DataFrame, by: list[str], tile: int = TILE, side: int | None = None) -> DataFrame:
     """mask (by, y, x) -> by, y, x, comp: 4-connected components, named by their least pixel.
 
     A group is a frame (at a threshold). Tiles are labelled by themselves, components that touch across a seam are joined by
-    their names, and pixels get the joined names: so no task holds a frame. Frames within one tile have no seams, and are
-    labelled once.
+    their names, and pixels get the joined names: so no task holds a frame. side: rows and columns that frames have at most, where
+    the caller knows and they begin at 0; frames within one tile have no seams to look for.
     """
     mask = mask.select(*by, "y", "x")
-    own = [F.col(c).alias(f"__{c}") for c in by]
-    ends = [f(F.floor(F.col(c) / tile)).alias(f"__{n}{c}") for c in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max))]
-    large = mask.groupBy(*own).agg(*ends).filter("__loy < __hiy OR __lox < __hix").drop("__loy", "__hiy", "__lox", "__hix")
-    names = joined_names(seams(tile_labels(mask.join(large, _same(by), "left_semi"), by, tile), by, tile), by)
-    names = names.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("comp").alias("__comp"), "root")
     labelled = tile_labels(mask, by, tile)
+    if side is not None and side <= tile:
+        return labelled
+    names = joined_names(seams(labelled, by, tile), by)
+    names = names.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("comp").alias("__comp"), "root")
     out = labelled.join(names, _same(by) & (F.col("comp") == F.col("__comp")), "left")
     return out.select(*by, "y", "x", F.coalesce("root", "comp").alias("comp"))
 

@@ -30,10 +30,12 @@ def median_and_deviation(frames: DataFrame, score: str = "score") -> DataFrame:
     return frames.agg(F.stddev_pop(score).alias("std")).crossJoin(F.broadcast(mid)).select(F.lit(0).alias("k"), (F.col("q") + F.col("std")).alias("thr"))
 
 
-def evaluate(frames: DataFrame, method: str | None = None, columns: tuple[str, ...] = (), limit: int | None = None, downsample: int = 4, do_component: bool = False, n_boot: int = 0, digits: int = 6) -> DataFrame:
+def evaluate(frames: DataFrame, method: str | None = None, columns: tuple[str, ...] = (), limit: int | None = None, downsample: int = 4, do_component: bool = False, n_boot: int = 0, digits: int = 6, side: int | None = None) -> DataFrame:
     """One row: n_frames, ap, auroc, fpr95, n_pos; with do_component also thr and component_f1 at it; with n_boot draws of
     whole frames also ap_mean, ap_lo, ap_hi.
 
+    side: rows and columns of a frame at most, where they are known (see components.label).
+
     frames: frame_id, y, x, gt (0, 1, 255) and score, or the columns that the registered score `method` takes.
     """
     rows = strided(first_frames(frames, limit), downsample)
@@ -43,8 +45,8 @@ def evaluate(frames: DataFrame, method: str | None = None, columns: tuple[str, .
     if do_component:
         thr = median_and_deviation(rows)
         pred = rows.filter("gt <> 255").crossJoin(F.broadcast(thr)).filter("score >= thr")
-        gt = components.label(rows.filter("gt = 1"), ["frame_id"])
-        f1 = components.f1(*components.overlap(gt, components.label(pred, ["frame_id", "k"]), ["frame_id", "k"], "frame_id"), ["k"], digits=digits)
+        gt = components.label(rows.filter("gt = 1"), ["frame_id"], side=side)
+        f1 = components.f1(*components.overlap(gt, components.label(pred, ["frame_id", "k"], side=side), ["frame_id", "k"], "frame_id"), ["k"], digits=digits)
         out = out.crossJoin(thr.join(f1, "k", "left").select(F.round("thr", digits).alias("thr"), F.coalesce("f1", F.lit(0.0)).alias("component_f1")))
     if n_boot:
         drawn = bootstrap.exact_draws(rows.withColumn("__k", F.lit(0)), "__k", draws=n_boot)

@@ -11,6 +11,7 @@ from quarry.plans.base import GRID, metrics_sql, points_sql, query
 from quarry.sources import fixtures
 
 BY = ["frame_id", "k"]
+SIDE = 64  # of the grid's frames
 
 
 def _label_sql(src: str, name: str) -> str:
@@ -41,19 +42,20 @@ _MEDSTD = GRID + """, thr AS (SELECT 0 AS k, median(score) + stddev_pop(score) A
 pm AS (SELECT frame_id, k, y, x FROM gridded, thr WHERE gt <> 255 AND score >= thr), gm AS (SELECT frame_id, 0 AS k, y, x FROM gridded WHERE gt = 1)"""
 
 
-def labelled(spark: SparkSession, sf_dir: str, thresholds: list[float] | DataFrame = (0.0, 0.05), grid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def labelled(spark: SparkSession, sf_dir: str, thresholds: list[float] | DataFrame = (0.0, 0.05), grid: DataFrame | None = None, tile: int = components.TILE) -> tuple[DataFrame, DataFrame]:
     """Components of the ground truth (frame_id) and of the predictions at each threshold (frame_id, k). Ignored pixels
     are no prediction, so they part components."""
     g = fixtures.grid(spark, sf_dir) if grid is None else grid
     if not isinstance(thresholds, DataFrame):
         thresholds = spark.createDataFrame(list(enumerate(map(float, thresholds))), "k int, thr double")
     pred = g.filter("gt <> 255").crossJoin(F.broadcast(thresholds)).filter("score >= thr")
-    return components.label(g.filter("gt = 1"), ["frame_id"]), components.label(pred, BY)
+    return components.label(g.filter("gt = 1"), ["frame_id"], tile, SIDE), components.label(pred, BY, tile, SIDE)
 
 
 @query("components", f"WITH RECURSIVE {_PRED}, {_label_sql('pm', 'pl')}, c AS (SELECT frame_id, k, comp, count(*) AS n FROM pl GROUP BY ALL) SELECT frame_id, k, count(*) FILTER (n >= 10) AS large, count(*) AS comps, max(n) AS largest, CAST(sum(n * n) AS BIGINT) AS square FROM c GROUP BY frame_id, k")
 def components_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = labelled(spark, sf_dir)[1].groupBy(*BY, "comp").agg(F.count("*").alias("n"))
+    """Frames are cut into tiles of 16 pixels, and components joined across their seams."""
+    c = labelled(spark, sf_dir, tile=16)[1].groupBy(*BY, "comp").agg(F.count("*").alias("n"))
     return c.groupBy(*BY).agg(F.count_if(F.col("n") >= 10).alias("large"), F.count("*").alias("comps"), F.max("n").alias("largest"), F.sum(F.col("n") * F.col("n")).alias("square"))
 
 
@@ -129,8 +131,8 @@ def f1_star_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fixtures.grid(spark, sf_dir).filter("frame_id % 2 = 1").select("frame_id", "y", "x", "gt", F.explode(F.array(*each)).alias("m")).select("frame_id", "y", "x", "gt", "m.*")
     thr = ranking.quantiles(g.filter("gt = 1"), ["method"], "score", STAR_AT).groupBy("method").agg(F.array_sort(F.collect_set("q")).alias("q")).select("method", F.posexplode("q").alias("k", "thr"))
     by = ["method", *BY]
-    pred = components.label(g.filter("gt <> 255").join(F.broadcast(thr), "method").filter("score >= thr"), by)
-    gt = components.label(g.filter("gt = 1 AND method = 'plain'"), ["frame_id"])
+    pred = components.label(g.filter("gt <> 255").join(F.broadcast(thr), "method").filter("score >= thr"), by, side=SIDE)
+    gt = components.label(g.filter("gt = 1 AND method = 'plain'"), ["frame_id"], side=SIDE)
     f = components.f1(*components.overlap(gt, pred, by, "frame_id"), ["method", "k"])
     return f.groupBy("method").agg(F.round(F.avg("f1"), 6).alias("f1_star"), F.count("*").alias("thresholds"))
 
@@ -139,7 +141,7 @@ def f1_star_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT (SELECT count(DISTINCT frame_id) FROM base) AS n_frames, ap, auroc, fpr95, n_pos, round(thr, 6) AS thr, coalesce((SELECT f1 FROM f), 0e0) AS component_f1 FROM m, thr""")
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first thirty frames at half the resolution, end to end."""
-    return evaluate(fixtures.grid(spark, sf_dir), limit=30, downsample=2, do_component=True)
+    return evaluate(fixtures.grid(spark, sf_dir), limit=30, downsample=2, do_component=True, side=SIDE)
 
 
 @query("component_medstd", f"WITH RECURSIVE {_OVERLAP_OF.format(mask=_MEDSTD)} SELECT round(thr, 6) AS thr, f1 FROM f, thr")
