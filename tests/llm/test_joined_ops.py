@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import decontamination, jaccard_join, mixing, quality
@@ -128,7 +129,18 @@ def test_each_language_has_its_own_threshold(spark):
     held = sorted(out[k].perplexity for k, *_ in rows)
     assert out[2200].threshold > held[int(0.9 * len(held))]
     assert out[2201].tokens == 2 * 80_000
-    # the formula, on few documents
+    # the formula, from the perplexities that all documents got
+    names = spark.createDataFrame([(k,) for k, *_ in rows], "k long").filter(F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(10)) < quality.HELD_OUT_TENTHS)
+    ids = {r.k for r in names.collect()}
+    held = {lang: sorted(math.log(r.perplexity) for r in out.values() if r.lang == lang and r.doc_id in ids) for lang in ("aa", "bb")}
+    rank = lambda x, q: sorted(x)[max(math.ceil(q * len(x)) - 1, 0)]
+    q, prior = quality.KEEP_QUANTILE, quality.PRIOR_HELD_OUT
+    above = rank([x - rank(own, 0.5) for own in held.values() for x in own], q)
+    for lang, own in held.items():
+        want = (len(own) * rank(own, q) + prior * (rank(own, 0.5) + above)) / (len(own) + prior)
+        assert all(r.threshold == pytest.approx(math.exp(want)) for r in out.values() if r.lang == lang)
+    assert out[2200].threshold == pytest.approx(math.exp(rank(held["aa"] + held["bb"], q)))
+    # and on few documents
     few = spark.createDataFrame([("aa", float(x)) for x in range(1, 10)] + [("bb", float(x)) for x in (100, 110, 180)], "__lang string, nll double")
     own, every = quality.thresholds(few, 1.0, 5)
     assert {r["__l"]: r["own"] for r in own.collect()} == {"aa": pytest.approx((9 * 9 + 5 * (5 + 70)) / 14), "bb": pytest.approx((3 * 180 + 5 * (110 + 70)) / 8)}
