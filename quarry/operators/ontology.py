@@ -41,7 +41,11 @@ RUGD_COMPETITOR = ["water", "vehicle", "object", "building", "bicycle", "person"
 
 
 def classes(spark: SparkSession, rows: list[tuple] = RUGD) -> DataFrame:
-    return spark.createDataFrame(rows, SCHEMA)
+    """The classes as a relation that the optimizer knows, without a scan."""
+    said = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper()  # noqa: E731  names are plain words
+    names, kinds = zip(*(c.split() for c in SCHEMA.split(", ")), strict=True)
+    values = ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in zip(names, kinds, strict=True))} FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def with_targets(resolved: DataFrame) -> DataFrame:
