@@ -52,13 +52,25 @@ def labelled(spark: SparkSession, sf_dir: str, thresholds: list[float] | DataFra
     return components.label(g.filter("gt = 1"), ["frame_id"], tile, SIDE), components.label(pred, BY, tile, SIDE)
 
 
-@query("components", f"WITH RECURSIVE {_PRED}, {_label_sql('pm', 'pl')}, c AS (SELECT frame_id, k, comp, count(*) AS n FROM pl GROUP BY ALL) SELECT frame_id, k, count(*) FILTER (n >= 10) AS large, count(*) AS comps, max(n) AS largest, CAST(sum(n * n) AS BIGINT) AS square FROM c GROUP BY frame_id, k")
-def components_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames are cut into tiles of 16 pixels, and components joined across their seams."""
-    c = labelled(spark, sf_dir, tile=16)[1].groupBy(*BY, "comp").agg(F.count("*").alias("n"))
+_COMPONENTS = f"WITH RECURSIVE {_PRED}, {_label_sql('pm', 'pl')}, c AS (SELECT frame_id, k, comp, count(*) AS n FROM pl GROUP BY ALL) SELECT frame_id, k, count(*) FILTER (n >= 10) AS large, count(*) AS comps, max(n) AS largest, CAST(sum(n * n) AS BIGINT) AS square FROM c GROUP BY frame_id, k"
+
+
+def _component_sizes(labels: DataFrame) -> DataFrame:
+    c = labels.groupBy(*BY, "comp").agg(F.count("*").alias("n"))
     return c.groupBy(*BY).agg(F.count_if(F.col("n") >= 10).alias("large"), F.count("*").alias("comps"), F.max("n").alias("largest"), F.sum(F.col("n") * F.col("n")).alias("square"))
 
 
+@query("components", _COMPONENTS)
+def components_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _component_sizes(labelled(spark, sf_dir)[1])
+
+
+@query("components_tiled", _COMPONENTS)
+def components_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames are cut into tiles of 32 pixels, and components joined across their seams."""
+    return _component_sizes(labelled(spark, sf_dir, tile=32)[1])
+
+
 def overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return components.overlap(*labelled(spark, sf_dir), BY, "frame_id")
 
