@@ -107,3 +107,10 @@ def conformal_sql(src: str, by: str, name: str, score: str = "score", alpha: str
 ), {name} AS (
   SELECT {b}max(n) AS n, coalesce(min(CASE WHEN r = CAST(ceil((n + 1) * CAST(1 - CAST({alpha} AS DOUBLE) AS DOUBLE)) AS BIGINT) THEN s END), CAST('Infinity' AS DOUBLE)) AS tau FROM {name}_r{group}
 )"""
+
+
+def axis_sql(source: int, target: int, name: str) -> str:
+    """CTEs that end in `name` (t, s, w): the weights of the source's rows in each row of the target, bilinear."""
+    return f"""{name}_p AS (SELECT CAST(t AS INTEGER) AS t, greatest((t + 0.5) * ({source}e0 / {target}e0) - 0.5, 0e0) AS p FROM (SELECT unnest(generate_series(0, {target - 1})) AS t)),
+{name}_l AS (SELECT t, CAST(least(floor(p), {source - 1}) AS INTEGER) AS lo, p FROM {name}_p),
+{name} AS (SELECT t, s, sum(w) AS w FROM (SELECT t, lo AS s, 1 - least(p - lo, 1e0) AS w FROM {name}_l UNION ALL SELECT t, least(lo + 1, {source - 1}), least(p - lo, 1e0) FROM {name}_l) GROUP BY t, s)"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import components, ranking
+from quarry.operators import calibrate, components, ranking, rasters
 from quarry.operators.evaluate import evaluate, median_and_deviation
-from quarry.plans.base import GRID, metrics_sql, points_sql, query
+from quarry.plans.base import GRID, axis_sql, metrics_sql, points_sql, query
 from quarry.sources import fixtures
 
 BY = ["frame_id", "k"]
@@ -149,6 +149,44 @@ def f1_star_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("method").agg(F.round(F.avg("f1"), 6).alias("f1_star"), F.count("*").alias("thresholds"))
 
 
+# three sources at their own resolutions: the grid, a score of half its rows and columns, and their sum after z-normalising both
+_NATIVE = f"""{GRID}, {axis_sql(10, 20, 'ay')}, {axis_sql(32, 64, 'ax')}, half AS (SELECT frame_id, y // 2 AS y, x // 2 AS x, round(avg(score * score), 6) AS score FROM gridded GROUP BY ALL),
+up AS (SELECT frame_id, ay.t AS y, ax.t AS x, round(sum(score * ay.w * ax.w), 6) AS score FROM half JOIN ay ON y = ay.s JOIN ax ON x = ax.s GROUP BY ALL),
+two AS (SELECT g.frame_id, g.y, g.x, g.gt, round(g.score, 6) AS a, up.score AS b FROM gridded g JOIN up ON g.frame_id = up.frame_id AND g.y = up.y AND g.x = up.x),
+z AS (SELECT round(avg(a), 6) AS ma, round(stddev_pop(a), 6) + 1e-6 AS sa, round(avg(b), 6) AS mb, round(stddev_pop(b), 6) + 1e-6 AS sb FROM two WHERE gt = 0 AND frame_id % 2 = 0 AND y % 4 = 0 AND x % 4 = 0),
+part AS (SELECT frame_id, y, x, gt, m.m AS m, CASE m.m WHEN 0 THEN a WHEN 1 THEN b ELSE round((a - ma) / sa + (b - mb) / sb, 6) END AS score FROM two, z, (VALUES (0), (1), (2)) m(m) WHERE frame_id % 2 = 1),
+thr AS (SELECT CAST(100 * m + row_number() OVER (PARTITION BY m ORDER BY q) - 1 AS INT) AS k, m, q AS thr FROM (SELECT DISTINCT m, unnest(quantile_cont(score, {STAR_AT})) AS q FROM part WHERE gt = 1 AND y % 4 = 0 AND x % 4 = 0 GROUP BY m)),
+pm AS (SELECT frame_id, k, y, x FROM part JOIN thr USING (m) WHERE gt <> 255 AND score >= thr), gm AS (SELECT frame_id, 0 AS k, y, x FROM part WHERE gt = 1 AND m = 0)"""
+
+
+@query("f1_star_native", f"WITH RECURSIVE {_OVERLAP_OF.format(mask=_NATIVE)} SELECT CASE k // 100 WHEN 0 THEN 'grid' WHEN 1 THEN 'half' ELSE 'fused' END AS method, round(avg(f1), 6) AS f1_star, count(*) AS thresholds FROM f GROUP BY k // 100")
+def f1_star_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f1_star of several score sources, each stretched from its own resolution to that of the frames: the grid's score, one of
+    half the rows and columns, and both added up after z-normalising by the validation frames' in-distribution pixels.
+    Statistics and thresholds come from every fourth row and column, components from all pixels."""
+    g = fixtures.grid(spark, sf_dir)
+    half = g.groupBy("frame_id", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x")).agg(F.round(F.avg(F.col("score") * F.col("score")), 6).alias("score"))
+    up = rasters.bilinear(half, ["frame_id"], (10, 32), (20, SIDE)).select("frame_id", F.col("yy").alias("y"), F.col("xx").alias("x"), F.round("score", 6).alias("b"))
+    two = g.select("frame_id", "y", "x", "gt", F.round("score", 6).alias("a")).join(up, ["frame_id", "y", "x"])
+    coarse = (F.col("y") % 4 == 0) & (F.col("x") % 4 == 0)
+    z = calibrate.zstats(two.filter("gt = 0 AND frame_id % 2 = 0").filter(coarse), ["a", "b"])
+    standard = lambda c: (F.col(c) - F.round(f"m_{c}", 6)) / (F.round(f"s_{c}", 6) + 1e-6)
+    each = [F.struct(F.lit(n).alias("method"), s.alias("score")) for n, s in (("grid", F.col("a")), ("half", F.col("b")), ("fused", F.round(standard("a") + standard("b"), 6)))]
+    part = two.filter("frame_id % 2 = 1").crossJoin(F.broadcast(z)).select("frame_id", "y", "x", "gt", F.explode(F.array(*each)).alias("m")).select("frame_id", "y", "x", "gt", "m.*")
+    return star_by_method(part, part.filter(coarse))
+
+
+def star_by_method(part: DataFrame, sample: DataFrame) -> DataFrame:
+    """method, f1_star, thresholds of rows (method, frame_id, y, x, gt, score): the mean F1 over thresholds at quantiles of each
+    method's out-of-distribution scores in the sample. The ground truth is the same for all methods."""
+    thr = ranking.quantiles(sample.filter("gt = 1"), ["method"], "score", STAR_AT).groupBy("method").agg(F.array_sort(F.collect_set("q")).alias("q")).select("method", F.posexplode("q").alias("k", "thr"))
+    by = ["method", *BY]
+    pred = components.label(part.filter("gt <> 255").join(F.broadcast(thr), "method").filter("score >= thr"), by, side=SIDE)
+    gt = components.label(part.filter("gt = 1").select("frame_id", "y", "x").distinct(), ["frame_id"], side=SIDE)
+    f = components.f1(*components.overlap(gt, pred, by, "frame_id"), ["method", "k"])
+    return f.groupBy("method").agg(F.round(F.avg("f1"), 6).alias("f1_star"), F.count("*").alias("thresholds"))
+
+
 @query("evaluate", f"""WITH RECURSIVE {_OVERLAP_OF.format(mask=_EVAL)}, {points_sql('base', '')}, m AS ({metrics_sql('')})
 SELECT (SELECT count(DISTINCT frame_id) FROM base) AS n_frames, ap, auroc, fpr95, n_pos, round(thr, 6) AS thr, coalesce((SELECT f1 FROM f), 0e0) AS component_f1 FROM m, thr""")
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scores
 from quarry.operators import ranking, rasters, vectors
-from quarry.plans.base import FEATURES, GRID, metrics_sql, points_sql, query
+from quarry.plans.base import axis_sql, FEATURES, GRID, metrics_sql, points_sql, query
 from quarry.sources import fixtures
 from quarry.sources.fixtures import read
 
@@ -232,13 +232,7 @@ def upsample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small.join(F.broadcast(at), ["y", "x"]).select("frame_id", "yy", "xx", "score")
 
 
-def _axis(source: int, target: int, name: str) -> str:
-    return f"""{name}_p AS (SELECT CAST(t AS INTEGER) AS t, greatest((t + 0.5) * ({source}e0 / {target}e0) - 0.5, 0e0) AS p FROM (SELECT unnest(generate_series(0, {target - 1})) AS t)),
-{name}_l AS (SELECT t, CAST(least(floor(p), {source - 1}) AS INTEGER) AS lo, p FROM {name}_p),
-{name} AS (SELECT t, s, sum(w) AS w FROM (SELECT t, lo AS s, 1 - least(p - lo, 1e0) AS w FROM {name}_l UNION ALL SELECT t, least(lo + 1, {source - 1}), least(p - lo, 1e0) FROM {name}_l) GROUP BY t, s)"""
-
-
-@query("upsample_bilinear", f"WITH {GRID}, {_axis(20, 30, 'ay')}, {_axis(64, 96, 'ax')} SELECT frame_id, ay.t AS yy, ax.t AS xx, round(sum(score * ay.w * ax.w), 6) + 0e0 AS score FROM gridded JOIN ay ON y = ay.s JOIN ax ON x = ax.s GROUP BY ALL")
+@query("upsample_bilinear", f"WITH {GRID}, {axis_sql(20, 30, 'ay')}, {axis_sql(64, 96, 'ax')} SELECT frame_id, ay.t AS yy, ax.t AS xx, round(sum(score * ay.w * ax.w), 6) + 0e0 AS score FROM gridded JOIN ay ON y = ay.s JOIN ax ON x = ax.s GROUP BY ALL")
 def upsample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rasters.bilinear(fixtures.grid(spark, sf_dir), ["frame_id"], (20, 64), (30, 96))
     return out.select("frame_id", "yy", "xx", (F.round("score", 6) + 0.0).alias("score"))

@@ -30,7 +30,7 @@ TASK_BYTES, FRAMES_AT_ONCE = 64 << 20, 256
 PENDING = ".pending"
 
 
-def _store(path: str) -> tuple:
+def store_of(path: str) -> tuple:
     """The file system of an address or a local path, and the path in it."""
     from pyarrow import fs
 
@@ -43,7 +43,7 @@ def _archives(path: str) -> list[str]:
     """The archives of a folder in order, or the one that path is."""
     from pyarrow import fs
 
-    store, base = _store(path)
+    store, base = store_of(path)
     found = store.get_file_info(base)
     if found.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"no archive at {path}")
@@ -95,7 +95,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         """Looks at the arrays' headers only; arrays of different shapes raise."""
-        out, store = [], _store(self.path)[0]
+        out, store = [], store_of(self.path)[0]
         for path in _archives(self.path):
             with store.open_input_file(path) as raw, zipfile.ZipFile(raw) as z:
                 shapes = {}
@@ -114,7 +114,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.start == partition.stop:
             return
-        store = _store(self.path)[0]
+        store = store_of(self.path)[0]
         with store.open_input_file(partition.archive) as a, store.open_input_file(partition.archive) as b, zipfile.ZipFile(a) as za, zipfile.ZipFile(b) as zb:
             ids = None
             if f"{FRAMES}.npy" in za.namelist():
@@ -149,7 +149,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        store, base = _store(self.path)
+        store, base = store_of(self.path)
         store.create_dir(base, recursive=True)
         ctx, names, held, rows = TaskContext.get(), [], [], []
 
@@ -197,7 +197,7 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         from pyarrow import fs
 
-        store, base = _store(self.path)
+        store, base = store_of(self.path)
         store.create_dir(base, recursive=True)
         names = [n for m in messages if m for n in m.names]
         old = [x.path for x in store.get_file_info(fs.FileSelector(base)) if x.path.endswith(".npz")] if self.overwrite else []
@@ -208,7 +208,7 @@ class _Writer(DataSourceArrowWriter):
         self._sweep(store, base)
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, base = _store(self.path)
+        store, base = store_of(self.path)
         self._sweep(store, base)
 
     def _sweep(self, store: object, base: str) -> None:

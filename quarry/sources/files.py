@@ -124,10 +124,11 @@ def score_archive(spark: SparkSession, path: str, method: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, path: str, least_area: float = 3000.0) -> DataFrame:
-    """image_id, bbox of an instance file's annotations that are large enough and no crowd."""
-    schema = "annotations array<struct<image_id: long, bbox: array<double>, area: double, iscrowd: int>>"
+    """instance (its id), image_id, bbox of the annotations of an instance file, or of a folder of them, that are large enough and
+    no crowd; images.crops cuts them out."""
+    schema = "annotations array<struct<id: long, image_id: long, bbox: array<double>, area: double, iscrowd: int>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("annotations").alias("a"))
-    return rows.filter((F.col("a.area") >= least_area) & (F.coalesce("a.iscrowd", F.lit(0)) == 0)).select("a.image_id", "a.bbox")
+    return rows.filter((F.col("a.area") >= least_area) & (F.coalesce("a.iscrowd", F.lit(0)) == 0)).select(F.col("a.id").alias("instance"), "a.image_id", "a.bbox")
 
 
 def stored_metric(docs: DataFrame, column: str, *paths: str) -> Column:

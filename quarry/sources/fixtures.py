@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from quarry.functions import roles
 from quarry.functions.scores import mixed_order
 from quarry.operators import ontology
+from quarry.session import ship_code
 
 
 #: Schemas of tables by path: Spark reads a file's footer in a job of its own to find one.
@@ -17,6 +18,7 @@ _SCHEMAS: dict[str, StructType] = {}
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. Tables aren't written to, so their schemas are looked up once."""
+    ship_code(spark)
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
