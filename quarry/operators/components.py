@@ -7,7 +7,7 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TAUS = [0.25 + 0.05 * i for i in range(11)]
@@ -109,17 +109,18 @@ def overlap(gt: DataFrame, pred: DataFrame, by: list[str], frame: str, least: in
     ppv.
     """
     g = sized(gt, [frame], least).withColumnRenamed("n", "gn").withColumnRenamed("comp", "gcomp")
-    p = sized(pred, by, least).withColumnRenamed("n", "pn").withColumnRenamed("comp", "pcomp")
-    gpix, ppix = gt.withColumnRenamed("comp", "gcomp"), pred.withColumnRenamed("comp", "pcomp")
-    both = ppix.join(p, [*by, "pcomp"]).join(gpix, [frame, "y", "x"])
-    inter = both.join(g, [frame, "gcomp"]).groupBy(*by, "gcomp", "gn", "pcomp", "pn").agg(F.count("*").alias("i"))
+    # pixels are labelled and joined once: all that follows reads the counts of pairs, which are rows of components
+    pairs = pred.withColumnRenamed("comp", "pcomp").join(gt.withColumnRenamed("comp", "gcomp"), [frame, "y", "x"], "left").groupBy(*by, "pcomp", "gcomp").agg(F.count("*").alias("i"))
+    pairs = pairs.withColumn("pn", F.sum("i").over(Window.partitionBy(*by, "pcomp")))
+    inter = pairs.filter((F.col("pn") >= least) & F.col("gcomp").isNotNull()).join(g, [frame, "gcomp"])
     touched = inter.groupBy(*by, "gcomp", "gn").agg(F.sum("i").alias("i"), F.sum("pn").alias("pn"))
     touched = touched.select(*by, "gcomp", (F.col("i") / (F.col("gn") + F.col("pn") - F.col("i"))).alias("siou"))
     rest = [c for c in by if c != frame]
-    every = g.crossJoin(F.broadcast(pred.select(*rest).distinct())) if rest else g
+    every = g.crossJoin(F.broadcast(pairs.select(*rest).distinct())) if rest else g
     siou = every.join(touched, [*by, "gcomp"], "left").select(*by, "gcomp", "gn", F.coalesce("siou", F.lit(0.0)).alias("siou"))
-    hits = both.groupBy(*by, "pcomp").agg(F.count("*").alias("h"))
-    ppv = p.join(hits, [*by, "pcomp"], "left").select(*by, "pcomp", "pn", (F.coalesce("h", F.lit(0)) / F.col("pn")).alias("ppv"))
+    hit = F.sum(F.when(F.col("gcomp").isNotNull(), F.col("i")).otherwise(0))
+    ppv = pairs.filter(F.col("pn") >= least).groupBy(*by, "pcomp", "pn").agg(hit.alias("h"))
+    ppv = ppv.select(*by, "pcomp", "pn", (F.col("h") / F.col("pn")).alias("ppv"))
     return siou, ppv
 
 
