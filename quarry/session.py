@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        return "file://" + tempfile.mkdtemp(prefix=f"quarry-{name}-")
+        return f"file://{tempfile.mkdtemp(prefix='quarry-')}/{name}"  # writers want a folder that isn't there yet
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
