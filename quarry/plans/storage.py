@@ -64,7 +64,8 @@ def source_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = files.paired_frames(spark, pictures, labels, **_named("_labelids.png"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     rasters = files.label_rasters(spark, labels).select(plain("path").alias("path"), "y", "x", F.col("label_key").alias("key"))
-    return pairs.select("scene", "base", plain("label_path").alias("path")).join(rasters, "path").groupBy("scene", "base").agg(*(F.expr(e) for e in ("count(*) AS n", "CAST(sum(key * (y + 1) * (x + 2)) AS BIGINT) AS checksum", "max(key) AS largest")))
+    held = rasters.groupBy("path").agg(*(F.expr(e) for e in ("count(*) AS n", "CAST(sum(key * (y + 1) * (x + 2)) AS BIGINT) AS checksum", "max(key) AS largest")))  # a row per file
+    return pairs.select("scene", "base", plain("label_path").alias("path")).join(held, "path").drop("path")
 
 
 _PATHS = "SELECT 'scene_' || o_custkey % 9 || '/image/' || o_orderkey || '.png' AS image_path, 'labels/' || o_orderkey || '.png' AS label_path FROM orders WHERE o_orderkey % 10 NOT IN (3, 7)"

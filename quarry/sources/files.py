@@ -100,7 +100,8 @@ def split_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_rasters(spark: SparkSession, root: str) -> DataFrame:
-    """path, y, x, label_key of label images; of colour images the first (red) channel."""
+    """path, y, x, label_key of label images; of colour images the first (red) channel. Joins shuffle these rows: Spark takes
+    them to be as small as the compressed files, and would broadcast them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +115,7 @@ def label_rasters(spark: SparkSession, root: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"path": pa.DictionaryArray.from_arrays(np.zeros(some.size, np.int32), [r["origin"]]).cast(pa.string()), "y": (y + top).ravel().astype(np.int32), "x": x.ravel(), "label_key": some.ravel().astype(np.int32)})
 
     image = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*")
-    return image.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, y int, x int, label_key int")
+    return image.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, y int, x int, label_key int").hint("merge")
 
 
 def score_archive(spark: SparkSession, path: str, method: str) -> DataFrame:

@@ -54,6 +54,21 @@ def test_written_images_are_decoded_to_the_same_values(spark, tmp_path):
         assert got == {(f, y, x): (g if root == "grey" else r) for f, y, x, r, g, _ in rows}
 
 
+def test_pixels_of_images_are_not_broadcast(spark, tmp_path):
+    """However small the files are; a frame's pixels are added up where its file is read."""
+    flat = spark.range(64 * 64).selectExpr("'a.png' AS file", "int(id div 64) AS y", "int(id % 64) AS x", "7 AS v")
+    images.write_files(images.encoded(flat, "v"), str(tmp_path / "flat"))
+    px = files.label_rasters(spark, str(tmp_path / "flat"))
+    for rows in (px, px.filter("y > 3").select("path", "label_key"), px.groupBy("path").agg(F.count("*").alias("n"))):
+        joined = spark.createDataFrame([("a",)], "path string").join(rows, "path")
+        assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert px.count() == 64 * 64
+    plan = base.QUERIES["source_frames"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    join = next(x for x in plan.split("\n") if "SortMergeJoin [path" in x)
+    below = plan.split(join)[1]
+    assert "partial_count" in below and below.index("partial_count") < below.index("MapInArrow")
+
+
 def test_images_that_are_no_raster_raise(spark):
     df = spark.createDataFrame([("f", 0, 0, 1), ("f", 0, 1, 2)], "file string, y int, x int, v int")
     bad = {"whole raster": [df.filter("x = 1"), df.unionByName(df), df.withColumn("y", F.col("y") - 1)], "beyond a byte": [df.withColumn("v", F.col("v") + 254), df.withColumn("v", F.col("v") - 2), df.withColumn("v", F.lit(None).cast("int"))]}
