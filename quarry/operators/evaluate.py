@@ -44,9 +44,8 @@ def evaluate(frames: DataFrame, method: str | None = None, columns: tuple[str, .
     out = rows.agg(F.count_distinct("frame_id").alias("n_frames")).crossJoin(ranking.metrics(rows, [], digits=digits))
     if do_component:
         thr = median_and_deviation(rows)
-        pred = rows.filter("gt <> 255").crossJoin(F.broadcast(thr)).filter("score >= thr")
-        gt = components.label(rows.filter("gt = 1"), ["frame_id"], side=side)
-        f1 = components.f1(*components.overlap(gt, components.label(pred, ["frame_id", "k"], side=side), ["frame_id", "k"], "frame_id"), ["k"], digits=digits)
+        pixels = components.levels(rows, thr).withColumn("level", F.when(F.col("gt") != 255, F.col("level")).otherwise(0)).withColumn("truth", F.col("gt").eqNullSafe(1))
+        f1 = components.f1_of_objects(components.objects(pixels, ["frame_id"], "frame_id", side=side), ["k"], digits=digits)
         out = out.crossJoin(thr.join(f1, "k", "left").select(F.round("thr", digits).alias("thr"), F.coalesce("f1", F.lit(0.0)).alias("component_f1")))
     if n_boot:
         drawn = bootstrap.exact_draws(rows.withColumn("__k", F.lit(0)), "__k", draws=n_boot)

@@ -13,6 +13,7 @@ from quarry import registry
 from quarry.functions import scores
 from quarry.operators import bootstrap, calibrate, components, ontology, ranking, splits, vectors
 from quarry.operators.evaluate import evaluate
+from quarry.plans.base import QUERIES
 
 
 def rows_of(seed=1, n=800, distinct=False):
@@ -187,6 +188,41 @@ def test_components_across_tiles_are_those_of_whole_frames(spark, tile):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_objects_by_levels_are_those_of_masks(spark, monkeypatch):
+    """Measured in tiles, across tiles, some levels at a time, and from masks of pixels."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for m, f in ((m, f) for m in "ab" for f in (0, 1, None, 3)):
+        truth = np.random.default_rng(f or 7).random((14, 19)) < (0.0 if f == 3 else 0.6)
+        score = rng.random((14, 19)) * (0.1 if f == 1 else 1) - (m == "b")
+        rows += [(m, f, y, x, bool(truth[y, x]), float(score[y, x])) for y in range(14) for x in range(19) if (y, x) != (3, 3)]
+    px = spark.createDataFrame(rows, "m string, f int, y int, x int, truth boolean, score double")
+    thr = spark.createDataFrame([("a", 0, 0.3), ("a", 1, 0.55), ("a", 2, 0.9), ("a", 3, 7.0), ("b", 0, -0.6), ("b", 1, -0.06)], "m string, k int, thr double")
+    levelled = components.levels(px, thr, ["m"]).cache()
+    pred = components.label(px.join(thr, "m").filter("score >= thr"), ["m", "f", "k"])
+    texts = lambda df: sorted(map(str, df.collect()))
+    want = texts(pred.groupBy("m", "f", "k", "comp").agg(F.count("*").alias("n")))
+    for tile, at_once in ((512, 1 << 20), (512, 300), (4, 1 << 20)):
+        monkeypatch.setattr(components, "AT_ONCE", at_once)
+        assert texts(components.sizes(levelled, ["m", "f"], tile, 19).select("m", "f", "k", "comp", "n")) == want
+    gt = components.label(px.filter("truth AND m = 'a' AND f IS NOT NULL"), ["f"])
+    siou, ppv = components.overlap(gt, pred.filter("f IS NOT NULL"), ["m", "f", "k"], "f", 4)
+    found = [components.objects(levelled.filter("f IS NOT NULL"), ["m", "f"], "f", 4, *size).cache() for size in ((512, 19), (5, None))]
+    own = ["m", "f", "k", "comp", "n", F.round("share", 9).alias("share")]
+    for o in found:
+        assert texts(components.of_truth(o, ["m", "k"]).select(*own)) == texts(siou.select("m", "f", "k", "gcomp", "gn", F.round("siou", 9)).toDF("m", "f", "k", "comp", "n", "share"))
+        assert texts(o.filter("NOT truth AND comp IS NOT NULL").select(*own)) == texts(ppv.select("m", "f", "k", "pcomp", "pn", F.round("ppv", 9)).toDF("m", "f", "k", "comp", "n", "share"))
+        got = components.f1_of_objects(o, ["m", "k"])
+        assert texts(got.select("m", "k", "f1")) == texts(components.f1(siou, ppv, ["m", "k"]).select("m", "k", "f1")) and got.count() == 5
+
+
+def test_components_are_labelled_once_for_all_thresholds(spark):
+    """No query labels or joins a pixel once a threshold, or labels tiles once a seam."""
+    for name, most in (("components", 1), ("components_tiled", 3), ("component_f1", 1), ("f1_star", 1), ("f1_star_methods", 1), ("f1_star_native", 1)):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapGroupsIn") <= most, (name, plan.count("FlatMapGroupsIn"))
+
+
 def test_conformal(spark):
     rng = random.Random(2)
     rows = [(c, float(rng.randint(0, 30))) for c, n in (("a", 100), ("b", 5), ("c", 19), ("d", 20)) for _ in range(n)]
