@@ -19,8 +19,9 @@ DRAWS_AT_ONCE = 50
 PRIME = 2147483647
 #: Where a uniform number below PRIME begins to stand for one, two, ... takes: sums of exp(-1) / k!.
 POISSON = np.array([int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(11)], np.int64)
-#: Parts that the scores of an exact bootstrap are cut into, and rows of a part that are worked out together.
-PARTS, ROWS_AT_ONCE = 64, 2048
+#: Parts that the scores of an exact bootstrap are cut into; rows of a part, and frames and draws, that are worked out together.
+PARTS, ROWS_AT_ONCE, FRAMES_AT_ONCE, DRAWS_IN_CACHE = 64, 2048, 1 << 20, 64
+METRICS = ("ap", "auroc", "fpr95")
 
 
 def edges(sample: DataFrame, by: list[str], score: str, bins: int = BINS) -> DataFrame:
@@ -54,10 +55,41 @@ def draw_weights(frames: np.ndarray, draws: int) -> np.ndarray:
     """(draws, frames): how often each draw takes each frame, Poisson numbers of mean 1 made from the draw's and the frame's
     numbers alone. So tasks make the weights that they need, and none are shuffled; other engines can make them too, by
     squares modulo a prime."""
-    frame, boot = (frames.astype(np.int64) % PRIME)[None, :], np.arange(draws, dtype=np.int64)[:, None]
-    x = (boot * 1000003 + frame * 7919 + 17) % PRIME * 48271 % PRIME
-    x = (x * x + boot * 69621 + frame) % PRIME
-    return np.searchsorted(POISSON, x * x % PRIME, side="right")
+    return _weights(frames, np.arange(draws)).T
+
+
+def _folded(x: np.ndarray, times: int) -> np.ndarray:
+    """A number of the same remainder by PRIME, which is 2 ** 31 - 1, in place and without a division. Numbers below 2 ** 63 get
+    below 2 ** 33 at once, and at most PRIME + 1 by the second time."""
+    for _ in range(times):
+        high = x >> 31
+        x &= PRIME
+        x += high
+    return x
+
+
+def _weights(frames: np.ndarray, boots: np.ndarray) -> np.ndarray:
+    """(frames, boots) as bytes: what draw_weights has for some draws."""
+    frame, boot = (frames.astype(np.int64) % PRIME)[:, None], boots.astype(np.int64)[None, :]
+    out = np.empty((len(frames), len(boots)), np.uint8)
+    step = max(1, (1 << 15) // max(1, len(boots)))  # so that what is worked on stays in the cache
+    for at in range(0, len(frames), step):
+        f = frame[at : at + step]
+        x = _folded(f * 7919 + (boot * 1000003 + 17), 2)
+        x *= 48271
+        x = _folded(x, 2)
+        x *= x
+        x += boot * 69621 + f
+        x = _folded(x, 2)
+        x *= x
+        x = _folded(x, 2)
+        x -= (x >= PRIME) * PRIME
+        x = x.astype(np.int32)
+        own = out[at : at + step]
+        np.greater_equal(x, np.int32(POISSON[0]), out=own.view(bool))
+        for t in POISSON[1:]:
+            own += (x >= np.int32(t)).view(np.uint8)
+    return out
 
 
 def resamples(spark: SparkSession, frames: DataFrame, draws: int = DRAWS) -> DataFrame:
@@ -162,17 +194,20 @@ def draws_metrics(hist: DataFrame, by: str, bins: int = BINS, draws: int = DRAWS
     return draw_sums(hist, by, bins, draws).groupBy(by, "part").applyInArrow(measured, f"`{by}` {kind}, boot long, ap double, auroc double, fpr95 double")
 
 
-def exact_draws(df: DataFrame, by: str, score: str = "score", draws: int = DRAWS, parts: int = PARTS) -> DataFrame:
-    """by, boot, ap, auroc, fpr95 of every draw of whole frames, by all distinct scores; null where a draw has but one class.
+def exact_draws(df: DataFrame, by: str, score: str = "score", draws: int = DRAWS, parts: int = PARTS, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """by, boot, and of ap, auroc, fpr95 those asked for, of every draw of whole frames, by all distinct scores; null where a draw
+    has but one class.
 
     Scores are cut into parts at exact quantiles. What every draw sums up to in the parts above comes from the parts' counts
-    by frame, as for histograms; then each part goes down its own scores once, for all draws together, some rows at a time.
+    by frame, as for histograms; then each part goes down its own scores, some draws and some rows at a time. A part makes the
+    weights of a frame once, for all of its rows.
     df: by, frame_id, score, gt.
     """
     frame = frame_number(F.col("frame_id"), df.schema["frame_id"].dataType.simpleString())
     rows = df.filter(F.col("gt").isin(0, 1)).groupBy(by, frame.alias("frame_id"), F.col(score).cast("double").alias("s")).agg(*(F.count_if(F.col("gt") == k).alias(a) for k, a in ((0, "n_id"), (1, "n_ood"))))
     cuts = ranking.quantiles(rows, [by], "s", parts).filter(F.col("k") < parts).groupBy(by).agg(F.array_sort(F.collect_set("q")).alias("cuts"))
-    rows = rows.join(cuts, by).withColumn("bin", ranking.place_in(F.col("s"), F.col("cuts"))).drop("cuts")
+    # a row per group of by, of which there may be two: a shuffle by it would bring all of a group's rows to one task
+    rows = rows.join(F.broadcast(cuts), by).withColumn("bin", ranking.place_in(F.col("s"), F.col("cuts"))).drop("cuts")
     kind, pa_kind = df.schema[by].dataType.simpleString(), to_arrow_type(df.schema[by].dataType)
 
     def above(key: tuple, table: pa.Table) -> pa.Table:
@@ -189,34 +224,68 @@ def exact_draws(df: DataFrame, by: str, score: str = "score", draws: int = DRAWS
         own, before = own.sort_by([("s", "descending")]), before.sort_by("part")
         fp, tp, neg, pos = np.concatenate([np.frombuffer(x.as_buffer(), "<f8").reshape(-1, 4) for x in before.column("held")]).T if len(before) else np.zeros((4, draws))
         score, frames = own.column("s").to_numpy(), own.column("frame_id").to_numpy()
-        counts = [own.column(c).to_numpy().astype(np.float64) for c in ("n_id", "n_ood")]
-        ap, pairs, fpr95, left = np.zeros(draws), np.zeros(draws), np.full(draws, np.inf), None
+        counts = [own.column(c).to_numpy() for c in ("n_id", "n_ood")]
+        new = np.append(True, score[1:] != score[:-1])[: len(score)]
+        if not set(metrics) - {"ap"}:  # it changes at scores out of distribution only, so the rows between two such are added up at once
+            new = _before_positives(new, counts[1] > 0)
+        group = np.cumsum(new) - 1
+        names, index = np.unique(frames, return_inverse=True)
+        ap, pairs, fpr95 = np.zeros(draws), np.zeros(draws), np.full(draws, np.inf)
+        step = max(1, min(DRAWS_IN_CACHE, FRAMES_AT_ONCE * DRAWS_IN_CACHE // max(1, len(names))))
+        for low in range(0, draws, step):
+            some = slice(low, min(low + step, draws))
+            weights = _weights(names, np.arange(some.start, some.stop))
+            f, t = fp[some].copy(), tp[some].copy()
+            at = 0
+            with np.errstate(invalid="ignore", divide="ignore"):
+                while at < len(score):
+                    upto = min(at + ROWS_AT_ONCE, len(score))
+                    if upto < len(score) and group[upto] == group[upto - 1]:  # whole groups, or else one that is larger
+                        first = int(np.searchsorted(group, group[upto]))
+                        upto = first if first > at else int(np.searchsorted(group, group[at], side="right"))
+                    n, p = (_added_up(weights, index[at:upto], c[at:upto], group[at:upto]) for c in counts)
+                    n, held = n.cumsum(axis=0) + f, p.cumsum(axis=0) + t
+                    ap[some] += np.nan_to_num(p * held / (n + held)).sum(axis=0)
+                    if "auroc" in metrics:
+                        pairs[some] += ((np.diff(n, axis=0, prepend=f[None, :])) * (held - p / 2)).sum(axis=0)
+                    if "fpr95" in metrics:
+                        fpr95[some] = np.minimum(fpr95[some], np.where(held / pos[some] >= 0.95, n / neg[some], np.inf).min(axis=0))
+                    f, t, at = n[-1].copy(), held[-1].copy(), upto
         with np.errstate(invalid="ignore", divide="ignore"):
-            for at in range(0, len(score), ROWS_AT_ONCE):
-                upto = min(at + ROWS_AT_ONCE, len(score))
-                names, index = np.unique(frames[at:upto], return_inverse=True)
-                weights = draw_weights(names, draws).T.astype(np.float64)[index]  # (rows, draws)
-                starts = np.flatnonzero(np.append(True, score[at + 1 : upto] != score[at : upto - 1]))
-                n, p = (np.add.reduceat(weights * c[at:upto, None], starts, axis=0) for c in counts)
-                if left and score[at] == score[at - 1]:  # a score whose rows began before
-                    n[0], p[0] = n[0] + left[0], p[0] + left[1]
-                left = None
-                if upto < len(score) and score[upto] == score[upto - 1]:
-                    left, n, p = (n[-1], p[-1]), n[:-1], p[:-1]
-                    if not len(n):
-                        continue
-                f, t = n.cumsum(axis=0) + fp, p.cumsum(axis=0) + tp
-                ap += np.nan_to_num(p * t / (f + t)).sum(axis=0)
-                pairs += (n * (t - p / 2)).sum(axis=0)
-                fpr95 = np.minimum(fpr95, np.where(t / pos >= 0.95, f / neg, np.inf).min(axis=0))
-                fp, tp = f[-1], t[-1]
             ap, auroc = ap / pos, pairs / (pos * neg)
         bad = pos * neg == 0
-        columns = {k: pa.array(np.where(bad, np.nan, v), from_pandas=True) for k, v in (("ap", ap), ("auroc", auroc), ("fpr95", fpr95))}
+        columns = {k: pa.array(np.where(bad, np.nan, v), from_pandas=True) for k, v in (("ap", ap), ("auroc", auroc), ("fpr95", fpr95)) if k in metrics}
         return pa.table({by: pa.array([key[0].as_py()] * draws, pa_kind), "boot": np.arange(draws)} | columns)
 
-    pieces = rows.groupBy(by, "bin").cogroup(held.groupBy(by, "bin")).applyInArrow(down, f"`{by}` {kind}, boot long, ap double, auroc double, fpr95 double")
-    return pieces.groupBy(by, "boot").agg(F.sum("ap").alias("ap"), F.sum("auroc").alias("auroc"), F.min("fpr95").alias("fpr95"))
+    columns = [k for k in METRICS if k in metrics]
+    pieces = rows.groupBy(by, "bin").cogroup(held.groupBy(by, "bin")).applyInArrow(down, f"`{by}` {kind}, boot long, " + ", ".join(f"{k} double" for k in columns))
+    return pieces.groupBy(by, "boot").agg(*((F.min if k == "fpr95" else F.sum)(k).alias(k) for k in columns))
+
+
+def _before_positives(new: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """Which of the rows, whose scores begin where new says, begin a group once scores that no positive row has are joined with
+    the next one that some has."""
+    starts = np.flatnonzero(new)
+    out = np.zeros(len(new), bool)
+    if len(starts):
+        has = np.logical_or.reduceat(positive, starts)
+        out[starts[np.append(True, has[:-1])]] = True
+    return out
+
+
+def _added_up(weights: np.ndarray, frame: np.ndarray, count: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """(groups, draws): the sums of rows' weights times their counts, of rows in the order of their groups."""
+    rows = np.flatnonzero(count)
+    out = np.zeros((group[-1] - group[0] + 1, weights.shape[1]))
+    if len(rows):
+        own, n, at = weights[frame[rows]], count[rows], group[rows] - group[0]
+        own = own * n[:, None].astype(np.float64) if n.max() > 1 else own
+        if len(rows) == at[-1] - at[0] + 1 == len(np.unique(at)):
+            out[at] = own
+        else:
+            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            out[at[starts]] = np.add.reduceat(own, starts, axis=0, dtype=np.float64)
+    return out
 
 
 def interval(draws: DataFrame, by: list[str], value: str, digits: int = 6) -> DataFrame:

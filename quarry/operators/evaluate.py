@@ -48,7 +48,7 @@ def evaluate(frames: DataFrame, method: str | None = None, columns: tuple[str, .
         f1 = components.f1_of_objects(components.objects(pixels, ["frame_id"], "frame_id", side=side), ["k"], digits=digits)
         out = out.crossJoin(thr.join(f1, "k", "left").select(F.round("thr", digits).alias("thr"), F.coalesce("f1", F.lit(0.0)).alias("component_f1")))
     if n_boot:
-        drawn = bootstrap.exact_draws(rows.withColumn("__k", F.lit(0)), "__k", draws=n_boot)
+        drawn = bootstrap.exact_draws(rows.withColumn("__k", F.lit(0)), "__k", draws=n_boot, metrics=("ap",))
         ci = bootstrap.interval(drawn, [], "ap", digits)
         out = out.crossJoin(ci.select(*(F.col(c).alias(f"ap_{c}") for c in ("mean", "lo", "hi"))))
     return out

@@ -116,4 +116,4 @@ drawn AS (SELECT method, boot, score, gt, c * w AS cw FROM own JOIN weights USIN
 @query("bootstrap_ap_exact", f"WITH {_EXACT} SELECT method, {_interval('ap')} FROM m GROUP BY method")
 def bootstrap_ap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All distinct scores, all draws in one pass over them."""
-    return bootstrap.interval(bootstrap.exact_draws(scored(spark, sf_dir), "method"), ["method"], "ap")
+    return bootstrap.interval(bootstrap.exact_draws(scored(spark, sf_dir), "method", metrics=("ap",)), ["method"], "ap")

@@ -282,6 +282,10 @@ def test_exact_draws_equal_metrics_of_weighted_rows(spark, monkeypatch):
             for k in range(0, 60, 7):
                 own = [(g, s) for x, f, s, g in rows if x == m for _ in range(int(weights[k, f]))]
                 assert (got[m, k].ap, got[m, k].auroc, got[m, k].fpr95) == pytest.approx(plain_metrics(own)), (m, k)
+    only = {(r.m, r.boot): r for r in bootstrap.exact_draws(df, "m", draws=60, metrics=("ap",)).collect()}
+    assert len(only) == 180 and all(only[k].asDict() == {"m": k[0], "boot": k[1], "ap": None if r.ap is None else pytest.approx(r.ap)} for k, r in got.items())
+    joins = [x for x in bootstrap.exact_draws(df, "m")._jdf.queryExecution().optimizedPlan().toString().split("\n") if "cuts" not in x and "Join" in x and "m#" in x]
+    assert any("rightHint=(strategy=broadcast)" in x for x in joins), "no task gets all rows of a method"
     assert "Range (" not in bootstrap.exact_draws(df, "m")._jdf.queryExecution().optimizedPlan().toString(), "weights are made in tasks"
 
 
